@@ -1,2 +1,131 @@
-"""Catalog entries backed by ML, streaming and store operators (registered
-into the same catalog)."""
+"""Catalog entries backed by ML, streaming and store operators.
+
+They register into :data:`turnlens.plans.catalog.QUERIES` like the others.
+Store and stream entries write under the shared ``spark.checkpoint.dir``
+(a fresh folder per call) and return the table they built.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W, functions as F, types as T
+
+from turnlens.functions.columns import day_index
+from turnlens.operators import ml
+from turnlens.plans.catalog import EVENT_ORIGIN, MONEY, query
+from turnlens.session import scratch_dir
+from turnlens.sinks import store
+from turnlens.sources.tables import table
+from turnlens.streaming import live
+
+EVENTS_SCHEMA = T.StructType([
+    T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
+    T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
+    T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
+
+_TS_FMT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
+# M07 — standardised PCA loadings (rows-only: fitted model output)
+@query("pca_loadings", "M07 M08")
+def pca_loadings(spark, sf):
+    emb = table(spark, sf, "embeddings")
+    return ml.pca_loadings(emb, "embedding", 3)
+
+
+# M10 W20 M09 — boosted-tree classifier, per-group argmax (rows-only)
+@query("gbt_group_winner", "M10 W20 M09 M11")
+def gbt_group_winner(spark, sf):
+    d = table(spark, sf, "documents")
+    lab = table(spark, sf, "labels")
+    feats = (d.join(lab, "doc_id")
+             .select("doc_id", "source", "lang", F.col("quality").cast("double").alias("label"),
+                     F.col("n_chars").cast("double").alias("n_chars"),
+                     F.size(F.split("text", "\n")).cast("double").alias("n_lines"),
+                     F.size(F.split("text", r"\s+")).cast("double").alias("n_words")))
+    feats = ml.group_split(feats, "doc_id", 75, 42)
+    return ml.gbt_group_winner(feats, "label", ["n_chars", "n_lines", "n_words"], ["lang"],
+                               "source", "doc_id", "split", max_iter=10, seed=1)
+
+
+# T02 — event-time sessions closed by the watermark, availableNow file stream
+@query("stream_timeout_sessions", "T02")
+def stream_timeout_sessions(spark, sf):
+    s = live.file_stream(spark, sf, "events.parquet", EVENTS_SCHEMA)
+    sess = live.session_counts(s, "user_id", "ts", "value", "30 minutes", "1 hour")
+    # append mode: a session is emitted once the watermark closes it, i.e.
+    # the key has been silent for the gap; sessions still open are live state
+    res = live.run_to_table(sess, "sessions", mode="append")
+    return res.select("user_id",
+                      F.date_format(F.col("session.start"), _TS_FMT).alias("session_start"),
+                      F.date_format(F.col("session.end"), _TS_FMT).alias("session_end"),
+                      "n_events", F.col("total_value").cast(MONEY).alias("total_value"))
+
+
+# T01 — latest and previous snapshot per key, arbitrary state in a stream
+@query("stream_latest_state", "T01")
+def stream_latest_state(spark, sf):
+    s = live.file_stream(spark, sf, "events.parquet", EVENTS_SCHEMA)
+    return live.run_to_table(live.latest_state_stream(s), "latest", mode="update",
+                             keys=["user_id"])
+
+
+# T03 A59 — monotone max per (runner, game) in update mode
+@query("stream_monotone_max", "T03 A59")
+def stream_monotone_max(spark, sf):
+    s = live.file_stream(spark, sf, "events.parquet", EVENTS_SCHEMA)
+    s = s.withColumn("day", day_index("ts", EVENT_ORIGIN)).withColumn(
+        "order_key", F.struct("ts", "event_id"))
+    agg = live.monotone_max_stream(s, ["user_id", "day"], ["value"], "event_type", "order_key")
+    return live.run_to_table(agg, "monotone", mode="update", keys=["user_id", "day"])
+
+
+# K02 K03 T07 — id-scoped incremental cache
+@query("incremental_cache", "K02 K03 T07 S02 S04")
+def incremental_cache(spark, sf):
+    ev = table(spark, sf, "events").withColumn("day", day_index("ts", EVENT_ORIGIN))
+
+    def parse(ids):
+        rows = ev.join(ids, "user_id", "left_semi")
+        return rows.groupBy("user_id", "day").agg(
+            F.count(F.lit(1)).alias("n_events"),
+            F.sum(F.col("value").cast(MONEY)).cast(MONEY).alias("total_value"))
+
+    cache = store.IdScopedCache(spark, scratch_dir(spark, "idcache"), "daily", "user_id")
+    users = ev.select("user_id").distinct()
+    # first run: only players whose first event falls in the first half month
+    first = ev.groupBy("user_id").agg(F.min("day").alias("d0"))
+    cache.get(first.filter(F.col("d0") < 15).select("user_id"), parse)
+    # second run: every player; only the rest is parsed
+    return cache.get(users, parse)
+
+
+# K08 — schema-contract ingest with whole-file quarantine (rows-only)
+@query("schema_contract", "K08 K12 Q07")
+def schema_contract(spark, sf):
+    nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
+    customer, supplier = table(spark, sf, "customer"), table(spark, sf, "supplier")
+    contract = {"nation": nation.schema, "region": region.schema, "customer": customer.schema,
+                "supplier": store.contract_of(supplier, [("s_phone", T.StringType())])}
+    root = scratch_dir(spark, "ingest")
+    rep = store.ingest_with_contract(
+        spark, {"file_a": {"nation": nation, "region": region},
+                "file_b": {"customer": customer, "supplier": supplier}},
+        contract, f"{root}/store", f"{root}/quarantine")
+    stored = [spark.read.parquet(f"{root}/store/{t}").groupBy().count()
+              .select(F.lit(t).alias("table_name"), F.col("count").alias("n_rows"))
+              for t in ("nation", "region")]
+    counts = stored[0].unionByName(stored[1])
+    return rep.join(counts, "table_name", "left")
+
+
+# K13 — splice ordered segments, one header per log
+@query("segment_splice", "K13 O07")
+def segment_splice(spark, sf):
+    cv = table(spark, sf, "conversations")
+    w = W.partitionBy("conv_id", "role").orderBy("turn")
+    lines = cv.select(F.col("role").alias("log_name"), F.col("conv_id").alias("seg_no"),
+                      (F.row_number().over(w) - 1).alias("line_no"),
+                      F.length("text").cast("bigint").alias("n_chars"))
+    out = store.splice_segments(lines, "log_name", "seg_no", "line_no", ["user"], "out_line")
+    return out.select("log_name", "seg_no", F.col("line_no").cast("bigint"), "n_chars",
+                      F.col("out_line").cast("bigint"))

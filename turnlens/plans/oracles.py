@@ -600,4 +600,47 @@ l AS (SELECT user_id, day, event_type AS last_type FROM (
 SELECT e.user_id, e.day, max(value) AS max_value, count(*) AS n, max(l.last_type) AS last_type,
   bool_or(event_type = 'purchase') AS finished
 FROM e JOIN l ON e.user_id = l.user_id AND e.day = l.day GROUP BY e.user_id, e.day""",
+    "stream_timeout_sessions": """
+WITH e AS (SELECT user_id, ts, event_id, value,
+             CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 30 MINUTE
+                  THEN 1 ELSE 0 END AS brk
+           FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM e)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start,
+  strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS session_end,
+  count(*) AS n_events, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS total_value
+FROM s GROUP BY user_id, sid
+HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+
+    "stream_latest_state": """
+WITH r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id
+             ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+SELECT a.user_id, a.event_id AS latest_event_id, a.event_type AS latest_event_type,
+  b.event_id AS prev_event_id, b.event_type AS prev_event_type
+FROM r a LEFT JOIN r b ON a.user_id = b.user_id AND b.rn = 2 WHERE a.rn = 1""",
+
+    "stream_monotone_max": f"""
+WITH e AS (SELECT *, {_DAY} AS day FROM events),
+l AS (SELECT user_id, day, event_type AS last_event_type FROM (
+        SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY ts DESC, event_id DESC) AS rn
+        FROM e) t WHERE rn = 1)
+SELECT e.user_id, e.day, max(value) AS max_value, max(l.last_event_type) AS last_event_type
+FROM e JOIN l ON e.user_id = l.user_id AND e.day = l.day GROUP BY e.user_id, e.day""",
+
+    "incremental_cache": f"""
+SELECT user_id, {_DAY} AS day, count(*) AS n_events,
+  CAST(sum(CAST(value AS {_M})) AS {_M}) AS total_value
+FROM events GROUP BY 1, 2""",
+
+    "segment_splice": """
+WITH l AS (SELECT role AS log_name, conv_id AS seg_no,
+             row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS line_no,
+             CAST(length(text) AS BIGINT) AS n_chars FROM conversations),
+f AS (SELECT log_name, min(seg_no) AS first_seg FROM l GROUP BY 1),
+k AS (SELECT l.* FROM l JOIN f ON l.log_name = f.log_name
+      WHERE NOT (l.log_name IN ('user') AND l.line_no = 0 AND l.seg_no > f.first_seg))
+SELECT log_name, seg_no, CAST(line_no AS BIGINT) AS line_no, n_chars,
+  row_number() OVER (PARTITION BY log_name ORDER BY seg_no, line_no) AS out_line FROM k""",
 }
+
