@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from turnlens.operators.ordered import ordered_scan
 
@@ -33,16 +33,25 @@ def write_partitioned(df: DataFrame, path: str, by: str, fmt: str = "parquet") -
 
 
 class IdScopedCache:
-    """Parse only ids not stored yet, append them partitioned by
-    id, and read back exactly the requested ids in the original column
-    order. A manifest table records every processed id, including ids whose
-    parse produced no rows, so those are not parsed again."""
-
-    def __init__(self, spark: SparkSession, root: str, name: str, id_col: str):
-        self.spark, self.id_col = spark, id_col
+    """Parse only ids not stored yet, append them, and read back
+    exactly the requested ids in the original column order. A manifest
+    table records every processed id, including ids whose parse produced no
+    rows, so those are not parsed again.
+
+    Rows are stored partitioned by a hash bucket of the id (not by the id
+    itself: millions of ids would mean millions of folders and tiny files);
+    each append writes one file per bucket, and reads prune buckets through
+    a semi join on the bucket column (dynamic partition pruning)."""
+
+    def __init__(self, spark: SparkSession, root: str, name: str, id_col: str,
+                 n_buckets: int = 64):
+        self.spark, self.id_col, self.n_buckets = spark, id_col, n_buckets
         self.table = f"{root.rstrip('/')}/{name}"
         self.manifest = f"{root.rstrip('/')}/_manifest/{name}"
 
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(F.col(self.id_col)), F.lit(self.n_buckets)).cast("int")
+
     def _read_manifest(self, id_type: T.DataType) -> DataFrame | None:
         schema = T.StructType([T.StructField(self.id_col, id_type),
                                T.StructField("n_rows", T.LongType()),
@@ -53,8 +62,8 @@ class IdScopedCache:
             return None
 
     def get(self, ids: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """``ids``: one column named like the id column. ``compute`` maps a
-        frame of ids to parsed rows that contain the id column."""
+        """``ids``: a frame with the id column. ``compute`` maps a frame of
+        ids to parsed rows that contain the id column."""
         id_type = ids.schema[self.id_col].dataType
         ids = ids.select(self.id_col).distinct()
         done = self._read_manifest(id_type)
@@ -63,7 +72,8 @@ class IdScopedCache:
         if todo.limit(1).count() > 0:
             parsed = compute(todo)
             cols = json.dumps(parsed.columns)
-            parsed.write.mode("append").partitionBy(self.id_col).parquet(self.table)
+            (parsed.withColumn("_bucket", self._bucket()).repartition("_bucket")
+             .write.mode("append").partitionBy("_bucket").parquet(self.table))
             counts = parsed.groupBy(self.id_col).agg(F.count(F.lit(1)).alias("n_rows"))
             marks = (todo.join(counts, self.id_col, "left")
                      .select(self.id_col, F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"),
@@ -71,12 +81,10 @@ class IdScopedCache:
             marks.write.mode("append").parquet(self.manifest)
         man = self._read_manifest(id_type)
         cols = json.loads(man.select(F.max("columns")).first()[0])
-        data_schema = self.spark.read.parquet(self.table).schema
-        fields = {f.name: f for f in data_schema.fields if f.name != self.id_col}
-        fields[self.id_col] = T.StructField(self.id_col, id_type)
-        schema = T.StructType([fields[c] for c in cols])
-        stored = self.spark.read.schema(schema).parquet(self.table)
-        return stored.join(ids, self.id_col, "left_semi").select(*cols)
+        stored = self.spark.read.parquet(self.table)
+        wanted = ids.withColumn("_bucket", self._bucket())
+        stored = stored.join(wanted.select("_bucket").distinct(), "_bucket", "left_semi")
+        return stored.join(wanted.select(self.id_col), self.id_col, "left_semi").select(*cols)
 
 
 def manifest_is_fresh(spark: SparkSession, manifest_path: str, output: str,
