@@ -870,3 +870,46 @@ def monotone_max(spark, sf):
         F.count(F.lit(1)).alias("n"),
         F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"),
         F.max(F.col("event_type") == "purchase").alias("finished"))
+
+
+# --------------------------------------------------------------------------
+# Data quality (Q01–Q06)
+
+# Q01 — parse audit over every line of every document
+@query("parse_audit", "Q01 P02")
+def parse_audit(spark, sf):
+    from turnlens.operators import quality
+    d = table(spark, sf, "documents").select(
+        "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return quality.parse_audit(d, ["doc_id"], "line_no", "line", ~F.col("line").rlike(r"\p{L}"))
+
+
+# Q03 — drop left-censored entities
+@query("left_censored_drop", "Q03")
+def left_censored_drop(spark, sf):
+    from turnlens.operators import quality
+    ev = _events(spark, sf)
+    kept = quality.drop_left_censored(ev, ["user_id"], "day", 2)
+    return kept.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_events"))
+
+
+# Q04 — roster check: customers whose orders miss some status
+@query("roster_check", "Q04")
+def roster_check(spark, sf):
+    from turnlens.operators import quality
+    o = table(spark, sf, "orders")
+    r = quality.roster_check(o, "o_custkey", "o_orderstatus", len(ORDER_STATUSES), ORDER_STATUSES)
+    return r.select("o_custkey", "n_members", F.array_join("members", "|").alias("members"),
+                    F.array_join("missing", "|").alias("missing"))
+
+
+# Q06 — discrepancy between two counts of the same thing
+@query("discrepancy_report", "Q06 J17")
+def discrepancy_report(spark, sf):
+    from turnlens.operators import quality
+    o = table(spark, sf, "orders")
+    li = table(spark, sf, "lineitem").select("l_orderkey").distinct()
+    a = o.groupBy(F.col("o_custkey").alias("custkey")).agg(F.count(F.lit(1)).alias("n_orders"))
+    b = (li.join(o.select("o_orderkey", "o_custkey"), li.l_orderkey == o.o_orderkey)
+         .groupBy(F.col("o_custkey").alias("custkey")).agg(F.count(F.lit(1)).alias("n_with_lines")))
+    return quality.discrepancy_report(a, b, ["custkey"], "n_orders", "n_with_lines")

@@ -642,5 +642,37 @@ k AS (SELECT l.* FROM l JOIN f ON l.log_name = f.log_name
       WHERE NOT (l.log_name IN ('user') AND l.line_no = 0 AND l.seg_no > f.first_seg))
 SELECT log_name, seg_no, CAST(line_no AS BIGINT) AS line_no, n_chars,
   row_number() OVER (PARTITION BY log_name ORDER BY seg_no, line_no) AS out_line FROM k""",
+    "parse_audit": """
+WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no,
+             unnest(string_split(text, chr(10))) AS line FROM documents),
+b AS (SELECT *, NOT regexp_matches(line, '\\p{L}') AS bad FROM l)
+SELECT doc_id, count(*) AS n_lines, CAST(count_if(bad) AS BIGINT) AS n_bad,
+  CAST(min(CASE WHEN bad THEN line_no END) AS INTEGER) AS first_bad_line_no,
+  arg_min(line, CASE WHEN bad THEN line_no END) AS first_bad_line
+FROM b GROUP BY doc_id""",
+
+    "left_censored_drop": f"""
+WITH e AS (SELECT *, {_DAY} AS day FROM events),
+ok AS (SELECT user_id FROM e GROUP BY 1 HAVING min(day) <= 2)
+SELECT user_id, count(*) AS n_events FROM e WHERE user_id IN (SELECT user_id FROM ok)
+GROUP BY user_id""",
+
+    "roster_check": """
+WITH g AS (SELECT o_custkey, count(DISTINCT o_orderstatus) AS n_members,
+             list_sort(list_distinct(list(o_orderstatus))) AS m FROM orders GROUP BY 1),
+x AS (SELECT *, list_filter(['F', 'O', 'P'], lambda s: NOT list_contains(m, s)) AS miss FROM g)
+SELECT o_custkey, n_members, array_to_string(m, '|') AS members,
+  array_to_string(miss, '|') AS missing FROM x
+WHERE n_members <> 3 OR len(miss) > 0""",
+
+    "discrepancy_report": """
+WITH a AS (SELECT o_custkey AS custkey, count(*) AS n_orders FROM orders GROUP BY 1),
+b AS (SELECT o_custkey AS custkey, count(*) AS n_with_lines
+      FROM (SELECT DISTINCT l_orderkey FROM lineitem) l JOIN orders ON l.l_orderkey = o_orderkey
+      GROUP BY 1),
+j AS (SELECT coalesce(a.custkey, b.custkey) AS custkey, coalesce(n_orders, 0) AS n_orders,
+        coalesce(n_with_lines, 0) AS n_with_lines FROM a FULL OUTER JOIN b ON a.custkey = b.custkey)
+SELECT custkey, n_orders, n_with_lines, n_orders - n_with_lines AS difference FROM j
+WHERE n_orders - n_with_lines <> 0""",
 }
 
