@@ -158,3 +158,28 @@ def hms(seconds: str | Column) -> Column:
     """seconds → 'Hh Mm Ss'."""
     s = col(seconds).cast("long")
     return F.format_string("%dh %dm %ds", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
+
+
+# --- P07 / P19 / F08 ------------------------------------------------------------
+
+def rename(df, mapping):
+    """Rename a set of columns at once."""
+    return df.withColumnsRenamed(dict(mapping))
+
+
+def decision_class(rules, default: str) -> Column:
+    """First matching (condition, label) wins, else ``default``."""
+    out = F.lit(default)
+    for cond, label in reversed(list(rules)):
+        out = F.when(cond, F.lit(label)).otherwise(out)
+    return out
+
+
+def bitmask_of(index: str | Column) -> Column:
+    """F08 (aggregate): OR of 1 << index over a group's rows."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1), col(index)))
+
+
+def bit_is_set(mask: str | Column, bit: int) -> Column:
+    """test one bit of a mask."""
+    return col(mask).bitwiseAND(F.lit(1 << bit)) != 0

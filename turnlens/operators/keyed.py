@@ -81,3 +81,9 @@ def equi_with_residual(left: DataFrame, right: DataFrame, on: Sequence[str],
     """Equi join plus an inequality residual condition."""
     cond = [left[c] == right[c] for c in on] + [residual]
     return left.join(right, cond, "inner")
+
+
+def join_on_common(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on every column name the two frames share."""
+    on = [c for c in left.columns if c in right.columns]
+    return left.join(right, on, how)

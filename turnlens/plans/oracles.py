@@ -674,5 +674,148 @@ j AS (SELECT coalesce(a.custkey, b.custkey) AS custkey, coalesce(n_orders, 0) AS
         coalesce(n_with_lines, 0) AS n_with_lines FROM a FULL OUTER JOIN b ON a.custkey = b.custkey)
 SELECT custkey, n_orders, n_with_lines, n_orders - n_with_lines AS difference FROM j
 WHERE n_orders - n_with_lines <> 0""",
+    "distinct_projection": f"""
+SELECT DISTINCT user_id, {_DAY} AS day, event_type FROM events""",
+
+    "game_rollup": f"""
+WITH e AS (SELECT *, {_DAY} AS day,
+             CASE WHEN event_type = 'purchase' AND value > 45 THEN event_type ELSE '' END AS v0
+           FROM events),
+f AS (SELECT *, CASE WHEN trim(v0) = '' OR lower(trim(v0)) = 'nan' THEN NULL ELSE trim(v0) END
+        AS victory FROM e)
+SELECT user_id, max(day) AS max_day, count(DISTINCT event_type) AS n_types,
+  min(victory) AS winner_type, min(CASE WHEN victory IS NOT NULL THEN event_id END) AS winner_event_id
+FROM f GROUP BY user_id""",
+
+    "end_state_share": f"""
+WITH e AS (SELECT *, {_DAY} AS day FROM events),
+l AS (SELECT user_id, max(day) AS day FROM e GROUP BY 1),
+a AS (SELECT e.* FROM e JOIN l ON e.user_id = l.user_id AND e.day = l.day),
+p AS (SELECT user_id, event_type, count(*) AS n FROM a GROUP BY 1, 2)
+SELECT user_id, event_type, n, round(n / sum(n) OVER (PARTITION BY user_id), 6) AS share FROM p""",
+
+    "pick_performance": """
+WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey
+             ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders),
+w AS (SELECT o_custkey, o_orderkey AS w FROM r WHERE rn = 1),
+j AS (SELECT o.*, coalesce(o.o_orderkey = w.w, false) AS won,
+        CASE WHEN o_orderpriority = '1-URGENT' THEN 'urgent'
+             WHEN o_orderpriority = '2-HIGH' THEN 'high'
+             WHEN o_orderpriority = '5-LOW' THEN
+               CASE WHEN month(o_orderdate) <= 6 THEN 'low_early' ELSE 'low_late' END END AS section
+      FROM orders o LEFT JOIN w ON o.o_custkey = w.o_custkey)
+SELECT section, o_orderstatus, count(*) AS n, CAST(count_if(won) AS BIGINT) AS wins,
+  CAST(count_if(NOT won) AS BIGINT) AS losses, round(avg(dayofyear(o_orderdate)), 6) AS avg_day
+FROM j WHERE section IS NOT NULL GROUP BY section, o_orderstatus""",
+
+    "opens_and_wins": """
+WITH op AS (SELECT o_orderpriority, o_orderstatus, count(*) AS opens FROM orders GROUP BY 1, 2),
+wi AS (SELECT o_orderpriority, o_orderstatus, count(*) AS wins FROM orders
+       WHERE o_totalprice > 300000 GROUP BY 1, 2)
+SELECT op.o_orderpriority, op.o_orderstatus, opens, CAST(coalesce(wins, 0) AS BIGINT) AS wins
+FROM op LEFT JOIN wi ON op.o_orderpriority = wi.o_orderpriority
+  AND op.o_orderstatus = wi.o_orderstatus""",
+
+    "first_then_pivot": """
+WITH f AS (SELECT c_nationkey, c_mktsegment, arg_min(c_acctbal, c_custkey) AS bal
+           FROM customer GROUP BY 1, 2)
+SELECT c_nationkey,
+  max(CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN bal END) AS bal_AUTOMOBILE,
+  max(CASE WHEN c_mktsegment = 'BUILDING' THEN bal END) AS bal_BUILDING,
+  max(CASE WHEN c_mktsegment = 'FURNITURE' THEN bal END) AS bal_FURNITURE,
+  max(CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN bal END) AS bal_HOUSEHOLD,
+  max(CASE WHEN c_mktsegment = 'MACHINERY' THEN bal END) AS bal_MACHINERY
+FROM f GROUP BY c_nationkey""",
+
+    "branch_bitmask": """
+WITH o AS (SELECT o_custkey, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 WHEN 'P' THEN 2 END
+             AS idx FROM orders)
+SELECT o_custkey, bit_or(1 << idx) AS mask, (bit_or(1 << idx) & 1) <> 0 AS has_F,
+  (bit_or(1 << idx) & 4) <> 0 AS has_P FROM o GROUP BY o_custkey""",
+
+    "roster_left_joins": """
+WITH c AS (SELECT c_custkey, c_nationkey FROM customer),
+no AS (SELECT o_custkey AS c_custkey, count(*) AS n_orders FROM orders GROUP BY 1),
+sp AS (SELECT o_custkey AS c_custkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,2))
+         AS spend FROM orders GROUP BY 1),
+fi AS (SELECT c_custkey, first_o_orderkey FROM (
+         SELECT o_custkey AS c_custkey, o_orderkey AS first_o_orderkey, row_number() OVER (
+           PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) t WHERE rn = 1),
+li AS (SELECT o_custkey AS c_custkey, count(*) AS n_lines FROM lineitem
+       JOIN orders ON l_orderkey = o_orderkey GROUP BY 1),
+ns AS (SELECT c_nationkey, count(*) AS nation_size FROM customer GROUP BY 1)
+SELECT c.c_custkey, c.c_nationkey, coalesce(n_orders, 0) AS n_orders, spend, first_o_orderkey,
+  coalesce(n_lines, 0) AS n_lines, nation_size
+FROM c LEFT JOIN no ON c.c_custkey = no.c_custkey LEFT JOIN sp ON c.c_custkey = sp.c_custkey
+LEFT JOIN fi ON c.c_custkey = fi.c_custkey LEFT JOIN li ON c.c_custkey = li.c_custkey
+LEFT JOIN ns ON c.c_nationkey = ns.c_nationkey""",
+
+    "era_feature_pivot": """
+WITH e AS (SELECT user_id, CAST(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 7) AS INTEGER) AS week,
+             CAST(value AS DECIMAL(18,2)) AS v FROM events)
+SELECT user_id,
+  CAST(coalesce(sum(CASE WHEN week = 0 THEN v END), 0) AS DECIMAL(18,2)) AS w0_value,
+  CAST(count_if(week = 0) AS BIGINT) AS w0_n,
+  CAST(coalesce(sum(CASE WHEN week = 1 THEN v END), 0) AS DECIMAL(18,2)) AS w1_value,
+  CAST(count_if(week = 1) AS BIGINT) AS w1_n,
+  CAST(coalesce(sum(CASE WHEN week = 2 THEN v END), 0) AS DECIMAL(18,2)) AS w2_value,
+  CAST(count_if(week = 2) AS BIGINT) AS w2_n,
+  CAST(coalesce(sum(CASE WHEN week = 3 THEN v END), 0) AS DECIMAL(18,2)) AS w3_value,
+  CAST(count_if(week = 3) AS BIGINT) AS w3_n,
+  CAST(coalesce(sum(CASE WHEN week = 4 THEN v END), 0) AS DECIMAL(18,2)) AS w4_value,
+  CAST(count_if(week = 4) AS BIGINT) AS w4_n
+FROM e GROUP BY user_id""",
+
+    "ordered_report": """
+SELECT o_orderpriority, o_orderstatus,
+  CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS total
+FROM orders GROUP BY 1, 2""",
+
+    "part_class": """
+WITH p AS (SELECT *, p_size >= 40 AS is_large, p_type = 'PROMO' AS is_promo,
+             p_type IN ('SMALL', 'ECONOMY') AS is_small_kind FROM part)
+SELECT p_partkey,
+  CASE WHEN is_promo AND is_large THEN 'promo_large' WHEN is_promo THEN 'promo'
+       WHEN is_small_kind AND p_size < 10 THEN 'small_cheap' ELSE 'other' END AS part_class,
+  is_large, is_promo, is_small_kind,
+  CASE p_type WHEN 'ECONOMY' THEN 'budget' WHEN 'SMALL' THEN 'budget' WHEN 'MEDIUM' THEN 'standard'
+              WHEN 'LARGE' THEN 'standard' WHEN 'PROMO' THEN 'promo' END AS tier,
+  ((is_promo OR p_brand IN ('Brand#11', 'Brand#22'))
+    AND p_size IN (1, 5, 10, 15, 20, 25, 30, 35, 40, 45, 50)) OR p_size IS NULL AS eligible
+FROM p WHERE p_type IN ('ECONOMY', 'SMALL', 'MEDIUM', 'LARGE', 'PROMO')""",
+
+    "low_signal_cut": f"""
+WITH e AS (SELECT *, {_DAY} AS day FROM events WHERE value > 0 AND event_type = 'purchase'),
+per AS (SELECT user_id, CAST(floor(day / 7) AS INTEGER) AS week, count(*) AS n FROM e GROUP BY 1, 2),
+s AS (SELECT *, n / sum(n) OVER (PARTITION BY week) AS share FROM per),
+m AS (SELECT user_id, round(avg(share), 6) AS mean_share FROM s GROUP BY 1)
+SELECT * FROM m WHERE mean_share > 0.0066""",
+
+    "impossible_row_cut": """
+SELECT l_returnflag, count(*) AS n_kept FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+WHERE CAST(l_shipdate AS DATE) >= CAST(o_orderdate AS DATE) GROUP BY 1""",
+
+    "first_of_two": """
+WITH g AS (SELECT user_id,
+             min(CASE WHEN event_type = 'signup' THEN ts END) AS a_ts,
+             arg_min(event_id, CASE WHEN event_type = 'signup' THEN epoch_us(ts) END) AS a_id,
+             min(CASE WHEN event_type = 'purchase' THEN ts END) AS b_ts,
+             arg_min(event_id, CASE WHEN event_type = 'purchase' THEN epoch_us(ts) END) AS b_id
+           FROM events GROUP BY 1)
+SELECT user_id,
+  CASE WHEN a_ts IS NULL AND b_ts IS NULL THEN 'neither' WHEN b_ts IS NULL THEN 'signup'
+       WHEN a_ts IS NULL THEN 'purchase'
+       WHEN a_ts < b_ts OR (a_ts = b_ts AND a_id < b_id) THEN 'signup' ELSE 'purchase' END
+    AS first_event,
+  CAST(a_ts IS NOT NULL AS INTEGER) AS did_signup, CAST(b_ts IS NOT NULL AS INTEGER) AS did_purchase
+FROM g""",
+
+    "supplier_running_quantity": """
+SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey,
+  row_number() OVER w AS n_so_far,
+  CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+       AS DECIMAL(18,2)) AS qty_so_far
+FROM lineitem
+WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity)""",
 }
 
