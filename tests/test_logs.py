@@ -189,3 +189,34 @@ def test_purchases_economy_yields(spark, root):
                                                                   "BuilderTaskingYieldLog.csv")))
     row = py.collect()[0]
     assert row["gold"] == 3 and row["food"] == 0   # food sums to −8: HAVING sum > 0 drops it
+
+
+def test_civ_economy_corrected_and_sources(spark, root, tmp_path):
+    line = ["Rome", "33", "2", "5", "40", "20", "0", "10", "6", "3", "1", "0", "0", "2", "50",
+            "0", "2", "0", "0", "7", "0", "0", "0", "1", "0", "12.9", "1", "0", "2", "0", "0", "0",
+            "30", "3", "4", "1", "8"]
+    econ = tmp_path / "econ" / "G1"
+    econ.mkdir(parents=True)
+    (econ / "EconomicMonitorLog_Rome.csv").write_text(
+        "Civ,Turn,...\n" + ",".join(line) + "\n" + ",".join(line[:5]) + "\n")
+    lines = logs.scan_lines(spark, str(tmp_path / "econ"), "EconomicMonitorLog_*.csv")
+    civ, bad = logs.civ_economy(lines)
+    row = civ.collect()[0]
+    assert (row["turn"], row["food"], row["city_gold"], row["gold"]) == (33, 40, 12, 30)
+    assert bad.count() == 1                       # the short line is a reject, not a crash
+    gb, _ = logs.gold_breakdown(lines)
+    assert gb.collect()[0]["total_expenses"] == 8
+    iy = logs.instant_yields(logs.scan_lines(spark, root, "InstantYieldSummary.csv"))
+    rt = marts.instant_yield_running_totals(
+        iy.union(iy.limit(0)), [y.upper() for y in marts.CORRECTED_YIELDS], max_turn=40)
+    rt = rt.select("game_id", "civ", "turn", *[F.col(f"rt_{y.upper().lower()}")
+                                               for y in marts.CORRECTED_YIELDS])
+    cte = spark.createDataFrame([("G1", "Rome", 33, 2)], "game_id string, civ string, turn int, era int")
+    corr = marts.civ_economy_corrected(civ, rt, cte).collect()[0]
+    assert corr["food"] == 40 - 15 / 34
+    city = spark.createDataFrame([("G1", "Rome", 33, 30.0, 1.0, 1.0, 1.0, 1.0)],
+                                 "game_id string, civ string, turn int, food double, "
+                                 "production double, gold double, science double, culture double")
+    src = marts.economy_sources(marts.civ_economy_corrected(civ, rt, cte), city, iy,
+                                iy.limit(0)).collect()[0]
+    assert src["food_city"] == 30.0 and src["food_instant"] == 15.0   # turn 33 instant food

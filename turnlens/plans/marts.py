@@ -341,3 +341,98 @@ def drop_left_censored(df: DataFrame, key: list[str], turn: str = "Turn", max_fi
     """Q03: drop entities whose first logged turn is after ``max_first``."""
     first = df.groupBy(*key).agg(F.min(turn).alias("__t0")).filter(F.col("__t0") <= max_first)
     return keyed.semi(df, first, key)
+
+
+# --- economy (S09–S11, J03, J04, J08, A09, A12–A16, A24) ----------------------
+
+CORRECTED_YIELDS = ["food", "production", "gold", "science", "culture"]
+
+
+def city_economy_with_era(city: DataFrame, cte: DataFrame) -> DataFrame:
+    """Inner join on all three keys (game, civ, turn)."""
+    return city.join(cte, ["game_id", "civ", "turn"], "inner")
+
+
+def civ_economy_corrected(civ: DataFrame, running: DataFrame, cte: DataFrame) -> DataFrame:
+    """J04 + W05 correction: economy ⋈ instant-yield running totals ⋈ era
+    on (game, civ, turn); each logged yield minus rt / (turn + 1)."""
+    j = civ.join(running, ["game_id", "civ", "turn"], "inner").join(
+        cte, ["game_id", "civ", "turn"], "inner")
+    fixes = {y: F.col(y) - F.col(f"rt_{y}") / (F.col("turn") + 1) for y in CORRECTED_YIELDS}
+    return j.withColumns(fixes).drop(*[f"rt_{y}" for y in CORRECTED_YIELDS])
+
+
+def era_averages(civ_corr: DataFrame, measures: list[str]) -> DataFrame:
+    """Averages of a generated list of measures per era."""
+    return civ_corr.groupBy("era").agg(*[F.avg(m).alias(f"avg_{m}") for m in measures])
+
+
+def city_to_civ_turn(city: DataFrame) -> DataFrame:
+    """A13 (cities): sum the city rows to (game, civ, turn)."""
+    return city.groupBy("game_id", "civ", "turn").agg(
+        *[F.sum(y).alias(f"cities_{y}") for y in CORRECTED_YIELDS], F.count(F.lit(1)).alias("cities"))
+
+
+def reasons_to_civ_turn(yields: DataFrame, prefix: str) -> DataFrame:
+    """A13 (reasons) + B9: sum yield rows over reasons to (game, civ, turn)
+    before any join, so several reasons per turn cannot multiply sums."""
+    wide = reshape.pivot_agg(yields, ["game_id", "civ", "turn"], "yield",
+                             [y.upper() for y in CORRECTED_YIELDS], F.sum("value"), "", fill=0)
+    return wide.select("game_id", "civ", "turn",
+                       *[F.col(y.upper()).alias(f"{prefix}{y}") for y in CORRECTED_YIELDS])
+
+
+def economy_sources(civ_corr: DataFrame, city: DataFrame, instant: DataFrame,
+                    handicap: DataFrame) -> DataFrame:
+    """J08 + A15: three left joins of pre-aggregated sources onto the civ
+    economy per (game, civ, turn); per era: city, misc (= civ − city),
+    instant, handicap and total averages per yield."""
+    keys = ["game_id", "civ", "turn"]
+    j = (civ_corr.join(city_to_civ_turn(city), keys, "left")
+         .join(reasons_to_civ_turn(instant, "iy_"), keys, "left")
+         .join(reasons_to_civ_turn(handicap, "hy_"), keys, "left"))
+    j = j.na.fill(0)
+    aggs = []
+    for y in CORRECTED_YIELDS:
+        aggs += [F.avg(f"cities_{y}").alias(f"{y}_city"),
+                 F.avg(F.col(y) - F.col(f"cities_{y}")).alias(f"{y}_misc"),
+                 F.avg(f"iy_{y}").alias(f"{y}_instant"),
+                 F.avg(f"hy_{y}").alias(f"{y}_handicap"),
+                 F.avg(F.col(y) + F.col(f"iy_{y}") + F.col(f"hy_{y}")).alias(f"{y}_total")]
+    return j.groupBy("era").agg(*aggs)
+
+
+def civ_economy_by_era(civ_corr: DataFrame) -> DataFrame:
+    """Per (game, civ, era): yield averages, maintenance sums, turns."""
+    return civ_corr.groupBy("game_id", "civ", "era").agg(
+        *[F.avg(y).alias(f"avg_{y}") for y in CORRECTED_YIELDS],
+        F.sum("unit_maintenance").alias("sum_unit_maintenance"),
+        F.sum("building_maintenance").alias("sum_building_maintenance"),
+        F.sum("improvement_maintenance").alias("sum_improvement_maintenance"),
+        F.count(F.lit(1)).alias("turns"))
+
+
+def handicap_trigger_stats(hy: DataFrame, cte: DataFrame) -> DataFrame:
+    """Per (era, reason): rows, mean value and times triggered per
+    civ-game (counted players, B8)."""
+    j = hy.join(cte, ["game_id", "civ", "turn"], "inner")
+    n_pairs = cte.select(F.count_distinct("game_id", "civ")).scalar()
+    return j.groupBy("era", "reason").agg(
+        F.count(F.lit(1)).alias("rows"), F.avg("value").alias("mean_value"),
+        (F.count(F.lit(1)) / n_pairs).alias("avg_times_triggered"))
+
+
+def units_and_map_by_era(map_state: DataFrame, cte: DataFrame) -> DataFrame:
+    """A24 (+ B5): per (game, civ, era): unit share of all units on the map
+    and average owned tiles per spine turn; joins use (game, civ, turn)."""
+    units = map_state.filter(F.col("unit_owner_civ") != "").groupBy(
+        "game_id", F.col("unit_owner_civ").alias("civ"), "turn").agg(F.count(F.lit(1)).alias("units"))
+    tiles = map_state.filter(F.col("owner_civ") != "").groupBy(
+        "game_id", F.col("owner_civ").alias("civ"), "turn").agg(F.count(F.lit(1)).alias("tiles"))
+    all_units = units.groupBy("game_id", "turn").agg(F.sum("units").alias("all_units"))
+    keys = ["game_id", "civ", "turn"]
+    j = (cte.join(units, keys, "left").join(tiles, keys, "left")
+         .join(all_units, ["game_id", "turn"], "left").na.fill(0, ["units", "tiles"]))
+    return j.groupBy("game_id", "civ", "era").agg(
+        (F.sum("units") / F.sum("all_units")).alias("unit_share"),
+        (F.sum("tiles") / F.countDistinct("turn")).alias("avg_tiles_per_turn"))

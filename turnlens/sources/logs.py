@@ -292,3 +292,43 @@ def map_state(spark: SparkSession, root: str, civ_names: DataFrame | None = None
             out = (out.join(names.withColumnRenamed("tag", c), c, "left")
                    .withColumn(c, F.coalesce("name", F.col(c))).drop("name"))
     return out
+
+
+# Positions in the per-civ economy log (fixed values of the log format).
+CIV_ECONOMY_FIELDS = {
+    "city_count": 2, "population": 3, "food": 4, "production": 5, "science": 7, "culture": 8,
+    "faith": 9, "tourism": 10, "golden_age_points": 11, "policies_acquired": 13,
+    "culture_cumsum": 14, "workers": 16, "happiness": 19, "trade_units_active": 23,
+    "city_gold": 25, "gold": 32, "unit_maintenance": 33, "building_maintenance": 34,
+    "improvement_maintenance": 35,
+}
+GOLD_BREAKDOWN_FIELDS = {
+    "city_gold": 25, "trade_route_gold": 26, "city_connection_gold": 28, "diplomacy_gold": 29,
+    "religion_gold": 30, "trait_gold": 31, "total_income": 32, "unit_maintenance": 33,
+    "building_maintenance": 34, "improvement_maintenance": 35, "total_expenses": 36,
+}
+
+
+def _positional_ints(lines: DataFrame, fields: dict) -> tuple[DataFrame, DataFrame]:
+    d = _data_lines(lines).select("game_id", "file", "line_no", "line", _fields().alias("f"))
+    cols = [F.get(F.col("f"), 0).alias("civ"), F.get(F.col("f"), 1).try_cast("int").alias("turn")]
+    # text → double → int truncates toward zero, like the log writer's readers
+    cols += [F.get(F.col("f"), i).try_cast("double").cast("int").alias(n) for n, i in fields.items()]
+    parsed = d.select("game_id", "file", "line_no", "line", *cols)
+    bad = F.col("turn").isNull()
+    for n in fields:
+        bad = bad | F.col(n).isNull()
+    return (parsed.filter(~bad).drop("file", "line_no", "line"),
+            parsed.filter(bad).select("game_id", "file", "line_no", "line"))
+
+
+def civ_economy(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per-civ economy rows (positional, truncating casts); rejects
+    are lines with a missing or non-numeric field."""
+    return _positional_ints(lines, CIV_ECONOMY_FIELDS)
+
+
+def gold_breakdown(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Income and expense columns of the same log (scan it once and
+    project both from it when both are needed)."""
+    return _positional_ints(lines, GOLD_BREAKDOWN_FIELDS)
