@@ -69,3 +69,15 @@ def test_bootstrap_interval_brackets_rate(spark):
     for g in (0, 1):
         assert r[g]["ci_lo"] < r[g]["rate"] < r[g]["ci_hi"]
         assert r[g]["ci_hi"] - r[g]["ci_lo"] < 0.1
+
+
+def test_override_and_lookup(spark):
+    from turnlens.operators import keyed
+    dim = spark.createDataFrame([("Petra", 2), ("Pyramids", 1)], "name string, era int")
+    ov = spark.createDataFrame([("Petra", 3), ("Statue", 4)], "name string, era int")
+    got = {r["name"]: r["era"] for r in keyed.override_dimension(dim, ov, "name", "era").collect()}
+    assert got == {"Petra": 3, "Pyramids": 1, "Statue": 4}
+    facts = spark.createDataFrame([(0,), (1,), (9,)], "store_era int")
+    from turnlens.sources.dims import era_dimension
+    lab = keyed.lookup_label(facts, era_dimension(spark), "store_era", "store_era", "era_name")
+    assert sorted(r["era_name"] for r in lab.collect()) == ["Ancient", "Classical"]

@@ -87,3 +87,20 @@ def join_on_common(left: DataFrame, right: DataFrame, how: str = "inner") -> Dat
     """Join on every column name the two frames share."""
     on = [c for c in left.columns if c in right.columns]
     return left.join(right, on, how)
+
+
+def override_dimension(dim: DataFrame, overrides: DataFrame, key: str, value: str) -> DataFrame:
+    """Apply an override map on top of a dimension: overridden keys take
+    the override value, keys only in the overrides are added."""
+    o = overrides.select(key, F.col(value).alias("__ov"))
+    j = dim.select(key, value).join(o, key, "full")
+    return j.select(key, F.coalesce("__ov", value).alias(value))
+
+
+def lookup_label(df: DataFrame, dim: DataFrame, code: str, dim_code: str, label: str,
+                 drop_unmapped: bool = True) -> DataFrame:
+    """Code → label through a small dimension; unmapped rows are
+    dropped (inner) or kept with a null label (left). Use
+    :func:`turnlens.operators.quality.unknown_keys` to report them (Q02)."""
+    d = broadcast_if_small(dim.select(F.col(dim_code).alias(code), label))
+    return df.join(d, code, "inner" if drop_unmapped else "left")

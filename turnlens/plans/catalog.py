@@ -419,7 +419,7 @@ def copy_normalised_rate(spark, sf):
 
 
 # A11 A33 J24 — two-level trigger stats, amortised by all players
-@query("trigger_two_level_stats", "A11 A33 J24 A28")
+@query("trigger_two_level_stats", "A11 A33 A52 J24 A28")
 def trigger_two_level_stats(spark, sf):
     ev = table(spark, sf, "events")
     n_users = ev.select(F.countDistinct("user_id")).scalar()
@@ -438,7 +438,10 @@ def trigger_two_level_stats(spark, sf):
                     "n_rows",
                     _r(F.col("vsum").cast("double") / n_users).alias("avg_yield"),
                     _r(F.col("vsum").cast("double") / F.col("n_rows")).alias("avg_trigger"),
-                    _r(F.col("n_rows") / n_users).alias("avg_times"))
+                    _r(F.col("n_rows") / n_users).alias("avg_times"),
+                    # Mean amount per firing × mean firings = mean amount
+                    _r((F.col("vsum").cast("double") / F.col("n_rows"))
+                       * (F.col("n_rows") / n_users)).alias("amount_x_times"))
 
 
 # P13 P14 A31 — buckets, labels, flag pivot with defaults

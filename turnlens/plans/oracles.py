@@ -328,7 +328,8 @@ nu AS (SELECT count(DISTINCT user_id) AS n FROM events)
 SELECT l2.event_type, n_players, mean_count, sd_count, mean_of_means, t.n_rows,
   round(CAST(vsum AS DOUBLE) / nu.n, 6) AS avg_yield,
   round(CAST(vsum AS DOUBLE) / t.n_rows, 6) AS avg_trigger,
-  round(t.n_rows / nu.n, 6) AS avg_times
+  round(t.n_rows / nu.n, 6) AS avg_times,
+  round((CAST(vsum AS DOUBLE) / t.n_rows) * (t.n_rows / nu.n), 6) AS amount_x_times
 FROM l2 JOIN t ON l2.event_type = t.event_type CROSS JOIN nu""",
 
     "bucketed_totals": f"""
