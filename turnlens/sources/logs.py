@@ -35,8 +35,9 @@ def _paths(root: str, pattern: str, game_ids: Sequence[str] | None) -> list[str]
 def scan_lines(spark: SparkSession, root: str, pattern: str,
                game_ids: Sequence[str] | None = None) -> DataFrame:
     """(game_id, file, line_no, line) for every file
-    matching ``pattern`` in each game folder. ``game_ids`` restricts the
-    listing to those folders. No matching file → empty typed frame."""
+    matching ``pattern`` in each game folder (F07: game id and file name come
+    from ``_metadata.file_path``). ``game_ids`` restricts the listing to
+    those folders. No matching file → empty typed frame (O03)."""
     paths = _paths(root, pattern, game_ids)
     if game_ids is not None and not paths:
         return spark.createDataFrame([], LINES_SCHEMA)
