@@ -818,5 +818,22 @@ SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey,
        AS DECIMAL(18,2)) AS qty_so_far
 FROM lineitem
 WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity)""",
+    "stripes_map": """
+WITH j AS (SELECT r_name, n_name, c_mktsegment FROM customer
+           JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+per AS (SELECT r_name, n_name,
+          '[' || string_agg(DISTINCT '"' || c_mktsegment || '"', ',' ORDER BY '"' || c_mktsegment || '"')
+          || ']' AS segs FROM j GROUP BY 1, 2)
+SELECT r_name, '{' || string_agg('"' || n_name || '":' || segs, ',' ORDER BY n_name) || '}'
+  AS stripes_json FROM per GROUP BY r_name""",
+
+    "nested_list_export": """
+WITH p AS (SELECT p_type, CAST(floor(p_size / 10) AS INTEGER) AS size_band, p_brand FROM part),
+per AS (SELECT p_type, size_band,
+          '[' || string_agg(DISTINCT '"' || p_brand || '"', ',' ORDER BY '"' || p_brand || '"')
+          || ']' AS items FROM p GROUP BY 1, 2)
+SELECT p_type, '{"' || string_agg(CAST(size_band AS VARCHAR) || '":' || items, ',"'
+                                  ORDER BY size_band) || '}' AS json
+FROM per GROUP BY p_type""",
 }
 
