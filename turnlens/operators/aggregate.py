@@ -11,18 +11,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from turnlens.operators.ordered import global_row_number
+from turnlens.operators.ordered import global_row_number, ordered_scan
 
 
 def group_stats(df: DataFrame, keys: Sequence[str], value: str, digits: int = 6,
                 prefix: str = "") -> DataFrame:
-    """N, mean, sample stddev, median per group."""
+    """N, mean, sample stddev, median per group (the median is
+    the distributed exact quantile, so a hot group is not one buffer)."""
     r = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
-    return df.groupBy(*keys).agg(
+    moments = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias(f"{prefix}n"),
         r(F.avg(value)).alias(f"{prefix}mean"),
-        r(F.stddev_samp(value)).alias(f"{prefix}sd"),
-        r(F.median(value)).alias(f"{prefix}median"))
+        r(F.stddev_samp(value)).alias(f"{prefix}sd"))
+    med = grouped_exact_quantiles(df, keys, value, [0.5], "__med")
+    return moments.join(med, list(keys), "left").select(
+        *moments.columns, r(F.col("__med_0")).alias(f"{prefix}median"))
 
 
 def true_denominator_mean(facts: DataFrame, spine: DataFrame, entity: Sequence[str],
@@ -88,10 +91,9 @@ def exact_quantile(df: DataFrame, value: str, p: float, tiebreak: Sequence[str])
 
 def five_number(df: DataFrame, keys: Sequence[str], value: str, digits: int = 6) -> DataFrame:
     """Min, q1, median, q3, max (continuous quantiles) per group."""
-    q = F.percentile(value, [0.0, 0.25, 0.5, 0.75, 1.0])
     names = ["min", "q1", "median", "q3", "max"]
-    g = df.groupBy(*keys).agg(q.alias("__q"))
-    return g.select(*keys, *[F.round(F.col("__q")[i], digits).alias(f"{value}_{nm}")
+    g = grouped_exact_quantiles(df, keys, value, [0.0, 0.25, 0.5, 0.75, 1.0], "__q")
+    return g.select(*keys, *[F.round(F.col(f"__q_{i}"), digits).alias(f"{value}_{nm}")
                              for i, nm in enumerate(names)])
 
 
@@ -118,3 +120,37 @@ def distinct_ratio(df: DataFrame, keys: Sequence[str], numerator: Column, distin
                    out: str = "per_distinct") -> DataFrame:
     """Total / number of distinct ids."""
     return df.groupBy(*keys).agg((F.sum(numerator) / F.countDistinct(distinct_of)).alias(out))
+
+
+def grouped_exact_quantiles(df: DataFrame, group: Sequence[str], value: str,
+                            probs: Sequence[float], out: str = "q",
+                            n_chunks: int = 4096) -> DataFrame:
+    """Exact continuous quantiles (linear interpolation, like
+    ``percentile`` / ``quantile_cont``) per group, without holding a group in
+    one buffer: (group, value) counts are aggregated map-side, their
+    cumulative counts come from a split ordered scan (chunked by value
+    range), and the rows at ranks floor/ceil(p·(n−1)) are picked with a
+    bounded fan-out (one row per probability). Output: group + one column
+    ``{out}_{i}`` per probability."""
+    group = list(group)
+    d = df.select(*group, value).filter(F.col(value).isNotNull())
+    vc = d.groupBy(*group, value).agg(F.count(F.lit(1)).alias("__c"))
+    lo = d.select(F.min(value)).scalar()
+    hi = d.select(F.max(value)).scalar()
+    span = F.when(hi > lo, hi - lo).otherwise(F.lit(1))
+    chunk = F.floor((F.col(value) - lo) / span * F.lit(n_chunks - 1))
+    cum = ordered_scan(vc, group, [value], chunk, sums={"__cum": F.col("__c")})
+    n = vc.groupBy(*group).agg(F.sum("__c").alias("__n"))
+    targets = n.select(*group, "__n", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)]))
+        .alias("__t"))
+    targets = targets.select(*group, F.col("__t.i").alias("__i"),
+                             (F.col("__t.p") * (F.col("__n") - 1)).alias("__pos"))
+    j = cum.join(targets, group, "inner")
+    picked = j.groupBy(*group, "__i", "__pos").agg(
+        F.min(F.when(F.col("__cum") > F.floor("__pos"), F.col(value))).alias("__lo"),
+        F.min(F.when(F.col("__cum") > F.ceil("__pos"), F.col(value))).alias("__hi"))
+    q = picked.withColumn("__q", F.col("__lo") + (F.col("__hi") - F.col("__lo"))
+                          * (F.col("__pos") - F.floor("__pos")))
+    return q.groupBy(*group).pivot("__i", list(range(len(probs)))).agg(F.first("__q")).select(
+        *group, *[F.col(f"`{i}`").alias(f"{out}_{i}") for i in range(len(probs))])

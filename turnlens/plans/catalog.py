@@ -756,10 +756,11 @@ def milestone_impact(spark, sf):
         (F.sum(F.when(F.col("event_type") == "purchase", v).otherwise(0))
          > F.sum(F.when(F.col("event_type") == "error", v).otherwise(0))).cast("int").alias("win"))
     j = first.join(win, "user_id")
-    return j.groupBy("event_type").agg(
-        _r(F.median("first_day")).alias("median_first_day"),
-        _r(F.avg("win")).alias("win_rate"),
-        F.count(F.lit(1)).alias("n_users"))
+    g = j.groupBy("event_type").agg(_r(F.avg("win")).alias("win_rate"),
+                                    F.count(F.lit(1)).alias("n_users"))
+    med = agg.grouped_exact_quantiles(j, ["event_type"], "first_day", [0.5], "m")
+    return g.join(med, "event_type").select(
+        "event_type", _r(F.col("m_0")).alias("median_first_day"), "win_rate", "n_users")
 
 
 # A69 — five-number summary
