@@ -65,7 +65,7 @@ def root(tmp_path_factory):
            "33,Rome,x,Instant Yield Type: Border Growth,Yield Type: Food,Value: 15\n"
            "34,Rome,x,Instant Yield Type: Border Growth,Yield Type: Food,Value: 5\n")
     _write(r / "G1" / "DifficultyHandicapLog.csv",
-           "Rome,20,VP AI DIFFICULTY BONUS FROM ERA - Received Handicap Bonus: CULTURE (5)SCIENCE (7).\n"
+           "Rome,20,AI DIFFICULTY BONUS FROM ERA - Received Handicap Bonus: CULTURE (5)SCIENCE (7).\n"
            "Rome,21,something unknown\n")
     _write(r / "G1" / "BuilderTaskingYieldLog.csv",
            "Rome,5,Plot Yield Update,YIELD_FOOD,12\nRome,5,Plot Yield Update,YIELD_FOOD,-20\n"

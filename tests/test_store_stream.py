@@ -88,10 +88,10 @@ def test_csv_sink_sized_by_rows(spark, root):
 
 def test_monotone_max_stream_and_mean_of_ratios(spark, root):
     src = f"{root}/src"
-    rows = [("r1", "g1", "vp", 10, 100.0, "2024-01-01 00:00:00"),
-            ("r1", "g1", "vp", 20, 400.0, "2024-01-01 00:10:00"),
-            ("r1", "g1", "vp", 15, 300.0, "2024-01-01 00:05:00"),
-            ("r1", "g2", "vp", 0, 0.0, "2024-01-01 00:20:00")]
+    rows = [("r1", "g1", "base", 10, 100.0, "2024-01-01 00:00:00"),
+            ("r1", "g1", "base", 20, 400.0, "2024-01-01 00:10:00"),
+            ("r1", "g1", "base", 15, 300.0, "2024-01-01 00:05:00"),
+            ("r1", "g2", "base", 0, 0.0, "2024-01-01 00:20:00")]
     df = spark.createDataFrame(rows, "runner string, game string, modpack string, turns int, "
                                      "time_sec double, ts string")
     df = df.withColumn("ts", F.to_timestamp("ts"))

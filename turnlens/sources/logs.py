@@ -244,6 +244,7 @@ def plot_yields(lines: DataFrame) -> DataFrame:
                     F.get(F.col("f"), 3).alias("yield"), F.get(F.col("f"), 4).try_cast("long").alias("amount"))
 
 
+# Field names of the JSON snapshot format (fixed values).
 MAP_STATE_SCHEMA = T.StructType([T.StructField("MapData", T.StructType([
     T.StructField("Civ5PlayerData", T.ArrayType(T.StructType([
         T.StructField("Index", T.LongType()), T.StructField("CivType", T.StringType())]))),
