@@ -75,3 +75,75 @@ def test_spine_running_total_dense_and_bounded(spark):
     # turns 0 and 9 lie outside 1..3 and never enter; key 1 still gets a spine
     assert got == [(1, 1, 0, 0), (1, 2, 3, 3), (1, 3, 0, 3),
                    (2, 1, 1, 1), (2, 2, 0, 1), (2, 3, 0, 1)]
+
+
+event_strategy = st.lists(
+    st.tuples(st.integers(0, 1), st.integers(0, 30),
+              st.sampled_from(["view", "purchase", "click", "signup"]), st.integers(0, 60)),
+    min_size=1, max_size=50)
+
+
+def _events_df(spark, rows):
+    data = [(k, t, i, kind, float(v)) for i, (k, t, kind, v) in enumerate(rows)]
+    return spark.createDataFrame(data, "k long, t long, id long, kind string, v double"), data
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(event_strategy)
+def test_chosen_completed_fold_matches_python(spark, rows):
+    from turnlens.operators.fold import chosen_completed_intervals
+    df, data = _events_df(spark, rows)
+    out = chosen_completed_intervals(
+        df, ["k"], ["t", "id"], F.floor(F.col("t") / 7), F.col("kind").isin("signup", "click"),
+        F.col("kind") == "purchase", "t", F.floor("v").cast("int"))
+    got = {r["id"]: (r["start_turn"], r["duration"], r["grid_at_start"]) for r in out.collect()}
+    expect = {}
+    for k in {d[0] for d in data}:
+        start, grid = 0, None
+        for _, t, i, kind, v in sorted((d for d in data if d[0] == k), key=lambda d: (d[1], d[2])):
+            if kind in ("signup", "click"):
+                start = t
+            elif kind == "purchase":
+                grid = int(v) if grid is None else max(grid, int(v))
+                expect[i] = (start, t - start + 1, grid)
+    assert got == expect
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(event_strategy)
+def test_buffered_groups_match_python(spark, rows):
+    from turnlens.operators.fold import buffered_event_groups
+    df, data = _events_df(spark, rows)
+    out = buffered_event_groups(
+        df, ["k"], ["t", "id"], F.floor(F.col("t") / 5), F.col("kind") == "purchase",
+        F.col("kind") == "view", F.when(F.col("v") >= 30, 2).otherwise(1), ["id"], ["id"])
+    got = sorted((r["event_id"], r["item_id"], r["slot"]) for r in out.collect())
+    expect = []
+    for k in {d[0] for d in data}:
+        buf = []
+        for _, t, i, kind, v in sorted((d for d in data if d[0] == k), key=lambda d: (d[1], d[2])):
+            if kind == "view":
+                buf.append(i)
+            elif kind == "purchase":
+                take = 2 if v >= 30 else 1
+                expect += [(i, b, s + 1) for s, b in enumerate(buf[:take])]
+                buf = []
+    assert got == sorted(expect)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(event_strategy)
+def test_as_of_join_matches_brute_force(spark, rows):
+    df, data = _events_df(spark, rows)
+    left = df.filter(F.col("kind") == "view").select("k", "t", "id")
+    right = df.filter(F.col("kind") == "purchase").select("k", "t", F.col("id").alias("rid"))
+    out = as_of_join(left, right, ["k"], "t", "t", "id", "rid", ["rid"],
+                     chunk_of=lambda c: F.floor(c / 6))
+    got = {r["id"]: r["rid"] for r in out.collect()}
+    expect = {}
+    for k, t, i, kind, _ in data:
+        if kind != "view":
+            continue
+        cands = [(d[1], d[2]) for d in data if d[0] == k and d[3] == "purchase" and d[1] <= t]
+        expect[i] = max(cands)[1] if cands else None
+    assert got == expect

@@ -144,3 +144,28 @@ def test_schema_types_are_explicit():
     t = T.StructType([T.StructField("a", T.LongType())])
     assert store.schema_matches(t, t)
     assert not store.schema_matches(t, T.StructType([T.StructField("a", T.IntegerType())]))
+
+
+def test_streams_latest_state_and_closed_sessions(spark, root):
+    src = f"{root}/events"
+    rows = [(1, "2024-01-01 00:00:00", 7, "view", 1.0, "{}"),
+            (2, "2024-01-01 00:10:00", 7, "click", 2.0, "{}"),
+            (3, "2024-01-01 02:00:00", 7, "purchase", 3.0, "{}"),
+            (4, "2024-01-01 00:05:00", 8, "view", 4.0, "{}"),
+            (5, "2024-01-01 05:00:00", 9, "view", 5.0, "{}")]
+    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, "
+                                     "value double, props string")
+    df = df.withColumn("ts", F.to_timestamp_ntz("ts")).select(
+        "event_id", "ts", "user_id", "event_type", "value", "props")
+    df.write.parquet(src)
+    from turnlens.plans.extra import EVENTS_SCHEMA
+    s = live.file_stream(spark, src, "*.parquet", EVENTS_SCHEMA)
+    latest = live.run_to_table(live.latest_state_stream(s), "t01", "update", ["user_id"])
+    got = {r["user_id"]: (r["latest_event_id"], r["prev_event_id"]) for r in latest.collect()}
+    assert got == {7: (3, 2), 8: (4, None), 9: (5, None)}
+    s2 = live.file_stream(spark, src, "*.parquet", EVENTS_SCHEMA)
+    sess = live.run_to_table(live.session_counts(s2, "user_id", "ts", "value", "30 minutes",
+                                                 "1 hour"), "t02", "append")
+    closed = sorted((r["user_id"], r["n_events"]) for r in sess.collect())
+    # watermark = 05:00 − 1h: sessions ending by 04:00 are closed; user 9's is live
+    assert closed == [(7, 1), (7, 2), (8, 1)]

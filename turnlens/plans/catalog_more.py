@@ -250,3 +250,49 @@ def supplier_running_quantity(spark, sf):
                        sums={"qty_so_far": F.col("l_quantity").cast(MONEY)})
     return out.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey",
                       F.col("n_so_far").cast("bigint"), F.col("qty_so_far").cast("decimal(18,2)"))
+
+
+# M04 — ridge facets: n, mean, median per category, ordered by median
+@query("ridge_facets", "M04")
+def ridge_facets(spark, sf):
+    from turnlens.operators.aggregate import grouped_exact_quantiles
+    ev = table(spark, sf, "events")
+    g = ev.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("value")).alias("mean"))
+    med = grouped_exact_quantiles(ev, ["event_type"], "value", [0.5], "m")
+    j = g.join(med, "event_type").select("event_type", "n", "mean", _r(F.col("m_0")).alias("median"))
+    return j.orderBy(F.col("median").desc(), F.col("event_type"))
+
+
+# A65 — contribution score: share per era (absent = 0), averaged, top-N by score then name
+@query("contribution_score", "A65 J19")
+def contribution_score(spark, sf):
+    from turnlens.operators import share as sh
+    from turnlens.plans.catalog import EVENT_TYPES
+    ev = _events(spark, sf).withColumn("week", F.floor(F.col("day") / 7).cast("int"))
+    g = ev.groupBy("week", "event_type").agg(F.sum(F.col("value").cast(MONEY)).cast("double")
+                                             .alias("v"))
+    s = sh.share_within(g, ["week"], "v", "share")
+    grid = reshape.complete_grid(s, "week", "event_type", EVENT_TYPES, F.first("share"), "share",
+                                 fill=0.0)
+    n_weeks = s.select(F.countDistinct("week")).scalar()
+    score = grid.groupBy("event_type").agg((F.sum("share") / n_weeks).alias("score"))
+    top = rank.top_k_per_group(score.withColumn("__all", F.lit(1)), ["__all"],
+                               [F.col("score").desc(), F.col("event_type")], 3, "rank")
+    return top.select("event_type", _r(F.col("score")).alias("score"),
+                      F.col("rank").cast("bigint"))
+
+
+# A57 — per-runner summary: mean of ratios over games with turns > 0
+@query("runner_summary", "A57 A59")
+def runner_summary(spark, sf):
+    ev = _events(spark, sf)
+    per_game = ev.groupBy("user_id", "day").agg(
+        F.count(F.lit(1)).alias("turns"),
+        ((F.unix_micros(F.max("ts").cast("timestamp"))
+          - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6).alias("time_sec"))
+    per_game = per_game.withColumn("turns", F.col("turns") - 1)
+    return per_game.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("games"),
+        F.sum("turns").alias("total_turns"),
+        _r(F.avg(F.when(F.col("turns") > 0, F.col("time_sec") / F.col("turns"))))
+        .alias("mean_sec_per_turn"))

@@ -835,5 +835,29 @@ per AS (SELECT p_type, size_band,
 SELECT p_type, '{"' || string_agg(CAST(size_band AS VARCHAR) || '":' || items, ',"'
                                   ORDER BY size_band) || '}' AS json
 FROM per GROUP BY p_type""",
+    "ridge_facets": """
+SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean,
+  round(quantile_cont(value, 0.5), 6) AS median FROM events GROUP BY event_type""",
+
+    "contribution_score": """
+WITH e AS (SELECT CAST(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 7) AS INTEGER)
+             AS week, event_type, CAST(value AS DECIMAL(18,2)) AS v FROM events),
+g AS (SELECT week, event_type, CAST(sum(v) AS DOUBLE) AS v FROM e GROUP BY 1, 2),
+s AS (SELECT week, event_type, v / sum(v) OVER (PARTITION BY week) AS share FROM g),
+weeks AS (SELECT DISTINCT week FROM s),
+types AS (SELECT * FROM (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')) t(event_type)),
+grid AS (SELECT w.week, t.event_type, coalesce(s.share, 0.0) AS share FROM weeks w CROSS JOIN types t
+         LEFT JOIN s ON s.week = w.week AND s.event_type = t.event_type),
+sc AS (SELECT event_type, sum(share) / (SELECT count(*) FROM weeks) AS score FROM grid GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY score DESC, event_type) AS "rank" FROM sc)
+SELECT event_type, round(score, 6) AS score, "rank" FROM r WHERE "rank" <= 3""",
+
+    "runner_summary": """
+WITH g AS (SELECT user_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS day,
+             count(*) - 1 AS turns, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS time_sec
+           FROM events GROUP BY 1, 2)
+SELECT user_id, count(*) AS games, CAST(sum(turns) AS BIGINT) AS total_turns,
+  round(avg(CASE WHEN turns > 0 THEN time_sec / turns END), 6) AS mean_sec_per_turn
+FROM g GROUP BY user_id""",
 }
 
