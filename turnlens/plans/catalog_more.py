@@ -296,3 +296,48 @@ def runner_summary(spark, sf):
         F.sum("turns").alias("total_turns"),
         _r(F.avg(F.when(F.col("turns") > 0, F.col("time_sec") / F.col("turns"))))
         .alias("mean_sec_per_turn"))
+
+
+# W10 — first missing tier, last state before it, balanced side split
+@query("first_missing_tier", "W10 J19")
+def first_missing_tier(spark, sf):
+    from turnlens.operators.ordered import dense_spine, global_row_number
+    from turnlens.plans.catalog import SPINE_DAYS
+    ev = _events(spark, sf).filter(F.col("day").between(0, SPINE_DAYS - 1))
+    present = ev.select("user_id", "day").distinct()
+    spine = dense_spine(ev.select("user_id"), 0, SPINE_DAYS - 1, "day")
+    missing = (spine.join(present, ["user_id", "day"], "left_anti")
+               .groupBy("user_id").agg(F.min("day").alias("first_missing")))
+    users = ev.select("user_id").distinct().join(missing, "user_id", "left")
+    users = users.withColumn("first_missing", F.coalesce("first_missing", F.lit(SPINE_DAYS)))
+    before = ev.join(users, "user_id").filter(F.col("day") < F.col("first_missing"))
+    last = before.groupBy("user_id").agg(
+        F.max_by("event_type", F.struct("ts", "event_id")).alias("last_state"))
+    j = users.join(last, "user_id", "left")
+    n = j.select(F.count(F.lit(1))).scalar()
+    ranked = global_row_number(j, [F.col("first_missing"), F.col("user_id")], "pos")
+    return ranked.select("user_id", "first_missing", "last_state",
+                         F.when(F.col("pos") <= F.floor(n / 2), "left").otherwise("right")
+                         .alias("side"))
+
+
+# T06 — repeated ids in an arrival stream (drop form, within the watermark)
+@query("stream_drop_repeats", "T06")
+def stream_drop_repeats(spark, sf):
+    from turnlens.plans.extra import EVENTS_SCHEMA
+    from turnlens.streaming import live
+    s = live.file_stream(spark, sf, "events.parquet", EVENTS_SCHEMA)
+    d = live.drop_repeats(s.select("user_id", "event_type", "ts"), ["user_id", "event_type"],
+                          "1 hour")
+    res = live.run_to_table(d, "repeats", mode="append")
+    return res.select("user_id", "event_type")
+
+
+# T04 — one-shot pulses counted, stored state normalised
+@query("stream_pulse_counts", "T04")
+def stream_pulse_counts(spark, sf):
+    from turnlens.plans.extra import EVENTS_SCHEMA
+    from turnlens.streaming import live
+    s = live.with_event_time(live.file_stream(spark, sf, "events.parquet", EVENTS_SCHEMA), "ts")
+    agg = live.pulse_counts(s, "user_id", "event_type", pulse="signup", normal="view")
+    return live.run_to_table(agg, "pulses", mode="update", keys=["user_id"])

@@ -173,10 +173,13 @@ def belief_stats(choices: DataFrame, cgr: DataFrame) -> DataFrame:
 
 
 def policy_pick_order(choices: DataFrame) -> DataFrame:
-    """Pick order per (game, civ) by turn with file order as the
-    tiebreak (split scan, chunked by turn)."""
-    return ordered_scan(choices, ["game_id", "civ"], ["turn", "file", "line_no"],
-                        F.col("turn"), row_number="pick_order").drop("file", "line_no")
+    """Pick order per (game, civ) by turn; on equal turns the
+    branch row comes before policy rows, then file order (a stable total
+    order). Split scan, chunked by turn."""
+    c = choices.withColumn("__is_policy", ~F.col("item").startswith("Branch"))
+    return ordered_scan(c, ["game_id", "civ"], ["turn", "__is_policy", "file", "line_no"],
+                        F.col("turn"), row_number="pick_order").drop("file", "line_no",
+                                                                      "__is_policy")
 
 
 def branch_counts(branches: DataFrame, n_branches: int = 12) -> DataFrame:

@@ -859,5 +859,36 @@ WITH g AS (SELECT user_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS D
 SELECT user_id, count(*) AS games, CAST(sum(turns) AS BIGINT) AS total_turns,
   round(avg(CASE WHEN turns > 0 THEN time_sec / turns END), 6) AS mean_sec_per_turn
 FROM g GROUP BY user_id""",
+    "first_missing_tier": f"""
+WITH e AS (SELECT *, {_DAY} AS day FROM events),
+e2 AS (SELECT * FROM e WHERE day BETWEEN 0 AND 29),
+present AS (SELECT DISTINCT user_id, day FROM e2),
+u AS (SELECT DISTINCT user_id FROM e2),
+spine AS (SELECT u.user_id, CAST(r.range AS INTEGER) AS day FROM u CROSS JOIN range(0, 30) r),
+miss AS (SELECT s.user_id, min(s.day) AS first_missing FROM spine s
+         LEFT JOIN present p ON s.user_id = p.user_id AND s.day = p.day
+         WHERE p.user_id IS NULL GROUP BY 1),
+users AS (SELECT u.user_id, coalesce(m.first_missing, 30) AS first_missing FROM u
+          LEFT JOIN miss m ON u.user_id = m.user_id),
+last AS (SELECT user_id, event_type AS last_state FROM (
+           SELECT e2.user_id, e2.event_type, row_number() OVER (PARTITION BY e2.user_id
+             ORDER BY e2.ts DESC, e2.event_id DESC) AS rn
+           FROM e2 JOIN users ON e2.user_id = users.user_id
+           WHERE e2.day < users.first_missing) t WHERE rn = 1),
+j AS (SELECT users.*, last.last_state, row_number() OVER (ORDER BY first_missing, users.user_id)
+        AS pos FROM users LEFT JOIN last ON users.user_id = last.user_id)
+SELECT user_id, first_missing, last_state,
+  CASE WHEN pos <= floor((SELECT count(*) FROM users) / 2) THEN 'left' ELSE 'right' END AS side
+FROM j""",
+
+    "stream_drop_repeats": """
+SELECT DISTINCT user_id, event_type FROM events""",
+
+    "stream_pulse_counts": """
+WITH l AS (SELECT user_id, CASE WHEN event_type = 'signup' THEN 'view' ELSE event_type END AS state
+           FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn
+                 FROM events) t WHERE rn = 1)
+SELECT e.user_id, CAST(count_if(event_type = 'signup') AS BIGINT) AS n_pulses, max(l.state) AS state
+FROM events e JOIN l ON e.user_id = l.user_id GROUP BY e.user_id""",
 }
 
