@@ -97,7 +97,7 @@ def civ_turn_era(research: DataFrame, tech_dim: DataFrame, num_partitions: int |
     dim = keyed.broadcast_if_small(tech_dim.select("tech", "gridx", "era"))
     col_size = tech_dim.groupBy("gridx").agg(F.count(F.lit(1)).alias("col_size"))
     r = (research.join(dim, "tech", "left")
-         .join(F.broadcast(col_size), "gridx", "left")
+         .join(keyed.broadcast_if_small(col_size), "gridx", "left")
          .select("game_id", F.col("nation").alias("civ"), "start_turn", "end_turn", "line_no",
                  F.col("gridx").cast("int"), F.col("era").cast("int").alias("tech_era"),
                  F.col("col_size").cast("int")))

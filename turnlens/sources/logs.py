@@ -289,7 +289,8 @@ def map_state(spark: SparkSession, root: str, civ_names: DataFrame | None = None
                        owner(F.col("t.UnitOwner")).alias("unit_owner_civ"),
                        F.col("t.X").cast("int").alias("x"), F.col("t.Y").cast("int").alias("y"))
     if civ_names is not None:
-        names = F.broadcast(civ_names)   # a fixed list of civilisations
+        from turnlens.operators.keyed import broadcast_if_small
+        names = broadcast_if_small(civ_names)   # a list of civilisations, size-checked
         for c in ("owner_civ", "unit_owner_civ"):
             out = (out.join(names.withColumnRenamed("tag", c), c, "left")
                    .withColumn(c, F.coalesce("name", F.col(c))).drop("name"))
