@@ -81,3 +81,15 @@ def test_override_and_lookup(spark):
     from turnlens.sources.dims import era_dimension
     lab = keyed.lookup_label(facts, era_dimension(spark), "store_era", "store_era", "era_name")
     assert sorted(r["era_name"] for r in lab.collect()) == ["Ancient", "Classical"]
+
+
+def test_grid_era_tier_labels(spark):
+    from turnlens.functions.columns import grid_era_tier
+    df = spark.createDataFrame([(g,) for g in (1, 2, 3, 14, 15, 16, 17, 18, 19)], "g int")
+    era, tier, label = grid_era_tier("g")
+    got = [tuple(r) for r in df.select("g", era, tier, label).orderBy("g").collect()]
+    assert got[0] == (1, 1, 1, "Ancient T1") and got[1] == (2, 1, 2, "Ancient T2")
+    assert got[2] == (3, 2, 1, "Classical T1") and got[3] == (14, 7, 2, "Atomic T2")
+    assert [g[3] for g in got[4:8]] == ["Information T1", "Information T2", "Information T3",
+                                        "Future"]
+    assert got[8][1:] == (None, None, None)

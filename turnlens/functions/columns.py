@@ -183,3 +183,22 @@ def bitmask_of(index: str | Column) -> Column:
 def bit_is_set(mask: str | Column, bit: int) -> Column:
     """test one bit of a mask."""
     return col(mask).bitwiseAND(F.lit(1 << bit)) != 0
+
+
+def grid_era_tier(gridx: str | Column) -> tuple[Column, Column, Column]:
+    """Grid column → (era number, tier, label). Two columns per era:
+    era = (g − 1) div 2 + 1, tier = (g − 1) mod 2 + 1; eras 8–9 carry the
+    special labels, others "<era name> T<tier>". Null outside eras 1..9."""
+    from turnlens.sources.dims import ERA_NAMES
+    g = col(gridx).cast("int")
+    era = F.floor((g - 1) / 2).cast("int") + 1
+    tier = F.pmod(g - 1, F.lit(2)) + 1
+    names = F.array(*[F.lit(n) for n in ERA_NAMES])
+    label = (F.when((era == 8) & (tier == 1), F.lit("Information T1"))
+             .when((era == 8) & (tier == 2), F.lit("Information T2"))
+             .when((era == 9) & (tier == 1), F.lit("Information T3"))
+             .when((era == 9) & (tier == 2), F.lit("Future"))
+             .when(era.between(1, 7), F.concat(F.element_at(names, era), F.lit(" T"),
+                                                tier.cast("string"))))
+    ok = era.between(1, 9)
+    return (F.when(ok, era), F.when(ok, tier), F.when(ok, label))
