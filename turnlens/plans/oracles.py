@@ -857,7 +857,7 @@ WITH g AS (SELECT user_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS D
              count(*) - 1 AS turns, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS time_sec
            FROM events GROUP BY 1, 2)
 SELECT user_id, count(*) AS games, CAST(sum(turns) AS BIGINT) AS total_turns,
-  round(avg(CASE WHEN turns > 0 THEN time_sec / turns END), 6) AS mean_sec_per_turn
+  round(avg(CASE WHEN turns > 0 THEN time_sec / turns END), 3) AS mean_sec_per_turn
 FROM g GROUP BY user_id""",
     "first_missing_tier": f"""
 WITH e AS (SELECT *, {_DAY} AS day FROM events),
