@@ -22,13 +22,35 @@ BASE_CONF = {
 }
 
 
+# Settings for a large cluster reading ~100 TB: ~256 MB scan splits and shuffle
+# partitions (AQE coalesces small ones and splits skewed join partitions),
+# Kryo for the few RDD-level closures, and a larger broadcast ceiling for the
+# size-checked dimension joins.
+CLUSTER_CONF = {
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
+}
+
+
+def shuffle_partitions_for(input_bytes: int, target_bytes: int = 256 * 1024 * 1024,
+                           minimum: int = 200, maximum: int = 100_000) -> int:
+    """Initial shuffle partition count so each partition starts near
+    ``target_bytes`` (AQE then coalesces); e.g. 100 TB → 100 000 (the cap)."""
+    n = -(-int(input_bytes) // target_bytes)
+    return max(minimum, min(maximum, n))
+
+
 def get_session(master: str | None = None, app: str = "turnlens",
                 shuffle_partitions: int | None = None,
-                extra: dict | None = None) -> SparkSession:
+                extra: dict | None = None, cluster: bool = False) -> SparkSession:
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    for k, v in BASE_CONF.items():
+    for k, v in {**BASE_CONF, **(CLUSTER_CONF if cluster else {})}.items():
         b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
