@@ -90,6 +90,7 @@ def bucket_label(start: str | Column, width: int) -> Column:
 
 # --- P15 / P16 / P17 ----------------------------------------------------------
 
+# Texts read as "true" by the loose boolean rule (fixed values).
 TRUE_WORDS = ("1", "1.0", "true", "t", "yes", "y")
 
 

@@ -69,6 +69,8 @@ def _fields(line: str | Column = "line") -> Column:
     return split_trim(line, ",")
 
 
+# Victory types as written in the result log and their one-hot column names
+# (fixed values).
 VICTORY_TYPES = ["Cultural", "Diplomatic", "Domination", "Science", "Time"]
 VICTORY_FLAGS = ["culture_victory", "diplomatic_victory", "domination_victory",
                  "science_victory", "time_victory"]
@@ -127,6 +129,7 @@ def city_purchases(lines: DataFrame) -> DataFrame:
                     .alias("cost"))
 
 
+# Fields 3.. of the per-city economy log, in file order (fixed values).
 CITY_ECONOMY_FIELDS = ["population", "food", "production", "science", "gold", "culture", "faith",
                        "tourism", "golden_age_points"]
 
