@@ -91,11 +91,11 @@ def bucket_label(start: str | Column, width: int) -> Column:
 # --- P15 / P16 / P17 ----------------------------------------------------------
 
 # Texts read as "true" by the loose boolean rule (fixed values).
-TRUE_WORDS = ("1", "1.0", "true", "t", "yes", "y")
+TRUE_WORDS = ("1", "1.0", "true", "t")
 
 
 def loose_bool(c: str | Column) -> Column:
-    """1.0 / 1 / 'true' / 'yes' … → 1, anything else → 0."""
+    """1.0 / 1 / "true" / "t" → 1, anything else → 0."""
     return F.lower(F.trim(col(c).cast("string"))).isin(*TRUE_WORDS).cast("int")
 
 
