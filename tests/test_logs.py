@@ -92,7 +92,8 @@ def test_game_results_and_civ_join(spark, root):
     assert rows[("G1", "Egypt")] == (312, 1204, "Science")
     assert rows[("G1", "Rome")] == (312, 810, None)
     assert len(rows) == 5
-    perf = {r["civ"]: (r["games"], r["winrate"]) for r in marts.civ_performance(cgr).collect()}
+    perf = {r["civ"]: (r["count_games"], r["winrate"])
+            for r in marts.civ_performance(cgr).collect()}
     assert perf["Rome"] == (2, 0.5) and perf["Greece"] == (1, 0.0)
     slots = {r["game_id"]: r["slot"] for r in logs.slot_of_winner(lines).collect()}
     assert slots == {"G1": 2, "G2": 1}
@@ -220,3 +221,29 @@ def test_civ_economy_corrected_and_sources(spark, root, tmp_path):
     src = marts.economy_sources(marts.civ_economy_corrected(civ, rt, cte), city, iy,
                                 iy.limit(0)).collect()[0]
     assert src["food_city"] == 30.0 and src["food_instant"] == 15.0   # turn 33 instant food
+
+
+def test_civ_choices_and_map_augmented_performance(spark, root):
+    lines = logs.scan_lines(spark, root, "*GameResult_Log.csv*")
+    cgr = marts.civ_game_result(logs.game_results(lines), logs.civ_scores(lines))
+    pol = logs.scan_lines(spark, root, "PolicyAILog_*.csv")
+    rel = marts.religion_choices(logs.religion_lines(logs.scan_lines(spark, root, "ReligionLog.csv")),
+                                 RELIGION_EVENTS)
+    cc = {(r["game_id"], r["civ"]): r
+          for r in marts.civ_choices(cgr, logs.policy_branches(pol), rel).collect()}
+    rome = cc[("G1", "Rome")]
+    assert rome["pantheon_founded"] == 10 and rome["e1_policy_authority"] == 1
+    assert cc[("G1", "Egypt")]["religion_founded"] == 31
+    assert cc[("G2", "Rome")]["e1_policy_tradition"] is None      # no policy log for G2
+    names = spark.createDataFrame([("CIVILIZATION_ROME", "Rome"), ("CIVILIZATION_EGYPT", "Egypt"),
+                                   ("CIVILIZATION_GREECE", "Greece")], "tag string, name string")
+    deals = logs.vassalage_deals(logs.scan_lines(spark, root, "DiplomacyAI_TradeAgreements_Log_.csv"))
+    own = marts.ownership(logs.map_state(spark, root, names), deals)
+    # pretend G1 ended at turn 200 to see the end-state shares
+    cgr200 = cgr.withColumn("game_end_turn", F.when(F.col("game_id") == "G1", 200)
+                            .otherwise(F.col("game_end_turn")))
+    perf = {r["civ"]: r for r in marts.civ_performance(
+        marts.augment_with_map_metrics(cgr200, own)).collect()}
+    assert perf["Greece"]["avg_tiles_owned_percentage"] == 2 / 3
+    # flags are null on rows the civ did not win, so the mean runs over its wins
+    assert perf["Egypt"]["science_victories"] == 1 and perf["Egypt"]["pct_science_victories"] == 1.0

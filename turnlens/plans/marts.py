@@ -37,18 +37,61 @@ def victory_stats(results: DataFrame) -> DataFrame:
                                                F.stddev_samp("turn").alias("stddev_turn"))
 
 
+def augment_with_map_metrics(cgr: DataFrame, own: DataFrame) -> DataFrame:
+    """Civ results plus the tile and city shares each civ held (as effective
+    owner) at the game's end turn (left join on game, civ, end turn)."""
+    o = own.select("game_id", F.col("effective_owner").alias("civ"),
+                   F.col("turn").alias("game_end_turn"), "tiles_owned_percentage",
+                   "cities_owned_percentage")
+    return cgr.join(o, ["game_id", "civ", "game_end_turn"], "left")
+
+
+VICTORY_NAMES = ["culture", "diplomatic", "domination", "science", "time"]
+
+
 def civ_performance(cgr: DataFrame) -> DataFrame:
     """Per civ: games, win rate (share of games won), wins per type
-    (sum of flags), share of each type over all games, mean score."""
+    (sum of flags), mean of each flag (flags are null on rows the civ did not
+    win, so this mean runs over its wins), mean map shares at game end (when
+    present) and mean score."""
     won = F.col("victory_type").isNotNull()
+    shares = []
+    for c in ("tiles_owned_percentage", "cities_owned_percentage"):
+        if c in cgr.columns:
+            shares.append(F.avg(c).alias(f"avg_{c}"))
     return cgr.groupBy("civ").agg(
-        F.count(F.lit(1)).alias("games"),
+        F.count(F.lit(1)).alias("count_games"),
         F.avg(F.when(won, 1.0).otherwise(0.0)).alias("winrate"),
-        *[F.sum(F.coalesce(f, F.lit(0))).alias(f"{f}_wins") for f in VICTORY_FLAGS],
-        *[F.avg(F.coalesce(f, F.lit(0))).alias(f"{f}_rate") for f in VICTORY_FLAGS],
+        *[F.sum(f).alias(f"{n}_victories") for f, n in zip(VICTORY_FLAGS, VICTORY_NAMES)],
+        *[F.avg(f).alias(f"pct_{n}_victories") for f, n in zip(VICTORY_FLAGS, VICTORY_NAMES)],
+        *shares,
         F.avg("score").alias("avg_score"))
 
 
+# Policy branch numbers → output column names, in branch order (fixed values).
+BRANCH_COLUMNS = ["e1_policy_tradition", "e1_policy_progress", "e1_policy_authority",
+                  "e3_policy_fealty", "e3_policy_statecraft", "e3_policy_artistry",
+                  "e5_policy_industry", "e5_policy_imperialism", "e5_policy_rationalism",
+                  "e7_ideology_freedom", "e7_ideology_order", "e7_ideology_autocracy"]
+
+
+def civ_choices(cgr: DataFrame, branches: DataFrame, choices: DataFrame) -> DataFrame:
+    """J05 + A04 + P07: every civ-game with its religion milestone turns
+    (pantheon, founded, enhanced, reformed; distinct turns) and branch
+    opening counts, as a chain of left joins onto the roster."""
+    pivot = reshape.pivot_count(branches, ["game_id", "civ"], "branch",
+                                list(range(len(BRANCH_COLUMNS))), "__b")
+    pivot = pivot.withColumnsRenamed({f"__b{i}": n for i, n in enumerate(BRANCH_COLUMNS)})
+    out = cgr.select("game_id", "civ")
+    for kind, name in (("pantheon", "pantheon_founded"), ("religion_founded", "religion_founded"),
+                       ("religion_enhanced", "religion_enhanced"),
+                       ("religion_reformed", "religion_reformed")):
+        t = (choices.filter(F.col("type") == kind).select("game_id", "civ", F.col("turn").alias(name))
+             .distinct())
+        out = out.join(t, ["game_id", "civ"], "left")
+    return out.join(pivot, ["game_id", "civ"], "left")
+
+
 def civ_performance_wins_only(cgr: DataFrame) -> DataFrame:
     """Type shares over won games only (null on other rows)."""
     won = F.col("victory_type").isNotNull()
