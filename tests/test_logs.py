@@ -247,3 +247,20 @@ def test_civ_choices_and_map_augmented_performance(spark, root):
     assert perf["Greece"]["avg_tiles_owned_percentage"] == 2 / 3
     # flags are null on rows the civ did not win, so the mean runs over its wins
     assert perf["Egypt"]["science_victories"] == 1 and perf["Egypt"]["pct_science_victories"] == 1.0
+
+
+def test_full_log_etl_runs_and_reuses_cache(spark, root, tech_dim):
+    from turnlens.plans.log_etl import run_log_etl
+    from turnlens.session import scratch_dir
+    base = scratch_dir(spark, "etl")
+    names = spark.createDataFrame([("CIVILIZATION_ROME", "Rome"), ("CIVILIZATION_EGYPT", "Egypt"),
+                                   ("CIVILIZATION_GREECE", "Greece")], "tag string, name string")
+    out = run_log_etl(spark, root, f"{base}/out", f"{base}/cache", tech_dim, names)
+    assert out["game_result"].count() == 2
+    assert out["wonders"].count() == 0                       # no such log: empty, typed
+    assert out["authority_victories"].count() == 1
+    back = spark.read.option("header", True).csv(f"{base}/out/power_ranking")
+    assert back.count() == 3 and "winrate" in back.columns
+    # second run over the same root: nothing is parsed again, same answers
+    out2 = run_log_etl(spark, root, f"{base}/out2", f"{base}/cache", tech_dim, names)
+    assert out2["religion_choices"].count() == out["religion_choices"].count() == 3

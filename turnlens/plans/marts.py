@@ -482,3 +482,38 @@ def units_and_map_by_era(map_state: DataFrame, cte: DataFrame) -> DataFrame:
     return j.groupBy("game_id", "civ", "era").agg(
         (F.sum("units") / F.sum("all_units")).alias("unit_share"),
         (F.sum("tiles") / F.countDistinct("turn")).alias("avg_tiles_per_turn"))
+
+
+def gold_breakdown_by_era(gold: DataFrame, running: DataFrame, cte: DataFrame) -> DataFrame:
+    """Era averages of the gold income/expense columns; city gold is
+    corrected by the instant-gold running total (rt / (turn + 1))."""
+    keys = ["game_id", "civ", "turn"]
+    j = gold.join(running.select(*keys, "rt_gold"), keys, "inner").join(cte, keys, "inner")
+    cols = [c for c in gold.columns if c not in ("game_id", "civ", "turn", "city_gold")]
+    return j.groupBy("era").agg(
+        F.avg(F.col("city_gold") - F.col("rt_gold") / (F.col("turn") + 1)).alias("cities"),
+        *[F.avg(c).alias(c) for c in cols])
+
+
+def branch_stats(branches: DataFrame, results: DataFrame) -> DataFrame:
+    """Branch openings with the game's victory type when the opener
+    won (null otherwise)."""
+    win = results.select("game_id", F.col("victory_civ").alias("civ"), "victory_type")
+    return branches.join(win, ["game_id", "civ"], "left").select(
+        "game_id", "branch", "civ", "turn", "victory_type")
+
+
+def yield_sources_by_turn(civ_corr: DataFrame, city: DataFrame, instant: DataFrame,
+                          handicap: DataFrame) -> DataFrame:
+    """A13 + A14 + J08: per (game, civ, turn) one column per yield × source
+    (city, misc, instant, handicap), sources pre-aggregated (B9)."""
+    keys = ["game_id", "civ", "turn"]
+    j = (civ_corr.join(city_to_civ_turn(city), keys, "left")
+         .join(reasons_to_civ_turn(instant, "iy_"), keys, "left")
+         .join(reasons_to_civ_turn(handicap, "hy_"), keys, "left")).na.fill(0)
+    cols = []
+    for y in CORRECTED_YIELDS:
+        cols += [F.col(f"cities_{y}").alias(f"{y}_city"),
+                 (F.col(y) - F.col(f"cities_{y}")).alias(f"{y}_misc"),
+                 F.col(f"iy_{y}").alias(f"{y}_instant"), F.col(f"hy_{y}").alias(f"{y}_handicap")]
+    return j.select(*keys, "era", *cols)

@@ -55,7 +55,7 @@ class IdScopedCache:
     def _read_manifest(self, id_type: T.DataType) -> DataFrame | None:
         schema = T.StructType([T.StructField(self.id_col, id_type),
                                T.StructField("n_rows", T.LongType()),
-                               T.StructField("columns", T.StringType())])
+                               T.StructField("schema_json", T.StringType())])
         try:
             return self.spark.read.schema(schema).parquet(self.manifest)
         except Exception:  # noqa: BLE001  (first run: no manifest yet)
@@ -71,17 +71,18 @@ class IdScopedCache:
                                                  "left_anti")
         if todo.limit(1).count() > 0:
             parsed = compute(todo)
-            cols = json.dumps(parsed.columns)
             (parsed.withColumn("_bucket", self._bucket()).repartition("_bucket")
              .write.mode("append").partitionBy("_bucket").parquet(self.table))
             counts = parsed.groupBy(self.id_col).agg(F.count(F.lit(1)).alias("n_rows"))
             marks = (todo.join(counts, self.id_col, "left")
                      .select(self.id_col, F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"),
-                             F.lit(cols).alias("columns")))
+                             F.lit(parsed.schema.json()).alias("schema_json")))
             marks.write.mode("append").parquet(self.manifest)
         man = self._read_manifest(id_type)
-        cols = json.loads(man.select(F.max("columns")).first()[0])
-        stored = self.spark.read.parquet(self.table)
+        schema = T.StructType.fromJson(json.loads(man.select(F.max("schema_json")).first()[0]))
+        cols = schema.fieldNames()
+        stored_schema = T.StructType(schema.fields + [T.StructField("_bucket", T.IntegerType())])
+        stored = self.spark.read.schema(stored_schema).parquet(self.table)
         wanted = ids.withColumn("_bucket", self._bucket())
         stored = stored.join(wanted.select("_bucket").distinct(), "_bucket", "left_semi")
         return stored.join(wanted.select(self.id_col), self.id_col, "left_semi").select(*cols)

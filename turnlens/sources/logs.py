@@ -26,10 +26,15 @@ _FILE_FROM_PATH = r".*/([^/]+)$"
 
 
 def _paths(root: str, pattern: str, game_ids: Sequence[str] | None) -> list[str]:
+    """One glob; a set of ids becomes a brace alternative, so folders
+    without a matching file are simply absent from the listing."""
     root = root.rstrip("/")
     if game_ids is None:
         return [f"{root}/*/{pattern}"]
-    return [f"{root}/{g}/{pattern}" for g in sorted(set(game_ids))]
+    ids = sorted(set(game_ids))
+    if not ids:
+        return []
+    return [f"{root}/{{{','.join(ids)}}}/{pattern}"]
 
 
 def scan_lines(spark: SparkSession, root: str, pattern: str,
@@ -39,7 +44,7 @@ def scan_lines(spark: SparkSession, root: str, pattern: str,
     from ``_metadata.file_path``). ``game_ids`` restricts the listing to
     those folders. No matching file → empty typed frame (O03)."""
     paths = _paths(root, pattern, game_ids)
-    if game_ids is not None and not paths:
+    if not paths:
         return spark.createDataFrame([], LINES_SCHEMA)
     try:
         raw = spark.read.text(paths, wholetext=True)
@@ -266,12 +271,15 @@ def map_state(spark: SparkSession, root: str, civ_names: DataFrame | None = None
     turn = N + 1; owner / unit owner resolved through the player table of the
     same snapshot (ids ≥ 8 → ''), then optionally tag → display name."""
     paths = _paths(root, "mapStateLog_Turn*.json*", game_ids)
+    empty = spark.createDataFrame([], "game_id string, owner_civ string, turn int, city_id int, "
+                                      "route_type int, unit string, unit_owner_civ string, "
+                                      "x int, y int")
+    if not paths:
+        return empty
     try:
         raw = spark.read.schema(MAP_STATE_SCHEMA).option("multiLine", True).json(paths)
     except AnalysisException:
-        return spark.createDataFrame([], "game_id string, owner_civ string, turn int, city_id int, "
-                                         "route_type int, unit string, unit_owner_civ string, "
-                                         "x int, y int")
+        return empty
     path = F.regexp_replace(F.col("_metadata.file_path"), r"\\", "/")
     snap = raw.select(F.regexp_extract(path, _GAME_FROM_PATH, 1).alias("game_id"),
                       (F.regexp_extract(path, r"mapStateLog_Turn(\d+)", 1).cast("int") + 1)
