@@ -169,3 +169,39 @@ def test_streams_latest_state_and_closed_sessions(spark, root):
     closed = sorted((r["user_id"], r["n_events"]) for r in sess.collect())
     # watermark = 05:00 − 1h: sessions ending by 04:00 are closed; user 9's is live
     assert closed == [(7, 1), (7, 2), (8, 1)]
+
+
+def _stats_file(spark, uuids, results, extra=False):
+    d = spark.createDataFrame([(i + 1, u) for i, u in enumerate(uuids)], "id int, uuid_hex string")
+    gr = _game_result(spark, results, extra)
+    ws = spark.createDataFrame([(i + 1, (i + 1) * 10, 1.5) for i in range(len(uuids))],
+                               "GameId int, Turn int, Gold double")
+    return {"uuid_dictionary": d, "GameResult": gr, "WorldStateLog": ws}
+
+
+def test_stats_ingest_translates_ids_and_quarantines(spark, root):
+    q = f"{root}/q"
+    contract = {}
+    r1 = store.ingest_stats_file(spark, f"{root}/s", q, "a",
+                                 _stats_file(spark, ["AAAA"], [(1, 200, "Rome", 999, "Domination")]),
+                                 contract)
+    assert {x["status"] for x in r1.collect()} == {"accepted"}
+    gr = spark.read.parquet(f"{root}/s/GameResult").collect()
+    assert [(x["GameId"], x["Civ"]) for x in gr] == [(1, "Rome")]
+    # a second file: one known uuid and one new one → ids 1 and 2, dictionary idempotent
+    store.ingest_stats_file(spark, f"{root}/s", q, "b",
+                            _stats_file(spark, ["BBBB", "AAAA"],
+                                        [(1, 150, "Egypt", 5, None), (2, 210, "Rome", 7, None)]),
+                            contract)
+    d = {x["uuid_hex"]: x["id"] for x in spark.read.parquet(f"{root}/s/uuid_dictionary").collect()}
+    assert d == {"AAAA": 1, "BBBB": 2}
+    games = sorted((x["GameId"], x["Civ"]) for x in spark.read.parquet(f"{root}/s/GameResult").collect())
+    assert games == [(1, "Rome"), (1, "Rome"), (2, "Egypt")]
+    # mismatching schema: nothing of the file is stored
+    contract = {"GameResult": _game_result(spark, []).schema}
+    r3 = store.ingest_stats_file(spark, f"{root}/s", q, "c",
+                                 _stats_file(spark, ["CCCC"], [(1, 1, "X", 1, None, "e")], True),
+                                 contract)
+    assert {x["status"] for x in r3.collect()} == {"quarantined"}
+    assert spark.read.parquet(f"{root}/s/uuid_dictionary").count() == 2
+    assert spark.read.parquet(f"{root}/s/WorldStateLog").count() == 3

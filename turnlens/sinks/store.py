@@ -185,3 +185,49 @@ def splice_segments(lines: DataFrame, name: str, seg: str, line_no: str,
 def contract_of(df: DataFrame, extra: Sequence[tuple[str, T.DataType]] = ()) -> T.StructType:
     """Helper for contracts: a table's schema, optionally with extra fields."""
     return T.StructType(df.schema.fields + [T.StructField(n, t) for n, t in extra])
+
+
+GAME_FK = "GameId"
+UUID_DICTIONARY = "uuid_dictionary"
+
+
+def ingest_stats_file(spark: SparkSession, store: str, quarantine: str, file_name: str,
+                      tables: Mapping[str, DataFrame], contract: Mapping[str, T.StructType]) -> DataFrame:
+    """K08 + K09 + J21 + J25: ingest one per-game stats file into the store.
+
+    ``tables`` holds the file's ``uuid_dictionary`` (id, uuid_hex) and its
+    fact tables keyed by a file-local ``GameId``. All fact schemas are checked
+    first (a table without a contract creates one); any mismatch sends the
+    whole file to ``quarantine/<file>`` and nothing reaches the store.
+    Otherwise the store dictionary gains dense ids for unseen uuids (after
+    the current maximum, uuid order), and every fact row's local GameId is
+    rewritten to the global id through both dictionaries before it is
+    appended. Returns one report row per table. One writer per store."""
+    from turnlens.operators.keyed import mint_ids
+    facts = {t: df for t, df in tables.items() if t != UUID_DICTIONARY}
+    bad = [t for t, df in facts.items() if t in contract and not schema_matches(df.schema, contract[t])]
+    if bad:
+        for t, df in tables.items():
+            df.write.mode("append").parquet(f"{quarantine}/{file_name}/{t}")
+        return spark.createDataFrame([(file_name, t, "quarantined", 0) for t in facts],
+                                     "file string, table_name string, status string, rows long")
+    local = tables[UUID_DICTIONARY].select(F.col("id").alias("__local"), "uuid_hex")
+    dict_path = f"{store}/{UUID_DICTIONARY}"
+    try:
+        current = spark.read.parquet(dict_path).select("uuid_hex", F.col("id").cast("long"))
+    except Exception:  # noqa: BLE001  (empty store)
+        current = spark.createDataFrame([], "uuid_hex string, id long")
+    grown = mint_ids(current, local.select("uuid_hex"), "uuid_hex", "id")
+    new_rows = grown.join(current.select("uuid_hex"), "uuid_hex", "left_anti")
+    new_rows.write.mode("append").parquet(dict_path)
+    g = spark.read.parquet(dict_path).select("uuid_hex", F.col("id").alias("__global"))
+    translate = local.join(g, "uuid_hex").select("__local", "__global")
+    report = []
+    for t, df in facts.items():
+        cols = df.columns
+        out = (df.join(translate, df[GAME_FK] == translate["__local"], "inner")
+               .select(*[F.col("__global").cast(df.schema[GAME_FK].dataType).alias(GAME_FK)
+                         if c == GAME_FK else df[c] for c in cols]))
+        out.write.mode("append").parquet(f"{store}/{t}")
+        report.append((file_name, t, "accepted", df.count()))
+    return spark.createDataFrame(report, "file string, table_name string, status string, rows long")
