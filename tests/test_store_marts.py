@@ -82,3 +82,37 @@ def test_unit_averages_and_game_rollups(spark, cte):
     es = {r["Civ"]: (r["PlotShare"], r["CityShare"])
           for r in sm.end_state_ownership(plots, sm.game_rollup(res)).collect()}
     assert es == {"Rome": (2 / 3, 0.5), "Egypt": (1 / 3, 0.5)}
+
+
+def test_build_store_marts_rebuilds_only_when_stale(spark, cte):
+    from turnlens.session import scratch_dir
+    base = scratch_dir(spark, "marts")
+    store = f"{base}/store"
+    cte.write.parquet(f"{store}/civ_turn_era")
+    spark.createDataFrame([(0, "Granary", 1, "Rome", 1, 2)], "Era int, Building string, GameId int, "
+                          "Civ string, Turn int, Count int").write.parquet(f"{store}/BuildingsOverview")
+    spark.createDataFrame([(0, "Granary", "FOOD", 100, 0)], "Era int, Building string, Yield string, "
+                          "BaseYieldTimes100 long, BonusYieldTimes100 long") \
+        .write.parquet(f"{store}/BuildingYields")
+    spark.createDataFrame([(0, "Granary", "GOLD", 100)], "Era int, Building string, Yield string, "
+                          "YieldTimes100 long").write.parquet(f"{store}/BuildingInstantYields")
+    spark.createDataFrame([(1, 3, 0, "Rome", "God", "Pantheon", "1", "s", "FAITH", 200)],
+                          "GameId int, Turn int, Era int, Civ string, Belief string, "
+                          "BeliefType string, IsReligionOwner string, Source string, Yield string, "
+                          "YieldTimes100 long").write.parquet(f"{store}/ReligionBeliefYields")
+    spark.createDataFrame([(1, 2, "Rome", "Border", "FOOD", 100)], "GameId int, Turn int, Civ string, "
+                          "Type string, Yield string, YieldTimes100 long") \
+        .write.parquet(f"{store}/InstantYields")
+    spark.createDataFrame([(1, 1, "Rome", "Warrior")], "GameId int, Turn int, owner string, "
+                          "unitName string").write.parquet(f"{store}/MapUnitsState")
+    spark.createDataFrame([(1, 120, "Rome", 1, "Science")], "GameId int, Turn int, Civ string, "
+                          "Score int, VictoryType string").write.parquet(f"{store}/GameResult")
+    out = sm.build_store_marts(spark, store, f"{base}/out", "v1")
+    assert out["games"].first()["WinnerCiv"] == "Rome"
+    assert out["religion_by_era"].first()["PerTurnAvg"] == 0.2
+    man = spark.read.parquet(f"{base}/out/_manifest")
+    assert man.count() == 7
+    sm.build_store_marts(spark, store, f"{base}/out", "v1")
+    assert spark.read.parquet(f"{base}/out/_manifest").count() == 7     # all fresh
+    sm.build_store_marts(spark, store, f"{base}/out", "v2")
+    assert spark.read.parquet(f"{base}/out/_manifest").count() == 14

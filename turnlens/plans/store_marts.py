@@ -157,3 +157,35 @@ def end_state_ownership(plots: DataFrame, rollup: DataFrame) -> DataFrame:
             .withColumn("PlotShare", F.col("Plots") / F.col("__tp"))
             .withColumn("CityShare", F.try_divide(F.col("Cities"), F.nullif("__tc", F.lit(0))))
             .drop("__tp", "__tc"))
+
+
+def build_store_marts(spark, store: str, out_root: str, source_version: str,
+                      force: bool = False, bucket_width: int = 10) -> dict[str, DataFrame]:
+    """Entry point of the summary marts: each mart is rebuilt only when the
+    freshness manifest says it is stale (K06 / K07: source version, parameter
+    fingerprint, required columns) and is written as Parquet."""
+    from turnlens.sinks.store import ensure_output
+
+    def t(name):
+        return spark.read.parquet(f"{store.rstrip('/')}/{name}")
+
+    manifest = f"{out_root.rstrip('/')}/_manifest"
+    cte = t("civ_turn_era")
+    builders = {
+        "building_yields_turn_average": (lambda: building_yield_summaries(
+            t("BuildingsOverview"), t("BuildingYields"), t("BuildingInstantYields"))[1], ""),
+        "building_yields_era_totals": (lambda: building_yield_summaries(
+            t("BuildingsOverview"), t("BuildingYields"), t("BuildingInstantYields"))[0], ""),
+        "religion_by_era": (lambda: belief_yield_summary(t("ReligionBeliefYields"), cte), ""),
+        "religion_by_bucket": (lambda: belief_yield_summary(
+            t("ReligionBeliefYields"), cte, by="bucket", width=bucket_width),
+            f"width={bucket_width}"),
+        "instant_yields": (lambda: instant_yield_summary(t("InstantYields"), cte), ""),
+        "units": (lambda: unit_averages(t("MapUnitsState"), cte), ""),
+        "games": (lambda: game_rollup(t("GameResult")), ""),
+    }
+    out = {}
+    for name, (builder, fingerprint) in builders.items():
+        out[name] = ensure_output(spark, manifest, f"{out_root.rstrip('/')}/{name}", name,
+                                  source_version, builder, force=force, fingerprint=fingerprint)
+    return out
