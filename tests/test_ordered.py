@@ -147,3 +147,18 @@ def test_as_of_join_matches_brute_force(spark, rows):
         cands = [(d[1], d[2]) for d in data if d[0] == k and d[3] == "purchase" and d[1] <= t]
         expect[i] = max(cands)[1] if cands else None
     assert got == expect
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 40), st.integers(0, 6), st.booleans()),
+                min_size=1, max_size=80), st.integers(1, 12))
+def test_chunked_level_machine_equals_sequential(spark, rows, width):
+    from turnlens.operators.fold import level_state_machine
+    data = [(k, t, tier, step, i) for i, (k, t, tier, step) in enumerate(rows)]
+    df = spark.createDataFrame(data, "k long, t long, tier int, step boolean, id long")
+    seq = {r["id"]: r["level"] for r in level_state_machine(
+        df, "k", ["t", "id"], "tier", "step", "id", 3, 1, 5).collect()}
+    par = {r["id"]: r["level"] for r in level_state_machine(
+        df, "k", ["t", "id"], "tier", "step", "id", 3, 1, 5,
+        chunk=F.floor(F.col("t") / width)).collect()}
+    assert seq == par

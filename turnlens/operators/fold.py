@@ -70,17 +70,42 @@ def buffered_event_groups(df: DataFrame, keys: Sequence[str], order: Sequence[st
     return j.drop("__take")
 
 
+def _level_step(levels, steps, tier, is_step, k: int, max_level: int | None):
+    """One row applied to arrays of states (vectorised over all states)."""
+    import numpy as np
+    adv = tier > levels
+    steps = steps + (1 if is_step else 0)
+    adv = adv | (steps >= k)
+    if max_level is not None:
+        adv = adv & (levels < max_level)
+    levels = np.where(adv, levels + 1, levels)
+    steps = np.where(adv, 0, steps)
+    if max_level is not None:
+        steps = np.where(levels >= max_level, 0, steps)   # steps are moot at the top
+    return levels, steps
+
+
 def level_state_machine(df: DataFrame, key: str, order: Sequence[str], tier: str,
                         is_step: str, id_col: str, steps_per_level: int = 3,
                         start_level: int = 1, max_level: int | None = None,
+                        chunk: Column | None = None,
                         num_partitions: int | None = None) -> DataFrame:
     """A per-key level that starts at ``start_level``; every row is
     labelled with the level *before* it is applied; then the level rises by
-    one (never more) if the row's tier is above the level, or if it is a step
-    row that completes ``steps_per_level`` steps at the current level.
+    one (never more, never above ``max_level``) if the row's tier is above
+    the level, or if it is a step row that completes ``steps_per_level``
+    steps at the current level. Output: key, id, level.
 
-    Output: key, id, level. One pass over key-sorted partitions.
+    Without ``chunk``: one streaming pass over key-sorted partitions.
+    With ``chunk`` (and ``max_level``) the state space is finite (level ×
+    steps), so the fold runs as a parallel prefix: each (key, chunk) computes
+    its state→state table in its own task, a per-key scan over the chunk
+    tables (one row per chunk) gives each chunk's entry state, and each chunk
+    replays its rows from that state — a hot key spreads over its chunks.
     """
+    if chunk is not None and max_level is not None:
+        return _level_machine_chunked(df, key, order, tier, is_step, id_col, steps_per_level,
+                                      start_level, max_level, chunk, num_partitions)
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kt = df.schema[key].dataType
@@ -92,7 +117,8 @@ def level_state_machine(df: DataFrame, key: str, order: Sequence[str], tier: str
            .repartition(n, key).sortWithinPartitions(key, *order))
 
     def run(batches):
-        cur_key, level, steps = None, start_level, 0
+        import numpy as np
+        cur_key, level, steps = None, np.array([start_level]), np.array([0])
         for pdf in batches:
             ks = pdf[key].to_numpy()
             tiers = pdf[tier].to_numpy()
@@ -100,17 +126,102 @@ def level_state_machine(df: DataFrame, key: str, order: Sequence[str], tier: str
             out = [0] * len(pdf)
             for i in range(len(pdf)):
                 if ks[i] != cur_key:
-                    cur_key, level, steps = ks[i], start_level, 0
-                out[i] = level
-                adv = tiers[i] > level
-                if stp[i]:
-                    steps += 1
-                    if steps >= steps_per_level:
-                        adv = True
-                if adv and (max_level is None or level < max_level):
-                    level += 1
-                    steps = 0
+                    cur_key, level, steps = ks[i], np.array([start_level]), np.array([0])
+                out[i] = int(level[0])
+                level, steps = _level_step(level, steps, tiers[i], bool(stp[i]),
+                                           steps_per_level, max_level)
             yield pd.DataFrame({key: pdf[key], id_col: pdf[id_col],
                                 "level": pd.Series(out, dtype="int32")})
 
     return src.mapInPandas(run, schema)
+
+
+def _level_machine_chunked(df, key, order, tier, is_step, id_col, k, start_level, max_level,
+                           chunk, num_partitions):
+    import numpy as np
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_levels = max_level - start_level + 1
+    n_states = n_levels * k
+    all_levels = np.repeat(np.arange(start_level, max_level + 1), k)
+    all_steps = np.tile(np.arange(k), n_levels)
+    kt, it = df.schema[key].dataType, df.schema[id_col].dataType
+    cols = list(dict.fromkeys([key, *order, tier, is_step, id_col]))
+    rows = df.select(*cols).withColumn("__chunk", chunk)
+    ctype = rows.schema["__chunk"].dataType
+    if isinstance(ctype, T.DateType):
+        rows = rows.withColumn("__chunk", F.unix_date("__chunk"))
+    rows = rows.withColumn("__chunk", F.col("__chunk").cast("long"))
+    by_chunk = rows.repartition(n, key, "__chunk").sortWithinPartitions(key, "__chunk", *order)
+
+    def encode(levels, steps):
+        return (levels - start_level) * k + steps
+
+    # pass 1: each (key, chunk) → its state-to-state table
+    table_schema = T.StructType([T.StructField(key, kt), T.StructField("__chunk", T.LongType()),
+                                 T.StructField("__f", T.ArrayType(T.IntegerType()))])
+
+    def chunk_tables(batches):
+        cur, lv, st = None, None, None
+        out_k, out_c, out_f = [], [], []
+        for pdf in batches:
+            for kk, cc, tt, bb in zip(pdf[key], pdf["__chunk"], pdf[tier], pdf[is_step]):
+                if (kk, cc) != cur:
+                    if cur is not None:
+                        out_k.append(cur[0]); out_c.append(cur[1]); out_f.append(encode(lv, st))
+                    cur, lv, st = (kk, cc), all_levels.copy(), all_steps.copy()
+                lv, st = _level_step(lv, st, tt, bool(bb), k, max_level)
+            if len(out_k) > 1000:
+                yield pd.DataFrame({key: out_k, "__chunk": out_c,
+                                    "__f": [list(map(int, f)) for f in out_f]})
+                out_k, out_c, out_f = [], [], []
+        if cur is not None:
+            out_k.append(cur[0]); out_c.append(cur[1]); out_f.append(encode(lv, st))
+        if out_k:
+            yield pd.DataFrame({key: out_k, "__chunk": out_c,
+                                "__f": [list(map(int, f)) for f in out_f]})
+
+    tables = by_chunk.mapInPandas(chunk_tables, table_schema)
+
+    # pass 2: per key, compose the chunk tables in chunk order → entry states
+    entry_schema = T.StructType([T.StructField(key, kt), T.StructField("__chunk", T.LongType()),
+                                 T.StructField("__entry", T.IntegerType())])
+    s0 = int(encode(np.array([start_level]), np.array([0]))[0])
+
+    def entries(batches):
+        cur, state = None, s0
+        for pdf in batches:
+            ent = []
+            for kk, f in zip(pdf[key], pdf["__f"]):
+                if kk != cur:
+                    cur, state = kk, s0
+                ent.append(state)
+                state = int(f[state])
+            yield pd.DataFrame({key: pdf[key], "__chunk": pdf["__chunk"],
+                                "__entry": pd.Series(ent, dtype="int32")})
+
+    entry = (tables.repartition(n, key).sortWithinPartitions(key, "__chunk")
+             .mapInPandas(entries, entry_schema))
+
+    # pass 3: replay each chunk from its entry state
+    out_schema = T.StructType([T.StructField(key, kt), T.StructField(id_col, it),
+                               T.StructField("level", T.IntegerType())])
+    joined = rows.join(entry, [key, "__chunk"], "inner")
+    replay_src = joined.repartition(n, key, "__chunk").sortWithinPartitions(key, "__chunk", *order)
+
+    def replay(batches):
+        cur, lv, st = None, None, None
+        for pdf in batches:
+            out = []
+            for kk, cc, e, tt, bb in zip(pdf[key], pdf["__chunk"], pdf["__entry"], pdf[tier],
+                                          pdf[is_step]):
+                if (kk, cc) != cur:
+                    cur = (kk, cc)
+                    lv = np.array([start_level + int(e) // k])
+                    st = np.array([int(e) % k])
+                out.append(int(lv[0]))
+                lv, st = _level_step(lv, st, tt, bool(bb), k, max_level)
+            yield pd.DataFrame({key: pdf[key], id_col: pdf[id_col],
+                                "level": pd.Series(out, dtype="int32")})
+
+    return replay_src.mapInPandas(replay, out_schema)

@@ -173,7 +173,7 @@ def state_machine_levels(spark, sf):
     ev = table(spark, sf, "events").withColumn("tier", (F.floor(F.col("value") / 10) + 1).cast("int"))
     ev = ev.withColumn("is_step", F.col("event_type") == "purchase")
     return fold.level_state_machine(ev, "user_id", _EV_ORDER, "tier", "is_step", "event_id",
-                                    steps_per_level=3, max_level=10)
+                                    steps_per_level=3, max_level=10, chunk=_ev_chunk())
 
 
 # W01 — pick order

@@ -890,5 +890,22 @@ WITH l AS (SELECT user_id, CASE WHEN event_type = 'signup' THEN 'view' ELSE even
                  FROM events) t WHERE rn = 1)
 SELECT e.user_id, CAST(count_if(event_type = 'signup') AS BIGINT) AS n_pulses, max(l.state) AS state
 FROM events e JOIN l ON e.user_id = l.user_id GROUP BY e.user_id""",
+    # recursive fold: one row per step, level before the row is applied
+    "state_machine_levels": """
+WITH RECURSIVE e AS (
+  SELECT user_id, event_id, CAST(floor(value / 10) + 1 AS INTEGER) AS tier,
+         CAST(event_type = 'purchase' AS INTEGER) AS stp,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+r AS (
+  SELECT user_id, rn, event_id, 1 AS level, 0 AS steps, tier, stp FROM e WHERE rn = 1
+  UNION ALL
+  SELECT e.user_id, e.rn, e.event_id,
+    CASE WHEN (r.tier > r.level OR r.steps + r.stp >= 3) AND r.level < 10 THEN r.level + 1
+         ELSE r.level END,
+    CASE WHEN ((r.tier > r.level OR r.steps + r.stp >= 3) AND r.level < 10) OR r.level >= 10 THEN 0
+         ELSE r.steps + r.stp END,
+    e.tier, e.stp
+  FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
+SELECT user_id, event_id, CAST(level AS INTEGER) AS level FROM r""",
 }
 
