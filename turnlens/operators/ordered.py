@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 _UNB = W.unboundedPreceding
 _CHUNK = "__chunk"
@@ -24,6 +24,22 @@ def _tmp(kind: str, name: str) -> str:
     return f"__{kind}_{name}"
 
 
+def _sentinel(dtype: T.DataType) -> Column:
+    """A non-null stand-in value of the same type (paired with an is-null
+    flag, so it can never be confused with a real value)."""
+    if isinstance(dtype, T.StringType):
+        return F.lit("")
+    if isinstance(dtype, T.BooleanType):
+        return F.lit(False)
+    if isinstance(dtype, T.DateType):
+        return F.lit("0001-01-01").cast(dtype)
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.lit("0001-01-01 00:00:00").cast(dtype)
+    if isinstance(dtype, T.NumericType):
+        return F.lit(0).cast(dtype)
+    return F.lit(None).cast(dtype)
+
+
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  chunk: Column, *, row_number: str | None = None,
                  sums: Mapping[str, Column] | None = None,
@@ -39,15 +55,26 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
     Plan: one exchange on (keys, chunk) and one local window; the last row
     of every chunk already holds the chunk's totals, so the per-chunk summary
-    is a filter of that window output (no aggregate, the exchange is reused),
-    scanned per key in a window bounded by the number of chunks, and joined
-    back null-safely on (keys, chunk).
+    is a filter of that window output, scanned per key in a window bounded
+    by the number of chunks, and joined back on (keys, chunk). Keys and chunk
+    enter the plan as non-null (value-or-sentinel, is-null flag) pairs, so
+    null keys form their own groups and the join reuses the window's
+    partitioning: only the small summary side moves.
     """
     sums, maxes, lasts = dict(sums or {}), dict(maxes or {}), dict(lasts or {})
     lags, leads = dict(lags or {}), dict(leads or {})
     keys, order = list(keys), list(order)
-    part = keys + [_CHUNK]
     d = df.withColumn(_CHUNK, chunk)
+    surrogate, flags = [], []
+    for i, c in enumerate(keys + [_CHUNK]):
+        v, n = f"__sk{i}", f"__sn{i}"
+        d = d.withColumn(n, F.col(c).isNull()).withColumn(
+            v, F.coalesce(F.col(c), _sentinel(d.schema[c].dataType)))
+        surrogate.append(v)
+        flags.append(n)
+    part = surrogate + flags
+    key_part = surrogate[:-1] + flags[:-1]
+    chunk_order = [F.col(flags[-1]).desc(), F.col(surrogate[-1])]   # null chunk first
     for kind, m in (("s", sums), ("m", maxes), ("l", lasts), ("g", lags), ("d", leads)):
         for name, expr in m.items():
             d = d.withColumn(_tmp(kind, name), expr)
@@ -69,7 +96,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
     # 2. the last row of each chunk is its summary; scan the summaries per key
     summary = loc.filter(F.col("__rn_loc") == F.col("__cnt_loc"))
-    wc = W.partitionBy(*keys).orderBy(_CHUNK)
+    wc = W.partitionBy(*key_part).orderBy(*chunk_order)
     wprev = wc.rowsBetween(_UNB, -1)
     carry_cols = [F.sum("__cnt_loc").over(wprev).alias("__n_c")]
     carry_cols += [F.sum(_tmp("s", n) + "_loc").over(wprev).alias(_tmp("s", n) + "_c") for n in sums]
@@ -79,11 +106,11 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     carry_cols += [F.lag(_tmp("g", n), 1).over(wc).alias(_tmp("g", n) + "_c") for n in lags]
     carry_cols += [F.lead(_tmp("d", n) + "_first", 1).over(wc).alias(_tmp("d", n) + "_c")
                    for n in leads]
-    carry = summary.select(*[F.col(c).alias("__k_" + c) for c in part], *carry_cols)
+    carry = summary.select(*part, *carry_cols)
 
-    # 3. combine; null-safe so rows with null keys or chunks are kept
-    cond = [loc[c].eqNullSafe(carry["__k_" + c]) for c in part]
-    out = loc.join(carry, cond, "inner")
+    # 3. combine on the non-null surrogates (the left side is already
+    #    partitioned by them)
+    out = loc.join(carry, part, "inner")
     final = {}
     if row_number:
         final[row_number] = F.coalesce(F.col("__n_c"), F.lit(0)) + F.col("__rn_loc")
@@ -102,7 +129,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         final[n] = F.when(F.col("__rn_loc") == F.col("__cnt_loc"),
                           F.col(_tmp("d", n) + "_c")).otherwise(F.col(_tmp("d", n) + "_loc"))
     out = out.withColumns(final)
-    return out.select(*[loc[c] for c in df.columns], *[F.col(c) for c in final])
+    return out.select(*df.columns, *final.keys())
 
 
 def global_row_number(df: DataFrame, order: Sequence[Column | str], out: str = "rn",
