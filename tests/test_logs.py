@@ -261,6 +261,14 @@ def test_full_log_etl_runs_and_reuses_cache(spark, root, tech_dim):
     assert out["authority_victories"].count() == 1
     back = spark.read.option("header", True).csv(f"{base}/out/power_ranking")
     assert back.count() == 3 and "winrate" in back.columns
+    rs = {(r["type"], r["belief"]): (r["times_chosen"], r["wins"])
+          for r in out["religion_stats"].collect()}
+    assert rs[("religion_founded", "Belief A")] == (1, 1)       # Egypt won G1
+    assert rs[("pantheon", "God of the Sea")] == (1, 0)
+    bs = out["branch_stats"].collect()
+    assert [(r["branch"], r["victory_type"]) for r in bs] == [(2, None)]
+    iy_src = {(r["reason"], r["yield"]): r for r in out["instant_yield_sources"].collect()}
+    assert iy_src == {}                                          # turns 33-34 have no era rows
     # second run over the same root: nothing is parsed again, same answers
     out2 = run_log_etl(spark, root, f"{base}/out2", f"{base}/cache", tech_dim, names)
     assert out2["religion_choices"].count() == out["religion_choices"].count() == 3

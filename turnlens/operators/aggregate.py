@@ -135,8 +135,8 @@ def grouped_exact_quantiles(df: DataFrame, group: Sequence[str], value: str,
     group = list(group)
     d = df.select(*group, value).filter(F.col(value).isNotNull())
     vc = d.groupBy(*group, value).agg(F.count(F.lit(1)).alias("__c"))
-    lo = d.select(F.min(value)).scalar()
-    hi = d.select(F.max(value)).scalar()
+    rng = d.select(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
+    lo, hi = rng["lo"], rng["hi"]
     span = F.when(hi > lo, hi - lo).otherwise(F.lit(1))
     chunk = F.floor((F.col(value) - lo) / span * F.lit(n_chunks - 1))
     cum = ordered_scan(vc, group, [value], chunk, sums={"__cum": F.col("__c")})

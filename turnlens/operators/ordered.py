@@ -53,13 +53,13 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     lasts: last non-null value so far, current row included. lags/leads:
     value on the previous/next row of the key (null at the ends).
 
-    Plan: one exchange on (keys, chunk) and one local window; the last row
-    of every chunk already holds the chunk's totals, so the per-chunk summary
-    is a filter of that window output, scanned per key in a window bounded
-    by the number of chunks, and joined back on (keys, chunk). Keys and chunk
-    enter the plan as non-null (value-or-sentinel, is-null flag) pairs, so
-    null keys form their own groups and the join reuses the window's
-    partitioning: only the small summary side moves.
+    Plan: all rows are shuffled once, on (keys, chunk), for the local
+    window. The per-chunk summary is a map-side partial aggregate of the same
+    input (only one row per (key, chunk) crosses the network), scanned per
+    key in a window bounded by the number of chunks, and joined back on
+    (keys, chunk). Keys and chunk enter the plan as non-null (value-or-
+    sentinel, is-null flag) pairs, so null keys form their own groups and the
+    join reuses the window's partitioning: only the small summary side moves.
     """
     sums, maxes, lasts = dict(sums or {}), dict(maxes or {}), dict(lasts or {})
     lags, leads = dict(lags or {}), dict(leads or {})
@@ -79,33 +79,40 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         for name, expr in m.items():
             d = d.withColumn(_tmp(kind, name), expr)
 
-    # 1. local scan inside each (key, chunk)
+    # 1. local scan inside each (key, chunk): the only full shuffle
     wl = W.partitionBy(*part).orderBy(*order)
     wrun = wl.rowsBetween(_UNB, 0)
-    wall = W.partitionBy(*part)
-    loc_cols = [F.row_number().over(wl).alias("__rn_loc"),
-                F.count(F.lit(1)).over(wall).alias("__cnt_loc")]
+    loc_cols = [F.row_number().over(wl).alias("__rn_loc")]
     loc_cols += [F.sum(_tmp("s", n)).over(wrun).alias(_tmp("s", n) + "_loc") for n in sums]
     loc_cols += [F.max(_tmp("m", n)).over(wrun).alias(_tmp("m", n) + "_loc") for n in maxes]
     loc_cols += [F.last(_tmp("l", n), ignorenulls=True).over(wrun).alias(_tmp("l", n) + "_loc")
                  for n in lasts]
     loc_cols += [F.lag(_tmp("g", n), 1).over(wl).alias(_tmp("g", n) + "_loc") for n in lags]
     loc_cols += [F.lead(_tmp("d", n), 1).over(wl).alias(_tmp("d", n) + "_loc") for n in leads]
-    loc_cols += [F.first(_tmp("d", n)).over(wrun).alias(_tmp("d", n) + "_first") for n in leads]
+    if leads:
+        loc_cols.append(F.lead(F.lit(True), 1).over(wl).alias("__has_next"))
     loc = d.select("*", *loc_cols)
 
-    # 2. the last row of each chunk is its summary; scan the summaries per key
-    summary = loc.filter(F.col("__rn_loc") == F.col("__cnt_loc"))
+    # 2. one summary row per (key, chunk) by a map-side partial aggregate
+    #    (only summary rows cross the network), scanned per key over chunks
+    okey = F.struct(*[F.col(c) for c in order])
+    aggs = [F.count(F.lit(1)).alias("__n")]
+    aggs += [F.sum(_tmp("s", n)).alias(_tmp("s", n)) for n in sums]
+    aggs += [F.max(_tmp("m", n)).alias(_tmp("m", n)) for n in maxes]
+    aggs += [F.max_by(_tmp("l", n), F.when(F.col(_tmp("l", n)).isNotNull(), okey))
+             .alias(_tmp("l", n)) for n in lasts]
+    aggs += [F.max_by(_tmp("g", n), okey).alias(_tmp("g", n)) for n in lags]
+    aggs += [F.min_by(_tmp("d", n), okey).alias(_tmp("d", n)) for n in leads]
+    summary = d.groupBy(*part).agg(*aggs)
     wc = W.partitionBy(*key_part).orderBy(*chunk_order)
     wprev = wc.rowsBetween(_UNB, -1)
-    carry_cols = [F.sum("__cnt_loc").over(wprev).alias("__n_c")]
-    carry_cols += [F.sum(_tmp("s", n) + "_loc").over(wprev).alias(_tmp("s", n) + "_c") for n in sums]
-    carry_cols += [F.max(_tmp("m", n) + "_loc").over(wprev).alias(_tmp("m", n) + "_c") for n in maxes]
-    carry_cols += [F.last(_tmp("l", n) + "_loc", ignorenulls=True).over(wprev)
-                   .alias(_tmp("l", n) + "_c") for n in lasts]
+    carry_cols = [F.sum("__n").over(wprev).alias("__n_c")]
+    carry_cols += [F.sum(_tmp("s", n)).over(wprev).alias(_tmp("s", n) + "_c") for n in sums]
+    carry_cols += [F.max(_tmp("m", n)).over(wprev).alias(_tmp("m", n) + "_c") for n in maxes]
+    carry_cols += [F.last(_tmp("l", n), ignorenulls=True).over(wprev).alias(_tmp("l", n) + "_c")
+                   for n in lasts]
     carry_cols += [F.lag(_tmp("g", n), 1).over(wc).alias(_tmp("g", n) + "_c") for n in lags]
-    carry_cols += [F.lead(_tmp("d", n) + "_first", 1).over(wc).alias(_tmp("d", n) + "_c")
-                   for n in leads]
+    carry_cols += [F.lead(_tmp("d", n), 1).over(wc).alias(_tmp("d", n) + "_c") for n in leads]
     carry = summary.select(*part, *carry_cols)
 
     # 3. combine on the non-null surrogates (the left side is already
@@ -126,8 +133,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         final[n] = F.when(F.col("__rn_loc") == 1, F.col(_tmp("g", n) + "_c")).otherwise(
             F.col(_tmp("g", n) + "_loc"))
     for n in leads:
-        final[n] = F.when(F.col("__rn_loc") == F.col("__cnt_loc"),
-                          F.col(_tmp("d", n) + "_c")).otherwise(F.col(_tmp("d", n) + "_loc"))
+        final[n] = F.when(F.col("__has_next").isNull(), F.col(_tmp("d", n) + "_c")).otherwise(
+            F.col(_tmp("d", n) + "_loc"))
     out = out.withColumns(final)
     return out.select(*df.columns, *final.keys())
 
