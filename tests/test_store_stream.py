@@ -205,3 +205,21 @@ def test_stats_ingest_translates_ids_and_quarantines(spark, root):
     assert {x["status"] for x in r3.collect()} == {"quarantined"}
     assert spark.read.parquet(f"{root}/s/uuid_dictionary").count() == 2
     assert spark.read.parquet(f"{root}/s/WorldStateLog").count() == 3
+
+
+def test_stream_batches_fill_id_scoped_cache(spark, root):
+    src = f"{root}/games"
+    spark.createDataFrame([("g1", 1, 5.0), ("g1", 2, 6.0), ("g2", 1, 7.0)],
+                          "game_id string, turn int, v double").write.parquet(src)
+    cache = store.IdScopedCache(spark, f"{root}/cache", "per_game", "game_id")
+    schema = spark.read.parquet(src).schema
+
+    def on_batch(batch, batch_id):
+        ids = batch.select("game_id").distinct()
+        cache.get(ids, lambda todo: batch.join(todo, "game_id", "left_semi")
+                  .groupBy("game_id").agg(F.sum("v").alias("total")))
+
+    live.append_new_ids(live.file_stream(spark, src, "*.parquet", schema), on_batch, "t07")
+    got = cache.get(spark.createDataFrame([("g1",), ("g2",)], "game_id string"),
+                    lambda todo: None)
+    assert sorted((r["game_id"], r["total"]) for r in got.collect()) == [("g1", 11.0), ("g2", 7.0)]
