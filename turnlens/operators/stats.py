@@ -178,18 +178,19 @@ def composite_score(df: DataFrame, id_col: str, weights: dict[str, float],
 def iqr_outliers(df: DataFrame, group: str, value: str, id_col: str, show_n: int = 8) -> DataFrame:
     """Per group, IQR fences (q1 − 1.5·IQR, q3 + 1.5·IQR) and the rank of
     |x − median| (ties by id). Returns rows that are outliers or among the
-    ``show_n`` nearest to the median, with ``show`` = outlier and rank ≤ n."""
+    ``show_n`` nearest to the median, with ``show`` = outlier and rank ≤ n.
+    The nearest rows come from a limited ranking (at most n rows per group
+    leave each task); outliers are a filter; the two meet in a join against
+    the n-per-group table, never in a full per-group sort."""
     from turnlens.operators.aggregate import grouped_exact_quantiles
     q = grouped_exact_quantiles(df, [group], value, [0.25, 0.5, 0.75], "__q")
     j = df.join(q, group).withColumn("__dist", F.abs(F.col(value) - F.col("__q_1")))
     iqr = F.col("__q_2") - F.col("__q_0")
     j = j.withColumn("is_outlier", (F.col(value) < F.col("__q_0") - 1.5 * iqr)
-                     | (F.col(value) > F.col("__q_2") + 1.5 * iqr))
+                     | (F.col(value) > F.col("__q_2") + 1.5 * iqr)).drop("__q_0", "__q_1", "__q_2")
     w = W.partitionBy(group).orderBy("__dist", id_col)
-    near = (j.withColumn("near_rank", F.row_number().over(w))
-            .filter(F.col("near_rank") <= show_n)
-            .select(id_col, "near_rank"))
-    cand = j.filter("is_outlier").select(id_col).unionByName(near.select(id_col)).distinct()
-    out = (j.join(cand, id_col, "left_semi").join(near, id_col, "left")
-           .withColumn("show", F.col("is_outlier") & F.col("near_rank").isNotNull()))
-    return out.drop("__q_0", "__q_1", "__q_2", "__dist")
+    near = j.withColumn("near_rank", F.row_number().over(w)).filter(F.col("near_rank") <= show_n)
+    outliers = j.filter("is_outlier").join(near.select(id_col, "near_rank"), id_col, "left")
+    out = near.filter(~F.col("is_outlier")).unionByName(outliers)
+    return (out.withColumn("show", F.col("is_outlier") & F.col("near_rank").isNotNull())
+            .drop("__dist"))
