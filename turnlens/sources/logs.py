@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.errors import AnalysisException
 
 from turnlens.functions.columns import contains_any, split_trim
 
@@ -25,16 +24,33 @@ _GAME_FROM_PATH = r".*/([^/]+)/[^/]+$"
 _FILE_FROM_PATH = r".*/([^/]+)$"
 
 
+IDS_PER_GLOB = 256   # brace alternatives per glob when a scan is restricted to ids
+
+
 def _paths(root: str, pattern: str, game_ids: Sequence[str] | None) -> list[str]:
-    """One glob; a set of ids becomes a brace alternative, so folders
-    without a matching file are simply absent from the listing."""
+    """Globs; a set of ids becomes brace alternatives (in groups, so no
+    single glob grows with the number of games)."""
     root = root.rstrip("/")
     if game_ids is None:
         return [f"{root}/*/{pattern}"]
     ids = sorted(set(game_ids))
-    if not ids:
-        return []
-    return [f"{root}/{{{','.join(ids)}}}/{pattern}"]
+    return [f"{root}/{{{','.join(ids[i:i + IDS_PER_GLOB])}}}/{pattern}"
+            for i in range(0, len(ids), IDS_PER_GLOB)]
+
+
+def _matching(spark: SparkSession, globs: list[str]) -> list[str]:
+    """Keep only globs that match at least one file (the reader fails on a
+    glob with no match); the check lists through Hadoop's file system, as
+    the reader itself would."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    keep = []
+    for g in globs:
+        path = jvm.org.apache.hadoop.fs.Path(g)
+        found = path.getFileSystem(conf).globStatus(path)
+        if found is not None and len(found) > 0:
+            keep.append(g)
+    return keep
 
 
 def scan_lines(spark: SparkSession, root: str, pattern: str,
@@ -43,15 +59,10 @@ def scan_lines(spark: SparkSession, root: str, pattern: str,
     matching ``pattern`` in each game folder (F07: game id and file name come
     from ``_metadata.file_path``). ``game_ids`` restricts the listing to
     those folders. No matching file → empty typed frame (O03)."""
-    paths = _paths(root, pattern, game_ids)
+    paths = _matching(spark, _paths(root, pattern, game_ids))
     if not paths:
         return spark.createDataFrame([], LINES_SCHEMA)
-    try:
-        raw = spark.read.text(paths, wholetext=True)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
-            return spark.createDataFrame([], LINES_SCHEMA)
-        raise
+    raw = spark.read.text(paths, wholetext=True)
     path = F.regexp_replace(F.col("_metadata.file_path"), r"\\", "/")
     files = raw.select(F.regexp_extract(path, _GAME_FROM_PATH, 1).alias("game_id"),
                        F.regexp_extract(path, _FILE_FROM_PATH, 1).alias("file"),
@@ -270,16 +281,13 @@ def map_state(spark: SparkSession, root: str, civ_names: DataFrame | None = None
     """One row per tile of every ``mapStateLog_Turn<N>.json`` snapshot;
     turn = N + 1; owner / unit owner resolved through the player table of the
     same snapshot (ids ≥ 8 → ''), then optionally tag → display name."""
-    paths = _paths(root, "mapStateLog_Turn*.json*", game_ids)
+    paths = _matching(spark, _paths(root, "mapStateLog_Turn*.json*", game_ids))
     empty = spark.createDataFrame([], "game_id string, owner_civ string, turn int, city_id int, "
                                       "route_type int, unit string, unit_owner_civ string, "
                                       "x int, y int")
     if not paths:
         return empty
-    try:
-        raw = spark.read.schema(MAP_STATE_SCHEMA).option("multiLine", True).json(paths)
-    except AnalysisException:
-        return empty
+    raw = spark.read.schema(MAP_STATE_SCHEMA).option("multiLine", True).json(paths)
     path = F.regexp_replace(F.col("_metadata.file_path"), r"\\", "/")
     snap = raw.select(F.regexp_extract(path, _GAME_FROM_PATH, 1).alias("game_id"),
                       (F.regexp_extract(path, r"mapStateLog_Turn(\d+)", 1).cast("int") + 1)
