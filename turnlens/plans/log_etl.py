@@ -42,8 +42,10 @@ def run_log_etl(spark: SparkSession, log_root: str, out_root: str, cache_root: s
         cache = IdScopedCache(spark, cache_root, name, "game_id")
 
         def compute(todo: DataFrame) -> DataFrame:
-            wanted = [r["game_id"] for r in todo.collect()]   # ids, not rows
-            return parse(wanted)
+            if cache.first_run:           # nothing stored yet: one glob over all games
+                return parse(None)
+            # later runs: only the new games' folders are listed (ids, not rows)
+            return parse([r["game_id"] for r in todo.collect()])
         return cache.get(ids, compute)
 
     def lines(family, wanted):

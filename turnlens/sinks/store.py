@@ -67,6 +67,7 @@ class IdScopedCache:
         id_type = ids.schema[self.id_col].dataType
         ids = ids.select(self.id_col).distinct()
         done = self._read_manifest(id_type)
+        self.first_run = done is None      # callers may then scan everything at once
         todo = ids if done is None else ids.join(done.select(self.id_col), self.id_col,
                                                  "left_anti")
         if todo.limit(1).count() > 0:
