@@ -43,3 +43,28 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() > 0
     assert "win_rate" in df.columns
+
+
+PLAN_SKIP = {"incremental_cache", "schema_contract", "stream_timeout_sessions",
+             "stream_latest_state", "stream_monotone_max", "stream_drop_repeats",
+             "stream_pulse_counts", "pca_loadings", "gbt_group_winner"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - PLAN_SKIP))
+def test_plans_have_no_cross_products(spark, sf_small, name):
+    plan = QUERIES[name](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+    assert "BroadcastNestedLoopJoin" not in plan
+
+
+def test_split_scan_shuffles_rows_once(spark, sf_small):
+    df = QUERIES["locf_state"](spark, sf_small)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # two exchanges on (keys, chunk): the rows for the local window, and the
+    # map-side partial aggregates (one row per chunk per task); the summary is
+    # aggregated before its shuffle
+    row_exchanges = [ln for ln in final.splitlines()
+                     if "Exchange hashpartitioning" in ln and "__sk1" in ln]
+    summary_inputs = [ln for ln in final.splitlines() if "partial_max_by" in ln]
+    assert len(row_exchanges) == 2 and len(summary_inputs) == 1
