@@ -162,3 +162,38 @@ def test_chunked_level_machine_equals_sequential(spark, rows, width):
         df, "k", ["t", "id"], "tier", "step", "id", 3, 1, 5,
         chunk=F.floor(F.col("t") / width)).collect()}
     assert seq == par
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(-2, 12), st.integers(-5, 20)),
+                min_size=1, max_size=40))
+def test_spine_running_total_matches_python(spark, rows):
+    facts = spark.createDataFrame(rows, "k long, turn int, v long")
+    out = spine_running_total(facts, ["k"], "turn", "v", 1, 10, "val", "rt")
+    got = {(r["k"], r["turn"]): (r["val"], r["rt"]) for r in out.collect()}
+    expect = {}
+    for k in {r[0] for r in rows}:
+        total = 0
+        for t in range(1, 11):
+            day = sum(v for kk, tt, v in rows if kk == k and tt == t)
+            total += day
+            expect[(k, t)] = (day, total)
+    assert got == expect
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 15), st.integers(0, 4)),
+                min_size=1, max_size=30))
+def test_interval_explode_and_spine_dedupe(spark, rows):
+    from turnlens.operators.ordered import explode_interval, last_per_spine_key
+    data = [(k, s, s + d, i % 3) for i, (k, s, d) in enumerate(rows)]
+    df = spark.createDataFrame(data, "k long, s int, e int, era int")
+    ex = explode_interval(df, "s", "e", "turn")
+    assert ex.count() == sum(e - s + 1 for _, s, e, _ in data)
+    dedup = {(r["k"], r["turn"]): r["era"]
+             for r in last_per_spine_key(ex, ["k", "turn"], "era").collect()}
+    expect = {}
+    for k, s, e, era in data:
+        for t in range(s, e + 1):
+            expect[(k, t)] = max(expect.get((k, t), era), era)
+    assert dedup == expect
