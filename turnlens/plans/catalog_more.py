@@ -342,3 +342,16 @@ def stream_pulse_counts(spark, sf):
     s = live.with_event_time(live.file_stream(spark, sf, "events.parquet", EVENTS_SCHEMA), "ts")
     agg = live.pulse_counts(s, "user_id", "event_type", pulse="signup", normal="view")
     return live.run_to_table(agg, "pulses", mode="update", keys=["user_id"])
+
+
+# T02 — keys silent longer than a timeout expire (event-time timers)
+@query("stream_expired_keys", "T02")
+def stream_expired_keys(spark, sf):
+    from turnlens.plans.extra import EVENTS_SCHEMA
+    from turnlens.streaming import live
+    s = live.file_stream(spark, sf, "events.parquet", EVENTS_SCHEMA)
+    expired = live.expire_silent_keys(s, "user_id", "ts", 6 * 3600, "1 hour")
+    res = live.run_to_table(expired, "expired", mode="append")
+    return res.select(F.col("key").alias("user_id"),
+                      F.date_format(F.timestamp_micros("last_seen_us"),
+                                    "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_seen"))

@@ -907,5 +907,11 @@ r AS (
     e.tier, e.stp
   FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
 SELECT user_id, event_id, CAST(level AS INTEGER) AS level FROM r""",
+    # one micro-batch: a key expires when its last event + 6 h is before the
+    # final watermark (max event time − 1 h)
+    "stream_expired_keys": """
+SELECT user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_seen FROM events
+GROUP BY user_id
+HAVING max(ts) + INTERVAL 6 HOUR < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
 }
 

@@ -171,3 +171,39 @@ def append_new_ids(stream: DataFrame, on_batch: Callable[[DataFrame, int], None]
     q = (stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+# --- T02: expire keys silent for longer than a timeout ------------------------
+
+EXPIRED_SCHEMA = T.StructType([T.StructField("key", T.LongType()),
+                               T.StructField("last_seen_us", T.LongType())])
+_SEEN_STATE = T.StructType([T.StructField("last_us", T.LongType())])
+
+
+def expire_silent_keys(stream: DataFrame, key: str, ts: str, timeout_sec: int,
+                       watermark: str) -> DataFrame:
+    """Arbitrary state per key holding the last event time; an
+    event-time timer at last + timeout fires once the watermark passes it,
+    emitting (key, last_seen) and dropping the key's state. Append mode."""
+    timeout_ms = int(timeout_sec) * 1000
+
+    def on_key(k, pdfs, state: GroupState):
+        if state.hasTimedOut:
+            (last,) = state.get
+            state.remove()
+            yield pd.DataFrame({"key": [int(k[0])], "last_seen_us": [int(last)]})
+            return
+        last = state.get[0] if state.exists else None
+        for pdf in pdfs:
+            m = int(pdf["__us"].max())
+            last = m if last is None else max(last, m)
+        state.update((last,))
+        state.setTimeoutTimestamp(last // 1000 + timeout_ms)
+        yield pd.DataFrame({"key": pd.Series([], dtype="int64"),
+                            "last_seen_us": pd.Series([], dtype="int64")})
+
+    s = (with_event_time(stream, ts).withWatermark("event_time", watermark)
+         .select(F.col(key).cast("long").alias(key), "event_time",
+                 F.unix_micros("event_time").alias("__us")))
+    return s.groupBy(key).applyInPandasWithState(
+        on_key, EXPIRED_SCHEMA, _SEEN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
