@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from turnlens.plans import store_marts as sm
 
 
@@ -116,3 +118,32 @@ def test_build_store_marts_rebuilds_only_when_stale(spark, cte):
     assert spark.read.parquet(f"{base}/out/_manifest").count() == 7     # all fresh
     sm.build_store_marts(spark, store, f"{base}/out", "v2")
     assert spark.read.parquet(f"{base}/out/_manifest").count() == 14
+
+
+def test_wonder_builds_branches_and_rates(spark):
+    ov = spark.createDataFrame(
+        [(1, "Rome", 1, 0, "Palace", 1), (1, "Rome", 30, 1, "Petra", 1),
+         (1, "Egypt", 30, 1, "Petra", 1), (1, "Egypt", 50, 2, "Colosseum", 1),
+         (2, "Rome", 310, 3, "Petra", 1)],                      # game 2 starts logging late
+        "GameId int, Civ string, Turn int, Era int, Building string, Count int")
+    wonders = spark.createDataFrame([("Petra",), ("Colosseum",)], "Building string")
+    valid = spark.createDataFrame([(1,), (2,)], "GameId int")
+    b = sorted((r["GameId"], r["Civ"], r["Building"], r["Turn"])
+               for r in sm.wonder_builds(ov, wonders, valid).collect())
+    assert b == [(1, "Egypt", "Colosseum", 50), (1, "Egypt", "Petra", 30)]   # tie → civ name
+    res = spark.createDataFrame([(1, 100, "Rome", 1, ""), (1, 100, "Egypt", 1, "Science")],
+                                "GameId int, Turn int, Civ string, Score int, VictoryType string")
+    choices = spark.createDataFrame([("1", "Egypt", "LIBERTY"), ("1", "Egypt", "TRADITION"),
+                                     ("1", "Egypt", "POLICY_X")],
+                                    "game_id string, civ string, item string")
+    choices = choices.withColumn("game_id", F.col("game_id").cast("int"))
+    gcb = {r["Civ"]: r["branches"] for r in sm.game_civ_branches(
+        res, choices, ["TRADITION", "LIBERTY", "HONOR"], valid).collect()}
+    assert gcb == {"Egypt": "TRADITION|LIBERTY", "Rome": ""}
+    era = spark.createDataFrame([("Petra", "Classical"), ("Colosseum", "Classical")],
+                                "Building string, Era string")
+    gc = sm.game_civ_branches(res, choices, ["TRADITION", "LIBERTY", "HONOR"], valid)
+    builds = sm.wonder_builds(ov, wonders, valid)
+    r = {(x["Civ"], x["Era"]): x["per_game"] for x in sm.wonder_rates(builds, gc, era).collect()}
+    assert r == {("Egypt", "Classical"): 2.0}
+    assert sm.wonder_rates(builds, gc, era, cohort=["HONOR"]).count() == 0

@@ -189,3 +189,57 @@ def build_store_marts(spark, store: str, out_root: str, source_version: str,
         out[name] = ensure_output(spark, manifest, f"{out_root.rstrip('/')}/{name}", name,
                                   source_version, builder, force=force, fingerprint=fingerprint)
     return out
+
+
+# --- wonders (W04, Q03, P11, A39, O05, P29, A54) -------------------------------
+
+def wonder_builds(overview: DataFrame, wonders: DataFrame, valid_games: DataFrame,
+                  max_log_start: int = 2) -> DataFrame:
+    """W04 + Q03 + P11: the builder of each world wonder per game is its first
+    owner (earliest turn, then civ name); games whose building log starts
+    after ``max_log_start`` (left-censored) or that are not valid are dropped
+    whole. ``wonders``: one column ``Building``; ``valid_games``: ``GameId``."""
+    start = overview.groupBy("GameId").agg(F.min("Turn").alias("FirstLoggedTurn"))
+    w = overview.join(keyed.broadcast_if_small(wonders.select("Building").distinct()),
+                      "Building", "left_semi")
+    first = w.groupBy("GameId", "Civ", "Building").agg(F.min("Turn").alias("Turn"))
+    builder = first.groupBy("GameId", "Building").agg(
+        F.min(F.struct("Turn", "Civ")).alias("__b"))
+    out = builder.select("GameId", F.col("__b.Civ").alias("Civ"), "Building",
+                         F.col("__b.Turn").alias("Turn")).join(start, "GameId")
+    out = out.filter(F.col("FirstLoggedTurn") <= max_log_start)
+    return out.join(valid_games.select("GameId").distinct(), "GameId", "left_semi")
+
+
+def game_civ_branches(results: DataFrame, choices: DataFrame, branch_order: list[str],
+                      games: DataFrame, sep: str = "|") -> DataFrame:
+    """A39 + O05: every (game, civ) of the kept games with the branches it
+    opened, packed in the fixed branch order (not pick order); '' if none."""
+    pairs = (results.select("GameId", "Civ").distinct()
+             .join(games.select("GameId").distinct(), "GameId", "left_semi"))
+    order = F.array(*[F.lit(b) for b in branch_order])
+    opens = (choices.filter(F.col("item").isin(*branch_order))
+             .select(F.col("game_id").alias("GameId"), F.col("civ").alias("Civ"), "item")
+             .distinct().withColumn("__pos", F.array_position(order, F.col("item"))))
+    packed = opens.groupBy("GameId", "Civ").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__pos", "item"))),
+                                 lambda s: s["item"]), sep).alias("branches"))
+    return pairs.join(packed, ["GameId", "Civ"], "left").na.fill("", ["branches"])
+
+
+def wonder_rates(builds: DataFrame, game_civs: DataFrame, wonder_era: DataFrame,
+                 cohort: list[str] | None = None, sep: str = "|") -> DataFrame:
+    """P29 + A54: wonders per game played, per (civ, era), over the civ-games
+    of a cohort (civ-games that opened any of ``cohort`` branches; empty or
+    None = all). The denominator is every cohort game the civ played, built
+    or not."""
+    gc = game_civs
+    if cohort:
+        import re
+        gc = gc.filter(F.arrays_overlap(F.split("branches", re.escape(sep)),
+                                        F.array(*[F.lit(b) for b in cohort])))
+    played = gc.groupBy("Civ").agg(F.count(F.lit(1)).alias("games"))
+    b = (builds.join(gc.select("GameId", "Civ"), ["GameId", "Civ"], "left_semi")
+         .join(keyed.broadcast_if_small(wonder_era.select("Building", "Era")), "Building", "inner"))
+    per = b.groupBy("Civ", "Era").agg(F.count(F.lit(1)).alias("built"))
+    return per.join(played, "Civ").withColumn("per_game", F.col("built") / F.col("games"))
