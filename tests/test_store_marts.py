@@ -147,3 +147,34 @@ def test_wonder_builds_branches_and_rates(spark):
     r = {(x["Civ"], x["Era"]): x["per_game"] for x in sm.wonder_rates(builds, gc, era).collect()}
     assert r == {("Egypt", "Classical"): 2.0}
     assert sm.wonder_rates(builds, gc, era, cohort=["HONOR"]).count() == 0
+
+
+def test_religion_and_policy_performance(spark):
+    choices = spark.createDataFrame(
+        [("g1", "Rome", "pantheon", 10, "God", "Pantheon"),
+         ("g1", "Egypt", "religion_founded", 30, "Tithe", "Founder"),
+         ("g1", "Egypt", "religion_founded", 30, "Pagodas", "Follower"),
+         ("g1", "Rome", "religion_enhanced", 60, "Pagodas", "FOLLOWER"),
+         ("g2", "Rome", "pantheon", 20, "God", "Pantheon"),
+         ("g2", "Rome", "religion_founded", 40, "Odd", "Mystery")],
+        "game_id string, civ string, type string, turn int, belief string, belief_type string")
+    results = spark.createDataFrame([("g1", "Science", "Egypt"), ("g2", None, None)],
+                                    "game_id string, victory_type string, victory_civ string")
+    pp = {(r["section"], r["belief"]): (r["chosen_count"], r["wins"], r["losses"], r["avg_turn"])
+          for r in sm.religion_pick_performance(choices, results).collect()}
+    assert pp == {("pantheon", "God"): (2, 0, 2, 15.0), ("founder", "Tithe"): (1, 1, 0, 30.0),
+                  ("follower_found", "Pagodas"): (1, 1, 0, 30.0),
+                  ("follower_enhance", "Pagodas"): (1, 0, 1, 60.0)}
+    mom = {r["event_type"]: (r["mean"], r["median"], r["n"])
+           for r in sm.attainment_moments(choices).collect()}
+    assert mom["Pantheon"] == (15.0, 15.0, 2) and mom["Religion Founded"] == (35.0, 35.0, 2)
+    kde = sm.attainment_kde(choices, n_grid=61)
+    assert {r["event_type"] for r in kde.select("event_type").distinct().collect()} == \
+        {"Pantheon", "Religion Founded"}                # enhanced has one sample: skipped
+    pol = spark.createDataFrame([("g1", "Egypt", "TRADITION"), ("g1", "Rome", "HONOR"),
+                                 ("g3", "Rome", "HONOR"), ("g1", "Egypt", "POLICY_X")],
+                                "game_id string, civ string, item string")
+    opens, wins = sm.policy_opens_and_wins(pol, results, ["TRADITION", "HONOR"])
+    assert sorted(tuple(r) for r in opens.collect()) == [("Egypt", "TRADITION", 1),
+                                                        ("Rome", "HONOR", 1)]
+    assert [tuple(r) for r in wins.collect()] == [("TRADITION", "Science", 1)]

@@ -243,3 +243,91 @@ def wonder_rates(builds: DataFrame, game_civs: DataFrame, wonder_era: DataFrame,
          .join(keyed.broadcast_if_small(wonder_era.select("Building", "Era")), "Building", "inner"))
     per = b.groupBy("Civ", "Era").agg(F.count(F.lit(1)).alias("built"))
     return per.join(played, "Civ").withColumn("per_game", F.col("built") / F.col("games"))
+
+
+# --- religion and policy performance (A36, A37, P18, M01, A38) -----------------
+
+# Milestone types and their labels; report section per belief category;
+# follower picks split by the moment they were offered; victory types shown
+# in the policy report (fixed values).
+ATTAINMENT_EVENTS = [("pantheon", "Pantheon"), ("religion_founded", "Religion Founded"),
+                     ("religion_enhanced", "Religion Enhanced"),
+                     ("religion_reformed", "Religion Reformed")]
+SECTION_BY_CATEGORY = {"PANTHEON": "pantheon", "REFORMATION": "reformation",
+                       "FOUNDER": "founder", "ENHANCER": "enhancer"}
+FOLLOWER_SECTION_BY_TYPE = {"religion_founded": "follower_found",
+                            "religion_enhanced": "follower_enhance"}
+SHOWN_VICTORY_TYPES = ["Cultural", "Science", "Domination", "Diplomatic"]
+
+
+def attainment_samples(choices: DataFrame) -> DataFrame:
+    """One turn per (game, civ, milestone): a founding's two belief rows
+    collapse to one attainment."""
+    return choices.select("game_id", "civ", "type", "turn").distinct().select("type", "turn")
+
+
+def _event_label(c):
+    from turnlens.functions.columns import recode
+    return recode(c, dict(ATTAINMENT_EVENTS))
+
+
+def attainment_kde(choices: DataFrame, n_grid: int = 300) -> DataFrame:
+    """Gaussian KDE of attainment turns per milestone on a shared grid
+    0..max turn (Scott bandwidth; milestones with n < 2 or no spread skipped)."""
+    from turnlens.operators.stats import kde_grid
+    s = attainment_samples(choices).withColumn("turn", F.col("turn").cast("double"))
+    k = kde_grid(s, "type", "turn", n_grid=n_grid, lo=0.0)
+    return k.select(_event_label("type").alias("event_type"), "x", "density").filter(
+        F.col("event_type").isNotNull())
+
+
+def attainment_moments(choices: DataFrame) -> DataFrame:
+    """Mean, median and n of attainment turns per milestone (4 dp)."""
+    from turnlens.operators.aggregate import grouped_exact_quantiles
+    s = attainment_samples(choices)
+    m = s.groupBy("type").agg(F.round(F.avg("turn"), 4).alias("mean"),
+                              F.count(F.lit(1)).alias("n"))
+    med = grouped_exact_quantiles(s, ["type"], "turn", [0.5], "__m")
+    out = m.join(med, "type").select(_event_label("type").alias("event_type"), "mean",
+                                     F.round("__m_0", 4).alias("median"), "n")
+    return out.filter(F.col("event_type").isNotNull())
+
+
+def religion_pick_performance(choices: DataFrame, results: DataFrame) -> DataFrame:
+    """A37 + P18 + J01: per (section, belief): picks, wins, losses, mean pick
+    turn. The belief's category leads the section; follower picks split by
+    pick type; unknown categories drop."""
+    from turnlens.functions.columns import recode
+    winners = (results.filter(F.col("victory_civ").isNotNull())
+               .select("game_id", F.col("victory_civ").alias("civ")).distinct()
+               .withColumn("won", F.lit(1)))
+    j = choices.join(winners, ["game_id", "civ"], "left").na.fill(0, ["won"])
+    cat = F.upper(F.trim(F.coalesce(F.col("belief_type").cast("string"), F.lit(""))))
+    section = F.when(cat == "FOLLOWER", recode("type", FOLLOWER_SECTION_BY_TYPE)).otherwise(
+        recode(cat, SECTION_BY_CATEGORY))
+    j = j.withColumn("section", section).filter(F.col("section").isNotNull())
+    out = j.groupBy("section", "belief").agg(F.count(F.lit(1)).alias("chosen_count"),
+                                            F.sum("won").alias("wins"),
+                                            F.round(F.avg("turn"), 4).alias("avg_turn"))
+    return out.withColumn("losses", F.col("chosen_count") - F.col("wins")).select(
+        "section", "belief", "chosen_count", "wins", "losses", "avg_turn")
+
+
+def policy_opens_and_wins(choices: DataFrame, results: DataFrame,
+                          branch_order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Per (civ, branch) openings, and per (branch, victory type) the
+    openings whose civ won that game (shown victory types only), over valid
+    games only."""
+    valid = results.select("game_id").distinct()
+    opens = (choices.filter(F.col("item").isin(*branch_order))
+             .select("game_id", "civ", F.col("item").alias("branch"))
+             .join(valid, "game_id", "left_semi"))
+    by_civ = opens.groupBy("civ", "branch").agg(F.count(F.lit(1)).alias("opens"))
+    winners = (results.filter(F.col("victory_civ").isNotNull())
+               .groupBy("game_id").agg(F.min(F.struct("victory_civ", "victory_type")).alias("w"))
+               .select("game_id", F.col("w.victory_civ").alias("civ"),
+                       F.col("w.victory_type").alias("victory_type")))
+    won = opens.join(winners, ["game_id", "civ"], "inner").filter(
+        F.col("victory_type").isin(*SHOWN_VICTORY_TYPES))
+    wins = won.groupBy("branch", "victory_type").agg(F.count(F.lit(1)).alias("wins"))
+    return by_civ, wins
