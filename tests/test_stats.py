@@ -93,3 +93,26 @@ def test_grid_era_tier_labels(spark):
     assert [g[3] for g in got[4:8]] == ["Information T1", "Information T2", "Information T3",
                                         "Future"]
     assert got[8][1:] == (None, None, None)
+
+
+def test_classification_metrics_and_auc(spark):
+    from turnlens.operators import ml
+    rows = [(1, 0.9), (1, 0.8), (0, 0.3), (0, 0.6), (1, 0.4), (0, 0.1)]
+    df = spark.createDataFrame(rows, "y int, p double")
+    m = ml.classification_metrics(df, "y", "p").first()
+    assert m["n"] == 6 and abs(m["accuracy"] - 4 / 6) < 1e-12 and abs(m["recall"] - 2 / 3) < 1e-12
+    w0 = w1 = 2.0
+    s0 = sum(math.log(1 - p) for y, p in rows if y == 0)
+    s1 = sum(math.log(p) for y, p in rows if y == 1)
+    assert abs(m["log_loss"] - (-w0 / 3 * s0 - w1 / 3 * s1) / (w0 + w1)) < 1e-12
+    assert abs(ml.area_under_roc(df, "y", "p") - 8 / 9) < 1e-9
+
+
+def test_class_reweighted_probability(spark):
+    from turnlens.operators import ml
+    rows = [(0.9,), (0.2,), (0.5,)]
+    df = spark.createDataFrame(rows, "p double")
+    got = [r["p_weighted"] for r in ml.class_reweighted_probability(df, "p").collect()]
+    s0, s1 = sum(1 - p for (p,) in rows), sum(p for (p,) in rows)
+    exp = [(p / s1) / ((1 - p) / s0 + p / s1) for (p,) in rows]
+    assert all(abs(g - e) < 1e-12 for g, e in zip(got, exp))

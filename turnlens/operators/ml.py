@@ -62,6 +62,15 @@ def gbt_group_winner(df: DataFrame, label: str, numeric: Sequence[str],
     return out
 
 
+def area_under_roc(scored: DataFrame, label: str, prob: str) -> float:
+    """AUC of a probability column (Spark ML evaluator, distributed)."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    ev = BinaryClassificationEvaluator(rawPredictionCol=prob, labelCol=label,
+                                       metricName="areaUnderROC")
+    return ev.evaluate(scored.select(F.col(prob).cast("double").alias(prob),
+                                     F.col(label).cast("double").alias(label)))
+
+
 def classification_metrics(scored: DataFrame, label: str, prob: str,
                            threshold: float = 0.5) -> DataFrame:
     """Accuracy, recall and balanced log loss in one aggregate."""
@@ -77,3 +86,14 @@ def classification_metrics(scored: DataFrame, label: str, prob: str,
     w0, w1 = F.col("n") / F.col("n0"), F.col("n") / F.col("n1")
     loss = (-w0 / F.col("n0") * F.col("s0") - w1 / F.col("n1") * F.col("s1")) / (w0 + w1)
     return g.select("n", "n0", "n1", "accuracy", "recall", loss.alias("log_loss"))
+
+
+def class_reweighted_probability(scored: DataFrame, prob: str, out: str = "p_weighted") -> DataFrame:
+    """Divide each class probability by its column sum (estimated class
+    size) and renormalise per row; returns the positive-class share. The two
+    column sums are one scalar subquery."""
+    sums = scored.select(F.struct(F.sum(1 - F.col(prob)).alias("s0"),
+                                  F.sum(F.col(prob)).alias("s1"))).scalar()
+    a = (1 - F.col(prob)) / sums["s0"]
+    b = F.col(prob) / sums["s1"]
+    return scored.withColumn(out, b / (a + b))
