@@ -829,14 +829,16 @@ def group_split(spark, sf):
     return ev.withColumn("split", F.when(bucket < 75, "train").otherwise("test"))
 
 
-# M11 — balanced log loss, accuracy
+# M11 — class-reweighted probabilities, balanced log loss, accuracy
 @query("balanced_log_loss", "M11")
 def balanced_log_loss(spark, sf):
+    from turnlens.operators.ml import class_reweighted_probability
     lab = table(spark, sf, "labels")
     doc = table(spark, sf, "documents").select("doc_id", "n_chars")
     mx = doc.select(F.max("n_chars")).scalar()
-    j = lab.join(doc, "doc_id")
-    p = F.least(F.greatest(F.col("n_chars") / mx, F.lit(1e-15)), F.lit(1 - 1e-15))
+    j = lab.join(doc, "doc_id").withColumn("p_raw", F.col("n_chars") / mx)
+    j = class_reweighted_probability(j, "p_raw", "p_w")
+    p = F.least(F.greatest(F.col("p_w"), F.lit(1e-15)), F.lit(1 - 1e-15))
     j = j.withColumn("p", p).withColumn("y", F.col("quality"))
     g = j.agg(F.count(F.lit(1)).alias("n"),
               F.count_if(F.col("y") == 0).alias("n0"),

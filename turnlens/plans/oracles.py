@@ -576,8 +576,11 @@ SELECT round(x, 6) AS statistic, CAST(dof AS BIGINT) AS dof,
 
     "balanced_log_loss": """
 WITH d AS (SELECT max(n_chars) AS m FROM documents),
-j AS (SELECT quality AS y, least(greatest(n_chars / m, 1e-15), 1 - 1e-15) AS p
+r AS (SELECT quality AS y, n_chars / m AS p_raw
       FROM labels JOIN documents ON labels.doc_id = documents.doc_id CROSS JOIN d),
+s AS (SELECT sum(1 - p_raw) AS s0, sum(p_raw) AS s1 FROM r),
+w AS (SELECT y, (p_raw / s1) / ((1 - p_raw) / s0 + p_raw / s1) AS p_w FROM r CROSS JOIN s),
+j AS (SELECT y, least(greatest(p_w, 1e-15), 1 - 1e-15) AS p FROM w),
 g AS (SELECT count(*) AS n, CAST(count_if(y = 0) AS BIGINT) AS n0, CAST(count_if(y <> 0) AS BIGINT) AS n1,
         sum(CASE WHEN y = 0 THEN ln(1 - p) ELSE 0 END) AS s0,
         sum(CASE WHEN y <> 0 THEN ln(p) ELSE 0 END) AS s1,
