@@ -253,9 +253,10 @@ def ownership(map_state: DataFrame, deals: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("city_id") >= 0, 1).otherwise(0)).alias("cities_owned"))
     d = deals.select("game_id", F.col("vassal").alias("owner_civ"), F.col("turn").alias("deal_turn"),
                      "master")
-    per = per.withColumn("__rid", F.monotonically_increasing_id())
-    d = d.withColumn("__did", F.monotonically_increasing_id())
-    eff = as_of_join(per, d, ["game_id", "owner_civ"], "turn", "deal_turn", "__rid", "__did",
+    # deterministic tiebreaks (a recomputed task must order rows the same
+    # way): one aggregate row per (game, owner, turn) on the left; deals of the
+    # same turn are ordered by master name on the right
+    eff = as_of_join(per, d, ["game_id", "owner_civ"], "turn", "deal_turn", "turn", "master",
                      ["master"], chunk_of=lambda c: F.floor(c / 50))
     eff = eff.withColumn("effective_owner", F.coalesce("master", "owner_civ"))
     e = eff.groupBy("game_id", "effective_owner", "turn").agg(
