@@ -355,3 +355,19 @@ def stream_expired_keys(spark, sf):
     return res.select(F.col("key").alias("user_id"),
                       F.date_format(F.timestamp_micros("last_seen_us"),
                                     "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_seen"))
+
+
+# A45 — min / median / max of the first turn an era is reached, and the share reached
+@query("era_reach", "A45 A06")
+def era_reach(spark, sf):
+    from turnlens.operators.aggregate import grouped_exact_quantiles
+    ev = _events(spark, sf)
+    first = ev.groupBy("user_id", "event_type").agg(F.min("day").alias("first_day"))
+    n_users = ev.select(F.countDistinct("user_id")).scalar()
+    g = first.groupBy("event_type").agg(F.min("first_day").alias("min_day"),
+                                        F.max("first_day").alias("max_day"),
+                                        F.count(F.lit(1)).alias("n"))
+    med = grouped_exact_quantiles(first, ["event_type"], "first_day", [0.5], "m")
+    return g.join(med, "event_type").select(
+        "event_type", "min_day", _r(F.col("m_0")).alias("median_day"), "max_day", "n",
+        _r(F.col("n") / n_users).alias("reach_share"))

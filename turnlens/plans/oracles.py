@@ -916,5 +916,11 @@ SELECT user_id, event_id, CAST(level AS INTEGER) AS level FROM r""",
 SELECT user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_seen FROM events
 GROUP BY user_id
 HAVING max(ts) + INTERVAL 6 HOUR < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+    "era_reach": f"""
+WITH f AS (SELECT user_id, event_type, min({_DAY}) AS first_day FROM events GROUP BY 1, 2)
+SELECT event_type, min(first_day) AS min_day,
+  round(quantile_cont(CAST(first_day AS DOUBLE), 0.5), 6) AS median_day, max(first_day) AS max_day,
+  count(*) AS n, round(count(*) / (SELECT count(DISTINCT user_id) FROM events), 6) AS reach_share
+FROM f GROUP BY event_type""",
 }
 
