@@ -116,3 +116,19 @@ def test_class_reweighted_probability(spark):
     s0, s1 = sum(1 - p for (p,) in rows), sum(p for (p,) in rows)
     exp = [(p / s1) / ((1 - p) / s0 + p / s1) for (p,) in rows]
     assert all(abs(g - e) < 1e-12 for g, e in zip(got, exp))
+
+
+def test_pca_loadings_match_numpy(spark, sf_small):
+    from turnlens.operators import ml
+    emb = spark.read.parquet(f"{sf_small}/embeddings.parquet")
+    got = ml.pca_loadings(emb, "embedding", 3).collect()
+    x = np.array([list(r["embedding"]) for r in emb.select("embedding").collect()], dtype=float)
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    _, s, vt = np.linalg.svd(z, full_matrices=False)
+    ratio = s ** 2 / (s ** 2).sum()
+    for c in range(3):
+        ev = [r["explained_variance"] for r in got if r["component"] == c][0]
+        assert abs(ev - ratio[c]) < 1e-6
+        load = np.array([r["loading"] for r in sorted((r for r in got if r["component"] == c),
+                                                      key=lambda r: r["dim"])])
+        assert min(np.abs(load - vt[c]).max(), np.abs(load + vt[c]).max()) < 1e-6
