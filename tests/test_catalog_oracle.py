@@ -2,6 +2,7 @@
 runs the same check at sf0.01), and rows-only entries for a stable schema."""
 
 import duckdb
+from pyspark.sql import functions as F
 import pytest
 
 import __spark_entry__ as entry
@@ -68,3 +69,20 @@ def test_split_scan_shuffles_rows_once(spark, sf_small):
                      if "Exchange hashpartitioning" in ln and "__sk1" in ln]
     summary_inputs = [ln for ln in final.splitlines() if "partial_max_by" in ln]
     assert len(row_exchanges) == 2 and len(summary_inputs) == 1
+
+
+def test_rows_only_entries_semantics(spark, sf_small):
+    g = QUERIES["gbt_group_winner"](spark, sf_small)
+    per = g.groupBy("source").agg(F.sum("is_group_top").alias("tops"), F.max("p_win").alias("mx"))
+    tops = g.filter("is_group_top = 1").join(per, "source")
+    assert per.filter("tops != 1").count() == 0
+    assert tops.filter(F.col("p_win") != F.col("mx")).count() == 0
+    s = QUERIES["group_split"](spark, sf_small)
+    assert s.groupBy("user_id").agg(F.countDistinct("split").alias("k")).filter("k > 1").count() == 0
+    b = QUERIES["bootstrap_resample"](spark, sf_small).collect()
+    n = spark.read.parquet(f"{sf_small}/orders.parquet").select("o_custkey").distinct().count()
+    assert len(b) == 20
+    mean_size = sum(r["n_customers"] for r in b) / len(b)
+    assert 0.7 * n < mean_size < 1.3 * n        # Poisson(1) copies per id: n copies on average
+    ci = QUERIES["bootstrap_ci"](spark, sf_small).collect()
+    assert all(r["ci_lo"] <= r["rate"] <= r["ci_hi"] for r in ci)
