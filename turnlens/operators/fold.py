@@ -2,10 +2,12 @@
 
 W16 and W17 are rewritten as associative scans (last-non-null, running max,
 running count) on top of :func:`ordered_scan`, so they split across tasks
-even for a hot entity. W18 (the level state machine) is not associative; it
-runs as one streaming pass over key-sorted partitions with ``mapInPandas``:
-rows arrive in Arrow batches, only the current key's state is held, and no
-group is ever materialised in memory.
+even for a hot entity. The W18-style level state machine is not an
+associative scan over values, but its state space is finite, so with a
+chunk column it runs as a parallel prefix over per-chunk state→state tables;
+without one it is a single streaming pass over key-sorted partitions with
+``mapInPandas`` (rows arrive in Arrow batches, only the current key's state
+is held, no group is materialised in memory).
 """
 
 from __future__ import annotations
