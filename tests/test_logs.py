@@ -272,3 +272,16 @@ def test_full_log_etl_runs_and_reuses_cache(spark, root, tech_dim):
     # second run over the same root: nothing is parsed again, same answers
     out2 = run_log_etl(spark, root, f"{base}/out2", f"{base}/cache", tech_dim, names)
     assert out2["religion_choices"].count() == out["religion_choices"].count() == 3
+
+
+def test_authority_reclassification(spark, root):
+    lines = logs.scan_lines(spark, root, "*GameResult_Log.csv*")
+    res = logs.game_results(lines)
+    names = spark.createDataFrame([("CIVILIZATION_ROME", "Rome"), ("CIVILIZATION_EGYPT", "Egypt"),
+                                   ("CIVILIZATION_GREECE", "Greece")], "tag string, name string")
+    deals = logs.vassalage_deals(logs.scan_lines(spark, root, "DiplomacyAI_TradeAgreements_Log_.csv"))
+    auth = marts.authority_victories(marts.ownership(logs.map_state(spark, root, names), deals))
+    got = {(r["civ"], r["victory_type"]): r["wins"]
+           for r in marts.reclassify_authority(res, auth).collect()}
+    # G1: Rome crosses at 140 ≤ 312, Egypt's science win moves to Rome as Authority
+    assert got == {("Egypt", "Science"): 0, ("Rome", "Authority"): 1, ("Rome", "Domination"): 1}

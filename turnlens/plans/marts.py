@@ -518,3 +518,24 @@ def yield_sources_by_turn(civ_corr: DataFrame, city: DataFrame, instant: DataFra
                  (F.col(y) - F.col(f"cities_{y}")).alias(f"{y}_misc"),
                  F.col(f"iy_{y}").alias(f"{y}_instant"), F.col(f"hy_{y}").alias(f"{y}_handicap")]
     return j.select(*keys, "era", *cols)
+
+
+def reclassify_authority(results: DataFrame, authority: DataFrame,
+                         label: str = "Authority") -> DataFrame:
+    """A game's first authority crossing (earliest turn, then
+    owner name) counts only if it happens by the recorded end turn; then the
+    recorded winner loses one win of its victory type (never below zero) and
+    the crossing civ gains one ``label`` win. Output: wins per (civ, type)."""
+    first = authority.groupBy("game_id").agg(
+        F.min(F.struct("turn", "effective_owner")).alias("__c"))
+    j = results.join(first, "game_id", "left")
+    moved = F.col("__c").isNotNull() & (F.col("__c.turn") <= F.col("turn"))
+    base = results.filter(F.col("victory_civ").isNotNull()).select(
+        F.col("victory_civ").alias("civ"), "victory_type", F.lit(1).alias("d"))
+    minus = j.filter(moved & F.col("victory_civ").isNotNull()).select(
+        F.col("victory_civ").alias("civ"), "victory_type", F.lit(-1).alias("d"))
+    plus = j.filter(moved).select(F.col("__c.effective_owner").alias("civ"),
+                                  F.lit(label).alias("victory_type"), F.lit(1).alias("d"))
+    u = base.unionByName(minus).unionByName(plus)
+    return (u.groupBy("civ", "victory_type").agg(F.sum("d").alias("__n"))
+            .select("civ", "victory_type", F.greatest("__n", F.lit(0)).alias("wins")))
