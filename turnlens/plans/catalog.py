@@ -586,18 +586,26 @@ def crosstab_residual(spark, sf):
     return agg.count_if_crosstab(o, ["o_orderpriority"], "o_orderstatus", ["F", "O"], "n_", "n_rest")
 
 
-# A48 W10 — flow links between first three steps
-@query("flow_links", "A48 W10")
+# A48 W10 — flow links between the first three steps, with wins and losses
+@query("flow_links", "A48 W10 W08")
 def flow_links(spark, sf):
     ev = table(spark, sf, "events")
     t = rank.top_k_per_group(ev, ["user_id"], [F.col("ts"), F.col("event_id")], 3, "pos")
     wide = t.groupBy("user_id").agg(*[F.max(F.when(F.col("pos") == i, F.col("event_type")))
                                       .alias(f"s{i}") for i in (1, 2, 3)])
-    links = (wide.select(F.lit(1).alias("stage"), F.col("s1").alias("source"), F.col("s2").alias("target"))
+    v = F.col("value").cast(MONEY)
+    won = ev.groupBy("user_id").agg(
+        (F.sum(F.when(F.col("event_type") == "purchase", v).otherwise(0))
+         > F.sum(F.when(F.col("event_type") == "error", v).otherwise(0))).cast("int").alias("won"))
+    wide = wide.join(won, "user_id")
+    links = (wide.select(F.lit(1).alias("stage"), F.col("s1").alias("source"),
+                         F.col("s2").alias("target"), "won")
              .unionByName(wide.select(F.lit(2).alias("stage"), F.col("s2").alias("source"),
-                                      F.col("s3").alias("target")))
+                                      F.col("s3").alias("target"), "won"))
              .filter(F.col("target").isNotNull()))
-    return links.groupBy("stage", "source", "target").agg(F.count(F.lit(1)).alias("n"))
+    return links.groupBy("stage", "source", "target").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("won").cast("bigint").alias("wins"),
+        (F.count(F.lit(1)) - F.sum("won")).cast("bigint").alias("losses"))
 
 
 # A49 A66 — reclassify wins by a crossing rule

@@ -422,9 +422,15 @@ WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id
 w AS (SELECT user_id, max(CASE WHEN pos = 1 THEN event_type END) AS s1,
         max(CASE WHEN pos = 2 THEN event_type END) AS s2,
         max(CASE WHEN pos = 3 THEN event_type END) AS s3 FROM r WHERE pos <= 3 GROUP BY 1),
-l AS (SELECT 1 AS stage, s1 AS source, s2 AS target FROM w
-      UNION ALL SELECT 2, s2, s3 FROM w)
-SELECT stage, source, target, count(*) AS n FROM l WHERE target IS NOT NULL GROUP BY 1, 2, 3""",
+won AS (SELECT user_id,
+          CAST(sum(CASE WHEN event_type = 'purchase' THEN CAST(value AS DECIMAL(18,2)) ELSE 0 END)
+               > sum(CASE WHEN event_type = 'error' THEN CAST(value AS DECIMAL(18,2)) ELSE 0 END)
+               AS INTEGER) AS won FROM events GROUP BY 1),
+l AS (SELECT 1 AS stage, s1 AS source, s2 AS target, won FROM w JOIN won USING (user_id)
+      UNION ALL SELECT 2, s2, s3, won FROM w JOIN won USING (user_id))
+SELECT stage, source, target, count(*) AS n, CAST(sum(won) AS BIGINT) AS wins,
+  CAST(count(*) - sum(won) AS BIGINT) AS losses
+FROM l WHERE target IS NOT NULL GROUP BY 1, 2, 3""",
 
     "reclassify_delta": """
 WITH last AS (SELECT o_custkey, o_orderstatus AS end_status, o_orderdate AS end_date FROM (
