@@ -179,8 +179,10 @@ def test_purchases_economy_yields(spark, root):
     assert [r["line_no"] for r in bad.collect()] == [2]
     iy = logs.instant_yields(logs.scan_lines(spark, root, "InstantYieldSummary.csv"))
     assert sorted((r["turn"], r["reason"], r["yield"], r["value"]) for r in iy.collect()) == \
-        [(33, "Border Growth", "FOOD", 15), (34, "Border Growth", "FOOD", 5)]
-    rt = marts.instant_yield_running_totals(iy, ["FOOD"], max_turn=40)
+        [(33, "Border Growth", "Food", 15.0), (34, "Border Growth", "Food", 5.0)]
+    piv = marts.instant_yield_pivot(iy).orderBy("turn").collect()
+    assert (piv[0]["iy_food"], piv[0]["iy_faith"]) == (15, 0)
+    rt = marts.instant_yield_running_totals(iy, ["Food"], max_turn=40)
     r = {x["turn"]: x["rt_food"] for x in rt.collect()}
     assert len(r) == 40 and r[32] == 0 and r[33] == 15 and r[40] == 20
     hy, hy_bad = logs.handicap_yields(logs.scan_lines(spark, root, "DifficultyHandicapLog.csv"))
@@ -209,9 +211,8 @@ def test_civ_economy_corrected_and_sources(spark, root, tmp_path):
     assert gb.collect()[0]["total_expenses"] == 8
     iy = logs.instant_yields(logs.scan_lines(spark, root, "InstantYieldSummary.csv"))
     rt = marts.instant_yield_running_totals(
-        iy.union(iy.limit(0)), [y.upper() for y in marts.CORRECTED_YIELDS], max_turn=40)
-    rt = rt.select("game_id", "civ", "turn", *[F.col(f"rt_{y.upper().lower()}")
-                                               for y in marts.CORRECTED_YIELDS])
+        iy, [y.capitalize() for y in marts.CORRECTED_YIELDS], max_turn=40)
+    rt = rt.select("game_id", "civ", "turn", *[F.col(f"rt_{y}") for y in marts.CORRECTED_YIELDS])
     cte = spark.createDataFrame([("G1", "Rome", 33, 2)], "game_id string, civ string, turn int, era int")
     corr = marts.civ_economy_corrected(civ, rt, cte).collect()[0]
     assert corr["food"] == 40 - 15 / 34
@@ -285,3 +286,18 @@ def test_authority_reclassification(spark, root):
            for r in marts.reclassify_authority(res, auth).collect()}
     # G1: Rome crosses at 140 ≤ 312, Egypt's science win moves to Rome as Authority
     assert got == {("Egypt", "Science"): 0, ("Rome", "Authority"): 1, ("Rome", "Domination"): 1}
+
+
+def test_instant_yield_reason_normalisation(spark, tmp_path):
+    d = tmp_path / "iy" / "G9"
+    d.mkdir(parents=True)
+    (d / "InstantYieldSummary.csv").write_text(
+        "Turn,Player\n"
+        "5,Rome,x,Instant Yield Type: Border Growth Retro,Yield Type: Culture,Value: 3\n"
+        "6,Rome,x,Instant Yield Type: Instant,Yield Type: Golden Age Points,Value: 7.0\n")
+    iy = logs.instant_yields(logs.scan_lines(spark, str(tmp_path / "iy"), "InstantYieldSummary.csv"))
+    got = sorted((r["reason"], r["yield"], r["value"]) for r in iy.collect())
+    assert got == [("Border Growth", "Culture", 3.0),
+                   ("Building Completion Effect", "Golden Age Points", 7.0)]
+    piv = {r["turn"]: r for r in marts.instant_yield_pivot(iy).collect()}
+    assert piv[6]["iy_golden_age_points"] == 7 and piv[5]["iy_culture"] == 3

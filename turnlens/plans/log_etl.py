@@ -31,7 +31,7 @@ PATTERNS = {
     "civ_economy": "EconomicMonitorLog_*.csv*",
 }
 
-YIELDS = [y.upper() for y in marts.CORRECTED_YIELDS]
+YIELDS = [y.capitalize() for y in marts.CORRECTED_YIELDS]   # as written in the log
 
 
 def run_log_etl(spark: SparkSession, log_root: str, out_root: str, cache_root: str,
@@ -81,7 +81,7 @@ def run_log_etl(spark: SparkSession, log_root: str, out_root: str, cache_root: s
         "technology_completion_records": research,
         "era_transitions": cte,
         "city_purchases_by_era": marts.purchases_by_era(cte, purchases),
-        "instant_yields": marts.instant_yield_pivot(iy, YIELDS),
+        "instant_yields": marts.instant_yield_pivot(iy),
         "gold_breakdown_by_era": marts.gold_breakdown_by_era(gold, running, cte),
         "era_transition_deltas": marts.era_transition_deltas(cte),
         "religion_choices": rc,

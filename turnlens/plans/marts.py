@@ -279,10 +279,15 @@ def authority_victories(own: DataFrame, threshold: float = 0.66666) -> DataFrame
     return hit.join(first, ["game_id", "effective_owner", "turn"], "inner")
 
 
-def instant_yield_pivot(iy: DataFrame, yields: list[str]) -> DataFrame:
-    """A10: one BIGINT column per yield, per (game, turn, civ, reason)."""
-    return reshape.pivot_agg(iy, ["game_id", "turn", "civ", "reason"], "yield", yields,
-                             F.sum("value").cast("bigint"), "iy_", fill=0)
+def instant_yield_pivot(iy: DataFrame, yields: dict | None = None) -> DataFrame:
+    """A10: one BIGINT column per instant-yield type (explicit values; the
+    sum is cast back to BIGINT), per (game, turn, civ, reason), zero filled."""
+    from turnlens.sources.logs import INSTANT_YIELD_TYPES
+    yields = yields or INSTANT_YIELD_TYPES
+    wide = reshape.pivot_agg(iy, ["game_id", "turn", "civ", "reason"], "yield", list(yields),
+                             F.sum("value"), "__y_", fill=0)
+    return wide.select("game_id", "turn", "civ", "reason",
+                       *[F.col(f"__y_{y}").cast("bigint").alias(c) for y, c in yields.items()])
 
 
 def instant_yield_running_totals(iy: DataFrame, yields: list[str], max_turn: int = 500) -> DataFrame:
@@ -290,9 +295,9 @@ def instant_yield_running_totals(iy: DataFrame, yields: list[str], max_turn: int
     running total per yield (turn 0 and > max_turn never enter)."""
     out = None
     for y in yields:
-        facts = iy.filter(F.col("yield") == y).select("game_id", "civ", "turn", "value")
+        facts = iy.filter(F.lower("yield") == y.lower()).select("game_id", "civ", "turn", "value")
         rt = spine_running_total(facts, ["game_id", "civ"], "turn", "value", 1, max_turn,
-                                 "v", f"rt_{y.lower()}").drop("v")
+                                 "v", f"rt_{y.lower().replace(' ', '_')}").drop("v")
         out = rt if out is None else out.join(rt, ["game_id", "civ", "turn"], "full")
     return out.na.fill(0)
 
@@ -422,11 +427,14 @@ def city_to_civ_turn(city: DataFrame) -> DataFrame:
 
 def reasons_to_civ_turn(yields: DataFrame, prefix: str) -> DataFrame:
     """A13 (reasons) + B9: sum yield rows over reasons to (game, civ, turn)
-    before any join, so several reasons per turn cannot multiply sums."""
-    wide = reshape.pivot_agg(yields, ["game_id", "civ", "turn"], "yield",
-                             [y.upper() for y in CORRECTED_YIELDS], F.sum("value"), "", fill=0)
+    before any join, so several reasons per turn cannot multiply sums.
+    Yield names match case-insensitively ("Food" in one log, "FOOD" in
+    another)."""
+    y = yields.withColumn("__yl", F.lower("yield"))
+    wide = reshape.pivot_agg(y, ["game_id", "civ", "turn"], "__yl", CORRECTED_YIELDS,
+                             F.sum("value"), "__r_", fill=0)
     return wide.select("game_id", "civ", "turn",
-                       *[F.col(y.upper()).alias(f"{prefix}{y}") for y in CORRECTED_YIELDS])
+                       *[F.col(f"__r_{c}").alias(f"{prefix}{c}") for c in CORRECTED_YIELDS])
 
 
 def economy_sources(civ_corr: DataFrame, city: DataFrame, instant: DataFrame,

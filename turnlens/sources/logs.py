@@ -172,14 +172,30 @@ def city_economy(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, rejects
 
 
+# Instant-yield types as written in the log, and their pivot column names
+# (fixed values).
+INSTANT_YIELD_TYPES = {
+    "Food": "iy_food", "Production": "iy_production", "Science": "iy_science",
+    "Gold": "iy_gold", "Culture": "iy_culture", "Faith": "iy_faith", "Tourism": "iy_tourism",
+    "Golden Age Points": "iy_golden_age_points",
+    "Border Growth Points": "iy_border_growth_points",
+    "Great General Points": "iy_great_general_points",
+    "Great Admiral Points": "iy_great_admiral_points",
+}
+
+
 def instant_yields(lines: DataFrame) -> DataFrame:
-    """``turn, civ, _, Instant Yield Type: R, Yield Type: Y, Value: n``;
-    the fixed prefixes are stripped, the reason normalised."""
+    """``turn, civ, _, Instant Yield Type: R, Yield Type: Y, Value: n``.
+    The fixed prefixes are stripped; retroactive reasons merge with their
+    plain reason (" Retro" dropped) and "Instant" reads as "Building
+    Completion Effect"; the yield keeps its logged name; value is numeric."""
     d = _data_lines(lines).filter(F.col("line").contains("Instant Yield Type:")).select(
         "game_id", _fields().alias("f"))
     reason = F.trim(F.regexp_replace(F.get(F.col("f"), 3), r"^Instant Yield Type:\s*", ""))
-    yld = F.upper(F.trim(F.regexp_replace(F.get(F.col("f"), 4), r"^Yield Type:\s*", "")))
-    val = F.trim(F.regexp_replace(F.get(F.col("f"), 5), r"^Value:\s*", "")).try_cast("long")
+    reason = F.replace(F.replace(reason, F.lit(" Retro"), F.lit("")), F.lit("Instant"),
+                       F.lit("Building Completion Effect"))
+    yld = F.trim(F.regexp_replace(F.get(F.col("f"), 4), r"^Yield Type:\s*", ""))
+    val = F.trim(F.regexp_replace(F.get(F.col("f"), 5), r"^Value:\s*", "")).try_cast("double")
     return d.select("game_id", F.get(F.col("f"), 0).try_cast("int").alias("turn"),
                     F.get(F.col("f"), 1).alias("civ"), reason.alias("reason"), yld.alias("yield"),
                     val.alias("value"))
