@@ -186,7 +186,8 @@ def test_purchases_economy_yields(spark, root):
     r = {x["turn"]: x["rt_food"] for x in rt.collect()}
     assert len(r) == 40 and r[32] == 0 and r[33] == 15 and r[40] == 20
     hy, hy_bad = logs.handicap_yields(logs.scan_lines(spark, root, "DifficultyHandicapLog.csv"))
-    assert sorted((r["yield"], r["value"]) for r in hy.collect()) == [("CULTURE", 5), ("SCIENCE", 7)]
+    h = hy.first()
+    assert (h["reason"], h["hy_culture"], h["hy_science"], h["hy_gold"]) == ("ERA", 5.0, 7.0, 0.0)
     assert hy_bad.count() == 1
     py = marts.plot_yield_totals(logs.plot_yields(logs.scan_lines(spark, root,
                                                                   "BuilderTaskingYieldLog.csv")))
@@ -219,8 +220,11 @@ def test_civ_economy_corrected_and_sources(spark, root, tmp_path):
     city = spark.createDataFrame([("G1", "Rome", 33, 30.0, 1.0, 1.0, 1.0, 1.0)],
                                  "game_id string, civ string, turn int, food double, "
                                  "production double, gold double, science double, culture double")
+    hy_empty = spark.createDataFrame([], "game_id string, civ string, turn int, reason string, "
+                                         "hy_gold double, hy_food double, hy_culture double, "
+                                         "hy_science double")
     src = marts.economy_sources(marts.civ_economy_corrected(civ, rt, cte), city, iy,
-                                iy.limit(0)).collect()[0]
+                                hy_empty).collect()[0]
     assert src["food_city"] == 30.0 and src["food_instant"] == 15.0   # turn 33 instant food
 
 
@@ -301,3 +305,30 @@ def test_instant_yield_reason_normalisation(spark, tmp_path):
                    ("Building Completion Effect", "Golden Age Points", 7.0)]
     piv = {r["turn"]: r for r in marts.instant_yield_pivot(iy).collect()}
     assert piv[6]["iy_golden_age_points"] == 7 and piv[5]["iy_culture"] == 3
+
+
+def test_handicap_layouts(spark, tmp_path):
+    d = tmp_path / "hc" / "G7"
+    d.mkdir(parents=True)
+    p = "AI DIFFICULTY BONUS FROM "
+    (d / "DifficultyHandicapLog.csv").write_text(
+        "Civ,Turn,Text\n"
+        f"Rome,1,{p}ERA - Received Handicap Bonus: GOLD (10), CULTURE (2.5), SCIENCE (3).\n"
+        f"Rome,2,{p}TURN - Received Handicap Bonus: FOOD (4; extra)GOLD (6)SCIENCE (8).\n"
+        f"Rome,3,{p}ERA - Received Handicap Bonus: FOOD (1; x)GOLD (2)CULTURE (3)SCIENCE (4).\n"
+        f"Rome,4,{p}WONDER - Received Handicap Bonus (9 in Yields): GOLD, SCIENCE\n"
+        f"Rome,5,{p}ERA - Received Handicap Bonus: CULTURE (5)SCIENCE (7).\n"
+        "Rome,6,nothing to see\n")
+    hy, bad = logs.handicap_yields(logs.scan_lines(spark, str(tmp_path / "hc"),
+                                                   "DifficultyHandicapLog.csv"))
+    got = {r["turn"]: (r["reason"], r["hy_gold"], r["hy_food"], r["hy_culture"], r["hy_science"])
+           for r in hy.collect()}
+    assert got == {1: ("ERA", 10.0, 0.0, 2.5, 3.0), 2: ("TURN", 6.0, 4.0, 0.0, 8.0),
+                   3: ("ERA", 2.0, 1.0, 3.0, 4.0), 4: ("WONDER", 9.0, 0.0, 0.0, 9.0),
+                   5: ("ERA", 0.0, 0.0, 5.0, 7.0)}
+    assert [r["line_no"] for r in bad.collect()] == [6]
+    cte = spark.createDataFrame([("G7", "Rome", t, 1) for t in range(1, 7)],
+                                "game_id string, civ string, turn int, era int")
+    st = {(r["yield"], r["trigger"]): (r["avg_hy"], r["avg_times_triggered"])
+          for r in marts.handicap_trigger_stats(hy, cte).collect()}
+    assert st[("science", "ERA")] == (14 / 3, 3.0) and ("food", "WONDER") not in st

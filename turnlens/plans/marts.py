@@ -437,6 +437,15 @@ def reasons_to_civ_turn(yields: DataFrame, prefix: str) -> DataFrame:
                        *[F.col(f"__r_{c}").alias(f"{prefix}{c}") for c in CORRECTED_YIELDS])
 
 
+def _handicap_turns(hy: DataFrame) -> DataFrame:
+    """Handicap rows (several reasons per turn) summed per (game, civ,
+    turn) before any join; only the yields the log carries (others 0)."""
+    keys = ["game_id", "civ", "turn"]
+    have = {"gold", "food", "culture", "science"}
+    return hy.groupBy(*keys).agg(*[(F.sum(f"hy_{y}") if y in have else F.lit(0.0)).alias(f"hy_{y}")
+                                   for y in CORRECTED_YIELDS])
+
+
 def economy_sources(civ_corr: DataFrame, city: DataFrame, instant: DataFrame,
                     handicap: DataFrame) -> DataFrame:
     """J08 + A15: three left joins of pre-aggregated sources onto the civ
@@ -445,7 +454,7 @@ def economy_sources(civ_corr: DataFrame, city: DataFrame, instant: DataFrame,
     keys = ["game_id", "civ", "turn"]
     j = (civ_corr.join(city_to_civ_turn(city), keys, "left")
          .join(reasons_to_civ_turn(instant, "iy_"), keys, "left")
-         .join(reasons_to_civ_turn(handicap, "hy_"), keys, "left"))
+         .join(_handicap_turns(handicap), keys, "left"))
     j = j.na.fill(0)
     aggs = []
     for y in CORRECTED_YIELDS:
@@ -468,12 +477,15 @@ def civ_economy_by_era(civ_corr: DataFrame) -> DataFrame:
 
 
 def handicap_trigger_stats(hy: DataFrame, cte: DataFrame) -> DataFrame:
-    """Per (era, reason): rows, mean value and times triggered per
-    civ-game (counted players, B8)."""
-    j = hy.join(cte, ["game_id", "civ", "turn"], "inner")
+    """Per (yield, era, trigger) over rows where that yield is > 0: the
+    mean bonus and times triggered per civ-game (players counted, B8).
+    ``hy``: the wide handicap table."""
+    from turnlens.sources.logs import handicap_long
+    long = handicap_long(hy).filter(F.col("value") > 0)
+    j = long.join(cte, ["game_id", "civ", "turn"], "inner")
     n_pairs = cte.select(F.count_distinct("game_id", "civ")).scalar()
-    return j.groupBy("era", "reason").agg(
-        F.count(F.lit(1)).alias("rows"), F.avg("value").alias("mean_value"),
+    return j.groupBy("yield", "era", F.col("reason").alias("trigger")).agg(
+        F.avg("value").alias("avg_hy"),
         (F.count(F.lit(1)) / n_pairs).alias("avg_times_triggered"))
 
 
@@ -519,7 +531,7 @@ def yield_sources_by_turn(civ_corr: DataFrame, city: DataFrame, instant: DataFra
     keys = ["game_id", "civ", "turn"]
     j = (civ_corr.join(city_to_civ_turn(city), keys, "left")
          .join(reasons_to_civ_turn(instant, "iy_"), keys, "left")
-         .join(reasons_to_civ_turn(handicap, "hy_"), keys, "left")).na.fill(0)
+         .join(_handicap_turns(handicap), keys, "left")).na.fill(0)
     cols = []
     for y in CORRECTED_YIELDS:
         cols += [F.col(f"cities_{y}").alias(f"{y}_city"),

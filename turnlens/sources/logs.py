@@ -201,25 +201,46 @@ def instant_yields(lines: DataFrame) -> DataFrame:
                     val.alias("value"))
 
 
+HANDICAP_YIELDS = ["gold", "food", "culture", "science"]
+
+
 def handicap_yields(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Difficulty-bonus lines in several formats; a line may carry
-    several ``YIELD (n)`` pairs. Unknown formats go to the reject table
-    instead of failing the job."""
+    """Difficulty-bonus lines → (game_id, civ, turn, reason, hy_gold,
+    hy_food, hy_culture, hy_science). Everything after the civ and turn
+    fields is one text (the commas inside it are not field separators).
+    The log writes bonuses in several layouts; one rule reads them all: the
+    reason is the text between "BONUS FROM " and " - Received", each yield
+    takes the number after "<YIELD> (" (so "FOOD (5; …)" reads 5), and the
+    "Received Handicap Bonus (N in Yields)" layout gives N to every yield
+    it names. Lines without a handicap bonus go to the reject table."""
     d = _data_lines(lines).select("game_id", "file", "line_no", "line", _fields().alias("f"))
-    text = F.array_join(F.slice(F.col("f"), 3, 1000), ",")
-    pairs = F.regexp_extract_all(text, F.lit(r"([A-Z]+) \((-?\d+)\)"), 0)
-    known = F.size(pairs) > 0
-    good = (d.filter(known)
-            .select("game_id", F.get(F.col("f"), 0).alias("civ"), F.get(F.col("f"), 1).try_cast("int").alias("turn"),
-                    F.regexp_extract(text, r"^(.*?) - ", 1).alias("reason"),
-                    F.explode(pairs).alias("pair"))
-            .select("game_id", "civ", "turn", "reason",
-                    F.regexp_extract("pair", r"([A-Z]+)", 1).alias("yield"),
-                    F.regexp_extract("pair", r"\((-?\d+)\)", 1).cast("long").alias("value")))
+    text = F.array_join(F.slice(F.col("f"), 3, 1_000_000), "")
+    d = d.withColumn("__t", text)
+    known = F.col("__t").contains("Received Handicap Bonus")
+    lump = F.regexp_extract("__t", r"Received Handicap Bonus \((\d+(?:\.\d+)?) in Yields\)", 1)
+    cols = {}
+    for y in HANDICAP_YIELDS:
+        tag = y.upper()
+        each = F.regexp_extract("__t", tag + r" \((\d+(?:\.\d+)?)", 1)
+        v = F.when(lump != "", F.when(F.col("__t").contains(tag), lump.cast("double")))
+        v = v.otherwise(F.when(each != "", each.cast("double")))
+        cols[f"hy_{y}"] = F.coalesce(v, F.lit(0.0))
+    good = d.filter(known).select(
+        "game_id", F.get(F.col("f"), 0).alias("civ"),
+        F.get(F.col("f"), 1).try_cast("int").alias("turn"),
+        F.regexp_extract("__t", r"BONUS FROM (.*) - Received", 1).alias("reason"),
+        *[c.alias(n) for n, c in cols.items()])
     rejects = d.filter(~known).select("game_id", "file", "line_no", "line")
     return good, rejects
 
 
+def handicap_long(wide: DataFrame) -> DataFrame:
+    """Long form (…, yield, value) of the handicap table, one row per yield."""
+    return wide.unpivot(["game_id", "civ", "turn", "reason"],
+                        [f"hy_{y}" for y in HANDICAP_YIELDS], "yield", "value").withColumn(
+        "yield", F.regexp_replace("yield", "^hy_", ""))
+
+
 def tech_events(lines: DataFrame) -> DataFrame:
     """S14 input: CHOSEN / COMPLETED rows of the tech log with file order."""
     d = lines.filter(contains_any("line", ["CHOSEN", "COMPLETED"])).select(
