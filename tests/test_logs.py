@@ -266,7 +266,7 @@ def test_full_log_etl_runs_and_reuses_cache(spark, root, tech_dim):
     assert out["authority_victories"].count() == 1
     back = spark.read.option("header", True).csv(f"{base}/out/power_ranking")
     assert back.count() == 3 and "winrate" in back.columns
-    rs = {(r["type"], r["belief"]): (r["times_chosen"], r["wins"])
+    rs = {(r["type"], r["belief"]): (r["chosen_count"], r["wins"])
           for r in out["religion_stats"].collect()}
     assert rs[("religion_founded", "Belief A")] == (1, 1)       # Egypt won G1
     assert rs[("pantheon", "God of the Sea")] == (1, 0)

@@ -211,7 +211,7 @@ def belief_stats(choices: DataFrame, cgr: DataFrame) -> DataFrame:
     winners = cgr.filter(F.col("victory_type").isNotNull()).select("game_id", "civ")
     j = choices.join(winners.withColumn("won", F.lit(1)), ["game_id", "civ"], "left")
     return j.groupBy("type", "belief").agg(F.avg("turn").alias("avg_turn"),
-                                           F.count(F.lit(1)).alias("times_chosen"),
+                                           F.count(F.lit(1)).alias("chosen_count"),
                                            F.sum(F.coalesce("won", F.lit(0))).alias("wins"))
 
 
@@ -323,8 +323,8 @@ def purchases_by_era(cte: DataFrame, purchases: DataFrame) -> DataFrame:
     p = reshape.pivot_agg(purchases, ["game_id", "civ", "turn"], "type", ["building", "unit"],
                           F.sum("cost"), "", fill=0)
     spine = cte.join(p, ["game_id", "civ", "turn"], "left").na.fill(0, ["building", "unit"])
-    return spine.groupBy("era").agg(F.avg("building").alias("avg_building_cost"),
-                                    F.avg("unit").alias("avg_unit_cost"))
+    return spine.groupBy("era").agg(F.avg("building").alias("avg_building_invest"),
+                                    F.avg("unit").alias("avg_unit_purchase"))
 
 
 def plot_yield_totals(py: DataFrame) -> DataFrame:
