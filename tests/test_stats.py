@@ -132,3 +132,35 @@ def test_pca_loadings_match_numpy(spark, sf_small):
         load = np.array([r["loading"] for r in sorted((r for r in got if r["component"] == c),
                                                       key=lambda r: r["dim"])])
         assert min(np.abs(load - vt[c]).max(), np.abs(load + vt[c]).max()) < 1e-6
+
+
+def test_rules_database_dimensions(spark):
+    from turnlens.sources import dims
+    tech = spark.createDataFrame([("TECH_A", 1, "ERA_ANCIENT"), ("TECH_B", 3, "ERA_CLASSICAL"),
+                                  ("TECH_Z", 40, "ERA_FUTURE")], "Type string, GridX int, Era string")
+    td = {r["tech"]: (r["gridx"], r["era"]) for r in dims.tech_dimension(tech).collect()}
+    assert td == {"TECH_A": (1, 1), "TECH_B": (3, 2), "TECH_Z": (40, None)}
+    eras = spark.createDataFrame([("ERA_ANCIENT", "TXT_ANC"), ("ERA_CLASSICAL", "TXT_CLA")],
+                                 "Type string, Description string")
+    text = spark.createDataFrame([("TXT_ANC", "Ancient Era"), ("TXT_CLA", "Classical Era"),
+                                  ("TXT_PETRA", "Petra"), ("TXT_WARRIOR", "Warrior")],
+                                 "Tag string, Text string")
+    bc = spark.createDataFrame([("BUILDING_PETRA", 1), ("BUILDING_GRANARY", -1)],
+                               "DefaultBuilding string, MaxGlobalInstances int")
+    b = spark.createDataFrame([("BUILDING_PETRA", "TXT_PETRA", "TECH_B"),
+                               ("BUILDING_GRANARY", "TXT_G", "TECH_A")],
+                              "Type string, Description string, PrereqTech string")
+    w = [tuple(r) for r in dims.wonder_eras(bc, b, tech, eras, text).collect()]
+    assert w == [("Petra", "Classical")]
+    units = spark.createDataFrame(
+        [("UNIT_WARRIOR", "TXT_WARRIOR", "UNITCOMBAT_MELEE", "DOMAIN_LAND", 8, 0, 0, None),
+         ("UNIT_CHARIOT", "TXT_CH", "UNITCOMBAT_ARCHER", "DOMAIN_LAND", 6, 10, 1, "TECH_B"),
+         ("UNIT_SETTLER", "TXT_S", None, "DOMAIN_LAND", 0, 0, 0, None)],
+        "Type string, Description string, CombatClass string, Domain string, Combat int, "
+        "RangedCombat int, IsMounted int, PrereqTech string")
+    uq = spark.createDataFrame([("UNIT_CHARIOT",)], "Type string")
+    u = {r["unit"]: r for r in dims.unit_info(units, tech, eras, text, uq).collect()}
+    assert u["Warrior"]["era"] == "Ancient" and u["Warrior"]["is_combat"] == 1
+    ch = u["TXT_CH"]
+    assert (ch["era"], ch["is_unique"], ch["is_ranged"], ch["is_mounted"]) == ("Classical", 1, 1, 1)
+    assert u["TXT_S"]["is_combat"] == 0
