@@ -332,3 +332,27 @@ def test_handicap_layouts(spark, tmp_path):
     st = {(r["yield"], r["trigger"]): (r["avg_hy"], r["avg_times_triggered"])
           for r in marts.handicap_trigger_stats(hy, cte).collect()}
     assert st[("science", "ERA")] == (14 / 3, 3.0) and ("food", "WONDER") not in st
+
+
+def test_civ_economy_by_era_totals(spark):
+    keys = "game_id string, civ string, turn int"
+    civ = spark.createDataFrame(
+        [("G", "Rome", t, 1, 2, 3, 10.0, 5.0, 4.0, 3.0, 2.0, 1, 0, 0, 1, 2, 0, 1, 1, 1, 1)
+         for t in (1, 2)],
+        f"{keys}, era int, city_count int, population int, food double, production double, "
+        "gold double, science double, culture double, faith int, tourism int, "
+        "golden_age_points int, policies_acquired int, workers int, happiness int, "
+        "trade_units_active int, unit_maintenance int, building_maintenance int, "
+        "improvement_maintenance int")
+    iy = spark.createDataFrame([("G", 1, "Rome", "A", "Food", 4.0), ("G", 1, "Rome", "B", "Food", 6.0),
+                                ("G", 2, "Rome", "A", "Great General Points", 3.0)],
+                               "game_id string, turn int, civ string, reason string, yield string, "
+                               "value double")
+    hy = spark.createDataFrame([("G", "Rome", 1, "ERA", 0.0, 2.0, 0.0, 0.0),
+                                ("G", "Rome", 1, "TURN", 0.0, 1.0, 0.0, 0.0)],
+                               f"{keys}, reason string, hy_gold double, hy_food double, "
+                               "hy_culture double, hy_science double")
+    r = marts.civ_economy_by_era(civ, iy, hy).first()
+    # food: 2 turns × 10 logged + 10 instant + 3 handicap (two reasons, summed once each)
+    assert (r["turns_in_era"], r["food_total"], r["great_general_points_total"]) == (2, 33.0, 3)
+    assert r["city_count_avg"] == 2.0 and r["unit_maintenance_total"] == 2

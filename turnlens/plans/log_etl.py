@@ -99,7 +99,7 @@ def run_log_etl(spark: SparkSession, log_root: str, out_root: str, cache_root: s
         "instant_yield_sources": marts.trigger_stats(iy, cte),
         "handicap_yield_sources": marts.handicap_trigger_stats(hy, cte),
         "yield_sources_by_turn": marts.yield_sources_by_turn(civ_corr, city, iy, hy),
-        "civ_economy_by_era": marts.civ_economy_by_era(civ_corr),
+        "civ_economy_by_era": marts.civ_economy_by_era(civ_corr, iy, hy),
         "yield_sources_by_era": marts.economy_sources(civ_corr, city, iy, hy),
         "vic_frequency": marts.victory_stats(results),
         "power_ranking": marts.civ_performance(marts.augment_with_map_metrics(cgr, own)),

@@ -466,14 +466,39 @@ def economy_sources(civ_corr: DataFrame, city: DataFrame, instant: DataFrame,
     return j.groupBy("era").agg(*aggs)
 
 
-def civ_economy_by_era(civ_corr: DataFrame) -> DataFrame:
-    """Per (game, civ, era): yield averages, maintenance sums, turns."""
-    return civ_corr.groupBy("game_id", "civ", "era").agg(
-        *[F.avg(y).alias(f"avg_{y}") for y in CORRECTED_YIELDS],
-        F.sum("unit_maintenance").alias("sum_unit_maintenance"),
-        F.sum("building_maintenance").alias("sum_building_maintenance"),
-        F.sum("improvement_maintenance").alias("sum_improvement_maintenance"),
-        F.count(F.lit(1)).alias("turns"))
+def civ_economy_by_era(civ_corr: DataFrame, instant: DataFrame, handicap: DataFrame) -> DataFrame:
+    """A16 + J08: per (game, civ, era): turns in the era, averages of the
+    counts (cities, population, policies, workers, happiness, trade units),
+    maintenance totals, and yield totals = logged (corrected) + instant +
+    handicap. Instant and handicap rows are summed per (game, civ, turn)
+    before the left joins (B9), so several reasons per turn never multiply."""
+    keys = ["game_id", "civ", "turn"]
+    iy = instant_yield_pivot(instant).groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in ("iy_food", "iy_production", "iy_gold", "iy_science",
+                                      "iy_culture", "iy_faith", "iy_tourism",
+                                      "iy_golden_age_points", "iy_great_general_points",
+                                      "iy_great_admiral_points")])
+    hy = handicap.groupBy(*keys).agg(*[F.sum(f"hy_{y}").alias(f"hy_{y}")
+                                       for y in ("food", "gold", "science", "culture")])
+    j = civ_corr.join(iy, keys, "left").join(hy, keys, "left").na.fill(0)
+    avg = ["city_count", "population", "policies_acquired", "workers", "happiness",
+           "trade_units_active"]
+    tot = {"food_total": F.col("food") + F.col("iy_food") + F.col("hy_food"),
+           "production_total": F.col("production") + F.col("iy_production"),
+           "gold_total": F.col("gold") + F.col("iy_gold") + F.col("hy_gold"),
+           "science_total": F.col("science") + F.col("iy_science") + F.col("hy_science"),
+           "culture_total": F.col("culture") + F.col("iy_culture") + F.col("hy_culture"),
+           "faith_total": F.col("faith") + F.col("iy_faith"),
+           "tourism_total": F.col("tourism") + F.col("iy_tourism"),
+           "golden_age_points_total": F.col("golden_age_points") + F.col("iy_golden_age_points"),
+           "great_general_points_total": F.col("iy_great_general_points"),
+           "great_admiral_points_total": F.col("iy_great_admiral_points")}
+    return j.groupBy("game_id", "civ", "era").agg(
+        F.count(F.lit(1)).alias("turns_in_era"),
+        *[F.avg(c).alias(f"{c}_avg") for c in avg],
+        *[F.sum(c).alias(f"{c}_total") for c in ("unit_maintenance", "building_maintenance",
+                                                 "improvement_maintenance")],
+        *[F.sum(e).alias(n) for n, e in tot.items()])
 
 
 def handicap_trigger_stats(hy: DataFrame, cte: DataFrame) -> DataFrame:
