@@ -225,7 +225,8 @@ def test_civ_economy_corrected_and_sources(spark, root, tmp_path):
                                          "hy_science double")
     src = marts.economy_sources(marts.civ_economy_corrected(civ, rt, cte), city, iy,
                                 hy_empty).collect()[0]
-    assert src["food_city"] == 30.0 and src["food_instant"] == 15.0   # turn 33 instant food
+    assert src["city_food"] == 30.0 and src["iy_food"] == 15.0   # turn 33 instant food
+    assert src["hy_production"] == 0.0 and src["total_food"] == 40 - 15 / 34 + 15
 
 
 def test_civ_choices_and_map_augmented_performance(spark, root):

@@ -449,8 +449,9 @@ def _handicap_turns(hy: DataFrame) -> DataFrame:
 def economy_sources(civ_corr: DataFrame, city: DataFrame, instant: DataFrame,
                     handicap: DataFrame) -> DataFrame:
     """J08 + A15: three left joins of pre-aggregated sources onto the civ
-    economy per (game, civ, turn); per era: city, misc (= civ − city),
-    instant, handicap and total averages per yield."""
+    economy per (game, civ, turn); per era and yield: city_, misc_ (= civ −
+    city), iy_, hy_ (0 for production, which has no handicap) and total_
+    averages."""
     keys = ["game_id", "civ", "turn"]
     j = (civ_corr.join(city_to_civ_turn(city), keys, "left")
          .join(reasons_to_civ_turn(instant, "iy_"), keys, "left")
@@ -458,11 +459,11 @@ def economy_sources(civ_corr: DataFrame, city: DataFrame, instant: DataFrame,
     j = j.na.fill(0)
     aggs = []
     for y in CORRECTED_YIELDS:
-        aggs += [F.avg(f"cities_{y}").alias(f"{y}_city"),
-                 F.avg(F.col(y) - F.col(f"cities_{y}")).alias(f"{y}_misc"),
-                 F.avg(f"iy_{y}").alias(f"{y}_instant"),
-                 F.avg(f"hy_{y}").alias(f"{y}_handicap"),
-                 F.avg(F.col(y) + F.col(f"iy_{y}") + F.col(f"hy_{y}")).alias(f"{y}_total")]
+        aggs += [F.avg(f"cities_{y}").alias(f"city_{y}"),
+                 F.avg(F.col(y) - F.col(f"cities_{y}")).alias(f"misc_{y}"),
+                 F.avg(f"iy_{y}").alias(f"iy_{y}"),
+                 F.avg(f"hy_{y}").alias(f"hy_{y}"),
+                 F.avg(F.col(y) + F.col(f"iy_{y}") + F.col(f"hy_{y}")).alias(f"total_{y}")]
     return j.groupBy("era").agg(*aggs)
 
 
@@ -552,16 +553,15 @@ def branch_stats(branches: DataFrame, results: DataFrame) -> DataFrame:
 def yield_sources_by_turn(civ_corr: DataFrame, city: DataFrame, instant: DataFrame,
                           handicap: DataFrame) -> DataFrame:
     """A13 + A14 + J08: per (game, civ, turn) one column per yield × source
-    (city, misc, instant, handicap), sources pre-aggregated (B9)."""
+    (civ_, city_, iy_, hy_), sources pre-aggregated (B9)."""
     keys = ["game_id", "civ", "turn"]
     j = (civ_corr.join(city_to_civ_turn(city), keys, "left")
          .join(reasons_to_civ_turn(instant, "iy_"), keys, "left")
          .join(_handicap_turns(handicap), keys, "left")).na.fill(0)
     cols = []
     for y in CORRECTED_YIELDS:
-        cols += [F.col(f"cities_{y}").alias(f"{y}_city"),
-                 (F.col(y) - F.col(f"cities_{y}")).alias(f"{y}_misc"),
-                 F.col(f"iy_{y}").alias(f"{y}_instant"), F.col(f"hy_{y}").alias(f"{y}_handicap")]
+        cols += [F.col(y).alias(f"civ_{y}"), F.col(f"cities_{y}").alias(f"city_{y}"),
+                 F.col(f"iy_{y}").alias(f"iy_{y}"), F.col(f"hy_{y}").alias(f"hy_{y}")]
     return j.select(*keys, "era", *cols)
 
 
