@@ -217,6 +217,8 @@ def test_civ_economy_corrected_and_sources(spark, root, tmp_path):
     cte = spark.createDataFrame([("G1", "Rome", 33, 2)], "game_id string, civ string, turn int, era int")
     corr = marts.civ_economy_corrected(civ, rt, cte).collect()[0]
     assert corr["food"] == 40 - 15 / 34
+    gbe = marts.gold_breakdown_by_era(gb, rt, cte).first()
+    assert (gbe["era"], gbe["cities"], gbe["total_expenses"]) == (2, 12.9, 8.0)
     city = spark.createDataFrame([("G1", "Rome", 33, 30.0, 1.0, 1.0, 1.0, 1.0)],
                                  "game_id string, civ string, turn int, food double, "
                                  "production double, gold double, science double, culture double")

@@ -536,9 +536,9 @@ def gold_breakdown_by_era(gold: DataFrame, running: DataFrame, cte: DataFrame) -
     corrected by the instant-gold running total (rt / (turn + 1))."""
     keys = ["game_id", "civ", "turn"]
     j = gold.join(running.select(*keys, "rt_gold"), keys, "inner").join(cte, keys, "inner")
-    cols = [c for c in gold.columns if c not in ("game_id", "civ", "turn", "city_gold")]
+    cols = [c for c in gold.columns if c not in ("game_id", "civ", "turn", "cities")]
     return j.groupBy("era").agg(
-        F.avg(F.col("city_gold") - F.col("rt_gold") / (F.col("turn") + 1)).alias("cities"),
+        F.avg(F.col("cities") - F.col("rt_gold") / (F.col("turn") + 1)).alias("cities"),
         *[F.avg(c).alias(c) for c in cols])
 
 

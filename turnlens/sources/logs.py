@@ -362,17 +362,19 @@ CIV_ECONOMY_FIELDS = {
     "improvement_maintenance": 35,
 }
 GOLD_BREAKDOWN_FIELDS = {
-    "city_gold": 25, "trade_route_gold": 26, "city_connection_gold": 28, "diplomacy_gold": 29,
-    "religion_gold": 30, "trait_gold": 31, "total_income": 32, "unit_maintenance": 33,
+    "cities": 25, "trade_routes": 26, "city_connections": 28, "diplomacy": 29,
+    "religion": 30, "traits": 31, "total_income": 32, "unit_maintenance": 33,
     "building_maintenance": 34, "improvement_maintenance": 35, "total_expenses": 36,
 }
 
 
-def _positional_ints(lines: DataFrame, fields: dict) -> tuple[DataFrame, DataFrame]:
+def _positional_ints(lines: DataFrame, fields: dict, as_int: bool = True
+                     ) -> tuple[DataFrame, DataFrame]:
     d = _data_lines(lines).select("game_id", "file", "line_no", "line", _fields().alias("f"))
     cols = [F.get(F.col("f"), 0).alias("civ"), F.get(F.col("f"), 1).try_cast("int").alias("turn")]
-    # text → double → int truncates toward zero, like the log writer's readers
-    cols += [F.get(F.col("f"), i).try_cast("double").cast("int").alias(n) for n, i in fields.items()]
+    # text → double (→ int truncating toward zero for the economy counters)
+    num = (lambda c: c.cast("int")) if as_int else (lambda c: c)
+    cols += [num(F.get(F.col("f"), i).try_cast("double")).alias(n) for n, i in fields.items()]
     parsed = d.select("game_id", "file", "line_no", "line", *cols)
     bad = F.col("turn").isNull()
     for n in fields:
@@ -388,6 +390,6 @@ def civ_economy(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def gold_breakdown(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Income and expense columns of the same log (scan it once and
-    project both from it when both are needed)."""
-    return _positional_ints(lines, GOLD_BREAKDOWN_FIELDS)
+    """Income and expense columns of the same log, as doubles (scan it
+    once and project both from it when both are needed)."""
+    return _positional_ints(lines, GOLD_BREAKDOWN_FIELDS, as_int=False)
