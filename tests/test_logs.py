@@ -359,3 +359,16 @@ def test_civ_economy_by_era_totals(spark):
     # food: 2 turns × 10 logged + 10 instant + 3 handicap (two reasons, summed once each)
     assert (r["turns_in_era"], r["food_total"], r["great_general_points_total"]) == (2, 33.0, 3)
     assert r["city_count_avg"] == 2.0 and r["unit_maintenance_total"] == 2
+
+
+def test_unit_compositions(spark):
+    ms = spark.createDataFrame(
+        [("G", "Rome", 1, "W", "Rome"), ("G", "Rome", 1, "W", "Rome"), ("G", "", 2, "W", "Rome"),
+         ("G", "Rome", 2, "", "")],
+        "game_id string, owner_civ string, turn int, unit string, unit_owner_civ string")
+    cte = spark.createDataFrame([("G", "Rome", t, 1) for t in range(1, 5)],
+                                "game_id string, civ string, turn int, era int")
+    t = sorted(tuple(r) for r in marts.unit_compositions_turns(ms).collect())
+    assert t == [("G", "Rome", 1, "W", 2), ("G", "Rome", 2, "W", 1)]
+    e = marts.units_per_turn(ms, cte).first()
+    assert (e["total_count"], e["turn_count"], e["avg_count"]) == (3, 4, 0.75)

@@ -92,6 +92,7 @@ def run_log_etl(spark: SparkSession, log_root: str, out_root: str, cache_root: s
         "civ_choices": marts.civ_choices(cgr, branches, rc),
         "vassalage": deals,
         "vassalage_map": marts.latest_vassalage(deals),
+        "unit_compositions_turns": marts.unit_compositions_turns(mstate),
         "unit_compositions_eras": marts.units_per_turn(mstate, cte),
         "map_state_by_era": marts.units_and_map_by_era(mstate, cte),
         "handicap_yields": hy,

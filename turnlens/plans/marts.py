@@ -339,19 +339,25 @@ def plot_yield_totals(py: DataFrame) -> DataFrame:
                        *[F.col(y).alias(y.replace("YIELD_", "").lower()) for y in ys])
 
 
+def unit_compositions_turns(map_state: DataFrame) -> DataFrame:
+    """Unit counts per (game, civ, turn, unit), non-empty unit and owner
+    only."""
+    return (map_state.filter((F.col("unit") != "") & (F.col("unit_owner_civ") != ""))
+            .groupBy("game_id", F.col("unit_owner_civ").alias("civ"), "turn", "unit")
+            .agg(F.count(F.lit(1)).alias("count")))
+
+
 def units_per_turn(map_state: DataFrame, cte: DataFrame) -> DataFrame:
-    """A22 + A23: unit counts per (game, civ, turn, unit) for non-empty keys,
-    then the average per turn over distinct spine turns of (game, civ, era),
+    """Per (game, civ, era, unit) the unit count summed over the era's
+    snapshot turns divided by the distinct spine turns of (game, civ, era),
     so turns without the unit count as zero; the spine join uses all three
     keys (B5)."""
-    u = map_state.filter((F.col("unit") != "") & (F.col("unit_owner_civ") != "")).groupBy(
-        "game_id", F.col("unit_owner_civ").alias("civ"), "turn", "unit").agg(
-        F.count(F.lit(1)).alias("n"))
+    u = unit_compositions_turns(map_state)
     num = (u.join(cte, ["game_id", "civ", "turn"], "inner")
-           .groupBy("game_id", "civ", "era", "unit").agg(F.sum("n").alias("total")))
-    den = cte.groupBy("game_id", "civ", "era").agg(F.countDistinct("turn").alias("turns"))
+           .groupBy("game_id", "civ", "era", "unit").agg(F.sum("count").alias("total_count")))
+    den = cte.groupBy("game_id", "civ", "era").agg(F.countDistinct("turn").alias("turn_count"))
     return (num.join(den, ["game_id", "civ", "era"])
-            .withColumn("avg_per_turn", F.col("total") / F.col("turns")))
+            .withColumn("avg_count", F.col("total_count").cast("double") / F.col("turn_count")))
 
 
 def finishing_places(store_results: DataFrame) -> DataFrame:
