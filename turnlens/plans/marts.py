@@ -276,7 +276,10 @@ def authority_victories(own: DataFrame, threshold: float = 0.66666) -> DataFrame
     hit = own.filter((F.col("tiles_owned_percentage") > threshold)
                      & (F.col("cities_owned_percentage") > threshold))
     first = hit.groupBy("game_id", "effective_owner").agg(F.min("turn").alias("turn"))
-    return hit.join(first, ["game_id", "effective_owner", "turn"], "inner")
+    out = hit.join(first, ["game_id", "effective_owner", "turn"], "inner")
+    # the reference's names for the same row: owner_nation and a victory flag
+    return out.withColumn("owner_nation", F.col("effective_owner")).withColumn(
+        "pseudo_victory", F.lit(1))
 
 
 def instant_yield_pivot(iy: DataFrame, yields: dict | None = None) -> DataFrame:
