@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -64,20 +64,32 @@ def get_session(master: str | None = None, app: str = "turnlens",
 def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A folder under the cluster's shared ``spark.checkpoint.dir``.
 
-    The setting is read from the session; a local fallback is set only when
-    the session has none (tests on one machine).
+    The setting is read from the session (it cannot be set on a running one).
+    A session without it gets a temporary folder in local mode, where driver
+    and executors are one process; on a cluster it is an error, because a
+    machine-local folder would be invisible to the other machines.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = os.path.join("/tmp", "turnlens-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        root = "file://" + tempfile.mkdtemp(prefix="turnlens-checkpoints-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(root)
     return "/".join([root.rstrip("/"), *parts])
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh, uniquely named folder under the shared checkpoint root."""
-    return shared_dir(spark, "turnlens", f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh, uniquely named folder under the shared checkpoint root, in
+    this application's own folder (see :func:`remove_scratch`)."""
+    return shared_dir(spark, "turnlens", spark.sparkContext.applicationId,
+                      f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete every scratch folder this application made, once no frame that
+    reads them is needed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
+        shared_dir(spark, "turnlens", spark.sparkContext.applicationId))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
