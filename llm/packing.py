@@ -4,10 +4,12 @@ A packer holds at most ``open_bins`` open sequences. An integer serves as a
 bitset keyed by free space: bit f is set while some open sequence has exactly
 f places left, so the tightest open sequence that takes a piece is found with
 two bit operations. If none takes it and all places are in use, the fullest
-closes first. Each task packs the documents of its own input split as they
-stream by; the at most ``open_bins`` sequences that are still open at the end
-of a task are then packed as pieces themselves, in groups of bounded size, so
-the loss at task borders does not grow with the number of tasks.
+closes first. Each task packs the documents of its own input split; the
+stream is ordered by decreasing length within chunks of as many tokens as the
+open sequences hold. Sequences still open at the end of a task that have over
+a sixteenth of their space left are then packed as pieces themselves, in
+groups of bounded size, so the loss at task borders does not grow with the
+number of tasks.
 
 Defined cases: a null or empty text is one piece of length 1 (the end id).
 Null and repeated ids are packed row by row. An empty table gives an empty
@@ -27,7 +29,7 @@ from llm import tokens
 from llm.common import batches, crc32, documents, id_and_text, stage, texts
 
 SEQUENCE = 4096
-OPEN_BINS = 512
+OPEN_BINS = 4096
 #: Left-open sequences that one task packs together.
 MERGE_ROWS = 50_000
 
@@ -82,31 +84,47 @@ class BestFit:
                 yield number, self.size - free, items
 
 
-PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
-                    ("length", pa.int64()), ("ids_crc32", pa.int64()), ("bin", pa.int64()),
-                    ("offset", pa.int64()), ("open", pa.int64())])
+PIECE = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
+         ("length", pa.int64()), ("ids_crc32", pa.int64())]
+PIECE_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _pack(path: str, size: int, open_bins: int):
+def _cut(path: str, size: int, chunk_tokens: int):
+    schema = pa.schema([*PIECE, ("chunk", pa.int64())])
+
+    def rows(found: Iterator[pa.RecordBatch]):
+        seen = 0
+        for batch in found:
+            doc_ids = batch.column(0).to_pylist()
+            for doc_id, ids in zip(doc_ids, tokens.encode(texts(batch.column(1)), path), strict=True):
+                for piece, a in enumerate(range(0, len(ids), 4 * size)):
+                    part = ids[a:a + 4 * size]
+                    seen += len(part) // 4
+                    yield doc_id, piece, a // 4, len(part) // 4, crc32(part), seen // chunk_tokens
+
+    return lambda found: batches(rows(found), schema)
+
+
+def _pack(size: int, open_bins: int):
+    schema = pa.schema([*PIECE, ("bin", pa.int64()), ("offset", pa.int64()), ("open", pa.int64())])
+
     def rows(found: Iterator[pa.RecordBatch]):
         first = TaskContext.get().partitionId() << 32
         packer = BestFit(size, open_bins)
 
-        def out(closed, still_open: bool):
+        def out(closed, at_end: bool):
             for number, used, items in closed:
-                for (doc_id, piece, at, n, crc), place in items:
-                    yield doc_id, piece, at, n, crc, first + number, place, used if still_open else 0
+                left_open = used if at_end and 16 * (size - used) > size else 0
+                for piece, place in items:
+                    yield *piece, first + number, place, left_open
 
         for batch in found:
-            doc_ids = batch.column(0).to_pylist()
-            for doc_id, ids in zip(doc_ids, tokens.encode(texts(batch.column(1)), path), strict=True):
-                for piece, a in enumerate(range(0, len(ids), 4 * size)):
-                    part = ids[a:a + 4 * size]
-                    yield from out(packer.add(
-                        len(part) // 4, (doc_id, piece, a // 4, len(part) // 4, crc32(part))), False)
+            columns = [batch.column(c).to_pylist() for c in range(len(PIECE))]
+            for piece in zip(*columns, strict=True):
+                yield from out(packer.add(piece[3], piece), False)
         yield from out(packer.rest(), True)
 
-    return lambda found: batches(rows(found), PIECES)
+    return lambda found: batches(rows(found), schema)
 
 
 def _merge(size: int, open_bins: int):
@@ -132,10 +150,12 @@ def pack(docs: DataFrame, size: int = SEQUENCE, open_bins: int = OPEN_BINS,
          path: str | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32,
     sequence_id and offset. Sequence ids are unique, not consecutive."""
-    packed = stage(docs.select(*id_and_text(docs)).mapInArrow(
-        _pack(path or tokens.tokenizer_path(), size, open_bins),
-        "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, "
-        "offset long, open long"), "packed")
+    pieces = docs.select(*id_and_text(docs)).mapInArrow(
+        _cut(path or tokens.tokenizer_path(), size, size * open_bins), PIECE_SQL + ", chunk long")
+    packed = stage(
+        pieces.sortWithinPartitions("chunk", F.desc("length"), "doc_id", "piece", "ids_crc32")
+        .drop("chunk").mapInArrow(_pack(size, open_bins),
+                                  PIECE_SQL + ", bin long, offset long, open long"), "packed")
     left = packed.filter("open > 0").groupBy("bin").agg(F.max("open").alias("used"))
     left = stage(left, "open-bins")
     groups = max(1, left.count() // MERGE_ROWS)
