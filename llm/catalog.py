@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from llm.length_histogram import op9_length_histogram
 from llm.packing import op8_packing
 from llm.quality_rules import op3_quality_rules
+from llm.sharding import op1_sharding
 from llm.token_files import op4_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_files": op4_token_files,
     "op8_packing": op8_packing,
