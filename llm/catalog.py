@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from llm.decontaminate import op10_decontaminate
 from llm.length_histogram import op9_length_histogram
 from llm.packing import op8_packing
 from llm.quality_rules import op3_quality_rules
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op8_packing": op8_packing,
     "op9_length_histogram": op9_length_histogram,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLES: dict[str, str] = {}
