@@ -10,6 +10,7 @@ from llm.decontaminate import op10_decontaminate
 from llm.length_histogram import op9_length_histogram
 from llm.packing import op8_packing
 from llm.quality_rules import op3_quality_rules
+from llm.secrets import op5_secrets
 from llm.sharding import op1_sharding
 from llm.token_files import op4_token_files
 
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_files": op4_token_files,
+    "op5_secrets": op5_secrets,
     "op8_packing": op8_packing,
     "op9_length_histogram": op9_length_histogram,
     "op10_decontaminate": op10_decontaminate,
