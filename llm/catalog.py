@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from llm.decontaminate import op10_decontaminate
 from llm.length_histogram import op9_length_histogram
+from llm.near_dedup import op6_near_dedup
 from llm.packing import op8_packing
 from llm.quality_rules import op3_quality_rules
 from llm.secrets import op5_secrets
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_token_files": op4_token_files,
     "op5_secrets": op5_secrets,
+    "op6_near_dedup": op6_near_dedup,
     "op8_packing": op8_packing,
     "op9_length_histogram": op9_length_histogram,
     "op10_decontaminate": op10_decontaminate,
