@@ -25,7 +25,19 @@ ROW_KEY = ["_rf", "_rr"]
 SPACE = r"[\x20\x09-\x0D]"
 
 
+#: Rows of whole texts that go to a Python worker at a time.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts are long rows: keep what one Arrow batch holds small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
