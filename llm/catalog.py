@@ -14,9 +14,11 @@ from llm.quality_rules import op3_quality_rules
 from llm.secrets import op5_secrets
 from llm.sharding import op1_sharding
 from llm.token_files import op4_token_files
+from llm.toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_toxicity": op2_toxicity,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_files": op4_token_files,
     "op5_secrets": op5_secrets,
