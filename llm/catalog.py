@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from llm.decontaminate import op10_decontaminate
+from llm.language_model import op7_language_model
 from llm.length_histogram import op9_length_histogram
 from llm.near_dedup import op6_near_dedup
 from llm.packing import op8_packing
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_secrets": op5_secrets,
     "op6_near_dedup": op6_near_dedup,
+    "op7_language_model": op7_language_model,
     "op8_packing": op8_packing,
     "op9_length_histogram": op9_length_histogram,
     "op10_decontaminate": op10_decontaminate,
