@@ -1,10 +1,89 @@
-"""Corpus pipeline (stages are added as their operators land)."""
-STAGES = []
+"""Corpus pipeline over ``documents``, stage by stage.
+
+``STAGES`` lists (name, function) pairs; each function takes (spark, docs,
+sf_dir) and returns a DataFrame, which the caller writes as Parquet and reads
+again as the next stage's ``docs``. All stages but the last return the
+columns of ``documents``.
+
+* ``toxicity``: trains on the labels of the documents at hand and drops those
+  the classifier rejects (score of at least 0.5).
+* ``near_dedup``: keeps one document of each near-duplicate group, the one of
+  least id; texts without words are kept.
+* ``decontaminate``: drops documents with a benchmark window.
+* ``secrets``: replaces the secret part of every span; ``n_chars`` follows.
+* ``packing``: packs the rest into sequences; one row per piece.
+
+Part of the document operators: the driver may remove this file with them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from llm import decontaminate, near_dedup, packing, secrets, toxicity
+from llm.common import ROW_KEY, bounded_batches, documents, stage, with_row_key
+
+#: Row keys that are broadcast at most (16 bytes each).
+BROADCAST_ROWS = 200_000
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    classifier = toxicity.train(docs, documents(spark, sf_dir, "labels"))
+    name = "_toxicity"
+    return toxicity.with_score(docs, classifier, out=name).filter(F.col(name) < 0.5).drop(name)
+
+
+def _drop(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose row key is not in ``keys``; few keys are sent to
+    every task, more are joined by a shuffle."""
+    names = [f"c{i}" for i in range(len(docs.columns))]  # no clash with the key
+    rows = with_row_key(docs.toDF(*names), *names)
+    keys = stage(keys, "dropped")
+    if keys.count() <= BROADCAST_ROWS:
+        keys = F.broadcast(keys)
+    return rows.join(keys, ROW_KEY, "left_anti").select(*names).toDF(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    found = near_dedup.NearDuplicates(docs).result()
+    return _drop(docs, found.filter("not first").select(*ROW_KEY))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    found = decontaminate.contaminated(docs, documents(spark, sf_dir, "benchmark"))
+    return _drop(docs, found.filter("n_hit > 0").select(*ROW_KEY))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return secrets.redact(docs, secrets.train(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("decontaminate", drop_contaminated),
+    ("secrets", redact_secrets),
+    ("packing", pack),
+]
+
+#: The classifier, the MinHash groups and the packing are not expressible in
+#: SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, f in STAGES:
-        docs = f(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to ``documents``, each written and read again."""
+    docs = documents(spark, sf_dir)
+    for name, function in STAGES[:-1]:
+        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
