@@ -107,7 +107,11 @@ def _repeat_words(d: DataFrame) -> DataFrame:
     at = F.col("_at")
     gap = F.transform(at, lambda p, i: F.least(
         F.coalesce(F.get(at, i + 1) - p, F.lit(WINDOW)), F.lit(WINDOW)))
-    return d.withColumn("n_repeat_words", F.when(s.isNotNull(), F.aggregate(
+    # The optimizer would push a later filter on this column down to the scan
+    # and spell out all the arrays above inside it, once per use. It leaves
+    # filters above expressions that it can't repeat, such as this condition.
+    once = F.spark_partition_id() >= 0
+    return d.withColumn("n_repeat_words", F.when(once & s.isNotNull(), F.aggregate(
         gap, F.lit(0), lambda a, x: a + x)).otherwise(F.lit(0)).cast("long"))
 
 
