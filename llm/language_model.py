@@ -7,9 +7,9 @@ share slots by a hash of their last letters. The model is
 
     P(token | history) = P(class | history) P(slot | class, history) P(token | slot)
 
-Both softmaxes are log-linear in hashed features of the history: a constant,
-the previous slot, the previous two, and the one before the previous (skip);
-within a class the features are crossed with it. P(token | slot) is
+Both softmaxes are log-linear in hashed features of the history: for the class a
+constant, the previous slot, the previous two, and the one before the previous
+(skip); within a class a constant and the previous slot, crossed with it. P(token | slot) is
 (count + 1) / (slot's count + slot's words + 1) over the training counts.
 
 Training. Counts cover all training documents. The weights are trained in
@@ -50,19 +50,18 @@ CLASSES = SLOTS = 32
 OWN_SLOTS = CLASSES * SLOTS // 2
 START = CLASSES * SLOTS
 #: Feature rows: class softmax, then the softmax within a class.
-TRIGRAMS, CROSSED, CROSSED_SKIP = 4096, 8192, 4096
+TRIGRAMS, CROSSED = 4096, 8192
 BIGRAM_AT, SKIP_AT = 1, 1 + START + 1
 TRIGRAM_AT = SKIP_AT + START + 1
 IN_CLASS_AT = TRIGRAM_AT + TRIGRAMS
 CROSSED_AT = IN_CLASS_AT + CLASSES
-CROSSED_SKIP_AT = CROSSED_AT + CROSSED
-TABLE_ROWS = CROSSED_SKIP_AT + CROSSED_SKIP
-ROUNDS, STEP, BATCH = 3, 0.15, 4096
+TABLE_ROWS = CROSSED_AT + CROSSED
+ROUNDS, STEP, BATCH = 3, 0.08, 1024
 #: Sums of weight changes are made in this many groups of tasks at first.
 GROUPS = 8
 FREQUENT = 400_000
 COUNTER_WORDS = 400_000
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 END = b""  # no word is empty
 
 
@@ -112,18 +111,26 @@ def features(now: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[list, l
     cls = now // SLOTS
     pair = (one * 1_000_003 + two) * 0x9E3779B1 >> 7
     crossed = (one * 1_000_003 + cls) * 0x85EBCA6B >> 7
-    skip = (two * 1_000_003 + cls) * 0xC2B2AE35 >> 7
     return ([BIGRAM_AT + one, SKIP_AT + two, TRIGRAM_AT + pair % TRIGRAMS],
-            [IN_CLASS_AT + cls, CROSSED_AT + crossed % CROSSED, CROSSED_SKIP_AT + skip % CROSSED_SKIP])
+            [IN_CLASS_AT + cls, CROSSED_AT + crossed % CROSSED])
 
 
-def log_softmax(weights: np.ndarray, rows: list[np.ndarray], constant: np.ndarray | float = 0.0) -> np.ndarray:
-    z = weights[rows[0]]
+_ONES = np.ones(SLOTS, np.float32)
+#: Log-odds beyond this are cut before exp.
+MOST = np.float32(60.0)
+
+
+def exp_scores(weights: np.ndarray, rows: list[np.ndarray],
+               constant: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Unnormalised chances of the outcomes per token, and their sums."""
+    z = weights.take(rows[0], axis=0, mode="clip")
     for r in rows[1:]:
-        z += weights[r]
-    z += constant
-    z -= z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+        z += weights.take(r, axis=0, mode="clip")
+    if constant is not None:
+        z += constant
+    np.minimum(z, MOST, out=z)
+    np.exp(z, out=z)
+    return z, z @ _ONES
 
 
 def log_chance(weights: np.ndarray, now: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -133,8 +140,9 @@ def log_chance(weights: np.ndarray, now: np.ndarray, one: np.ndarray, two: np.nd
         s = slice(a, a + BATCH)
         of_class, of_slot = features(now[s], one[s], two[s])
         n = np.arange(len(now[s]))
-        out[s] = (log_softmax(weights, of_class, weights[0])[n, now[s] // SLOTS]
-                  + log_softmax(weights, of_slot)[n, now[s] % SLOTS])
+        c, c_sum = exp_scores(weights, of_class, weights[0])
+        w, w_sum = exp_scores(weights, of_slot)
+        out[s] = np.log(c[n, now[s] // SLOTS] / c_sum) + np.log(w[n, now[s] % SLOTS] / w_sum)
     return out
 
 
@@ -147,26 +155,31 @@ class Trainer:
         self.seen = np.full(TABLE_ROWS, 1e-4, np.float32)
         self.touched = np.zeros(TABLE_ROWS, np.float32)
 
-    def _step(self, rows: np.ndarray, error: np.ndarray) -> None:
+    def _step(self, at: np.ndarray | int, g: np.ndarray, n: np.ndarray | int) -> None:
+        """One step of the weight rows ``at`` against gradients g of n tokens."""
+        self.seen[at] += (g * g).sum(-1) / SLOTS
+        self.weights[at] -= STEP * g / np.sqrt(self.seen[at])[..., None]
+        self.touched[at] += n
+
+    def _scatter(self, rows: np.ndarray, error: np.ndarray) -> None:
+        rows = rows.astype(np.uint16)  # sorted by radix; TABLE_ROWS are fewer
         order = np.argsort(rows, kind="stable")
-        held = rows[order]
+        held = rows[order].astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1])))
-        g = np.add.reduceat(error[order], first, axis=0)
-        at = held[first]
-        self.seen[at] += np.einsum("ij,ij->i", g, g) / SLOTS
-        self.weights[at] -= STEP * g / np.sqrt(self.seen[at])[:, None]
-        self.touched[at] += np.diff(np.append(first, len(held)))
+        self._step(held[first], np.add.reduceat(error.take(order, axis=0), first, axis=0),
+                   np.diff(np.append(first, len(held))))
 
     def train(self, now: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         of_class, of_slot = features(now, one, two)
         n = np.arange(len(now))
-        for rows, goal, constant in ((of_class, now // SLOTS, self.weights[0]), (of_slot, now % SLOTS, 0.0)):
-            error = np.exp(log_softmax(self.weights, rows, constant))
+        for rows, goal, constant in ((of_class, now // SLOTS, self.weights[0]), (of_slot, now % SLOTS, None)):
+            error, sums = exp_scores(self.weights, rows, constant)
+            error /= sums[:, None]
             error[n, goal] -= 1
             for r in rows:
-                self._step(r, error)
+                self._scatter(r, error)
             if rows is of_class:
-                self._step(np.zeros(len(now), np.int64), error)
+                self._step(0, error.sum(0), len(now))
 
     def change(self) -> np.ndarray:
         """Per row, the change times the tokens that touched it, and these."""
@@ -183,9 +196,15 @@ def count_words(docs: DataFrame) -> DataFrame:
             for text in texts(batch.column(0)):
                 counts.update(tokens(text))
             if len(counts) > COUNTER_WORDS:
-                yield from batches(counts.items(), schema)
+                yield from send(counts)
                 counts.clear()
-        yield from batches(counts.items(), schema)
+        yield from send(counts)
+
+    def send(counts: Counter[bytes]) -> Iterator[pa.RecordBatch]:
+        words, n = list(counts), list(counts.values())
+        for a in range(0, len(n), 50_000):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(words[a:a + 50_000], pa.binary()), pa.array(n[a:a + 50_000], pa.int64())], schema=schema)
 
     return stage(docs.select("text").mapInArrow(run, "word binary, c long")
                  .groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
@@ -305,58 +324,73 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     n, v = _slot_sizes(vocabulary, slots)
     weights = np.zeros((TABLE_ROWS, SLOTS), np.float32)
     by_class = n.reshape(CLASSES, SLOTS)
-    weights[0] = np.log(by_class.sum(1) + 1.0)
-    weights[IN_CLASS_AT:IN_CLASS_AT + CLASSES] = np.log(by_class + 0.5)
+    weights[0] = np.log((by_class.sum(1) + 1.0) / (size.n + CLASSES))
+    weights[IN_CLASS_AT:IN_CLASS_AT + CLASSES] = np.log(
+        (by_class + 0.5) / (by_class.sum(1, keepdims=True) + 0.5 * SLOTS))
     share = F.pmod(F.xxhash64("text"), F.lit(rounds))
     for k in range(rounds if size.n else 0):
         weights = weights + _round(docs.filter(F.coalesce(share, F.lit(0)) == k), weights, slots)
     return Model(weights, own, n + v + 1, counts, size.n, size.v), vocabulary
 
 
+class _Places(dict):
+    """Place of each frequent word in ``log`` (log10 of count + 1) and ``slot``;
+    any other word gives -1 - its slot."""
+
+    def __init__(self, m: Model):
+        super().__init__((w, i) for i, w in enumerate(m.counts))
+        self.slots = Slots(m.own)
+        self.log = np.log10(np.fromiter(m.counts.values(), np.float64, len(self)) + 1) if self else np.zeros(1)
+        self.slot = np.fromiter(map(self.slots.__getitem__, m.counts), np.int64, len(self)) if self \
+            else np.zeros(1, np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        return -1 - self.slots[word]
+
+
 def score(docs: DataFrame, model: Model, vocabulary: DataFrame) -> DataFrame:
     """One row per document: row key, doc_id, n_tokens, n_known, base_score
     and score, both log10."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rare = pa.struct([("word", pa.binary()), ("n", pa.int64())])
     schema = pa.schema([("_rf", pa.int64()), ("_rr", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()),
                         ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()),
-                        ("rare", pa.list_(rare))])
+                        ("rare", pa.list_(pa.binary()))])
 
     def rows(found: Iterator[pa.RecordBatch]):
         m = shared.value
-        if not hasattr(m, "log_count"):
-            # log10(count + 1) per frequent word; -1 marks a word to look up
-            m.log_count = {w: math.log10(c + 1) for w, c in m.counts.items()}
-            m.slots = Slots(m.own)
-        get, place = m.log_count.get, m.slots
+        if not hasattr(m, "places"):
+            m.places = _Places(m)
+        places = m.places
         base = math.log10(m.train_tokens + 1 * (m.types + 1))
         slot_base = np.log10(m.slot_size)
-        for batch in found:
-            keys = [batch.column(c).to_pylist() for c in range(3)]
-            words = [tokens(t) for t in texts(batch.column(3))]
-            at = [np.fromiter(map(place.__getitem__, w), np.int64, len(w)) for w in words]
-            ends = np.cumsum([len(w) for w in words])
-            if not len(ends):
-                continue
-            now, one, two = history(at)
-            parts = log_chance(m.weights, now, one, two) / math.log(10) - slot_base[now]
-            sums = np.add.reduceat(parts, np.concatenate(([0], ends[:-1])))
-            for rf, rr, doc_id, run, s in zip(*keys, words, sums.tolist(), strict=True):
-                known = np.fromiter((get(w, -1.0) for w in run), np.float64, len(run))
-                new = known < 0
-                logs = float(known.sum() + new.sum())
-                left = [run[i] for i in np.flatnonzero(new).tolist()]
-                yield (rf, rr, doc_id, len(run), len(run) - len(left), logs - len(run) * base, s + logs,
-                       [{"word": w, "n": n} for w, n in Counter(left).items()])
+        for big in found:
+            for a in range(0, big.num_rows, 100):
+                batch = big.slice(a, 100)
+                words = [tokens(t) for t in texts(batch.column(3))]
+                n = np.fromiter(map(len, words), np.int64, len(words))
+                first = np.concatenate(([0], np.cumsum(n)[:-1]))
+                flat = [w for run in words for w in run]
+                at = np.fromiter(map(places.__getitem__, flat), np.int64, len(flat))
+                new, known = at < 0, np.maximum(at, 0)
+                slot = np.where(new, -1 - at, places.slot[known])
+                logs = np.where(new, 0.0, places.log[known])
+                now, one, two = history(np.split(slot, first[1:]))
+                parts = log_chance(m.weights, now, one, two) / math.log(10) - slot_base[now] + logs
+                left = np.add.reduceat(new.astype(np.int64), first)
+                rare = pa.array([flat[i] for i in np.flatnonzero(new).tolist()], pa.binary())
+                ends = np.concatenate(([0], np.cumsum(left))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:3], pa.array(n), pa.array(n - left),
+                     pa.array(np.add.reduceat(logs, first) - n * base), pa.array(np.add.reduceat(parts, first)),
+                     pa.ListArray.from_arrays(pa.array(ends), rare)], schema=schema)
 
     scored = stage(with_row_key(docs, *id_and_text(docs)).mapInArrow(
-        lambda found: batches(rows(found), schema, 2000),
+        rows,
         "_rf long, _rr long, doc_id long, n_tokens long, n_known long, base double, score double, "
-        "rare array<struct<word: binary, n: long>>"), "scored")
-    looked_up = (scored.select(*ROW_KEY, F.explode("rare").alias("r")).select(*ROW_KEY, "r.word", "r.n")
-                 .join(vocabulary, "word")
-                 .groupBy(*ROW_KEY).agg(F.sum("n").alias("more"),
-                                        F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("logs")))
+        "rare array<binary>"), "scored")
+    # words beyond the frequent ones, each of bounded count: no hot key
+    looked_up = (scored.select(*ROW_KEY, F.explode("rare").alias("word")).join(vocabulary, "word")
+                 .groupBy(*ROW_KEY).agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("logs")))
     none = F.lit(0.0)
     return scored.drop("rare").join(looked_up, ROW_KEY, "left").select(
         *ROW_KEY, "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
