@@ -21,8 +21,8 @@ import public_tokenizers
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-CACHE_WORDS = 1_500_000
-CACHE_CHARS = 60_000_000
+CACHE_WORDS = 400_000
+CACHE_CHARS = 16_000_000
 #: Code points below this have no decompositions that NFC would put together
 #: anew, so a lower-case word of them passes the normalizer unchanged.
 PLAIN_BELOW = "ɐ"
