@@ -42,7 +42,7 @@ PATTERNS = [
 KINDS = [kind for kind, *_ in PATTERNS] + ["random"]
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 LEAST_RATIO = 12.0
-LEAST_PER_CHAR = 2.0
+LEAST_PER_CHAR = 1.0
 #: Share of a count that every step has beforehand, and the letters it is
 #: spread over.
 PRIOR, ALPHABET = 0.5, 66
