@@ -16,6 +16,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from turnlens.session import scratch_dir
+
 _UNB = W.unboundedPreceding
 _CHUNK = "__chunk"
 
@@ -143,10 +145,13 @@ def global_row_number(df: DataFrame, order: Sequence[Column | str], out: str = "
                       num_partitions: int | None = None) -> DataFrame:
     """1-based position in a total order without a single-partition window.
 
-    Range-partition on the order, number rows inside each partition, and add
-    the row counts of all earlier partitions. The offset table has one row
-    per partition, so broadcasting it is bounded by the partition count.
-    ``order`` must be a total order (add a unique tiebreak column).
+    The rows are range-partitioned on the order, numbered inside each
+    partition and written to the shared scratch folder in one job; offsets are
+    then taken from the written rows. (Evaluating the partitioning twice would
+    sample other boundaries: numbers would repeat and be missing.) The offset
+    table has one row per partition, so broadcasting it is bounded by the
+    partition count. ``order`` must be a total order (add a unique tiebreak
+    column).
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -154,12 +159,15 @@ def global_row_number(df: DataFrame, order: Sequence[Column | str], out: str = "
               .withColumn("__pid", F.spark_partition_id())
               .withColumn("__idx", F.monotonically_increasing_id()
                           - F.shiftleft(F.col("__pid").cast("long"), 33)))
-    counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
+    path = scratch_dir(spark, "row-number")
+    ranged.write.parquet(path)
+    placed = spark.read.schema(ranged.schema).parquet(path)
+    counts = placed.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
     offsets = counts.select(
         "__pid",
         F.coalesce(F.sum("__cnt").over(W.orderBy("__pid").rowsBetween(_UNB, -1)),
                    F.lit(0)).alias("__off"))
-    return (ranged.join(F.broadcast(offsets), "__pid")
+    return (placed.join(F.broadcast(offsets), "__pid")
             .withColumn(out, F.col("__off") + F.col("__idx") + 1)
             .drop("__pid", "__idx", "__off"))
 

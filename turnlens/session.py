@@ -36,14 +36,6 @@ CLUSTER_CONF = {
 }
 
 
-def shuffle_partitions_for(input_bytes: int, target_bytes: int = 256 * 1024 * 1024,
-                           minimum: int = 200, maximum: int = 100_000) -> int:
-    """Initial shuffle partition count so each partition starts near
-    ``target_bytes`` (AQE then coalesces); e.g. 100 TB → 100 000 (the cap)."""
-    n = -(-int(input_bytes) // target_bytes)
-    return max(minimum, min(maximum, n))
-
-
 def get_session(master: str | None = None, app: str = "turnlens",
                 shuffle_partitions: int | None = None,
                 extra: dict | None = None, cluster: bool = False) -> SparkSession:
@@ -80,6 +72,11 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     return "/".join([root.rstrip("/"), *parts])
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh, uniquely named folder under the shared checkpoint root, in
     this application's own folder (see :func:`remove_scratch`)."""
