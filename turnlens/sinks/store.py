@@ -8,21 +8,22 @@ loses executors or restarts re-reads what was committed.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from turnlens.operators.ordered import ordered_scan
+from turnlens.session import path_exists
 
-ROWS_PER_FILE = 200_000      # K01 sizing rule: ceil(rows / 200000) files, 1..64
-MAX_FILES = 64
+ROWS_PER_FILE = 200_000      # K01 sizing rule: ceil(rows / 200000) files
 
 
 def write_csv_sized(df: DataFrame, path: str, approx_rows: int | None = None) -> None:
-    """CSV with a header, file count from the row count (clamped to
-    1..64), and ``maxRecordsPerFile`` as a hard cap per file."""
+    """CSV with a header, one file per ``ROWS_PER_FILE`` rows, and
+    ``maxRecordsPerFile`` as a hard cap per file."""
     n = approx_rows if approx_rows is not None else df.count()
-    files = max(1, min(MAX_FILES, -(-n // ROWS_PER_FILE)))
+    files = max(1, -(-n // ROWS_PER_FILE))
     (df.repartition(files).write.mode("overwrite").option("header", True)
      .option("maxRecordsPerFile", ROWS_PER_FILE).csv(path))
 
@@ -40,8 +41,13 @@ class IdScopedCache:
 
     Rows are stored partitioned by a hash bucket of the id (not by the id
     itself: millions of ids would mean millions of folders and tiny files);
-    each append writes one file per bucket, and reads prune buckets through
-    a semi join on the bucket column (dynamic partition pruning)."""
+    reads prune buckets through a semi join on the bucket column (dynamic
+    partition pruning).
+
+    Each run writes its rows to a folder of its own and then publishes the
+    folder by appending its manifest rows; reads take published folders only.
+    A run that breaks off between the two leaves rows that nobody reads, and
+    the next run computes those ids again."""
 
     def __init__(self, spark: SparkSession, root: str, name: str, id_col: str,
                  n_buckets: int = 64):
@@ -55,11 +61,11 @@ class IdScopedCache:
     def _read_manifest(self, id_type: T.DataType) -> DataFrame | None:
         schema = T.StructType([T.StructField(self.id_col, id_type),
                                T.StructField("n_rows", T.LongType()),
-                               T.StructField("schema_json", T.StringType())])
-        try:
-            return self.spark.read.schema(schema).parquet(self.manifest)
-        except Exception:  # noqa: BLE001  (first run: no manifest yet)
+                               T.StructField("schema_json", T.StringType()),
+                               T.StructField("run", T.StringType())])
+        if not path_exists(self.spark, self.manifest):
             return None
+        return self.spark.read.schema(schema).parquet(self.manifest)
 
     def get(self, ids: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """``ids``: a frame with the id column. ``compute`` maps a frame of
@@ -71,34 +77,45 @@ class IdScopedCache:
         todo = ids if done is None else ids.join(done.select(self.id_col), self.id_col,
                                                  "left_anti")
         if todo.limit(1).count() > 0:
-            parsed = compute(todo)
+            parsed, run = compute(todo), uuid.uuid4().hex
             (parsed.withColumn("_bucket", self._bucket()).repartition("_bucket")
-             .write.mode("append").partitionBy("_bucket").parquet(self.table))
-            counts = parsed.groupBy(self.id_col).agg(F.count(F.lit(1)).alias("n_rows"))
-            marks = (todo.join(counts, self.id_col, "left")
-                     .select(self.id_col, F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"),
-                             F.lit(parsed.schema.json()).alias("schema_json")))
-            marks.write.mode("append").parquet(self.manifest)
+             .write.partitionBy("_bucket").parquet(f"{self.table}/run={run}"))
+            self._publish(todo, parsed.schema, run)
         man = self._read_manifest(id_type)
         schema = T.StructType.fromJson(json.loads(man.select(F.max("schema_json")).first()[0]))
         cols = schema.fieldNames()
-        stored_schema = T.StructType(schema.fields + [T.StructField("_bucket", T.IntegerType())])
-        stored = self.spark.read.schema(stored_schema).parquet(self.table)
+        runs = [r.run for r in man.select("run").distinct().collect()]   # one per append
+        stored = self._read_rows(schema, runs)
         wanted = ids.withColumn("_bucket", self._bucket())
         stored = stored.join(wanted.select("_bucket").distinct(), "_bucket", "left_semi")
         return stored.join(wanted.select(self.id_col), self.id_col, "left_semi").select(*cols)
 
 
+    def _read_rows(self, schema: T.StructType, runs: Sequence[str]) -> DataFrame:
+        fields = T.StructType(schema.fields + [T.StructField("run", T.StringType()),
+                                               T.StructField("_bucket", T.IntegerType())])
+        return (self.spark.read.schema(fields).option("basePath", self.table)
+                .parquet(*[f"{self.table}/run={r}" for r in runs]).drop("run"))
+
+    def _publish(self, todo: DataFrame, schema: T.StructType, run: str) -> None:
+        """Mark the run's ids as done, with row counts from the written files."""
+        counts = self._read_rows(schema, [run]).groupBy(self.id_col).agg(
+            F.count(F.lit(1)).alias("n_rows"))
+        marks = (todo.join(counts, self.id_col, "left")
+                 .select(self.id_col, F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"),
+                         F.lit(schema.json()).alias("schema_json"), F.lit(run).alias("run")))
+        marks.write.mode("append").parquet(self.manifest)
+
+
 def manifest_is_fresh(spark: SparkSession, manifest_path: str, output: str,
                       source_version: str, required_columns: Sequence[str] = (),
                       fingerprint: str = "") -> bool:
     """An output is fresh when its manifest row has the current
     source version and parameter fingerprint and lists all required columns."""
-    try:
-        m = spark.read.parquet(manifest_path).filter(F.col("output") == output)
-        row = m.orderBy(F.col("written_at").desc()).first()
-    except Exception:  # noqa: BLE001
+    if not path_exists(spark, manifest_path):
         return False
+    m = spark.read.parquet(manifest_path).filter(F.col("output") == output)
+    row = m.orderBy(F.col("written_at").desc()).first()
     if row is None or row["source_version"] != source_version or row["fingerprint"] != fingerprint:
         return False
     have = set(json.loads(row["columns"]))
@@ -206,7 +223,12 @@ def ingest_stats_file(spark: SparkSession, store: str, quarantine: str, file_nam
     appended. Returns one report row per table. One writer per store."""
     from turnlens.operators.keyed import mint_ids
     facts = {t: df for t, df in tables.items() if t != UUID_DICTIONARY}
-    bad = [t for t, df in facts.items() if t in contract and not schema_matches(df.schema, contract[t])]
+    # the tables already in the store bind, whatever the caller's contract says
+    expected = dict(contract)
+    for t in facts:
+        if path_exists(spark, f"{store}/{t}"):
+            expected[t] = spark.read.parquet(f"{store}/{t}").schema
+    bad = [t for t, df in facts.items() if t in expected and not schema_matches(df.schema, expected[t])]
     if bad:
         for t, df in tables.items():
             df.write.mode("append").parquet(f"{quarantine}/{file_name}/{t}")
@@ -214,9 +236,9 @@ def ingest_stats_file(spark: SparkSession, store: str, quarantine: str, file_nam
                                      "file string, table_name string, status string, rows long")
     local = tables[UUID_DICTIONARY].select(F.col("id").alias("__local"), "uuid_hex")
     dict_path = f"{store}/{UUID_DICTIONARY}"
-    try:
+    if path_exists(spark, dict_path):
         current = spark.read.parquet(dict_path).select("uuid_hex", F.col("id").cast("long"))
-    except Exception:  # noqa: BLE001  (empty store)
+    else:
         current = spark.createDataFrame([], "uuid_hex string, id long")
     grown = mint_ids(current, local.select("uuid_hex"), "uuid_hex", "id")
     new_rows = grown.join(current.select("uuid_hex"), "uuid_hex", "left_anti")
@@ -230,5 +252,8 @@ def ingest_stats_file(spark: SparkSession, store: str, quarantine: str, file_nam
                .select(*[F.col("__global").cast(df.schema[GAME_FK].dataType).alias(GAME_FK)
                          if c == GAME_FK else df[c] for c in cols]))
         out.write.mode("append").parquet(f"{store}/{t}")
-        report.append((file_name, t, "accepted", df.count()))
+        lost = df.join(translate, df[GAME_FK] == translate["__local"], "left_anti").count()
+        report.append((file_name, t, "accepted", df.count() - lost))
+        if lost:
+            report.append((file_name, t, "unmatched", lost))
     return spark.createDataFrame(report, "file string, table_name string, status string, rows long")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from turnlens.session import scratch_dir
+from turnlens.session import path_exists, scratch_dir
 
 
 def file_stream(spark: SparkSession, folder: str, file_glob: str, schema: T.StructType,
@@ -43,17 +43,17 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append",
     out, ckpt = f"{base}/table", f"{base}/checkpoint"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("__batch", F.lit(batch_id)).write.mode("append")
+        # a replayed batch replaces its own folder
+        (batch.withColumn("__batch", F.lit(batch_id)).write.mode("overwrite")
          .parquet(f"{out}/batch={batch_id}"))
 
     q = (stream.writeStream.outputMode(mode).foreachBatch(write)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
     schema = T.StructType(stream.schema.fields + [T.StructField("__batch", T.LongType())])
-    try:
-        res = spark.read.schema(schema).parquet(f"{out}/batch=*")
-    except Exception:  # noqa: BLE001  (no batch produced rows)
+    if not path_exists(spark, out):   # no batch at all
         return spark.createDataFrame([], stream.schema)
+    res = spark.read.schema(schema).parquet(f"{out}/batch=*")
     if keys:
         latest = res.groupBy(*keys).agg(F.max("__batch").alias("__last"))
         res = res.join(latest, list(keys)).filter(F.col("__batch") == F.col("__last")).drop("__last")
