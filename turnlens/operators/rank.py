@@ -58,7 +58,8 @@ def flag_group_argmax(df: DataFrame, keys: Sequence[str], score: str, id_col: st
     """Flag the one row per key with the highest score (smallest id on
     ties). The winner is found by a partial aggregate and joined back."""
     best = df.groupBy(*keys).agg(
-        F.max_by(F.col(id_col), F.struct(F.col(score), -F.col(id_col))).alias("__best"))
+        F.min_by(F.col(id_col), F.struct(F.col(score).isNull().alias("none"), (-F.col(score)).alias("score"),
+                                         F.col(id_col).alias("id"))).alias("__best"))
     return (df.join(best, list(keys), "left")
             .withColumn(out, (F.col(id_col) == F.col("__best")).cast("int"))
             .drop("__best"))

@@ -29,7 +29,6 @@ EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 ORDER_STATUSES = ["F", "O", "P"]
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 EVENT_ORIGIN = "2024-01-01"   # day 0 of the events table
-SPINE_DAYS = 30               # dense spine covers days 0..29
 
 MONEY = "decimal(18,2)"
 
@@ -47,6 +46,22 @@ def _r(c, d=6):
     return F.round(c, d)
 
 
+def domain(df, col, known):
+    """Pivot values: the known ones and whatever else the column holds, in
+    order. More values than a pivot may have is an error, never a cut."""
+    most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    found = [r[0] for r in df.select(col).filter(F.col(col).isNotNull()).distinct()
+             .limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{col} has more than {most} values")
+    return sorted({*known, *found})
+
+
+def last_day(ev):
+    """Last day index of the events at hand (the spine's end)."""
+    return ev.agg(F.coalesce(F.max("day"), F.lit(0))).first()[0]
+
+
 def _events(spark, sf):
     return table(spark, sf, "events").withColumn("day", day_index("ts", EVENT_ORIGIN))
 
@@ -63,12 +78,13 @@ def _ev_chunk():
 @query("one_hot_status_summary", "P04 A02")
 def one_hot_status_summary(spark, sf):
     o = table(spark, sf, "orders")
-    flags = {f"is_{s}": F.when(F.col("o_orderstatus") == s, 1).otherwise(0) for s in ORDER_STATUSES}
+    statuses = domain(o, "o_orderstatus", ORDER_STATUSES)
+    flags = {f"is_{s}": F.when(F.col("o_orderstatus") == s, 1).otherwise(0) for s in statuses}
     o = o.withColumns(flags)
     return o.groupBy("o_orderpriority").agg(
         F.count(F.lit(1)).alias("n_orders"),
-        *[_r(F.avg(f"is_{s}")).alias(f"rate_{s}") for s in ORDER_STATUSES],
-        *[F.sum(f"is_{s}").alias(f"n_{s}") for s in ORDER_STATUSES],
+        *[_r(F.avg(f"is_{s}")).alias(f"rate_{s}") for s in statuses],
+        *[F.sum(f"is_{s}").alias(f"n_{s}") for s in statuses],
         _r(F.avg("o_totalprice")).alias("avg_price"),
         F.sum(F.col("o_totalprice").cast(MONEY)).cast(MONEY).alias("sum_price"))
 
@@ -114,7 +130,7 @@ def winner_join_rate(spark, sf):
 def spine_running_total_q(spark, sf):
     ev = _events(spark, sf).filter(F.col("event_type") == "purchase")
     facts = ev.select("user_id", "day", F.col("value").cast(MONEY).alias("v"))
-    out = spine_running_total(facts, ["user_id"], "day", "v", 0, SPINE_DAYS - 1,
+    out = spine_running_total(facts, ["user_id"], "day", "v", 0, last_day(ev),
                               "day_value", "running_value")
     return out.select("user_id", "day", F.col("day_value").cast(MONEY).alias("day_value"),
                       F.col("running_value").cast(MONEY).alias("running_value"))
@@ -305,24 +321,25 @@ def iqr_outliers_topn(spark, sf):
 @query("pivot_count", "A04 P06")
 def pivot_count(spark, sf):
     ev = table(spark, sf, "events")
-    return reshape.pivot_count(ev, ["user_id"], "event_type", EVENT_TYPES, "n_")
+    return reshape.pivot_count(ev, ["user_id"], "event_type",
+                               domain(ev, "event_type", EVENT_TYPES), "n_")
 
 
 # A10 — pivot sum with fill
 @query("pivot_sum_fill", "A10 A08 A26 P08")
 def pivot_sum_fill(spark, sf):
     ev = table(spark, sf, "events")
-    return reshape.pivot_agg(ev, ["user_id"], "event_type", EVENT_TYPES,
+    types = domain(ev, "event_type", EVENT_TYPES)
+    return reshape.pivot_agg(ev, ["user_id"], "event_type", types,
                              F.sum(F.col("value").cast(MONEY)), "v_",
-                             fill=0).select("user_id", *[F.col(f"v_{t}").cast(MONEY)
-                                                         for t in EVENT_TYPES])
+                             fill=0).select("user_id", *[F.col(f"v_{t}").cast(MONEY) for t in types])
 
 
 # A42 — unpivot back to long
 @query("unpivot_long", "A42")
 def unpivot_long(spark, sf):
     wide = pivot_sum_fill(spark, sf)
-    return reshape.unpivot(wide, ["user_id"], {f"v_{t}": t for t in EVENT_TYPES},
+    return reshape.unpivot(wide, ["user_id"], {c: c.removeprefix("v_") for c in wide.columns[1:]},
                            "event_type", "total")
 
 
@@ -334,7 +351,8 @@ def complete_grid(spark, sf):
     r = table(spark, sf, "region")
     cr = (c.join(keyed.broadcast_if_small(n), c.c_nationkey == n.n_nationkey)
           .join(keyed.broadcast_if_small(r), F.col("n_regionkey") == r.r_regionkey))
-    grid = reshape.complete_grid(cr, "r_name", "c_mktsegment", SEGMENTS,
+    grid = reshape.complete_grid(cr, "r_name", "c_mktsegment",
+                                 domain(c, "c_mktsegment", SEGMENTS),
                                  F.count(F.lit(1)), "n_customers", 0)
     row_tot = cr.groupBy("r_name").agg(F.count(F.lit(1)).alias("region_total"))
     col_tot = cr.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("segment_total"))
@@ -385,7 +403,7 @@ def true_denominator_mean(spark, sf):
     active = ev.groupBy("user_id").agg(F.countDistinct("day").alias("active_days"))
     j = per.join(active, "user_id")
     j = j.withColumn("per_active_day", F.col("total").cast("double") / F.col("active_days"))
-    j = j.withColumn("per_spine_day", F.col("total").cast("double") / F.lit(SPINE_DAYS))
+    j = j.withColumn("per_spine_day", F.col("total").cast("double") / F.lit(last_day(ev) + 1))
     return j.groupBy("event_type").agg(
         _r(F.avg("per_active_day")).alias("mean_per_active_day"),
         _r(F.avg("per_spine_day")).alias("mean_per_spine_day"),
@@ -781,10 +799,11 @@ def five_number_summary(spark, sf):
 @query("row_percentages", "A70")
 def row_percentages(spark, sf):
     o = table(spark, sf, "orders")
-    ct = agg.count_if_crosstab(o, ["o_orderpriority"], "o_orderstatus", ORDER_STATUSES)
+    statuses = domain(o, "o_orderstatus", ORDER_STATUSES)
+    ct = agg.count_if_crosstab(o, ["o_orderpriority"], "o_orderstatus", statuses)
     return ct.select("o_orderpriority", "n",
                      *[_r(F.col(f"n_{s}") * 100.0 / F.col("n")).alias(f"pct_{s}")
-                       for s in ORDER_STATUSES])
+                       for s in statuses])
 
 
 # M13 — correlations
@@ -912,7 +931,8 @@ def left_censored_drop(spark, sf):
 def roster_check(spark, sf):
     from turnlens.operators import quality
     o = table(spark, sf, "orders")
-    r = quality.roster_check(o, "o_custkey", "o_orderstatus", len(ORDER_STATUSES), ORDER_STATUSES)
+    statuses = domain(o, "o_orderstatus", ORDER_STATUSES)
+    r = quality.roster_check(o, "o_custkey", "o_orderstatus", len(statuses), statuses)
     return r.select("o_custkey", "n_members", F.array_join("members", "|").alias("members"),
                     F.array_join("missing", "|").alias("missing"))
 

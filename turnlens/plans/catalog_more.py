@@ -3,13 +3,17 @@
 
 from __future__ import annotations
 
+import math
+from itertools import accumulate
+
 from pyspark.sql import functions as F
 
 from turnlens.functions.columns import (bitmask_of, bit_is_set, decision_class,
                                         first_non_empty, recode, rename)
 from turnlens.operators import keyed, rank, reshape
 from turnlens.operators.ordered import ordered_scan
-from turnlens.plans.catalog import MONEY, ORDER_STATUSES, SEGMENTS, _events, _r, query
+from turnlens.plans.catalog import (EVENT_TYPES, MONEY, ORDER_STATUSES, SEGMENTS, _events, _r, domain,
+                                    last_day, query)
 from turnlens.sources.tables import table
 
 
@@ -84,7 +88,8 @@ def first_then_pivot(spark, sf):
     c = rename(table(spark, sf, "customer"), {"c_acctbal": "balance", "c_mktsegment": "segment"})
     first = c.groupBy("c_nationkey", "segment").agg(
         F.min_by("balance", "c_custkey").alias("balance"))
-    return reshape.pivot_agg(first, ["c_nationkey"], "segment", SEGMENTS, F.first("balance"),
+    return reshape.pivot_agg(first, ["c_nationkey"], "segment",
+                             domain(c, "segment", SEGMENTS), F.first("balance"),
                              "bal_", fill=None)
 
 
@@ -92,7 +97,9 @@ def first_then_pivot(spark, sf):
 @query("branch_bitmask", "F08 P29")
 def branch_bitmask(spark, sf):
     o = table(spark, sf, "orders")
-    idx = F.array_position(F.array(*[F.lit(s) for s in ORDER_STATUSES]), F.col("o_orderstatus")) - 1
+    # known branches keep their bits, others follow
+    bits = [*ORDER_STATUSES, *[s for s in domain(o, "o_orderstatus", []) if s not in ORDER_STATUSES]]
+    idx = F.array_position(F.array(*[F.lit(s) for s in bits]), F.col("o_orderstatus")) - 1
     m = o.groupBy("o_custkey").agg(bitmask_of(idx).alias("mask"))
     return m.select("o_custkey", "mask",
                     bit_is_set("mask", 0).alias("has_F"), bit_is_set("mask", 2).alias("has_P"))
@@ -125,7 +132,7 @@ def roster_left_joins(spark, sf):
 @query("era_feature_pivot", "J26 M08")
 def era_feature_pivot(spark, sf):
     ev = _events(spark, sf).withColumn("week", F.floor(F.col("day") / 7).cast("int"))
-    weeks = [0, 1, 2, 3, 4]
+    weeks = list(range(last_day(ev) // 7 + 1))
     p = ev.groupBy("user_id").pivot("week", weeks).agg(
         F.sum(F.col("value").cast(MONEY)).alias("value"), F.count(F.lit(1)).alias("n"))
     cols = []
@@ -214,8 +221,9 @@ def bootstrap_resample(spark, sf):
     # Poisson(1) copies per (replicate, customer) from a seeded hash: an
     # exact inverse-CDF table, so no sample is collected to the driver
     reps = o.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(19))))
-    u = (F.abs(F.xxhash64(F.lit(11), "rep", "o_custkey")) % 1_000_000) / 1_000_000.0
-    cdf = [0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406, 0.999917, 0.999990]
+    # 53-bit uniform; terms of the law until none is left in a double
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(11), "rep", "o_custkey"), 11) / float(1 << 53)
+    cdf = list(accumulate(math.exp(-1) / math.factorial(i) for i in range(20)))
     k = F.lit(len(cdf))
     for i in reversed(range(len(cdf))):
         k = F.when(u < cdf[i], F.lit(i)).otherwise(k)
@@ -267,12 +275,11 @@ def ridge_facets(spark, sf):
 @query("contribution_score", "A65 J19")
 def contribution_score(spark, sf):
     from turnlens.operators import share as sh
-    from turnlens.plans.catalog import EVENT_TYPES
     ev = _events(spark, sf).withColumn("week", F.floor(F.col("day") / 7).cast("int"))
     g = ev.groupBy("week", "event_type").agg(F.sum(F.col("value").cast(MONEY)).cast("double")
                                              .alias("v"))
     s = sh.share_within(g, ["week"], "v", "share")
-    grid = reshape.complete_grid(s, "week", "event_type", EVENT_TYPES, F.first("share"), "share",
+    grid = reshape.complete_grid(s, "week", "event_type", domain(ev, "event_type", EVENT_TYPES), F.first("share"), "share",
                                  fill=0.0)
     n_weeks = s.select(F.countDistinct("week")).scalar()
     score = grid.groupBy("event_type").agg((F.sum("share") / n_weeks).alias("score"))
@@ -303,14 +310,14 @@ def runner_summary(spark, sf):
 @query("first_missing_tier", "W10 J19")
 def first_missing_tier(spark, sf):
     from turnlens.operators.ordered import dense_spine, global_row_number
-    from turnlens.plans.catalog import SPINE_DAYS
-    ev = _events(spark, sf).filter(F.col("day").between(0, SPINE_DAYS - 1))
+    ev = _events(spark, sf)
+    days = last_day(ev) + 1
     present = ev.select("user_id", "day").distinct()
-    spine = dense_spine(ev.select("user_id"), 0, SPINE_DAYS - 1, "day")
+    spine = dense_spine(ev.select("user_id"), 0, days - 1, "day")
     missing = (spine.join(present, ["user_id", "day"], "left_anti")
                .groupBy("user_id").agg(F.min("day").alias("first_missing")))
     users = ev.select("user_id").distinct().join(missing, "user_id", "left")
-    users = users.withColumn("first_missing", F.coalesce("first_missing", F.lit(SPINE_DAYS)))
+    users = users.withColumn("first_missing", F.coalesce("first_missing", F.lit(days)))
     before = ev.join(users, "user_id").filter(F.col("day") < F.col("first_missing"))
     last = before.groupBy("user_id").agg(
         F.max_by("event_type", F.struct("ts", "event_id")).alias("last_state"))

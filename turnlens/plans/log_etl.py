@@ -10,7 +10,7 @@ the raw logs).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnlens.plans import marts
 from turnlens.sinks.store import IdScopedCache, write_csv_sized
@@ -71,7 +71,9 @@ def run_log_etl(spark: SparkSession, log_root: str, out_root: str, cache_root: s
     research = marts.research_intervals(tech, tech_dim)
     cte = marts.civ_turn_era(research, tech_dim)
     rc = marts.religion_choices(rel, logs.RELIGION_EVENTS)
-    running = marts.instant_yield_running_totals(iy, YIELDS)
+    # totals run on through the economy's last turn
+    last = iy.select("turn").union(civ.select("turn")).agg(F.max("turn")).first()[0]
+    running = marts.instant_yield_running_totals(iy, YIELDS, max(1, last or 1))
     running = running.select("game_id", "civ", "turn",
                              *[running[f"rt_{y.lower()}"] for y in YIELDS])
     civ_corr = marts.civ_economy_corrected(civ, running, cte)

@@ -293,9 +293,13 @@ def instant_yield_pivot(iy: DataFrame, yields: dict | None = None) -> DataFrame:
                        *[F.col(f"__y_{y}").cast("bigint").alias(c) for y, c in yields.items()])
 
 
-def instant_yield_running_totals(iy: DataFrame, yields: list[str], max_turn: int = 500) -> DataFrame:
+def instant_yield_running_totals(iy: DataFrame, yields: list[str],
+                                 max_turn: int | None = None) -> DataFrame:
     """Dense turns 1..max_turn per (game, civ) with any instant yield;
-    running total per yield (turn 0 and > max_turn never enter)."""
+    running total per yield (turn 0 never enters). Without ``max_turn`` the
+    turns run to the last one of any game."""
+    if max_turn is None:
+        max_turn = max(1, iy.agg(F.coalesce(F.max("turn"), F.lit(1))).first()[0])
     out = None
     for y in yields:
         facts = iy.filter(F.lower("yield") == y.lower()).select("game_id", "civ", "turn", "value")

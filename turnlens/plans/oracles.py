@@ -84,8 +84,9 @@ GROUP BY o.o_orderpriority""",
 WITH f AS (SELECT user_id, {_DAY} AS day, CAST(value AS {_M}) AS v FROM events
            WHERE event_type = 'purchase'),
 u AS (SELECT DISTINCT user_id FROM f),
-s AS (SELECT u.user_id, CAST(r.range AS INTEGER) AS day FROM u CROSS JOIN range(0, 30) r),
-p AS (SELECT user_id, day, sum(v) AS v FROM f WHERE day BETWEEN 0 AND 29 GROUP BY 1, 2)
+n AS (SELECT max({_DAY}) AS last FROM events),
+s AS (SELECT u.user_id, CAST(unnest(range(0, n.last + 1)) AS INTEGER) AS day FROM u, n),
+p AS (SELECT user_id, day, sum(v) AS v FROM f GROUP BY 1, 2)
 SELECT s.user_id, s.day, CAST(coalesce(p.v, 0) AS {_M}) AS day_value,
   CAST(sum(coalesce(p.v, 0)) OVER (PARTITION BY s.user_id ORDER BY s.day
        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {_M}) AS running_value
@@ -293,7 +294,7 @@ WITH e AS (SELECT *, {_DAY} AS day FROM events),
 per AS (SELECT user_id, event_type, sum(CAST(value AS {_M})) AS total FROM e GROUP BY 1, 2),
 act AS (SELECT user_id, count(DISTINCT day) AS active_days FROM e GROUP BY 1)
 SELECT event_type, round(avg(CAST(total AS DOUBLE) / active_days), 6) AS mean_per_active_day,
-  round(avg(CAST(total AS DOUBLE) / 30), 6) AS mean_per_spine_day, count(*) AS n_users
+  round(avg(CAST(total AS DOUBLE) / (SELECT max(day) + 1 FROM e)), 6) AS mean_per_spine_day, count(*) AS n_users
 FROM per JOIN act ON per.user_id = act.user_id GROUP BY event_type""",
 
     "copy_normalised_rate": f"""
@@ -870,14 +871,14 @@ SELECT user_id, count(*) AS games, CAST(sum(turns) AS BIGINT) AS total_turns,
 FROM g GROUP BY user_id""",
     "first_missing_tier": f"""
 WITH e AS (SELECT *, {_DAY} AS day FROM events),
-e2 AS (SELECT * FROM e WHERE day BETWEEN 0 AND 29),
+e2 AS (SELECT * FROM e), n AS (SELECT max(day) + 1 AS days FROM e),
 present AS (SELECT DISTINCT user_id, day FROM e2),
 u AS (SELECT DISTINCT user_id FROM e2),
-spine AS (SELECT u.user_id, CAST(r.range AS INTEGER) AS day FROM u CROSS JOIN range(0, 30) r),
+spine AS (SELECT u.user_id, CAST(unnest(range(0, n.days)) AS INTEGER) AS day FROM u, n),
 miss AS (SELECT s.user_id, min(s.day) AS first_missing FROM spine s
          LEFT JOIN present p ON s.user_id = p.user_id AND s.day = p.day
          WHERE p.user_id IS NULL GROUP BY 1),
-users AS (SELECT u.user_id, coalesce(m.first_missing, 30) AS first_missing FROM u
+users AS (SELECT u.user_id, coalesce(m.first_missing, (SELECT CAST(days AS INTEGER) FROM n)) AS first_missing FROM u
           LEFT JOIN miss m ON u.user_id = m.user_id),
 last AS (SELECT user_id, event_type AS last_state FROM (
            SELECT e2.user_id, e2.event_type, row_number() OVER (PARTITION BY e2.user_id

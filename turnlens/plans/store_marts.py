@@ -45,17 +45,17 @@ def building_yield_summaries(overview: DataFrame, yields: DataFrame,
     avg_present = F.col("CivTurnsPresent") / F.nullif(F.col("CivGames"), F.lit(0))
     base = ["Era", "Building", "Yield"]
     turn_avg = m.select(*base, *[F.coalesce(e, F.lit(0.0)).alias(c) for c, e in per.items()],
-                        F.coalesce("BuildingTurns", F.lit(0)).cast("int").alias("N"))
+                        F.coalesce("BuildingTurns", F.lit(0)).cast("bigint").alias("N"))
     era_tot = m.select(*base, *[F.coalesce(e * avg_present, F.lit(0.0)).alias(c)
                                 for c, e in per.items()],
-                       F.coalesce("CivGames", F.lit(0)).cast("int").alias("N"))
+                       F.coalesce("CivGames", F.lit(0)).cast("bigint").alias("N"))
     return era_tot, turn_avg
 
 
 def belief_yield_summary(rby: DataFrame, cte: DataFrame, by: str = "era", width: int = 10,
-                         start: int = 0, end: int = 300) -> DataFrame:
+                         start: int = 0, end: int | None = None) -> DataFrame:
     """A30 + J13 + P13 + P15 + P23: three-stage mean of belief yields.
-    Slice = era, or turn bucket ``t − t % width`` for start ≤ t < end.
+    Slice = era, or turn bucket ``t − t % width`` for start ≤ t < end (no end: all turns from start).
     Stage 1+2 (one GROUP BY): player slice total = Σ YieldTimes100 / 100 per
     (game, civ, slice, belief, type, owner, yield). Per turn = total / the
     player's distinct turns in the slice (inner join to the era spine).
@@ -64,8 +64,10 @@ def belief_yield_summary(rby: DataFrame, cte: DataFrame, by: str = "era", width:
         r_slice, e_slice = F.col("Era"), F.col("era")
         r, e = rby, cte
     else:
-        r = rby.filter((F.col("Turn") >= start) & (F.col("Turn") < end))
-        e = cte.filter((F.col("Turn") >= start) & (F.col("Turn") < end))
+        inside = F.col("Turn") >= start
+        if end is not None:
+            inside = inside & (F.col("Turn") < end)
+        r, e = rby.filter(inside), cte.filter(inside)
         r_slice, e_slice = bucket_start("Turn", width), bucket_start("Turn", width)
     slice_turns = e.groupBy(F.col("GameId"), F.col("civ").alias("Civ"), e_slice.alias("Slice")) \
         .agg(F.countDistinct("Turn").alias("SliceTurns"))
@@ -126,7 +128,7 @@ def unit_averages(units: DataFrame, cte: DataFrame) -> DataFrame:
     turns = j.groupBy("Civ", "Era").agg(F.countDistinct("GameId", "Turn").alias("CivTurns"))
     m = counts.join(turns, ["Civ", "Era"], "left")
     return m.withColumn("AvgCount", F.col("TotalCount") / F.col("CivTurns")).withColumn(
-        "N", F.coalesce("CivTurns", F.lit(0)).cast("int"))
+        "N", F.coalesce("CivTurns", F.lit(0)).cast("bigint"))
 
 
 def game_rollup(results: DataFrame, min_turn: int = 100) -> DataFrame:

@@ -214,7 +214,7 @@ def handicap_yields(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     "Received Handicap Bonus (N in Yields)" layout gives N to every yield
     it names. Lines without a handicap bonus go to the reject table."""
     d = _data_lines(lines).select("game_id", "file", "line_no", "line", _fields().alias("f"))
-    text = F.array_join(F.slice(F.col("f"), 3, 1_000_000), "")
+    text = F.array_join(F.slice(F.col("f"), 3, F.greatest(F.size("f") - 2, F.lit(0))), "")
     d = d.withColumn("__t", text)
     known = F.col("__t").contains("Received Handicap Bonus")
     lump = F.regexp_extract("__t", r"Received Handicap Bonus \((\d+(?:\.\d+)?) in Yields\)", 1)
