@@ -310,15 +310,19 @@ def instant_yield_running_totals(iy: DataFrame, yields: list[str],
 
 
 def trigger_stats(iy: DataFrame, cte: DataFrame) -> DataFrame:
-    """A11 (+ B8): per (era, reason, yield) over rows with value > 0:
-    mean/stddev of per-civ trigger counts and the average times triggered
-    per civ-game (players counted, not assumed)."""
-    j = iy.filter(F.col("value") > 0).join(cte, ["game_id", "civ", "turn"], "inner")
+    """A11 (+ B8): per (era, reason, yield) over triggers with a sum > 0,
+    where a trigger is all lines of one (game, turn, civ, reason): mean and
+    stddev of per-civ trigger counts, the mean over triggers (``avg_iy``) and
+    over per-civ means (``mean_value``), and the average times triggered per
+    civ-game (players counted, not assumed)."""
+    once = iy.groupBy("game_id", "turn", "civ", "reason", "yield").agg(F.sum("value").alias("value"))
+    j = once.filter(F.col("value") > 0).join(cte, ["game_id", "civ", "turn"], "inner")
     lvl1 = j.groupBy("game_id", "era", "reason", "yield", "civ").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value"))
+        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value"), F.sum("value").alias("total"))
     lvl2 = lvl1.groupBy("era", "reason", "yield").agg(
         F.avg("n").alias("mean_times"), F.stddev_samp("n").alias("sd_times"),
-        F.avg("mean_value").alias("mean_value"), F.sum("n").alias("rows"))
+        F.avg("mean_value").alias("mean_value"), F.sum("n").alias("rows"),
+        (F.sum("total") / F.sum("n")).alias("avg_iy"))
     n_pairs = cte.select(F.count_distinct("game_id", "civ")).scalar()
     return lvl2.withColumn("avg_times_triggered", F.col("rows") / n_pairs)
 
@@ -459,6 +463,12 @@ def _handicap_turns(hy: DataFrame) -> DataFrame:
                                    for y in CORRECTED_YIELDS])
 
 
+def _city_sources(j: DataFrame) -> DataFrame:
+    """City gold is what the civ row logs for its cities; the other yields
+    are the sums of the city rows."""
+    return j.withColumn("cities_gold", F.col("city_gold")) if "city_gold" in j.columns else j
+
+
 def economy_sources(civ_corr: DataFrame, city: DataFrame, instant: DataFrame,
                     handicap: DataFrame) -> DataFrame:
     """J08 + A15: three left joins of pre-aggregated sources onto the civ
@@ -469,7 +479,7 @@ def economy_sources(civ_corr: DataFrame, city: DataFrame, instant: DataFrame,
     j = (civ_corr.join(city_to_civ_turn(city), keys, "left")
          .join(reasons_to_civ_turn(instant, "iy_"), keys, "left")
          .join(_handicap_turns(handicap), keys, "left"))
-    j = j.na.fill(0)
+    j = _city_sources(j.na.fill(0))
     aggs = []
     for y in CORRECTED_YIELDS:
         aggs += [F.avg(f"cities_{y}").alias(f"city_{y}"),
@@ -571,6 +581,7 @@ def yield_sources_by_turn(civ_corr: DataFrame, city: DataFrame, instant: DataFra
     j = (civ_corr.join(city_to_civ_turn(city), keys, "left")
          .join(reasons_to_civ_turn(instant, "iy_"), keys, "left")
          .join(_handicap_turns(handicap), keys, "left")).na.fill(0)
+    j = _city_sources(j)
     cols = []
     for y in CORRECTED_YIELDS:
         cols += [F.col(y).alias(f"civ_{y}"), F.col(f"cities_{y}").alias(f"city_{y}"),
