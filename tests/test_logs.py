@@ -277,6 +277,11 @@ def test_full_log_etl_runs_and_reuses_cache(spark, root, tech_dim):
     assert [(r["branch"], r["victory_type"]) for r in bs] == [(2, None)]
     iy_src = {(r["reason"], r["yield"]): r for r in out["instant_yield_sources"].collect()}
     assert iy_src == {}                                          # turns 33-34 have no era rows
+    assert out["instant_yields"].columns[:5] == ["game_id", "turn", "era", "civ", "reason"]
+    assert out["handicap_yields"].columns[2] == "era"
+    assert out["rejects"].columns == ["family", "game_id", "file", "line_no", "line"]
+    assert "rejects" in {p.name for p in __import__("pathlib").Path(
+        base.removeprefix("file://") + "/out").iterdir()}
     # second run over the same root: nothing is parsed again, same answers
     out2 = run_log_etl(spark, root, f"{base}/out2", f"{base}/cache", tech_dim, names)
     assert out2["religion_choices"].count() == out["religion_choices"].count() == 3

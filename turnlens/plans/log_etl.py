@@ -10,6 +10,8 @@ the raw logs).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnlens.plans import marts
@@ -31,6 +33,7 @@ PATTERNS = {
     "civ_economy": "EconomicMonitorLog_*.csv*",
 }
 
+REJECT_COLUMNS = ["game_id", "file", "line_no", "line"]
 YIELDS = [y.capitalize() for y in marts.CORRECTED_YIELDS]   # as written in the log
 
 
@@ -61,10 +64,18 @@ def run_log_etl(spark: SparkSession, log_root: str, out_root: str, cache_root: s
     choices = cached("policy_choices", lambda w: logs.policy_choices(lines("policies", w)))
     deals = cached("vassalage", lambda w: logs.vassalage_deals(lines("vassalage", w)))
     iy = cached("instant_yields", lambda w: logs.instant_yields(lines("instant_yields", w)))
-    hy = cached("handicap_yields", lambda w: logs.handicap_yields(lines("handicap", w))[0])
-    city = cached("city_economy", lambda w: logs.city_economy(lines("city_economy", w))[0])
-    civ = cached("civ_economy", lambda w: logs.civ_economy(lines("civ_economy", w))[0])
-    gold = cached("gold_breakdown", lambda w: logs.gold_breakdown(lines("civ_economy", w))[0])
+    rejects = []
+
+    def cached_with_rejects(name: str, family: str, parser) -> DataFrame:
+        """Parsed rows; lines the parser refuses go to the rejects table."""
+        bad = cached(f"{name}_rejects", lambda w: parser(lines(family, w))[1].select(*REJECT_COLUMNS))
+        rejects.append(bad.select(F.lit(name).alias("family"), *REJECT_COLUMNS))
+        return cached(name, lambda w: parser(lines(family, w))[0])
+
+    hy = cached_with_rejects("handicap_yields", "handicap", logs.handicap_yields)
+    city = cached_with_rejects("city_economy", "city_economy", logs.city_economy)
+    civ = cached_with_rejects("civ_economy", "civ_economy", logs.civ_economy)
+    gold = cached_with_rejects("gold_breakdown", "civ_economy", logs.gold_breakdown)
     mstate = cached("map_state", lambda w: logs.map_state(spark, log_root, civ_names, w))
 
     cgr = marts.civ_game_result(results, scores)
@@ -83,7 +94,7 @@ def run_log_etl(spark: SparkSession, log_root: str, out_root: str, cache_root: s
         "technology_completion_records": research,
         "era_transitions": cte,
         "city_purchases_by_era": marts.purchases_by_era(cte, purchases),
-        "instant_yields": marts.instant_yield_pivot(iy),
+        "instant_yields": marts.with_era(marts.instant_yield_pivot(iy), cte),
         "gold_breakdown_by_era": marts.gold_breakdown_by_era(gold, running, cte),
         "era_transition_deltas": marts.era_transition_deltas(cte),
         "religion_choices": rc,
@@ -97,7 +108,7 @@ def run_log_etl(spark: SparkSession, log_root: str, out_root: str, cache_root: s
         "unit_compositions_turns": marts.unit_compositions_turns(mstate),
         "unit_compositions_eras": marts.units_per_turn(mstate, cte),
         "map_state_by_era": marts.units_and_map_by_era(mstate, cte),
-        "handicap_yields": hy,
+        "handicap_yields": marts.with_era(hy, cte),
         "city_economy": marts.city_economy_with_era(city, cte),
         "instant_yield_sources": marts.trigger_stats(iy, cte),
         "handicap_yield_sources": marts.handicap_trigger_stats(hy, cte),
@@ -108,6 +119,7 @@ def run_log_etl(spark: SparkSession, log_root: str, out_root: str, cache_root: s
         "power_ranking": marts.civ_performance(marts.augment_with_map_metrics(cgr, own)),
         "authority_victories": marts.authority_victories(own),
     }
+    out["rejects"] = reduce(DataFrame.unionByName, rejects)
     for name, df in out.items():
         write_csv_sized(df, f"{out_root.rstrip('/')}/{name}")
     return out

@@ -309,6 +309,14 @@ def instant_yield_running_totals(iy: DataFrame, yields: list[str],
     return out.na.fill(0)
 
 
+def with_era(rows: DataFrame, cte: DataFrame) -> DataFrame:
+    """Rows per (game, turn, civ, …) with the civ's era after the turn; rows
+    of turns outside the era spine drop out."""
+    first = ["game_id", "turn", "era", "civ"]
+    return rows.join(cte.select("game_id", "civ", "turn", "era"), ["game_id", "civ", "turn"]).select(
+        *first, *[c for c in rows.columns if c not in first])
+
+
 def trigger_stats(iy: DataFrame, cte: DataFrame) -> DataFrame:
     """A11 (+ B8): per (era, reason, yield) over triggers with a sum > 0,
     where a trigger is all lines of one (game, turn, civ, reason): mean and
