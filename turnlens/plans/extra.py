@@ -11,7 +11,7 @@ from pyspark.sql import Window as W, functions as F, types as T
 
 from turnlens.functions.columns import day_index
 from turnlens.operators import ml
-from turnlens.plans import catalog_more  # noqa: F401  (registers more entries)
+from turnlens.plans import catalog_helpers, catalog_more  # noqa: F401  (register more entries)
 from turnlens.plans.catalog import EVENT_ORIGIN, MONEY, query
 from turnlens.session import scratch_dir
 from turnlens.sinks import store
