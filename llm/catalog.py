@@ -10,6 +10,7 @@ from llm.decontaminate import op10_decontaminate
 from llm.language_model import op7_language_model
 from llm.length_histogram import op9_length_histogram
 from llm.near_dedup import op6_near_dedup
+from llm.oracles import ORACLES
 from llm.packing import op8_packing
 from llm.quality_rules import op3_quality_rules
 from llm.secrets import op5_secrets
@@ -17,6 +18,8 @@ from llm.sharding import op1_sharding
 from llm.token_files import op4_token_files
 from llm.toxicity import op2_toxicity
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
@@ -29,5 +32,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_length_histogram": op9_length_histogram,
     "op10_decontaminate": op10_decontaminate,
 }
-
-ORACLES: dict[str, str] = {}

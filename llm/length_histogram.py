@@ -28,9 +28,10 @@ def _count(path: str):
     schema = pa.schema([("length", pa.int64()), ("n_docs", pa.int64())])
 
     def run(found: Iterator[pa.RecordBatch]):
+        encode = tokens.Encoder(path)
         counts: Counter[int] = Counter()
         for batch in found:
-            counts.update(len(ids) // 4 for ids in tokens.encode(texts(batch.column(0)), path))
+            counts.update(len(ids) // 4 for ids in encode(texts(batch.column(0))))
         if counts:
             yield from batches(counts.items(), schema)
 

@@ -93,14 +93,15 @@ def _cut(path: str, size: int, chunk_tokens: int):
     schema = pa.schema([*PIECE, ("chunk", pa.int64())])
 
     def rows(found: Iterator[pa.RecordBatch]):
-        seen = 0
+        encode = tokens.Encoder(path)
+        first, seen = TaskContext.get().partitionId() << 32, 0
         for batch in found:
             doc_ids = batch.column(0).to_pylist()
-            for doc_id, ids in zip(doc_ids, tokens.encode(texts(batch.column(1)), path), strict=True):
+            for doc_id, ids in zip(doc_ids, encode(texts(batch.column(1))), strict=True):
                 for piece, a in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[a:a + 4 * size]
                     seen += len(part) // 4
-                    yield doc_id, piece, a // 4, len(part) // 4, crc32(part), seen // chunk_tokens
+                    yield doc_id, piece, a // 4, len(part) // 4, crc32(part), first + seen // chunk_tokens
 
     return lambda found: batches(rows(found), schema)
 
@@ -150,8 +151,9 @@ def pack(docs: DataFrame, size: int = SEQUENCE, open_bins: int = OPEN_BINS,
          path: str | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32,
     sequence_id and offset. Sequence ids are unique, not consecutive."""
-    pieces = docs.select(*id_and_text(docs)).mapInArrow(
-        _cut(path or tokens.tokenizer_path(), size, size * open_bins), PIECE_SQL + ", chunk long")
+    # written in between, so that no task runs two Python workers
+    pieces = stage(docs.select(*id_and_text(docs)).mapInArrow(
+        _cut(path or tokens.tokenizer_path(), size, size * open_bins), PIECE_SQL + ", chunk long"), "pieces")
     packed = stage(
         pieces.sortWithinPartitions("chunk", F.desc("length"), "doc_id", "piece", "ids_crc32")
         .drop("chunk").mapInArrow(_pack(size, open_bins),

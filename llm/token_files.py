@@ -146,10 +146,11 @@ def _to_frames(path: str, vocabulary: int):
     width = id_width(vocabulary)
 
     def rows(found: Iterator[pa.RecordBatch]):
+        encode = tokens.Encoder(path)
         pack = zstandard.ZstdCompressor(level=1, write_checksum=True)
         for batch in found:
             doc_ids = batch.column(0).to_pylist()
-            for doc_id, ids in zip(doc_ids, tokens.encode(texts(batch.column(1)), path), strict=True):
+            for doc_id, ids in zip(doc_ids, encode(texts(batch.column(1))), strict=True):
                 raw = np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes()
                 step = FRAME_IDS * width
                 frames = [{"data": pack.compress(raw[a:a + step]), "content": len(raw[a:a + step]),

@@ -21,8 +21,8 @@ import public_tokenizers
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-CACHE_WORDS = 400_000
-CACHE_CHARS = 16_000_000
+CACHE_WORDS = 600_000
+CACHE_CHARS = 24_000_000
 #: Code points below this have no decompositions that NFC would put together
 #: anew, so a lower-case word of them passes the normalizer unchanged.
 PLAIN_BELOW = "ɐ"
@@ -59,6 +59,7 @@ _loaded: dict[str, tuple] = {}
 
 
 def _load(path: str) -> tuple:
+    """The tokenizer, and its words if it goes word by word."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -84,18 +85,24 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def encode(texts: Iterable[str], path: str | None = None, end_id: int = END_ID) -> Iterator[bytes]:
-    """Ids of each text with ``end_id`` appended, as little-endian unsigned
-    32-bit integers. An empty text gives the end id alone."""
-    tokenizer, words = _load(path or tokenizer_path())
-    end = array("I", [end_id]).tobytes()
-    for text in texts:
-        if words is None:
-            ids = tokenizer.encode(text, add_special_tokens=False).ids
-            yield array("I", ids).tobytes() + end
-            continue
-        if len(words) > CACHE_WORDS or words.chars > CACHE_CHARS:
-            words.clear()
-            words.chars = 0
-        text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-        yield b"".join(map(words.__getitem__, text.split(" "))) + end
+class Encoder:
+    """Ids of texts."""
+
+    def __init__(self, path: str | None = None, end_id: int = END_ID):
+        self.tokenizer, self.words = _load(path or tokenizer_path())
+        self.end = array("I", [end_id]).tobytes()
+
+    def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of each text with the end id appended, as little-endian
+        unsigned 32-bit integers. An empty text gives the end id alone."""
+        words = self.words
+        for text in texts:
+            if words is None:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                yield array("I", ids).tobytes() + self.end
+                continue
+            if len(words) > CACHE_WORDS or words.chars > CACHE_CHARS:
+                words.clear()
+                words.chars = 0
+            text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+            yield b"".join(map(words.__getitem__, text.split(" "))) + self.end
