@@ -58,7 +58,8 @@ def tech_dimension(technologies: DataFrame) -> DataFrame:
 
 def _text(df: DataFrame, key: str, text: DataFrame, out: str, keep_key: bool = True) -> DataFrame:
     from pyspark.sql import functions as F
-    t = F.broadcast(text.select(F.col("Tag").alias("__tag"), F.col("Text").alias("__txt")))
+    # the localisation table has no size bound: the optimizer picks the join
+    t = text.select(F.col("Tag").alias("__tag"), F.col("Text").alias("__txt"))
     j = df.join(t, df[key] == t["__tag"], "left")
     val = F.coalesce("__txt", F.col(key)) if keep_key else F.col("__txt")
     return j.withColumn(out, val).drop("__tag", "__txt")
