@@ -56,6 +56,19 @@ def test_late_days_and_unlisted_values_are_seen(spark, late_events):
     assert q["first_missing_tier"](spark, folder).filter("first_missing > 65").count() == 0
 
 
+def test_repeats_do_not_depend_on_batches(spark, sf_small):
+    from turnlens.plans.extra import EVENTS_SCHEMA
+    from turnlens.streaming import live
+    ev = spark.read.parquet(f"{sf_small}/events.parquet")
+    folder = scratch_dir(spark, "arrivals")
+    ev.repartition(5).write.parquet(folder)
+    key = ["user_id", "event_type"]
+    got = [sorted(map(tuple, live.run_to_table(live.drop_repeats(
+        live.file_stream(spark, folder, "*.parquet", EVENTS_SCHEMA, n).select(*key), key), "repeats").collect()))
+        for n in (None, 1)]
+    assert got[0] == got[1] == sorted(map(tuple, ev.select(*key).distinct().collect()))
+
+
 def test_running_totals_have_no_last_turn(spark):
     from turnlens.plans import marts
     iy = spark.createDataFrame([("g", "c", 620, "r", "Food", 5.0)],

@@ -329,14 +329,13 @@ def first_missing_tier(spark, sf):
                          .alias("side"))
 
 
-# T06 — repeated ids in an arrival stream (drop form, within the watermark)
+# T06 — repeated ids in an arrival stream (drop form)
 @query("stream_drop_repeats", "T06")
 def stream_drop_repeats(spark, sf):
     from turnlens.plans.extra import EVENTS_SCHEMA
     from turnlens.streaming import live
     s = live.file_stream(spark, sf, "events.parquet", EVENTS_SCHEMA)
-    d = live.drop_repeats(s.select("user_id", "event_type", "ts"), ["user_id", "event_type"],
-                          "1 hour")
+    d = live.drop_repeats(s.select("user_id", "event_type"), ["user_id", "event_type"])
     res = live.run_to_table(d, "repeats", mode="append")
     return res.select("user_id", "event_type")
 

@@ -154,8 +154,13 @@ def register_or_reject(stream: DataFrame, registry: DataFrame, key: str,
 
 # --- T06: repeated ids -------------------------------------------------------
 
-def drop_repeats(stream: DataFrame, key: Sequence[str], watermark: str) -> DataFrame:
-    """T06 (drop form): exact repeats of a key inside the watermark delay."""
+def drop_repeats(stream: DataFrame, key: Sequence[str], watermark: str | None = None) -> DataFrame:
+    """T06 (drop form): the first arrival of each key over all time (state:
+    one row per key), however arrivals fall into batches. With ``watermark``,
+    repeats within that delay only, and state that expires; which repeats
+    then count depends on how far the watermark has moved when they arrive."""
+    if watermark is None:
+        return stream.dropDuplicates(list(key))
     s = with_event_time(stream, "ts").withWatermark("event_time", watermark)
     return s.dropDuplicatesWithinWatermark(list(key))
 
