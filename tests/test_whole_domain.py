@@ -69,6 +69,15 @@ def test_repeats_do_not_depend_on_batches(spark, sf_small):
     assert got[0] == got[1] == sorted(map(tuple, ev.select(*key).distinct().collect()))
 
 
+def test_repeated_names_skip_used_numbers(spark):
+    from turnlens.operators.keyed import number_repeats
+    arrivals = spark.createDataFrame([("g", 1), ("g", 2), ("g", 3), ("h", 1), ("h", 2)], "id string, at int")
+    taken = spark.createDataFrame([("g",), ("g-1",), ("g-3",), ("x-y",)], "name string")
+    out = number_repeats(arrivals, taken, "id", "name", ["at"], F.lit(0))
+    assert {(r.id, r["at"]): r["name"] for r in out.collect()} == {
+        ("g", 1): "g-2", ("g", 2): "g-4", ("g", 3): "g-5", ("h", 1): "h", ("h", 2): "h-1"}
+
+
 def test_running_totals_have_no_last_turn(spark):
     from turnlens.plans import marts
     iy = spark.createDataFrame([("g", "c", 620, "r", "Food", 5.0)],

@@ -5,9 +5,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from turnlens.operators.ordered import global_row_number
+from turnlens.operators.ordered import global_row_number, ordered_scan
 
 # Dimension tables are broadcast only below this many rows; the count is
 # checked at runtime (a LIMIT n+1 count) before the hint is applied.
@@ -59,6 +59,34 @@ def mint_ids(dictionary: DataFrame, incoming_keys: DataFrame, key: str,
     return dictionary.select(key, F.col(id_col).cast("long")).unionByName(minted)
 
 
+def number_repeats(arrivals: DataFrame, taken: DataFrame, key: str, name: str,
+                   order: Sequence[Column | str], chunk: Column, out: str = "name") -> DataFrame:
+    """T06 (numbered form): every arrival keeps its key if nobody has it yet,
+    else takes ``key-1``, ``key-2`` …, skipping numbers that are in ``taken``
+    (a frame with the names given earlier, column ``name``). Arrivals of one
+    key are numbered in ``order``; ``chunk`` splits a key with many arrivals
+    (see :func:`ordered_scan`).
+
+    The j-th arrival takes the j-th free number: with the used numbers u in
+    order, u_i - i numbers below u_i are free, so it is j plus the number of
+    i with u_i - i <= j.
+    """
+    own = taken.select(F.col(name).alias("__k"), F.lit(0).cast("long").alias("__u"))
+    suffixed = taken.select(
+        F.regexp_extract(name, r"^(.*)-([1-9]\d*)$", 1).alias("__k"),
+        F.regexp_extract(name, r"^(.*)-([1-9]\d*)$", 2).try_cast("long").alias("__u")) \
+        .filter("__u is not null")
+    used = own.union(suffixed).distinct().groupBy("__k").agg(
+        F.sort_array(F.collect_list("__u")).alias("__used"))
+    free = F.transform("__used", lambda u, i: u - i)
+    placed = ordered_scan(arrivals, [key], order, chunk, row_number="__j")
+    joined = placed.join(used, F.col(key) == F.col("__k"), "left").withColumn("__free", free)
+    j = F.col("__j") - 1
+    n = j + F.coalesce(F.size(F.filter("__free", lambda x: x <= j)), F.lit(0))
+    return joined.withColumn(out, F.when(n == 0, F.col(key)).otherwise(
+        F.concat_ws("-", F.col(key), n.cast("string")))).drop("__j", "__k", "__used", "__free")
+
+
 def translate_ids(facts: DataFrame, dictionary: DataFrame, key: str, id_col: str,
                   out: str) -> DataFrame:
     """Rewrite a local key to its global id (inner join)."""

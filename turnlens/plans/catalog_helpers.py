@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from turnlens.functions import columns as col
-from turnlens.operators import aggregate as agg, rank
+from turnlens.operators import aggregate as agg, keyed, rank
 from turnlens.plans.catalog import EVENT_TYPES, MONEY, _events, _r, domain, query
 from turnlens.plans.oracles import _DAY, _M, ORACLES
 from turnlens.sources.tables import register_all, table
@@ -145,3 +145,24 @@ def display_rank(spark, sf):
 
 ORACLES["display_rank"] = """
 SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS display_rank FROM customer"""
+
+
+# T06 — repeated names get the next free number
+@query("number_repeats", "T06")
+def number_repeats(spark, sf):
+    ev = table(spark, sf, "events")
+    taken = ev.filter("value > 49").select(
+        F.concat_ws("-", "event_type", (F.col("event_id") % 50 + 1).cast("string")).alias("name")).distinct()
+    out = keyed.number_repeats(ev.select("event_id", "event_type", "ts"), taken, "event_type", "name",
+                               ["ts", "event_id"], F.to_date("ts"), "given_name")
+    return out.select("event_id", "given_name")
+
+
+ORACLES["number_repeats"] = """
+WITH used AS (SELECT DISTINCT event_type AS k, event_id % 50 + 1 AS n FROM events WHERE value > 49),
+arr AS (SELECT event_id, event_type AS k,
+          row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS j FROM events),
+every AS (SELECT k, unnest(range(0, m + 60)) AS n FROM (SELECT k, count(*) AS m FROM arr GROUP BY k)),
+free AS (SELECT k, n, row_number() OVER (PARTITION BY k ORDER BY n) - 1 AS j
+         FROM every ANTI JOIN used USING (k, n))
+SELECT event_id, CASE WHEN n = 0 THEN k ELSE k || '-' || n END AS given_name FROM arr JOIN free USING (k, j)"""
