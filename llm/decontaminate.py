@@ -91,8 +91,8 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 def _item_rows(window: int, k: int):
     schema = pa.schema([("item", pa.int64()), ("item_id", pa.int64()), ("k", pa.int32()),
-                        ("hash", pa.int64()), ("before", pa.list_(pa.int64())),
-                        ("after", pa.list_(pa.int64()))])
+                        ("short", pa.bool_()), ("hash", pa.int64()),
+                        ("before", pa.list_(pa.int64())), ("after", pa.list_(pa.int64()))])
 
     def rows(found: Iterator[pa.RecordBatch]):
         for batch in found:
@@ -101,17 +101,19 @@ def _item_rows(window: int, k: int):
                 words = word_hashes(text)
                 if not len(words):
                     continue
-                size = k if len(words) >= window else len(words)
+                short = len(words) < window
+                size = len(words) if short else k
                 grams = gram_hashes(words, size)
-                for at in (winnow(grams, window - k + 1) if len(words) >= window else [0]):
-                    yield (key, item_id, size, int(_signed(grams)[at]),
+                for at in ([0] if short else winnow(grams, window - k + 1)):
+                    yield (key, item_id, size, short, int(_signed(grams)[at]),
                            _signed(words[max(0, at - window + size):at])[::-1].tolist(),
                            _signed(words[at + size:at + window]).tolist())
 
     return lambda found: batches(rows(found), schema, 5000)
 
 
-ITEM_ROWS = "item long, item_id long, k int, hash long, before array<long>, after array<long>"
+ITEM_ROWS = ("item long, item_id long, k int, short boolean, hash long, before array<long>, "
+             "after array<long>")
 
 
 def item_fingerprints(items: DataFrame, id_col: str = "item_id", text_col: str = "text",
@@ -124,9 +126,10 @@ def item_fingerprints(items: DataFrame, id_col: str = "item_id", text_col: str =
         _item_rows(window, k), ITEM_ROWS), "item-fingerprints")
 
 
-def _bit_table(item_rows: DataFrame, bits: int) -> tuple[bytes, list[int]]:
-    """Bits set at item hashes, packed, and the lengths of short items. Tasks
-    send their own packed tables, which are joined in a tree."""
+def _bit_table(item_rows: DataFrame, bits: int) -> tuple[bytes, list[tuple[int, bool]]]:
+    """Bits set at item hashes, packed, and the kinds of item rows: number of
+    words hashed, and whether they are a whole short item. Tasks send their
+    own packed tables, which are joined in a tree."""
     def local(found: Iterator[pa.RecordBatch]):
         table = np.zeros(bits >> 3, np.uint8)
         for batch in found:
@@ -142,12 +145,12 @@ def _bit_table(item_rows: DataFrame, bits: int) -> tuple[bytes, list[int]]:
     table = np.zeros(bits >> 3, np.uint8)
     found = merged.toArrow()  # at most bits / 8 rows
     table[found.column("place").to_numpy()] = found.column("value").to_numpy()
-    sizes = [r.k for r in item_rows.select("k").distinct().collect()]  # at most WINDOW values
-    return table.tobytes(), sizes
+    kinds = [(r.k, r.short) for r in item_rows.select("k", "short").distinct().collect()]  # at most WINDOW rows
+    return table.tobytes(), kinds
 
 
-def _document_rows(table, sizes: list[int], window: int, k: int):
-    hit = pa.struct([("k", pa.int32()), ("hash", pa.int64()), ("at", pa.int64()),
+def _document_rows(table, kinds: list[tuple[int, bool]], window: int, k: int):
+    hit = pa.struct([("k", pa.int32()), ("short", pa.bool_()), ("hash", pa.int64()), ("at", pa.int64()),
                      ("before", pa.list_(pa.int64())), ("after", pa.list_(pa.int64()))])
     schema = pa.schema([("_rf", pa.int64()), ("_rr", pa.int64()), ("doc_id", pa.int64()),
                         ("n_words", pa.int64()), ("hits", pa.list_(hit))])
@@ -160,16 +163,17 @@ def _document_rows(table, sizes: list[int], window: int, k: int):
             for rf, rr, doc_id, text in zip(*keys, texts(batch.column(3)), strict=True):
                 words = word_hashes(text)
                 hits = []
-                for size in sizes:
+                for size, short in kinds:
                     grams = gram_hashes(words, size)
-                    at = winnow(grams, window - k + 1) if size == k else np.arange(len(grams))
+                    at = np.arange(len(grams)) if short else winnow(grams, window - k + 1)
+                    reach = 0 if short else window - size
                     h = grams[at] & mask
                     seen = bits[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)
                     for a in at[(seen & 1) == 1].tolist():
                         hits.append({
-                            "k": size, "hash": int(_signed(grams)[a]), "at": a,
-                            "before": _signed(words[max(0, a - window + size):a])[::-1].tolist(),
-                            "after": _signed(words[a + size:a + window]).tolist()})
+                            "k": size, "short": short, "hash": int(_signed(grams)[a]), "at": a,
+                            "before": _signed(words[max(0, a - reach):a])[::-1].tolist(),
+                            "after": _signed(words[a + size:a + size + reach]).tolist()})
                 yield rf, rr, doc_id, len(words), hits
 
     return lambda found: batches(rows(found), schema, 5000, 4 << 20, lambda r: 64 + 200 * len(r[4]))
@@ -189,20 +193,20 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K,
     and end word). Both come from written tables."""
     spark = docs.sparkSession
     item_rows = item_fingerprints(items, window=window, k=k)
-    bits, sizes = _bit_table(item_rows, filter_bits)
+    bits, kinds = _bit_table(item_rows, filter_bits)
     table = spark.sparkContext.broadcast(bits)
     rows = stage(with_row_key(docs, *id_and_text(docs)).mapInArrow(
-        _document_rows(table, sizes, window, k),
-        "_rf long, _rr long, doc_id long, n_words long, hits array<struct<k: int, hash: long, at: long, "
-        "before: array<long>, after: array<long>>>"), "document-fingerprints")
+        _document_rows(table, kinds, window, k),
+        "_rf long, _rr long, doc_id long, n_words long, hits array<struct<k: int, short: boolean, hash: long, "
+        "at: long, before: array<long>, after: array<long>>>"), "document-fingerprints")
     d = rows.select(*ROW_KEY, F.explode("hits").alias("h")).select(*ROW_KEY, "h.*")
-    i = item_rows.select("k", "hash", "item_id", F.col("before").alias("item_before"),
+    i = item_rows.select("k", "short", "hash", "item_id", F.col("before").alias("item_before"),
                          F.col("after").alias("item_after"))
     left, right = _run(F.col("before"), F.col("item_before")), _run(F.col("after"), F.col("item_after"))
     # an item shorter than a window matches by the hash of all its words and
     # may stand anywhere, so it is not extended
-    short = F.col("k") != k
-    spans = d.join(i, ["k", "hash"]).withColumns({
+    short = F.col("short")
+    spans = d.join(i, ["k", "short", "hash"]).withColumns({
         "l": F.when(short, 0).otherwise(left), "r": F.when(short, 0).otherwise(right)
     }).filter(short | (F.col("l") + F.col("r") + k >= window))
     spans = spans.select(*ROW_KEY, "item_id", (F.col("at") - F.col("l")).alias("first"),

@@ -169,3 +169,12 @@ def test_decontamination(spark, sf_small):
 @pytest.mark.parametrize("docs,items", [([], ITEMS), (DOCS, []), ([], [])])
 def test_decontamination_of_empty_tables(spark, docs, items):
     check_hits(spark, frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), docs, items)
+
+
+def test_decontamination_by_items_of_k_words(spark):
+    """Items as long as the hashed runs are one window of their own."""
+    five = [(1, " ".join(W[:5])), (2, "Five, words of an item"), (3, " ".join(W[20:45])), (4, "four words of one")]
+    docs = [(1, "x " + " ".join(W[:5]) + " y"), (2, " ".join(W[:4])), (3, "five words of an item " * 3),
+            (4, " ".join(W[:60])), (5, " ".join(W[20:25])), (6, "Four words of one " * 2)]
+    got = check_hits(spark, frame(spark, docs), spark.createDataFrame(five, "item_id long, text string"), docs, five)
+    assert got[(1, 7, 5, ("1",))] == 1 and got[(3, 15, 15, ("2",))] == 1 and got[(5, 5, 0, ())] == 1
