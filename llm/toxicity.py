@@ -33,6 +33,7 @@ share of toxic labels.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -71,10 +72,20 @@ def _in_order(text: str) -> list[bytes]:
     return text.lower().encode().translate(_FOLD).split()
 
 
+_NOT_CAPITAL = bytes(c for c in range(256) if not 65 <= c <= 90)
+_BEYOND_ASCII = re.compile(r"[^\x00-\x7F]+")
+
+
+def capitals(text: str) -> int:
+    """Upper-case letters of the whole text, ASCII ones counted in bulk."""
+    n = len(text.encode().translate(None, _NOT_CAPITAL))
+    return n if text.isascii() else n + sum(map(str.isupper, "".join(_BEYOND_ASCII.findall(text))))
+
+
 #: Pattern voters: name, vote if it holds, test on (text, number of words).
 PATTERN_VOTERS = [
     ("many exclamation marks", 1, lambda t, n: t.count("!") > 0.05 * n + 1),
-    ("mostly capitals", 1, lambda t, n: n > 3 and sum(map(str.isupper, t[:2000])) > 0.3 * len(t[:2000])),
+    ("mostly capitals", 1, lambda t, n: n > 3 and capitals(t) > 0.3 * len(t)),
     ("masked letters", 1, lambda t, n: t.count("*") > 0.02 * n + 2 and "***" not in t),
     ("questions and answers", -1, lambda t, n: t.count("?") > 0.02 * n + 1),
     ("long and calm", -1, lambda t, n: n > 200 and "!" not in t),

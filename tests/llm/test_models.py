@@ -179,6 +179,17 @@ def test_toxicity_on_held_out_rows(spark):
     assert model.score("") < 0.5
 
 
+def test_toxicity_counts_capitals_of_whole_texts():
+    bit = 1 << [name for name, *_ in toxicity.PATTERN_VOTERS].index("mostly capitals") \
+        + toxicity.LEXICONS + toxicity.ABSENCE
+    calm, loud = "some calm words " * 130, "SOME LOUD WORDS " * 130
+    voters = toxicity.Voters({})
+    assert voters.votes(calm + loud * 3)[0] & bit
+    assert not voters.votes(loud + calm * 9)[0] & bit
+    for text in (calm, loud, "", "ÄÖÜ äöü ABC ЖЗИ жзи ǅ Ⅷ", "日本語 A"):
+        assert toxicity.capitals(text) == sum(map(str.isupper, text))
+
+
 def test_toxicity_without_examples(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.train(frame(spark), labels)
