@@ -19,8 +19,8 @@ Held-out rows (crc32 of the id modulo ``FOLDS`` is 0) give neither labels nor
 training texts; id, source and language are no features.
 
 Bounds (documented parameters): ``LABELLED_ROWS`` labelled rows, ``TRAIN_ROWS``
-rows for the classifier, both by least hash of the id and without repeated
-texts; ``LEXICON_WORDS`` and ``FEATURES`` words. The model is a table of that
+rows for the classifier, both by least hash of the id, and of near copies
+among them (2-word shingles, 0.8, as ``op6``) one row; ``LEXICON_WORDS`` and ``FEATURES`` words. The model is a table of that
 many words, so it is broadcast.
 
 Defined cases: null texts count as empty and get the score of the intercept.
@@ -42,8 +42,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import batches, crc32, crc32_id, documents, id_and_text, stage, texts
-from llm.near_dedup import minima, shingles
+from llm.common import (ROW_KEY, batches, crc32, crc32_id, documents, id_and_text, stage, texts,
+                        with_row_key)
+from llm.near_dedup import NearDuplicates
 
 FOLDS = 5
 LABELLED_ROWS = 30_000
@@ -187,24 +188,20 @@ def _sample(d: DataFrame, rows: int) -> DataFrame:
     return d.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
-def _unlike_rows(rows: DataFrame, minima_: int = 4) -> DataFrame:
-    """Rows of a bounded sample without texts that share a MinHash value with
-    another: copies would make the words of one text look telling."""
+def _unlike_rows(rows: DataFrame) -> DataFrame:
+    """Rows of a bounded sample, one of each group of near copies as
+    :mod:`llm.near_dedup` confirms them on full sets, the one of least id
+    hash: copies would make the words of one text look telling. Of the texts
+    without words one stays."""
     names = rows.columns
-    sql = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-
-    def sign(found: Iterator[pa.RecordBatch]):
-        for batch in found:
-            m = np.stack([minima(shingles(t))[:minima_] for t in texts(batch.column(names.index("text")))]
-                         or [np.empty(minima_, np.uint64)])[:batch.num_rows].view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(m[:, i]) for i in range(minima_)]],
-                                             names=[*names, *[f"m{i}" for i in range(minima_)]])
-
-    out = stage(rows.dropDuplicates(["text"]).mapInArrow(
-        sign, sql + "".join(f", m{i} long" for i in range(minima_))), "signed-sample")
-    for i in range(minima_):
-        out = out.dropDuplicates([f"m{i}"])
-    return out.select(*names)
+    rows = stage(rows, "sample")
+    # the id's hash in place of the id makes it the order of the groups
+    found = stage(NearDuplicates(rows.withColumn("doc_id", F.xxhash64("doc_id"))).result()
+                  .select(*ROW_KEY, "doc_id", "n_shingles", "first"), "sample-groups")
+    keep = found.filter("first and n_shingles > 0").select(*ROW_KEY).unionByName(
+        found.filter("n_shingles = 0").orderBy("doc_id", *ROW_KEY).limit(1).select(*ROW_KEY))
+    # no more keys than rows of the bounded sample
+    return with_row_key(rows, *names).join(F.broadcast(keep), ROW_KEY).select(*names)
 
 
 def _word_counts(rows: DataFrame, least: int) -> tuple[dict[bytes, tuple[float, float]], float, float]:

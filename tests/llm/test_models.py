@@ -179,6 +179,22 @@ def test_toxicity_on_held_out_rows(spark):
     assert model.score("") < 0.5
 
 
+def test_toxicity_sample_loses_near_copies_only(spark):
+    rng = random.Random(6)
+    common = [f"c{i}" for i in range(40)]
+    # texts that share a third of their word pairs, and three copies of each of ten
+    docs = [(i, " ".join(common + [f"u{i}x{j}" for j in range(40)])) for i in range(300)]
+    copies = [(1000 + 10 * i + k, docs[i][1] + " end" * k) for i in range(10) for k in range(3)]
+    docs = docs + copies + [(2000, None), (2001, ""), (2002, " ")]
+    rng.shuffle(docs)
+    sample = frame(spark, docs).select("doc_id", "text")
+    kept = [r.doc_id for r in toxicity._unlike_rows(sample).collect()]
+    order = {r.doc_id: r.h for r in sample.selectExpr("doc_id", "xxhash64(doc_id) h").collect()}
+    groups = [[i, *range(1000 + 10 * i, 1003 + 10 * i)] for i in range(10)] + [[2000, 2001, 2002]]
+    want = {i for i in range(10, 300)} | {min(g, key=order.get) for g in groups}
+    assert len(kept) == len(want) and set(kept) == want
+
+
 def test_toxicity_counts_capitals_of_whole_texts():
     bit = 1 << [name for name, *_ in toxicity.PATTERN_VOTERS].index("mostly capitals") \
         + toxicity.LEXICONS + toxicity.ABSENCE
