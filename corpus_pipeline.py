@@ -18,6 +18,7 @@ Part of the document operators: the driver may remove this file with them.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.with_score(docs, classifier, out=name).filter(F.col(name) < 0.5).drop(name)
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """``docs``, written out once if its rows have no place in a file: the
+    operator and the drop must see the same row keys."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018  resolves the metadata columns
+        return docs
+    except AnalysisException:
+        names = [f"c{i}" for i in range(len(docs.columns))]  # names may repeat
+        return stage(docs.toDF(*names), "placed").toDF(*docs.columns)
+
+
 def _drop(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose row key is not in ``keys``; few keys are sent to
     every task, more are joined by a shuffle."""
@@ -48,12 +60,14 @@ def _drop(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
+    docs = _placed(docs)
     found = near_dedup.NearDuplicates(docs).result()
     return _drop(docs, found.filter("not first").select(*ROW_KEY))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
+    docs = _placed(docs)
     found = decontaminate.contaminated(docs, documents(spark, sf_dir, "benchmark"))
     return _drop(docs, found.filter("n_hit > 0").select(*ROW_KEY))
 

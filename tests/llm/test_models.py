@@ -250,3 +250,11 @@ def test_pipeline_keeps_odd_rows_apart(spark, sf_small):
     clean = corpus_pipeline.drop_contaminated(spark, docs, sf_small)
     assert clean.columns == docs.columns and clean.count() == docs.count()
     assert ROW_KEY[0] in docs.columns
+
+
+def test_pipeline_drops_rows_of_frames_that_are_no_file_scan(spark, sf_small):
+    item = next(r.text for r in documents(spark, sf_small, "benchmark").collect() if len(r.text.split()) > 20)
+    docs = frame(spark, [(1, PLAIN), (2, PLAIN), (3, item)])
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_small).collect()} == {1, 3}
+    both = docs.filter("doc_id = 3").unionByName(docs.filter("doc_id < 3"))
+    assert {r.doc_id for r in corpus_pipeline.drop_contaminated(spark, both, sf_small).collect()} == {1, 2}
