@@ -4,10 +4,10 @@ The patterns of PATTERNS give the base spans, leftmost and non-overlapping
 per kind. Their secret parts over all documents are the labelled samples of
 random strings; all text outside them is the sample of ordinary writing.
 Each gives a first-order Markov model over bytes (256 x 256 counts, whatever
-the size of the corpus). A long token with both letters and digits that no
-base span touches is reported as ``random`` if the log-likelihood ratio of
+the size of the corpus). A token of at least ``LEAST_TOKEN`` characters that
+no base span touches is reported as ``random`` if the log-likelihood ratio of
 the two models passes ``LEAST_RATIO`` in all and ``LEAST_PER_CHAR`` a
-character.
+character, whatever letters or digits it is made of.
 
 Two passes over the texts: counting (summed per pair of bytes) and scanning.
 A task holds one document and the two tables.
@@ -40,7 +40,10 @@ PATTERNS = [
     ("hex", re.compile(r"[0-9a-f]+(?<=[0-9a-f]{24})"), 0, 24),
 ]
 KINDS = [kind for kind, *_ in PATTERNS] + ["random"]
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+#: Bytes of a token: a whole run of them is judged.
+IN_TOKEN = np.array([chr(c).isascii() and (chr(c).isalnum() or chr(c) in "+/_=-") for c in range(256)])
+#: Shorter ones give the ratio too few steps.
+LEAST_TOKEN = 8
 LEAST_RATIO = 12.0
 LEAST_PER_CHAR = 1.0
 #: Share of a count that every step has beforehand, and the letters it is
@@ -101,18 +104,23 @@ class Ratio:
 
     def spans(self, text: str, taken: list[Span]) -> list[Span]:
         """Tokens that look random, apart from ``taken`` spans."""
-        found = []
-        for m in TOKEN.finditer(text):
-            a, b = m.span()
-            token = m[0]
-            if any(s[0] < b and a < s[2] for s in taken):
-                continue
-            if not any(c.isdigit() for c in token) or not any(c.isalpha() for c in token):
-                continue
-            score = float(self.flat[_pairs(token.encode())].sum())
-            if score >= LEAST_RATIO and score >= LEAST_PER_CHAR * (len(token) - 1):
-                found.append((a, len(KINDS) - 1, b, a, b))
-        return found
+        data = text.encode()
+        b = np.frombuffer(data, np.uint8)
+        edges = np.flatnonzero(np.diff(IN_TOKEN[b], prepend=False, append=False))
+        start, end = edges[::2], edges[1::2]
+        enough = end - start >= LEAST_TOKEN
+        start, end = start[enough], end[enough]
+        if not len(start):
+            return []
+        upto = np.concatenate(([0.0], np.cumsum(self.flat[_pairs(data)], dtype=np.float64)))
+        score = upto[end - 1] - upto[start]
+        random = (score >= LEAST_RATIO) & (score >= LEAST_PER_CHAR * (end - start - 1))
+        start, end = start[random], end[random]
+        if len(start) and not text.isascii():  # places in characters
+            chars = np.concatenate(([0], np.cumsum((b & 0xC0) != 0x80)))
+            start, end = chars[start], chars[end]
+        return [(a, len(KINDS) - 1, b, a, b) for a, b in zip(start.tolist(), end.tolist(), strict=True)
+                if not any(s[0] < b and a < s[2] for s in taken)]
 
 
 def train(docs: DataFrame) -> Ratio:

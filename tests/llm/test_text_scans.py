@@ -102,6 +102,15 @@ def test_random_strings_are_added_and_words_are_not(spark, sf_small):
     assert found[6] == ""
 
 
+def test_random_strings_of_letters_and_short_ones_are_added(spark, sf_small):
+    ratio = secrets.train(documents(spark, sf_small).select("doc_id", "text").union(
+        frame(spark, SECRETS).select("doc_id", "text")))
+    docs = [(1, "a key xKqZvWbTgHjRpNcYdMfQ stands here"), (2, "日本語 ü zQ7xK9vB2mWt, end"),
+            (3, "the boats lay on the sand for several weeks without ordinaryidentifiers or 4203335799")]
+    found = {r["doc_id"]: r["spans"] for r in collected(secrets.scan(frame(spark, docs), ratio))}
+    assert found == {1: "random:6:26", 2: "random:6:18", 3: ""}
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     docs = frame(spark, rows() + SECRETS).withColumnRenamed("n_words", "n_chars")
     ratio = secrets.train(docs)
