@@ -7,8 +7,9 @@ columns of ``documents``.
 
 * ``toxicity``: trains on the labels of the documents at hand and drops those
   the classifier rejects (score of at least 0.5).
-* ``near_dedup``: keeps one document of each near-duplicate group, the one of
-  least id; texts without words are kept.
+* ``near_dedup``: keeps one document of each near-duplicate group by the rule
+  of op6 (2-word shingles, 0.8), the one of least id; texts without words are
+  kept.
 * ``decontaminate``: drops documents with a benchmark window.
 * ``secrets``: replaces the secret part of every span; ``n_chars`` follows.
 * ``packing``: packs the rest into sequences; one row per piece.
