@@ -75,8 +75,43 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (rk) LEFT JOIN names USING (rk)"""
 
+OP11 = rf"""
+WITH e AS (SELECT doc_id, coalesce(source, '') AS part, {_TEXT} AS t, regexp_extract_all({_TEXT}, {_WORD}) AS w,
+             min(doc_id) OVER (PARTITION BY {_TEXT}) AS least FROM documents),
+f AS (SELECT part, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1), false) AS good,
+        coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1), false) AS bad,
+        concat(CASE WHEN len(w) < 50 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' END,
+          CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t) THEN 'C' END,
+          CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN doc_id > least THEN 'E' END) AS failed FROM e),
+c AS (SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad
+      FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT concat(a.x, b.x, c.x, d.x, e.x) AS o FROM l a, l b, l c, l d, l e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+r AS (SELECT *, list_min([k FOR k IN range(1, 6) IF contains(failed, o[k])]) AS k FROM c, o),
+s AS (SELECT part, o, step, o[step] AS x, sum(n) FILTER (k IS NULL OR k > step) AS kept,
+        sum(n) FILTER (k = step) AS removed, sum(n) FILTER (k < step AND contains(failed, o[step])) AS redundant,
+        sum(n) FILTER (failed = o[step]) AS alone, sum(good) FILTER (k = step) AS good, sum(bad) FILTER (k = step) AS bad
+      FROM r, (SELECT unnest(range(1, 6)) AS step) GROUP BY ALL)
+SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step,
+  {', '.join(f'CAST(coalesce({a}, 0) AS BIGINT) AS {b}' for a, b in (
+      ('kept', 'kept'), ('removed', 'removed'), ('redundant', 'redundant'), ('alone', 'unique_fails'),
+      ('good', 'good_lost'), ('bad', 'toxic_lost'), ('sum(removed) OVER (PARTITION BY part, x)', 'shapley')))} FROM s"""
+
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rk, doc_id, string_split({_TEXT}, chr(10)) AS lines FROM documents),
+l AS (SELECT rk, doc_id, k, line, {_FOLD.format("trim(line, concat(chr(32), chr(9), chr(11), chr(12), chr(13)))")} AS key
+      FROM (SELECT rk, doc_id, unnest(range(1, len(lines) + 1)) AS k, unnest(lines) AS line FROM d)),
+r AS (SELECT key, min(doc_id) AS owner FROM l WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT rk) >= 2),
+m AS (SELECT rk, k, line, owner IS NOT NULL AND owner IS DISTINCT FROM doc_id AS gone FROM l LEFT JOIN r USING (key))
+SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM (
+  SELECT rk, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '') AS kept FROM m GROUP BY rk) JOIN d USING (rk)"""
+
 ORACLES: dict[str, str] = {
     "op3_quality_rules": OP3,
     "op6_near_dedup": OP6,
     "op10_decontaminate": OP10,
+    "op11_filter_audit": OP11,
+    "op13_line_dedup": OP13,
 }
