@@ -8,21 +8,23 @@ gram index.
    least) that bounds the frequent grams by ``MOST_GRAMS``; only they are sent
    to the tasks.
 2. Decomposition. At every place a word has the one gram that starts with the
-   shortest and grows while it is frequent. So common beginnings become long
-   grams and rare ones stay short, and the lists of the index are even.
+   shortest and grows while it is frequent, to half the word's length at most.
+   So common beginnings become long grams and rare ones stay short.
 3. Affected grams. One edit at a place changes only the grams that cover it;
-   the most that any place has is the word's bound. Two words one edit apart
-   share at least (grams - bound) grams, for either word. With grams cut at
-   ``length - 2`` code points that is at least one.
-4. List merging. A word's grams are ordered from rare to frequent; the first
-   bound + 1 suffice for a common one (the long lists of the rest are looked
-   up, not merged). Lists are kept apart by word length and place, which one
-   edit can move by one at most. A candidate pair must share as many grams as
-   the bounds ask, then the edit distance decides.
+   the most that any place has is the word's bound (:func:`affected`). Two
+   words one edit apart share all other grams, at least (grams - bound) of
+   them; half the length as the longest gram leaves two or more.
+4. List merging. For each place an edit can have, a word stands in one list:
+   that of the grams which the edit leaves unaffected, each with its place
+   (after an added code point, one further). Words one edit apart agree on
+   these grams, so they meet in the list of that place, and the merge of their
+   gram lists, with the bound of that very place, is the list itself. Words
+   that share some frequent grams only never meet.
+5. The edit distance of each pair that meets decides.
 
 Words of n and of n or n + 1 code points are compared with grams cut for n
-(the family n), so both sides decompose alike. Each pair is met in a few lists
-and reported once; no list of words is held by one task, and Spark splits the
+(the family n), so both sides decompose alike. Pairs that meet twice are
+reported once; no list of words is held by one task, and Spark splits the
 join's large lists.
 
 Forms: the near word of the largest count, if that is ``RATIO`` times the
@@ -42,6 +44,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,13 +52,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import batches, documents, id_and_text, list_column, stage, texts
+from llm.common import batches, documents, id_and_text, stage, texts
 
 LEAST_CODE_POINTS, LEAST_COUNT = 6, 5
 #: One in so many runs of a document loses a code point.
 DELETED_ONE_IN = 199
 RATIO = 5
-SHORTEST, LONGEST = 2, 6
+SHORTEST, LONGEST = 2, 4
 LEAST_LIST, MOST_GRAMS = 32, 200_000
 #: Words that a task holds before it hands on their counts.
 HELD_WORDS = 200_000
@@ -99,12 +102,11 @@ def words(docs: DataFrame, least_count: int = LEAST_COUNT) -> DataFrame:
 
 def frequent_grams(words_: DataFrame, most: int = MOST_GRAMS, least_list: int = LEAST_LIST) -> dict[str, int]:
     """The grams that are expanded, with their occurrences; at most ``most``."""
-    grams = None
-    for k in range(SHORTEST, LONGEST):
-        g = words_.select(F.explode(F.transform(
-            F.sequence(F.lit(1), F.char_length("word") - (k - 1)),
-            lambda i, k=k: F.substring(F.col("word"), i, F.lit(k)))).alias("gram"))
-        grams = g if grams is None else grams.unionAll(g)
+    place = words_.select("word", F.explode(F.sequence(F.lit(1), F.char_length("word") - (SHORTEST - 1))).alias("p"))
+    rest = F.char_length("word") - F.col("p") + 1
+    grams = place.select(F.explode(F.filter(F.array(*[
+        F.when(rest >= k, F.substring("word", F.col("p"), F.lit(k))) for k in range(SHORTEST, LONGEST)]),
+        lambda g: g.isNotNull())).alias("gram"))
     places = words_.agg(F.sum(F.char_length("word"))).first()[0] or 0
     # all lists together are shorter than places * lengths, so fewer than
     # ``most`` of them are longer than the threshold
@@ -135,53 +137,58 @@ def affected(grams: list[str]) -> int:
     return int(np.cumsum(covers).max())
 
 
-def _hash(*parts: object) -> int:
-    return xxhash.xxh3_64_intdigest("\0".join(map(str, parts))) - (1 << 63)
+@lru_cache(1 << 17)
+def _token(place: int, gram: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{place}\0{gram}")
 
 
-INDEX_SQL = "key long, side int, word string, tokens array<long>, least int"
+def list_keys(grams: list[str], n: int, longest: int, frequent: dict[str, int], gap: bool, shift: int) -> set[int]:
+    """A key per place of an edit: the sum of the hashes of the grams that it
+    leaves unaffected, with their places. ``gap``: the edit is an addition
+    before the place (of 0..n), else a change of the code point at the place.
+    Grams behind it count ``shift`` places further."""
+    left, right = [0] * (n + 2), [0] * (n + 2)
+    for p, g in enumerate(grams):
+        end = p + len(g)
+        if gap and end == n and len(g) < longest and g in frequent:
+            end += 1        # would grow with a code point added at the end
+        left[end] += _token(p, g)
+        right[p] += _token(p + shift, g)
+    for i in range(n + 1):
+        left[i + 1] += left[i]
+        right[n - i] += right[n - i + 1]
+    return {(left[i] + right[i if gap else i + 1]) & 0xFFFFFFFFFFFFFFFF for i in range(n + gap)}
+
+
+INDEX_SQL = "key long, side int, word string"
 
 
-def index_rows(word: str, frequent: dict[str, int]) -> Iterator[tuple[int, int, list[int], int]]:
-    """(key, side, tokens, least) of a word: the lists it stands in. Side 0
-    is compared with its like; side 1 (shorter) with side 2 (longer by one)."""
+def index_rows(word: str, frequent: dict[str, int]) -> Iterator[tuple[int, int]]:
+    """(key, side) of the lists a word stands in. Side 0 is compared with its
+    like; side 1 (shorter) with side 2 (longer by one)."""
     n = len(word)
     for family in (n, n - 1):
-        longest = min(LONGEST, family - SHORTEST)
-        if longest < SHORTEST or family < LEAST_CODE_POINTS:
+        if family < LEAST_CODE_POINTS:
             continue
+        longest = min(LONGEST, family // 2)
         grams = decompose(word, longest, frequent)
-        most = affected(grams)
-        seen: Counter = Counter()
-        tokens = []
-        for g in grams:  # the second "an" of a word is a token of its own
-            tokens.append(_hash(g, seen[g]))
-            seen[g] += 1
-        order = sorted(range(len(grams)), key=lambda p: (frequent.get(grams[p], 0), grams[p], p))[:most + 1]
-        for p in order:
-            g = grams[p]
-            if family == n:
-                yield _hash(family, 0, p, g), 0, tokens, len(grams) - most
-                yield _hash(family, 1, p, g), 1, tokens, len(grams) - most
-            else:  # behind the added code point, places are one higher
-                yield _hash(family, 1, p, g), 2, tokens, len(grams) - most
-                yield _hash(family, 1, p - 1, g), 2, tokens, len(grams) - most
+        sides = ((0, False, 0), (1, True, 1)) if family == n else ((2, False, 0),)
+        for side, gap, shift in sides:
+            kind = _token(family, f"side {min(side, 1)}")
+            for key in list_keys(grams, n, longest, frequent, gap, shift):
+                yield ((key + kind) & 0xFFFFFFFFFFFFFFFF) - (1 << 63), side
 
 
 def _index(shared: object) -> Callable:
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
         for batch in found:
-            for a in range(0, batch.num_rows, 1000):
-                held = batch.column(0).slice(a, 1000).to_pylist()
-                rows = [(w, *r) for w in held for r in index_rows(w, frequent)]
-                flat = np.fromiter((t for r in rows for t in r[3]), np.int64)
+            for a in range(0, batch.num_rows, 5000):
+                rows = [(*r, w) for w in batch.column(0).slice(a, 5000).to_pylist() for r in index_rows(w, frequent)]
+                keys, sides, words_ = zip(*rows, strict=True) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()),
-                     pa.array([r[0] for r in rows], pa.string()),
-                     list_column(flat, [len(r[3]) for r in rows], pa.int64()),
-                     pa.array([r[4] for r in rows], pa.int32())],
-                    names=["key", "side", "word", "tokens", "least"])
+                    [pa.array(keys, pa.int64()), pa.array(sides, pa.int32()), pa.array(words_, pa.string())],
+                    names=["key", "side", "word"])
     return run
 
 
@@ -191,13 +198,10 @@ def near(words_: DataFrame) -> DataFrame:
     spark = words_.sparkSession
     shared = spark.sparkContext.broadcast(frequent_grams(words_))
     lists = stage(words_.select("word").mapInArrow(_index(shared), INDEX_SQL), "lists")
-    x = lists.filter("side < 2").select("key", F.col("word").alias("a"), F.col("tokens").alias("x"),
-                                        F.col("least").alias("lx"), "side")
-    y = lists.filter("side <> 1").select(F.col("key"), F.col("word").alias("b"), F.col("tokens").alias("y"),
-                                         F.col("least").alias("ly"), F.col("side").alias("to"))
+    x = lists.filter("side < 2").select("key", F.col("word").alias("a"), "side")
+    y = lists.filter("side <> 1").select("key", F.col("word").alias("b"), F.col("side").alias("to"))
     met = x.join(y, "key").filter("(side = 0 and to = 0 and a < b) or (side = 1 and to = 2)")
-    enough = F.size(F.array_intersect("x", "y")) >= F.greatest("lx", "ly")
-    return met.filter(enough & (F.levenshtein("a", "b", 1) == 1)).select(
+    return met.filter(F.levenshtein("a", "b", 1) == 1).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

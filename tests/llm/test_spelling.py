@@ -126,7 +126,7 @@ def test_dictionary_is_bounded(spark):
     rng = random.Random(3)
     table = spark.createDataFrame([("".join(rng.choice("abcdef") for _ in range(9)), 5) for _ in range(500)],
                                   "word string, n long")
-    assert 0 < len(spelling.frequent_grams(table, most=50, least_list=1)) <= 50
+    assert 0 < len(spelling.frequent_grams(table, most=100, least_list=1)) <= 100
 
 
 def test_whole_table(spark, sf_small):
