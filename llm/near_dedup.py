@@ -1,10 +1,11 @@
 """Near-duplicate groups by b-bit MinHash.
 
-A document's set is its distinct 2-word shingles over words
-``[^\x20\x09-\x0D]+`` with A-Z in lower case. Texts with equal sets form one
-class, and all later work is on classes. Per class the first pass over the
-texts yields ``BANDS * ROWS`` minima as band keys; two low bits of each mixed
-minimum, packed into bit planes; and a parity sketch of the whole set.
+A document's set is its distinct shingles of ``width`` words (2 unless asked
+otherwise) over words ``[^\x20\x09-\x0D]+`` with A-Z in lower case; a text of
+fewer words is one shingle. Texts with equal sets form one class, and all
+later work is on classes. Per class the first pass over the texts yields
+``BANDS * ROWS`` minima as band keys; two low bits of each mixed minimum,
+packed into bit planes; and a parity sketch of the whole set.
 
 1. Candidates share a band key. Each class is paired with the least class of
    each of its buckets, so a bucket of m classes gives m - 1 pairs.
@@ -13,27 +14,33 @@ minimum, packed into bit planes; and a parity sketch of the whole set.
    sketches differ in more bits than linked sets can (a bound, not an
    estimate). The rest is confirmed on the full sets.
 3. Confirmed links give components. A bucket whose classes are in one
-   component needs no more pairs. In the others every class outside the
-   bucket's largest component is compared with all classes of other
-   components in the bucket, each pair in its first common band only, and
-   confirmed alike. So every candidate pair is either tested or already
-   connected, and no bucket is capped.
+   component needs no more pairs. The classes of the others are joined by an
+   exact prefix filter: the shingles of a set are ordered from rare to
+   frequent (among these classes), and two sets of similarity 0.8 share one of
+   the first n - ceil(0.8 n) + 1 of each. So pages of one template, whose
+   common words are frequent and whose own words are rare, meet in no list,
+   however many there are. In a list only pairs across components are formed,
+   those whose places in the two orders leave room for enough common
+   shingles; they are estimated and confirmed alike. So every candidate pair
+   is either connected or tested or cannot be linked, and no bucket is capped.
 
 With 48 bands of 6 rows a pair of similarity 0.8 shares a band with
 probability 1 - 5e-7. Sets are built a second time only for classes with a
-pair to confirm.
+pair to confirm or in a bucket of several components.
 
 Defined cases: null texts and texts without words have the empty set, are
-linked with nothing and are kept. Repeated rows are one class; ``kept`` holds
-for each row whose id is the component's least, ``first`` for exactly one row
-of each component. Null ids come last; a component of null ids alone has a
-null component_id and its rows are kept. Columns besides id and text are not
-read. An empty table gives an empty result.
+linked with nothing and are kept. Very long texts are read whole; their sets
+travel once for each ``PAIRS_A_SET`` pairs at most. Repeated rows are one
+class; ``kept`` holds for each row whose id is the component's least, ``first``
+for exactly one row of each component (ties of the id: by file and place).
+Null ids come last; a component of null ids alone has a null component_id and
+its rows are kept. Columns besides id and text are not read, so their names
+may clash with the operator's. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +58,9 @@ LEAST_ESTIMATE = 0.65
 PLANE, SKETCH = -(-BANDS * ROWS // 64), 16
 #: Rows of (row key, class) that are broadcast at most (24 bytes each).
 BROADCAST_ROWS = 200_000
+#: Pairs for which one copy of a class's set is sent, on average over a class
+#: with many pairs.
+PAIRS_A_SET = 1000
 
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SEEDS = np.random.default_rng(20_240_229)
@@ -105,31 +115,35 @@ ROWS_SQL = ("_rf long, _rr long, doc_id long, n long, digest binary, keys array<
             "planes array<long>, sketch array<long>")
 
 
-def _document_rows(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for big in found:
-        for a in range(0, big.num_rows, 1000):
-            batch = big.slice(a, 1000)
-            sets = [shingles(t) for t in texts(batch.column(3))]
-            full = [i for i, s in enumerate(sets) if len(s)]
-            sizes = np.zeros(len(sets), np.int64)
-            sizes[full] = 1
-            signs = _signatures([sets[i] for i in full]) if full else [np.empty((0, 0), np.int64)] * 3
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                 *[list_column(x.ravel(), sizes * w, pa.int64())
-                   for x, w in zip(signs, (BANDS, 2 * PLANE, SKETCH), strict=True)]],
-                names=["_rf", "_rr", "doc_id", "n", "digest", "keys", "planes", "sketch"])
-
-
-def _set_rows(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for big in found:
-        for a in range(0, big.num_rows, 1000):
-            batch = big.slice(a, 1000)
-            sets = [shingles(t) for t in texts(batch.column(1))]
-            flat = np.concatenate(sets).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), list_column(flat, [len(s) for s in sets], pa.int64())], names=["c", "s"])
+def _document_rows(width: int) -> Callable:
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in found:
+            for a in range(0, big.num_rows, 1000):
+                batch = big.slice(a, 1000)
+                sets = [shingles(t, width) for t in texts(batch.column(3))]
+                full = [i for i, s in enumerate(sets) if len(s)]
+                sizes = np.zeros(len(sets), np.int64)
+                sizes[full] = 1
+                signs = _signatures([sets[i] for i in full]) if full else [np.empty((0, 0), np.int64)] * 3
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:3], pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                     *[list_column(x.ravel(), sizes * w, pa.int64())
+                       for x, w in zip(signs, (BANDS, 2 * PLANE, SKETCH), strict=True)]],
+                    names=["_rf", "_rr", "doc_id", "n", "digest", "keys", "planes", "sketch"])
+    return run
+
+
+def _set_rows(width: int) -> Callable:
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in found:
+            for a in range(0, big.num_rows, 1000):
+                batch = big.slice(a, 1000)
+                sets = [shingles(t, width) for t in texts(batch.column(1))]
+                flat = np.concatenate(sets).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), list_column(flat, [len(s) for s in sets], pa.int64())], names=["c", "s"])
+    return run
 
 
 def _unlike(x: str, y: str, a: int, b: int) -> Column:
@@ -158,13 +172,64 @@ def _may_link(x: str, y: str) -> Column:
             & (_unlike(f"{x}.sketch", f"{y}.sketch", 0, SKETCH) * F.lit(whole + part) <= bound))
 
 
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b), read from a written table, whose ``sets`` (c, s) pass
+    the limit. The pairs of an entry are dealt to parts, and its set is sent
+    once to each part that has any, so an entry with very many pairs is no
+    single key."""
+    parts = max(1, pairs.count() // PAIRS_A_SET)
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(parts)).alias("pa"),
+                         F.pmod(F.xxhash64("a"), F.lit(parts)).alias("pb"))
+
+    def with_set(side: str, part: str, out: str) -> DataFrame:
+        copies = dealt.select(side, part).distinct()
+        return copies.join(sets.select(F.col("c").alias(side), F.col("s").alias(out)), side)
+
+    part, whole = SIMILARITY
+    both = F.size(F.array_intersect("x", "y"))
+    return (dealt.join(with_set("b", "pb", "y"), ["b", "pb"]).join(with_set("a", "pa", "x"), ["a", "pa"])
+            .filter(both * whole >= (F.size("x") + F.size("y") - both) * part).select("a", "b"))
+
+
+def sample_copies(sample: DataFrame) -> DataFrame:
+    """(c, order, copy) for each row (c, order, text) of a bounded sample: whether its
+    set is similar to that of a row of lesser (order, c). Each row is compared
+    with the least row of each of its buckets, in one round without
+    components; null where a text has no words."""
+    def signed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in found:
+            for a in range(0, big.num_rows, 500):
+                batch = big.slice(a, 500)
+                sets = [shingles(t) for t in texts(batch.column(2))]
+                full = [s for s in sets if len(s)]
+                keys = _signatures(full)[0] if full else np.empty((0, BANDS), np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1),
+                     list_column(keys.ravel(), [BANDS * (len(s) > 0) for s in sets], pa.int64()),
+                     list_column(np.concatenate(sets).view(np.int64), [len(s) for s in sets], pa.int64())],
+                    names=["c", "order", "keys", "s"])
+
+    rows = stage(sample.select("c", "order", "text").mapInArrow(
+        signed, "c long, order long, keys array<long>, s array<long>"), "sample-sets")
+    held = rows.select(F.explode("keys").alias("key"), F.struct("order", "c").alias("me"))
+    leads = stage(held.groupBy("key").agg(F.min("me").alias("lead"), F.max("me").alias("last"))
+                  .filter("lead < last").select("key", "lead"), "sample-leads")
+    pairs = stage(held.join(leads, "key").filter("lead < me").select(
+        F.col("lead.c").alias("a"), F.col("me.c").alias("b")).distinct(), "sample-pairs")
+    copies = confirmed(pairs, rows.select("c", "s")).select(F.col("b").alias("c")).distinct() \
+        .withColumn("copy", F.lit(True))
+    return rows.select("c", "order", F.size("s").alias("n")).join(copies, "c", "left").select(
+        "c", "order", F.when(F.col("n") > 0, F.coalesce("copy", F.lit(False))).alias("copy"))
+
+
 class NearDuplicates:
     """Classes, confirmed links and components of a table of documents."""
 
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, width: int = 2):
         keyed = with_row_key(docs, *id_and_text(docs))
+        self.width = width
         self.text = keyed.select(*ROW_KEY, "text")
-        self.rows = stage(keyed.mapInArrow(_document_rows, ROWS_SQL), "signatures")
+        self.rows = stage(keyed.mapInArrow(_document_rows(width), ROWS_SQL), "signatures")
         head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *ROW_KEY)
         grouped = self.rows.filter("digest is not null").groupBy("digest").agg(
             F.min(head).alias("head"), *[F.first(c).alias(c) for c in ("n", "keys", "planes", "sketch")])
@@ -178,54 +243,74 @@ class NearDuplicates:
             .filter("lead < last").select("key", "lead")
         return stage(held.join(shared, "key"), "buckets")
 
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose full sets pass the limit."""
-        pairs = stage(pairs, "pairs")
-        wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-                       .join(self.classes.select("c", "head"), "c")
-                       .select("c", "head._rf", "head._rr"), "wanted")
+    def sets(self, classes: DataFrame) -> DataFrame:
+        """(c, s): the full sets of the classes c, each read from its first row."""
+        wanted = stage(classes.join(self.classes.select("c", "head"), "c").select("c", "head._rf", "head._rr"), "wanted")
         if wanted.count() <= BROADCAST_ROWS:
             wanted = F.broadcast(wanted)
-        sets = stage(self.text.join(wanted, ROW_KEY).select("c", "text")
-                     .mapInArrow(_set_rows, "c long, s array<long>"), "sets")
-        part, whole = SIMILARITY
-        both = F.size(F.array_intersect("x", "y"))
-        return (pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("x")), "a")
-                .join(sets.select(F.col("c").alias("b"), F.col("s").alias("y")), "b")
-                .filter(both * whole >= (F.size("x") + F.size("y") - both) * part).select("a", "b"))
+        return stage(self.text.join(wanted, ROW_KEY).select("c", "text")
+                     .mapInArrow(_set_rows(self.width), "c long, s array<long>"), "sets")
+
+    def confirm(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+        """The pairs (a, b) whose full sets pass the limit."""
+        pairs = stage(pairs, "pairs")
+        if sets is None:
+            sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct())
+        return confirmed(pairs, sets)
+
+    def may_link(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that estimate and bounds leave open."""
+        sign = lambda side, out: self.signed.select(F.col("c").alias(side), F.col("sign").alias(out))
+        return pairs.join(sign("a", "x"), "a").join(sign("b", "y"), "b").filter(_may_link("x", "y")).select("a", "b")
 
     def star_pairs(self, members: DataFrame) -> DataFrame:
-        pairs = members.filter("c <> lead").select(F.col("lead").alias("a"), F.col("c").alias("b")).distinct()
-        signed = self.signed
-        return (pairs.join(signed.select(F.col("c").alias("a"), F.col("sign").alias("x")), "a")
-                .join(signed.select(F.col("c").alias("b"), F.col("sign").alias("y")), "b")
-                .filter(_may_link("x", "y")).select("a", "b"))
-
-    def rest_pairs(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs across components in the buckets that hold several."""
+        return self.may_link(members.filter("c <> lead").select(
+            F.col("lead").alias("a"), F.col("c").alias("b")).distinct())
+
+    def prefixes(self, placed: DataFrame, sets: DataFrame) -> DataFrame:
+        """(shingle, c, label, n, place): the first shingles of each class in
+        the order from rare to frequent, without those that no other has."""
+        part, whole = SIMILARITY
+        single = sets.select("c", F.size("s").alias("n"), F.explode("s").alias("shingle"))
+        # written out: the join below can then split a frequent shingle
+        often = stage(single.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1"), "frequency")
+        ordered = single.join(often, "shingle", "left").groupBy("c", "n").agg(F.array_sort(F.collect_list(
+            F.struct(F.coalesce("df", F.lit(1)).alias("df"), "shingle"))).alias("all"))  # one document's set
+        first = F.slice("all", F.lit(1), F.col("n") - F.ceil(F.col("n") * part / whole).cast("int") + 1)
+        return (ordered.select("c", "n", F.posexplode(first).alias("place", "x")).filter("x.df > 1")
+                .join(placed, "c").select("x.shingle", "c", "label", "n", "place"))
+
+    def rest_pairs(self, members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs across components among the classes whose buckets hold
+        several, and the sets of these classes."""
         placed = members.select("key", "c").join(labels.withColumnRenamed("node", "c"), "c", "left") \
             .withColumn("label", F.coalesce("label", "c"))
-        sizes = placed.groupBy("key", "label").agg(F.count("*").alias("m"))
-        mixed = sizes.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"),
-                                         F.count("*").alias("labels")).filter("labels > 1")
-        wide = self.classes.select("c", F.struct("c", "n", "planes", "sketch", "keys").alias("sign"))
-        rows = stage(placed.join(mixed.select("key", F.col("top.label").alias("most")), "key")
-                     .join(wide, "c"), "mixed")
-        few = rows.filter("label <> most").select("key", F.col("sign").alias("x"), F.col("label").alias("lx"))
-        all_ = rows.select("key", F.col("sign").alias("y"), F.col("label").alias("ly"),
-                           (F.col("label") == F.col("most")).alias("in_most"))
-        first = F.get(F.filter("x.keys", lambda k, i: k == F.get("y.keys", i)), F.lit(0))
-        found = few.join(all_, (few.key == all_.key) & (F.col("lx") != F.col("ly"))
-                         & (F.col("in_most") | (F.col("x.c") < F.col("y.c")))
-                         & _may_link("x", "y") & (first == few.key))
-        return found.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b"))
+        mixed = stage(placed.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"))
+                      .filter("l < m").select("key"), "mixed")
+        placed = stage(placed.join(mixed, "key").select("c", "label").distinct(), "placed")
+        sets = self.sets(placed.select("c"))
+        rows = stage(self.prefixes(placed, sets), "prefixes")
+        lists = rows.groupBy("shingle", "label").agg(F.count("*").alias("m")).groupBy("shingle").agg(
+            F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
+        rows = rows.join(stage(lists.select("shingle", F.col("top.label").alias("most")), "lists"), "shingle")
+        side = lambda s: F.struct("c", "label", "n", "place").alias(s)
+        few = rows.filter("label <> most").select("shingle", side("x"))
+        all_ = rows.select("shingle", side("y"), (F.col("label") == F.col("most")).alias("in_most"))
+        part, whole = SIMILARITY
+        x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+        room = F.least(x("n") - x("place"), y("n") - y("place")) * (part + whole) >= (x("n") + y("n")) * part
+        met = few.join(all_, "shingle").filter(
+            (x("label") != y("label")) & (F.col("in_most") | (x("c") < y("c")))
+            & (F.least(x("n"), y("n")) * whole >= F.greatest(x("n"), y("n")) * part) & room)
+        pairs = met.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
+        return self.may_link(pairs), sets
 
     def labels(self) -> DataFrame:
         """(c, label) of every class with a link."""
         members = self.members()
         links = stage(self.confirm(self.star_pairs(members)), "links")
         labels = components(links)
-        more = stage(self.confirm(self.rest_pairs(members, labels)), "links")
+        more = stage(self.confirm(*self.rest_pairs(members, labels)), "links")
         # components of components: only the new links and their labels matter
         label = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
         over = components(more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(
@@ -238,9 +323,10 @@ class NearDuplicates:
     def result(self) -> DataFrame:
         """One row per document: row key, doc_id, n_shingles, component_id,
         kept and first."""
-        heads = self.classes.select("c", "digest", "head").join(self.labels(), "c", "left") \
-            .withColumn("label", F.coalesce("label", "c"))
-        tops = heads.groupBy("label").agg(F.min("head").alias("top"))
+        heads = stage(self.classes.select("c", "digest", "head").join(self.labels(), "c", "left")
+                      .withColumn("label", F.coalesce("label", "c")), "heads")
+        # written out: the join can then split a component of very many classes
+        tops = stage(heads.groupBy("label").agg(F.min("head").alias("top")), "tops")
         named = heads.join(tops, "label").select("digest", "top")
         found = self.rows.select(*ROW_KEY, "doc_id", "n", "digest").join(named, "digest", "left")
         alone = F.col("digest").isNull()
