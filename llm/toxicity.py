@@ -6,28 +6,35 @@
    occurs) and, dealt in turn, ``ABSENCE`` voters (clean if none of a part of
    the lexicon occurs); a few pattern voters look at the writing itself. A
    voter may abstain.
-2. *Label model.* The votes on all documents, counted by vote pattern, fit a
-   generative model with one hidden class: expectation-maximisation estimates
-   how each voter votes in either class, and the voters' correlations within
-   a class. A voter's evidence is divided by how much of it others repeat,
-   and the sum is put on the scale of the labelled rows.
+2. *Label model.* The votes on all documents that are not held out, counted
+   by vote pattern, fit a generative model with one hidden class:
+   expectation-maximisation estimates how each voter votes in either class,
+   and the voters' correlations within a class. A voter's evidence is divided
+   by how much of it others repeat, in every round from the second on, so the
+   estimates of the next round rest on it; the sum is put on the scale of the
+   labelled rows.
 3. *Classifier.* The model's posterior labels on a bounded sample of training
    rows choose the word features of a logistic regression and train it; it
    scores every whole text.
 
 Held-out rows (crc32 of the id modulo ``FOLDS`` is 0) give neither labels nor
-training texts; id, source and language are no features.
+votes nor training texts; id, source and language are no features.
 
 Bounds (documented parameters): ``LABELLED_ROWS`` labelled rows, ``TRAIN_ROWS``
-rows for the classifier, both by least hash of the id, and of near copies
-among them (2-word shingles, 0.8, as ``op6``) one row; ``LEXICON_WORDS`` and ``FEATURES`` words. The model is a table of that
-many words, so it is broadcast.
+rows for the classifier, both by least hash of the id (ties by id), less
+confirmed near copies (2-word shingles, 0.8) of another row of the sample;
+``LEXICON_WORDS`` and ``FEATURES`` words. The model is a table of that many
+words, so it is broadcast, and it is trained by the driver on at most
+``TRAIN_ROWS`` lists of chosen words.
 
 Defined cases: null texts count as empty and get the score of the intercept.
-Rows with a null id are scored, and are in no fold. Repeated rows are scored
-alike. Labels that are null or name no document are left out. Without toxic
-or without clean labels, no word is chosen and the score is the smoothed
-share of toxic labels.
+Very long texts vote and are scored whole. Rows with a null id are scored,
+give votes, and are in no fold and no sample. Repeated rows and equal texts
+are scored alike. Labels that are null or name no document are left out; of
+several labels of one id toxic wins. Words of equal rank are ordered by their
+bytes. Without toxic or without clean labels, no word is chosen and the score
+is the smoothed share of toxic labels. Columns besides id and text are not
+read by :func:`train`; :func:`with_score` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,9 +49,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import (ROW_KEY, batches, crc32, crc32_id, documents, id_and_text, stage, texts,
-                        with_row_key)
-from llm.near_dedup import NearDuplicates
+from llm.common import batches, crc32, crc32_id, documents, id_and_text, stage, texts
+from llm.near_dedup import sample_copies
 
 FOLDS = 5
 LABELLED_ROWS = 30_000
@@ -189,19 +195,16 @@ def _sample(d: DataFrame, rows: int) -> DataFrame:
 
 
 def _unlike_rows(rows: DataFrame) -> DataFrame:
-    """Rows of a bounded sample, one of each group of near copies as
-    :mod:`llm.near_dedup` confirms them on full sets, the one of least id
-    hash: copies would make the words of one text look telling. Of the texts
-    without words one stays."""
+    """Rows of a bounded sample without confirmed near copies of a row of
+    lesser id hash (:func:`llm.near_dedup.sample_copies`): copies would make
+    the words of one text look telling. Of the texts without words one stays."""
     names = rows.columns
-    rows = stage(rows, "sample")
-    # the id's hash in place of the id makes it the order of the groups
-    found = stage(NearDuplicates(rows.withColumn("doc_id", F.xxhash64("doc_id"))).result()
-                  .select(*ROW_KEY, "doc_id", "n_shingles", "first"), "sample-groups")
-    keep = found.filter("first and n_shingles > 0").select(*ROW_KEY).unionByName(
-        found.filter("n_shingles = 0").orderBy("doc_id", *ROW_KEY).limit(1).select(*ROW_KEY))
+    rows = stage(rows.withColumn("c", F.monotonically_increasing_id()), "sample")
+    found = stage(sample_copies(rows.select("c", F.xxhash64("doc_id").alias("order"), "text")), "sample-copies")
+    keep = found.filter(~F.col("copy")).select("c").unionByName(
+        found.filter("copy is null").orderBy("order", "c").limit(1).select("c"))
     # no more keys than rows of the bounded sample
-    return with_row_key(rows, *names).join(F.broadcast(keep), ROW_KEY).select(*names)
+    return rows.join(F.broadcast(keep), "c").select(*names)
 
 
 def _word_counts(rows: DataFrame, least: int) -> tuple[dict[bytes, tuple[float, float]], float, float]:
@@ -273,7 +276,7 @@ def fit_label_model(patterns: DataFrame, start: LabelModel, rounds: int = EM_ROU
             return model
         sums = np.zeros(found.num_rows)
         sums[found.column("i").to_numpy()] = found.column("x").to_numpy()
-        model = LabelModel.from_sums(sums, weigh=k == rounds - 1)
+        model = LabelModel.from_sums(sums, weigh=k > 0)
     return model
 
 
@@ -324,7 +327,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     by_class = stage(first, "labelled-votes")
     counts = _vote_counts(by_class)
     start = LabelModel((counts + 0.5) / (counts.sum(2, keepdims=True) + 1.5), share)
-    patterns = stage(_with_votes(d, voters).groupBy("yes", "no").agg(F.count("*").alias("n")), "votes")
+    patterns = stage(_with_votes(d.filter(~held_out()), voters).groupBy("yes", "no").agg(F.count("*").alias("n")), "votes")
     model = fit_label_model(patterns, start)
     model.scale = _scale(model, by_class)
 

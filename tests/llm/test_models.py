@@ -14,14 +14,14 @@ from llm.common import ROW_KEY, documents, stage
 from llm.components import components
 
 
-def shingles(text):
+def shingles(text, width=2):
     w = WORD.findall(lower(text or ""))
-    return frozenset(zip(w, w[1:], strict=False)) if len(w) > 1 else frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[i:i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset()
 
 
-def plain_components(docs):
+def plain_components(docs, width=2):
     """doc -> least id reachable over links of at least 0.8, by all pairs."""
-    sets = [shingles(t) for _, t in docs]
+    sets = [shingles(t, width) for _, t in docs]
     label = list(range(len(docs)))
 
     def find(x):
@@ -43,9 +43,9 @@ def plain_components(docs):
             for k, ((i, _), s) in enumerate(zip(docs, sets, strict=True))]
 
 
-def check_near(spark, df, docs):
-    found = collected(near_dedup.NearDuplicates(df).result())
-    plain = plain_components(docs)
+def check_near(spark, df, docs, width=2):
+    found = collected(near_dedup.NearDuplicates(df, width).result())
+    plain = plain_components(docs, width)
     want = collections.Counter((i, n, c, i == c) for i, n, c, _ in plain)
     assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in found) == want
     assert sum(r["first"] for r in found) == len({group for *_, group in plain})
@@ -71,6 +71,53 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_dedup.NearDuplicates(frame(spark, [])).result().count() == 0
 
 
+@pytest.mark.parametrize("width", [1, 5])
+def test_near_duplicates_of_other_widths(spark, width):
+    check_near(spark, frame(spark), rows(), width)
+    docs = list(enumerate(near_group(60, 5, changes=3) + near_group(40, 6, 80, 2) + near_group(8, 7, 4, 1)))
+    check_near(spark, spark.createDataFrame(docs, "doc_id long, text string"), docs, width)
+
+
+def template_pages(n, shared=76, own=25):
+    """Pages of one template: every two of them have a similarity of about 0.6."""
+    common = " ".join(f"menu{i}" for i in range(shared))
+    return [f"{common} " + " ".join(f"p{k}w{i}" for i in range(own)) for k in range(n)]
+
+
+def test_pages_of_one_template_meet_in_no_list(spark):
+    """Near copies among them are found; no other pair is ever formed."""
+    pages = template_pages(400)
+    copies = [f"{pages[k].rsplit(' ', 2)[0]} other{k} end{j}" for k in range(0, 400, 40) for j in range(3)]
+    docs = list(enumerate(pages + copies + near_group(30, 8, changes=5)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    check_near(spark, df, docs)
+    near = near_dedup.NearDuplicates(spark.createDataFrame(list(enumerate(pages)), "doc_id long, text string"))
+    members = near.members()
+    assert members.select("c").distinct().count() > 300  # they do share buckets
+    links = near.confirm(near.star_pairs(members))
+    assert links.count() == 0
+    assert near.rest_pairs(members, components(links))[0].count() == 0
+
+
+def test_near_duplicates_of_chained_templates(spark):
+    """Groups whose rare shingles are shared across components."""
+    rng = random.Random(3)
+    parts = [" ".join(f"b{b}w{i}" for i in range(20)) for b in range(8)]
+    docs = []
+    for k in range(250):
+        w = " ".join(parts[b] for b in sorted(rng.sample(range(8), 5))).split()
+        for j in rng.sample(range(100), rng.randint(0, 8)):
+            w[j] = f"x{k}j{j}"
+        docs.append((k, " ".join(w)))
+    check_near(spark, spark.createDataFrame(docs, "doc_id long, text string"), docs)
+
+
+def test_sets_are_dealt_to_parts(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PAIRS_A_SET", 5)
+    docs = list(enumerate(near_group(90, 9, changes=5)))
+    check_near(spark, spark.createDataFrame(docs, "doc_id long, text string"), docs)
+
+
 def test_near_duplicates_in_large_groups_around_the_limit(spark):
     docs = [(1000 + i, t) for i, t in enumerate(near_group(120, 1, changes=6) + near_group(60, 2, 30, 2)
                                                 + ["copy of one text with some words"] * 200)]
@@ -179,6 +226,69 @@ def test_toxicity_on_held_out_rows(spark):
     assert model.score("") < 0.5
 
 
+def plain_em(patterns, chance, share, rounds):
+    """The label model by loops over patterns, voters and votes."""
+    v, weight = toxicity.N_VOTERS, [1.0] * toxicity.N_VOTERS
+    for k in range(rounds):
+        post = []
+        for votes, _ in patterns:
+            x = math.log(share / (1 - share)) + sum(
+                weight[j] * math.log(chance[1][j][votes[j]] / chance[0][j][votes[j]]) for j in range(v))
+            post.append(1 / (1 + math.exp(-x)))
+        soft = [[(1 - p) * n for p, (_, n) in zip(post, patterns, strict=True)],
+                [p * n for p, (_, n) in zip(post, patterns, strict=True)]]
+        size = [sum(s) for s in soft]
+        share = min(0.5, max(1e-4, (size[1] + 0.5) / (sum(size) + 1)))
+        chance = [[[(sum(s for s, (votes, _) in zip(soft[y], patterns, strict=True) if votes[j] == c) + 0.5)
+                    / (size[y] + 1.5) for c in range(3)] for j in range(v)] for y in range(2)]
+        if k:
+            z = np.array([[{0: 0, 1: 1, 2: -1}[c] for c in votes] for votes, _ in patterns], float)
+            most = np.zeros((v, v))
+            for y in range(2):
+                w = np.array(soft[y]) / size[y]
+                mean = (z * w[:, None]).sum(0)
+                cov = (z * w[:, None]).T @ z - np.outer(mean, mean)
+                dev = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+                most = np.maximum(most, np.minimum(1, np.abs(cov / np.outer(dev, dev))))
+            most[most < 0.1] = 0
+            weight = [1 / (1 + sum(most[j][i] for i in range(v) if i != j)) for j in range(v)]
+    return chance, share, weight
+
+
+def test_label_model_recovers_planted_voters(spark):
+    """Voters of known accuracy, two of which always agree: the distributed
+    fit gives the numbers of a plain one, the planted accuracies, and half
+    the weight to the two."""
+    rng, v = np.random.default_rng(4), toxicity.N_VOTERS
+    right = np.concatenate(([0.9, 0.9, 0.8, 0.75, 0.7], np.full(v - 5, 0.65)))
+    seen = np.concatenate((np.full(5, 0.9), np.full(v - 5, 0.3)))
+    y = rng.random(6000) < 0.2
+    votes = np.where(rng.random((6000, v)) < right, np.where(y, 1, 2)[:, None], np.where(y, 2, 1)[:, None])
+    votes[rng.random((6000, v)) >= seen] = 0
+    votes[:, 1] = votes[:, 0]
+    counts = collections.Counter(map(tuple, votes.tolist()))
+    bits = lambda row, c: sum(1 << j for j, x in enumerate(row) if x == c)
+    table = spark.createDataFrame([(bits(r, 1), bits(r, 2), n) for r, n in counts.items()], "yes long, no long, n long")
+    chance = np.full((2, v, 3), 1 / 3)
+    chance[0, :, 1], chance[0, :, 2], chance[1, :, 1], chance[1, :, 2] = 0.2, 0.4667, 0.4667, 0.2
+    start = toxicity.LabelModel(chance, 0.3)
+    got = toxicity.fit_label_model(table, start, rounds=8)
+    plain = plain_em([(r, n) for r, n in counts.items()], chance.tolist(), 0.3, 8)
+    assert np.allclose(got.chance, plain[0], atol=1e-6) and abs(got.share - plain[1]) < 1e-6
+    assert np.allclose(got.weight, plain[2], atol=1e-6)
+    accuracy = got.chance[1, :, 1] / (got.chance[1, :, 1] + got.chance[1, :, 2])
+    assert np.abs(accuracy - right)[2:].max() < 0.08 and abs(got.share - 0.2) < 0.05
+    assert np.abs(got.weight[:2] - 0.5).max() < 0.05 and got.weight[2:].min() > 0.8
+
+
+def test_toxicity_votes_of_held_out_rows_do_not_count(spark):
+    docs, labels = toxic_docs(600)
+    label_rows = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    other = [(i, "!!! *** WHAT ?" if fold(i, 5) == 0 else t) for i, t in docs]
+    one, two = (toxicity.train(frame(spark, d), label_rows) for d in (docs, other))
+    assert one.weights == two.weights and one.intercept == two.intercept
+
+
 def test_toxicity_sample_loses_near_copies_only(spark):
     rng = random.Random(6)
     common = [f"c{i}" for i in range(40)]
@@ -224,7 +334,7 @@ def test_pipeline_stages(spark, sf_small):
             assert docs.columns == columns
         after = {r.doc_id: r for r in docs.collect()}
         if name == "near_dedup":
-            assert set(after) == {i for i, _, c, _ in plain_components(before) if i == c}
+            assert set(after) == {i for i, _, c, _ in plain_components(before, 5) if i == c}
         if name == "decontaminate":
             from test_text_scans import plain_hits
             items = [(r.item_id, r.text) for r in documents(spark, sf_small, "benchmark").collect()]
@@ -240,6 +350,43 @@ def test_pipeline_stages(spark, sf_small):
             assert {r.doc_id for r in docs.select("doc_id").collect()} == {i for i, _ in before}
 
 
+@pytest.mark.parametrize("k", range(5))
+def test_pipeline_stages_on_empty_and_odd_tables(spark, sf_small, k):
+    """Null, empty, repeated and very long rows, extra columns with the
+    operators' own names; then no rows at all."""
+    name, function = corpus_pipeline.STAGES[k]
+    odd = stage(frame(spark).withColumnRenamed("n_words", "n_chars"), "odd")
+    out = function(spark, odd, sf_small)
+    got = collections.Counter((r.doc_id, r.text) for r in out.collect()) if name != "packing" else None
+    want = collections.Counter(rows())
+    if name == "near_dedup":
+        first = {}
+        for (i, _, _, group), row in zip(plain_components(rows(), 5), rows(), strict=True):
+            first[group] = min(first.get(group, (True, 0, row)), (i is None, i or 0, row), key=lambda x: x[:2])
+        want = collections.Counter(row for *_, row in first.values())
+    if name == "packing":
+        pieces = collections.Counter(r.doc_id for r in out.collect())
+        assert set(pieces) == {i for i, _ in rows()} and pieces[7] > 1 and pieces[2] == 2
+    else:
+        assert got == want and out.columns == odd.columns
+    none = stage(frame(spark, []), "none")
+    assert function(spark, none, sf_small).count() == 0
+    if name != "packing":
+        assert function(spark, none, sf_small).columns == none.columns
+
+
+def test_pipeline_drops_toxic_documents(spark, tmp_path):
+    """The documents that the classifier rejects go, and no others."""
+    docs, labels = toxic_docs(1200, seed=3)
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    given = stage(frame(spark, docs), "toxic")
+    left = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, given, str(tmp_path)).collect()}
+    model = toxicity.train(given, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    assert left == {i for i, t in docs if model.score(t) < 0.5}
+    gone = {i for i, _ in docs} - left
+    assert sum(i % 5 == 0 for i in gone) >= 0.95 * 240 and sum(i % 5 > 0 for i in gone) <= 2
+
+
 def test_pipeline_keeps_odd_rows_apart(spark, sf_small):
     """Extra columns with clashing names, null and repeated rows."""
     docs = stage(frame(spark), "odd")
