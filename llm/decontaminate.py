@@ -5,25 +5,31 @@ A-Z. A window is ``WINDOW`` consecutive words of an item. Of each text the
 k-gram hashes are winnowed: the least hash of every ``WINDOW - K + 1``
 neighbouring k-grams is kept with its place. A span of ``WINDOW`` words has
 exactly that many k-grams, so two texts that share one keep the same least
-hash in it: no shared window is missed. Kept hashes of documents and items
-are joined, each hit is extended word by word in both directions, and an
-extended run of at least ``WINDOW`` words marks its words as hit. An item
-with fewer words is one window of its own length; it enters with the hash of
-all its words, against document k-grams of that length without winnowing.
+hash in it: no shared window is missed. That least hash is the window's
+fingerprint. Fingerprints of documents and items are joined together with the
+hash of their whole window, so a k-gram that many texts have in common meets
+nothing unless the words around it agree too; the join's rows are the shared
+windows. Each hit is then extended: windows of one item that overlap in the
+document become one span. An item with fewer words is one window of its own
+length; it enters with the hash of all its words, against document k-grams of
+that length without winnowing.
 
 Plan. Documents are read once: each task yields, per document, its number of
-words and the kept hashes that pass a fixed-size bit table of item hashes,
-with the word hashes around each. The table has ``FILTER_BITS`` bits however
-many items there are; the join after it is exact. The hits of a passage that
-many documents share are spread by the join on the hash; items with many
+words and the windows whose kept hash and whole hash both pass bit tables of
+the items' hashes. The tables have ``BITS_A_WINDOW`` bits a window of the
+items, up to ``MOST_BITS``; beyond that they let more through, and the join,
+which is exact on 128 bits, takes out the rest. The hits of a passage that
+many documents share are spread by the join on the hashes; items with many
 windows alike add rows for each item, as the result names every item.
 
 Defined cases: null texts and texts without words have no words, no window
-and are not contaminated. Repeated rows and null ids are judged row by row
-(rows are told apart by the place they were read from). Repeated item rows
-count once by item id; null item ids are left out of the list of items but
-their windows count as hits. An empty benchmark leaves every document clean.
-Other columns are not read.
+and are not contaminated. Very long texts are read whole; what a document
+yields grows with its hits alone. Repeated rows and null ids are judged row by
+row (rows are told apart by the place they were read from), and rows of equal
+ids do not mix. Repeated item rows count once by item id; null item ids are
+left out of the list of items but their windows count as hits. An empty
+benchmark leaves every document clean; an empty table gives an empty result.
+Other columns are not read, so their names may clash.
 """
 
 from __future__ import annotations
@@ -33,15 +39,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from llm.common import (ROW_KEY, batches, documents, id_and_text, list_column, stage, texts,
-                        with_row_key)
+from llm.common import ROW_KEY, batches, documents, id_and_text, stage, texts, with_row_key
 
 WINDOW = 10
 K = 5
-FILTER_BITS = 1 << 24
+#: Bits of a filter table for each window of the items, and the most it has.
+BITS_A_WINDOW, MOST_BITS = 16, 1 << 26
 
 #: ASCII A-Z to a-z, other ASCII outside 0-9 and a-z to a blank.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32
@@ -68,7 +75,8 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 
 def winnow(grams: np.ndarray, w: int) -> np.ndarray:
-    """Places of the kept hashes: the last least one of each w neighbours."""
+    """For each w neighbouring hashes the place of the kept one, the last
+    least; neighbours mostly share it."""
     n = len(grams) - w + 1
     if n <= 0:
         return np.empty(0, np.int64)
@@ -79,10 +87,18 @@ def winnow(grams: np.ndarray, w: int) -> np.ndarray:
         less = seen < least
         least[less] = seen[less]
         at[less] = np.flatnonzero(less) + j
-    keep = np.empty(n, bool)
-    keep[0] = True
-    keep[1:] = at[1:] != at[:-1]
-    return at[keep]
+    return at
+
+
+def windows(words: np.ndarray, size: int, short: bool, window: int, k: int
+            ) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprint and whole hash of every window of a text: of ``window``
+    words, or of the ``size`` words of a short item."""
+    if short:
+        whole = gram_hashes(words, size)
+        return whole, whole
+    grams = gram_hashes(words, k)
+    return grams[winnow(grams, window - k + 1)], gram_hashes(words, window)
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -90,46 +106,35 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def _item_rows(window: int, k: int):
-    schema = pa.schema([("item", pa.int64()), ("item_id", pa.int64()), ("k", pa.int32()),
-                        ("short", pa.bool_()), ("hash", pa.int64()),
-                        ("before", pa.list_(pa.int64())), ("after", pa.list_(pa.int64()))])
+    schema = pa.schema([("item_id", pa.int64()), ("k", pa.int32()), ("short", pa.bool_()),
+                        ("hash", pa.int64()), ("whole", pa.int64())])
 
     def rows(found: Iterator[pa.RecordBatch]):
         for batch in found:
-            keys, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for key, item_id, text in zip(keys, ids, texts(batch.column(2)), strict=True):
+            for item_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
                 words = word_hashes(text)
                 if not len(words):
                     continue
                 short = len(words) < window
-                size = len(words) if short else k
-                grams = gram_hashes(words, size)
-                for at in ([0] if short else winnow(grams, window - k + 1)):
-                    yield (key, item_id, size, short, int(_signed(grams)[at]),
-                           _signed(words[max(0, at - window + size):at])[::-1].tolist(),
-                           _signed(words[at + size:at + window]).tolist())
+                size = len(words) if short else window
+                pairs = zip(*(_signed(h).tolist() for h in windows(words, size, short, window, k)), strict=True)
+                for hash_, whole in dict.fromkeys(pairs):
+                    yield item_id, size, short, hash_, whole
 
     return lambda found: batches(rows(found), schema, 5000)
 
 
-ITEM_ROWS = ("item long, item_id long, k int, short boolean, hash long, before array<long>, "
-             "after array<long>")
-
-
-def item_fingerprints(items: DataFrame, id_col: str = "item_id", text_col: str = "text",
-                      window: int = WINDOW, k: int = K) -> DataFrame:
-    """Kept hashes of all items, each with up to ``window - k`` word hashes
-    before it (nearest first) and after it."""
-    key = F.xxhash64("item_id", "text")
+def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text",
+                 window: int = WINDOW, k: int = K) -> DataFrame:
+    """The fingerprints of all items with the hash of their window."""
     d = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
-    return stage(d.select(key.alias("item"), "item_id", "text").mapInArrow(
-        _item_rows(window, k), ITEM_ROWS), "item-fingerprints")
+    return stage(d.mapInArrow(_item_rows(window, k), "item_id long, k int, short boolean, hash long, whole long")
+                 .distinct(), "item-windows")
 
 
-def _bit_table(item_rows: DataFrame, bits: int) -> tuple[bytes, list[tuple[int, bool]]]:
-    """Bits set at item hashes, packed, and the kinds of item rows: number of
-    words hashed, and whether they are a whole short item. Tasks send their
-    own packed tables, which are joined in a tree."""
+def _bit_table(hashes: DataFrame, bits: int) -> bytes:
+    """Bits set at the hashes, packed. Tasks send their own packed tables,
+    which are joined by place."""
     def local(found: Iterator[pa.RecordBatch]):
         table = np.zeros(bits >> 3, np.uint8)
         for batch in found:
@@ -140,94 +145,92 @@ def _bit_table(item_rows: DataFrame, bits: int) -> tuple[bytes, list[tuple[int,
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(table[used].astype(np.int32))],
                                          names=["place", "value"])
 
-    merged = (item_rows.select("hash").mapInArrow(local, "place long, value int")
-              .groupBy("place").agg(F.bit_or("value").alias("value")))
+    merged = hashes.mapInArrow(local, "place long, value int").groupBy("place").agg(F.bit_or("value").alias("value"))
     table = np.zeros(bits >> 3, np.uint8)
     found = merged.toArrow()  # at most bits / 8 rows
     table[found.column("place").to_numpy()] = found.column("value").to_numpy()
+    return table.tobytes()
+
+
+def _filters(item_rows: DataFrame, bits: int | None) -> tuple:
+    """Bit tables of fingerprints and of whole windows, and the kinds of item
+    rows: number of words hashed, and whether they are a whole short item."""
+    bits = bits or min(MOST_BITS, 1 << max(10, (item_rows.count() * BITS_A_WINDOW).bit_length()))
     kinds = [(r.k, r.short) for r in item_rows.select("k", "short").distinct().collect()]  # at most WINDOW rows
-    return table.tobytes(), kinds
+    return _bit_table(item_rows.select("hash"), bits), _bit_table(item_rows.select("whole"), bits), kinds
 
 
-def _document_rows(table, kinds: list[tuple[int, bool]], window: int, k: int):
-    hit = pa.struct([("k", pa.int32()), ("short", pa.bool_()), ("hash", pa.int64()), ("at", pa.int64()),
-                     ("before", pa.list_(pa.int64())), ("after", pa.list_(pa.int64()))])
+def _document_rows(shared, window: int, k: int):
+    hit = pa.struct([("k", pa.int32()), ("short", pa.bool_()), ("hash", pa.int64()), ("whole", pa.int64()),
+                     ("at", pa.int64())])
     schema = pa.schema([("_rf", pa.int64()), ("_rr", pa.int64()), ("doc_id", pa.int64()),
                         ("n_words", pa.int64()), ("hits", pa.list_(hit))])
 
     def rows(found: Iterator[pa.RecordBatch]):
-        bits = np.frombuffer(table.value, np.uint8)
-        mask = np.uint64(len(bits) * 8 - 1)
+        *tables, kinds = shared.value
+        one, two = (np.frombuffer(t, np.uint8) for t in tables)
+        mask = np.uint64(len(one) * 8 - 1)
+
+        def known(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+            h = hashes & mask
+            return (table[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & 1) == 1
+
         for batch in found:
             keys = [batch.column(c).to_pylist() for c in range(3)]
             for rf, rr, doc_id, text in zip(*keys, texts(batch.column(3)), strict=True):
                 words = word_hashes(text)
                 hits = []
                 for size, short in kinds:
-                    grams = gram_hashes(words, size)
-                    at = np.arange(len(grams)) if short else winnow(grams, window - k + 1)
-                    reach = 0 if short else window - size
-                    h = grams[at] & mask
-                    seen = bits[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)
-                    for a in at[(seen & 1) == 1].tolist():
-                        hits.append({
-                            "k": size, "short": short, "hash": int(_signed(grams)[a]), "at": a,
-                            "before": _signed(words[max(0, a - reach):a])[::-1].tolist(),
-                            "after": _signed(words[a + size:a + size + reach]).tolist()})
+                    hashes, whole = windows(words, size, short, window, k)
+                    at = np.flatnonzero(known(one, hashes))
+                    at = at[known(two, whole[at])]
+                    hits += [{"k": size, "short": short, "hash": h, "whole": w, "at": a} for h, w, a in zip(
+                        _signed(hashes[at]).tolist(), _signed(whole[at]).tolist(), at.tolist(), strict=True)]
                 yield rf, rr, doc_id, len(words), hits
 
-    return lambda found: batches(rows(found), schema, 5000, 4 << 20, lambda r: 64 + 200 * len(r[4]))
+    return lambda found: batches(rows(found), schema, 5000, 4 << 20, lambda r: 64 + 40 * len(r[4]))
+
+
+def shared_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K,
+                   filter_bits: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents: row key, doc_id, n_words, from a written table; windows:
+    row key, item_id, first and end word, one row per shared window).
+    ``filter_bits`` (a power of two) overrides the size of the bit tables."""
+    item_rows = item_windows(items, window=window, k=k)
+    shared = docs.sparkSession.sparkContext.broadcast(_filters(item_rows, filter_bits))  # MOST_BITS / 4
+    rows = stage(with_row_key(docs, *id_and_text(docs)).mapInArrow(
+        _document_rows(shared, window, k), "_rf long, _rr long, doc_id long, n_words long, "
+        "hits array<struct<k: int, short: boolean, hash: long, whole: long, at: long>>"), "document-windows")
+    met = rows.select(*ROW_KEY, F.explode("hits").alias("h")).select(*ROW_KEY, "h.*") \
+        .join(item_rows, ["k", "short", "hash", "whole"])
+    return rows.select(*ROW_KEY, "doc_id", "n_words"), met.select(
+        *ROW_KEY, "item_id", F.col("at").alias("first"), (F.col("at") + F.col("k")).alias("end"))
 
 
-def _run(a: Column, b: Column) -> Column:
-    """How many leading values two arrays share."""
-    n = F.least(F.size(a), F.size(b))
-    unlike = F.array_position(F.transform(F.arrays_zip(F.slice(a, 1, n).alias("x"), F.slice(b, 1, n).alias("y")),
-                                          lambda p: p["x"] == p["y"]), False)
-    return F.when(unlike > 0, unlike - 1).otherwise(n).cast("int")
+def _merged(spans: DataFrame, by: list[str]) -> DataFrame:
+    """Overlapping spans of a group as one; a group is what one document
+    shares (with one item)."""
+    along = W.partitionBy(*by).orderBy("first", "end")
+    reach = F.max("end").over(along.rowsBetween(W.unboundedPreceding, -1))
+    starts = spans.withColumn("new", F.coalesce(F.col("first") > reach, F.lit(True)).cast("int"))
+    return starts.withColumn("run", F.sum("new").over(along.rowsBetween(W.unboundedPreceding, 0))) \
+        .groupBy(*by, "run").agg(F.min("first").alias("first"), F.max("end").alias("end")).drop("run")
 
 
-def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K,
-         filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+def hits(docs: DataFrame, items: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     """(documents: row key, doc_id, n_words; spans: row key, item_id, first
-    and end word). Both come from written tables."""
-    spark = docs.sparkSession
-    item_rows = item_fingerprints(items, window=window, k=k)
-    bits, kinds = _bit_table(item_rows, filter_bits)
-    table = spark.sparkContext.broadcast(bits)
-    rows = stage(with_row_key(docs, *id_and_text(docs)).mapInArrow(
-        _document_rows(table, kinds, window, k),
-        "_rf long, _rr long, doc_id long, n_words long, hits array<struct<k: int, short: boolean, hash: long, "
-        "at: long, before: array<long>, after: array<long>>>"), "document-fingerprints")
-    d = rows.select(*ROW_KEY, F.explode("hits").alias("h")).select(*ROW_KEY, "h.*")
-    i = item_rows.select("k", "short", "hash", "item_id", F.col("before").alias("item_before"),
-                         F.col("after").alias("item_after"))
-    left, right = _run(F.col("before"), F.col("item_before")), _run(F.col("after"), F.col("item_after"))
-    # an item shorter than a window matches by the hash of all its words and
-    # may stand anywhere, so it is not extended
-    short = F.col("short")
-    spans = d.join(i, ["k", "short", "hash"]).withColumns({
-        "l": F.when(short, 0).otherwise(left), "r": F.when(short, 0).otherwise(right)
-    }).filter(short | (F.col("l") + F.col("r") + k >= window))
-    spans = spans.select(*ROW_KEY, "item_id", (F.col("at") - F.col("l")).alias("first"),
-                         (F.col("at") + F.col("k") + F.col("r")).alias("end")).distinct()
-    return rows.select(*ROW_KEY, "doc_id", "n_words"), stage(spans, "spans")
+    and end word of each run of shared windows). Both come from written tables."""
+    rows, met = shared_windows(docs, items, **options)
+    return rows, stage(_merged(met, [*ROW_KEY, "item_id"]), "spans")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """One row per document with the row key, its words, how many of them lie
     in an occurring window, and the items whose windows occur."""
-    from pyspark.sql import Window as W
-
     rows, spans = hits(docs, items, **options)
-    # words of overlapping spans count once: a span adds what lies beyond the
-    # farthest end of earlier ones
-    places = spans.groupBy(*ROW_KEY, "first").agg(F.max("end").alias("end"))
-    before = W.partitionBy(*ROW_KEY).orderBy("first").rowsBetween(W.unboundedPreceding, -1)
-    reach = F.coalesce(F.max("end").over(before), F.lit(0))
-    n_hit = places.withColumn("new", F.greatest(
-        F.lit(0), F.col("end") - F.greatest(reach, F.col("first")))).groupBy(*ROW_KEY).agg(
-        F.sum("new").cast("long").alias("n_hit"))
+    # words of spans of several items count once
+    n_hit = _merged(spans.select(*ROW_KEY, "first", "end"), ROW_KEY).groupBy(*ROW_KEY).agg(
+        F.sum(F.col("end") - F.col("first")).cast("long").alias("n_hit"))
     named = spans.groupBy(*ROW_KEY).agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     found = rows.join(n_hit.join(named, ROW_KEY), ROW_KEY, "left")
     none = F.array().cast("array<string>")

@@ -4,11 +4,12 @@ import collections
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from odd_rows import WORD, collected, frame, lower, rows
 
 from llm import decontaminate, quality_rules, secrets
-from llm.common import documents
+from llm.common import ROW_KEY, documents, stage
 
 
 def plain_measures(text):
@@ -122,7 +123,81 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert by_id[3].n_chars == len(by_id[3].text)
     assert not secrets.base_spans(by_id[3].text)
     assert secrets.redact(frame(spark, []), ratio).count() == 0
-    assert secrets.train(frame(spark, [])).table.any() == False  # noqa: E712
+    fixed = secrets.train(frame(spark, []))
+    assert fixed.limit == secrets.LEAST_RATIO and fixed.held[0] == 0
+
+
+def plain_ratio(token, ordinary, random, weight):
+    """The log-likelihood ratio of a token, step by step, from the strings
+    that trained the models: letters without case after the two before them
+    (each context leaning on the shorter one), and the case after two classes."""
+    kind = lambda c: 0 if c == "\0" else 1 if c.islower() else 2 if c.isupper() else 3 if c.isdigit() else 4
+    logs = []
+    for strings in (random, ordinary):
+        three, two, one, case = (collections.Counter() for _ in range(4))
+        size = [collections.Counter() for _ in range(4)]
+        for t, n in strings:
+            for i, c in enumerate(t):
+                a, b = ("\0\0" + t)[i], ("\0\0" + t)[i + 1]
+                x = a.lower(), b.lower(), c.lower()
+                for counts, total, key in ((three, size[0], x), (two, size[1], x[1:]), (one, size[2], x[2:])):
+                    counts[key] += n
+                    total[key[:-1]] += n
+                if c.isalpha():
+                    case[kind(a), kind(b), c.isupper()] += n
+                    size[3][kind(a), kind(b)] += n
+        out = 0.0
+        for i, c in enumerate(token):
+            a, b = ("\0\0" + token)[i], ("\0\0" + token)[i + 1]
+            x, p = (a.lower(), b.lower(), c.lower()), 1 / (secrets.N - 1)
+            for counts, total, key in ((one, size[2], x[2:]), (two, size[1], x[1:]), (three, size[0], x)):
+                p = (counts[key] + secrets.LEAN * p) / (total[key[:-1]] + secrets.LEAN)
+            out += np.log(p)
+            if c.isalpha():
+                out += np.log((case[kind(a), kind(b), c.isupper()] + 1) / (size[3][kind(a), kind(b)] + 2))
+        logs.append(out)
+    assert weight > 0
+    return logs[0] - logs[1]
+
+
+def test_ratio_is_the_plain_one(spark):
+    docs = [(i, f"the ordinary_names and otherWords number{i} stand here, password=Xk3pQ9zR{i}wLt8vN2") for i in range(8)]
+    docs += [(20 + i, "more ordinary_names, moreWordsThanBefore again") for i in range(3)]
+    ratio = secrets.train(frame(spark, docs))
+    seen, secret = collections.Counter(), set()
+    for _, t in docs:
+        hidden = {x for s in secrets.base_spans(t) for x in re.findall(r"[A-Za-z0-9+/_=-]{8,}", t[s[3]:s[4]])}
+        secret |= hidden
+        for s in secrets.base_spans(t):
+            t = t[:s[0]] + " " + t[s[2]:]
+        seen.update(set(re.findall(r"[A-Za-z0-9+/_=-]{8,}", t)) - hidden)
+    kept = [t for t, n in seen.items() if n > 1 and not secrets.held_out(t)]
+    weight = max(1.0, sum(map(len, kept)) / 9 / sum(map(len, secrets.NAMES)))
+    ordinary = [(t, 1) for t in kept] + [(t, weight) for t in secrets.NAMES]
+    random = [(t, 1) for t in secret | set(secrets.drawn()) if not secrets.held_out(t)]
+    for token in ("ordinary_names", "Xk3pQ9zR7wLt", "ABCDEFGHIJ", "deadBEEF01+/=", "zzzzzzzz", "otherWords_9"):
+        assert ratio.of([token])[0] == pytest.approx(plain_ratio(token, ordinary, random, weight), abs=1e-3), token
+
+
+#: Ordinary identifiers that train nothing.
+ORDINARY = """550e8400-e29b-41d4-a716-446655440000 123E4567-E89B-12D3-A456-426614174000 utf8mb4_unicode_ci ABCDEFGHIJ
+customer_order_history getUserAccountDetails maxRetryCount parseHttpResponse order-2024-000123 INV-20240315-17
+4203335799404378420333 555-0142-99 last_modified_date total_price_with_tax WebSocketConnection firstName_lastName
+backgroundWorkerThread user_session_token_name HTTP_RESPONSE_CODE SELECT_FROM_TABLE DocumentBuilderFactory
+src/main/resources/static on_button_clicked isAuthenticated InternalServerError""".split()
+
+
+def test_identifiers_stay_and_random_strings_go(spark):
+    """With models of a whole table; random strings of several alphabets."""
+    ratio = secrets.train(documents(spark, "/root/testdata/sf0.01"))
+    assert [t for t, x in zip(ORDINARY, ratio.of(ORDINARY), strict=True) if x >= ratio.limit] == []
+    rng = np.random.default_rng(11)
+    for letters, size, least in ((secrets.ALPHABETS[5], 12, 0.9), (secrets.ALPHABETS[4], 16, 0.95),
+                                 (secrets.ALPHABETS[3], 16, 0.95), (secrets.ALPHABETS[2], 20, 0.95),
+                                 (secrets.ALPHABETS[6], 32, 0.99)):
+        made = ["".join(rng.choice(list(letters), size)) for _ in range(200)]
+        assert (ratio.of(made) >= ratio.limit).mean() >= least, (letters, size)
+    assert ratio.held[0] > 1000 and ratio.false_rate <= secrets.MOST_FALSE and ratio.missed_rate < 0.15
 
 
 DOC_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -180,6 +255,27 @@ def test_decontamination_of_empty_tables(spark, docs, items):
     check_hits(spark, frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), docs, items)
 
 
+def test_common_runs_meet_nothing(spark):
+    """Items and documents that share one run of five words, but no window,
+    give no row; shared windows give one row each."""
+    run = "these five words are common"
+    items = [(i, f"{run} " + " ".join(f"i{i}w{j}" for j in range(12))) for i in range(60)]
+    docs = [(i, " ".join(f"d{i}a{j}" for j in range(9)) + f" {run} " + " ".join(f"d{i}b{j}" for j in range(9)))
+            for i in range(80)] + [(100, items[7][1]), (101, "x " + items[7][1] + " " + items[8][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    _, met = decontaminate.shared_windows(stage(frame(spark, docs), "runs"), bench)
+    assert met.count() == 3 * 8  # 17 words have eight windows
+    check_hits(spark, frame(spark, docs), bench, docs, items)
+
+
+def test_spans_are_the_longest_runs(spark):
+    items = spark.createDataFrame([(1, " ".join(W[:40]))], "item_id long, text string")
+    docs = [(1, "x " + " ".join(W[3:33]) + " y " + " ".join(W[20:31])), (2, " ".join(W[:12]))]
+    rows_, spans = decontaminate.hits(stage(frame(spark, docs), "spans"), items)
+    found = spans.join(rows_, ROW_KEY).select("doc_id", "first", "end").collect()
+    assert sorted(map(tuple, found)) == [(1, 1, 31), (1, 32, 43), (2, 0, 12)]
+
+
 def test_decontamination_by_items_of_k_words(spark):
     """Items as long as the hashed runs are one window of their own."""
     five = [(1, " ".join(W[:5])), (2, "Five, words of an item"), (3, " ".join(W[20:45])), (4, "four words of one")]
