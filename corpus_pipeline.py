@@ -3,17 +3,31 @@
 ``STAGES`` lists (name, function) pairs; each function takes (spark, docs,
 sf_dir) and returns a DataFrame, which the caller writes as Parquet and reads
 again as the next stage's ``docs``. All stages but the last return the
-columns of ``documents``.
+columns of ``documents``, whatever they are: columns besides doc_id and text
+pass through, also with names that an operator uses itself.
 
 * ``toxicity``: trains on the labels of the documents at hand and drops those
-  the classifier rejects (score of at least 0.5).
-* ``near_dedup``: keeps one document of each near-duplicate group by the rule
-  of op6 (2-word shingles, 0.8), the one of least id; texts without words are
-  kept.
-* ``decontaminate``: drops documents with a benchmark window.
+  the classifier rejects (score of at least 0.5). Null and empty texts have no
+  word and are kept; texts with null or repeated ids are scored row by row
+  (such rows train nothing), so equal texts share one fate; very long texts
+  are scored whole. Without labels no text is rejected.
+* ``near_dedup``: keeps one document of each near-duplicate group (sets of
+  5-word shingles, similarity 0.8 or more), the one of least id; of rows with
+  that id the first by file and place. Null ids come last. Null texts and
+  texts without words are no copies and all kept; very long texts are read
+  whole.
+* ``decontaminate``: drops documents with a benchmark window. Null texts and
+  texts without words are kept; rows are judged one by one, whatever their
+  id; very long texts are read whole; without a benchmark nothing is dropped.
 * ``secrets``: replaces the secret part of every span; ``n_chars`` follows.
-* ``packing``: packs the rest into sequences; one row per piece.
-
+  Keeps every row; null texts stay null and empty ones empty; equal texts
+  change alike; of spans that overlap the earliest, longest is replaced.
+* ``packing``: packs the rest into sequences; one row per piece. A null or
+  empty text is its end id alone; rows of equal or null ids are packed one by
+  one, in the order :mod:`llm.packing` states; very long texts are cut into
+  pieces.
+
+An empty table gives an empty table of the same columns in every stage.
 Part of the document operators: the driver may remove this file with them.
 """
 
@@ -26,6 +40,8 @@ from pyspark.sql import functions as F
 from llm import decontaminate, near_dedup, packing, secrets, toxicity
 from llm.common import ROW_KEY, bounded_batches, documents, stage, with_row_key
 
+#: Words of a shingle of the near-duplicate stage.
+SHINGLE = 5
 #: Row keys that are broadcast at most (16 bytes each).
 BROADCAST_ROWS = 200_000
 
@@ -62,7 +78,7 @@ def _drop(docs: DataFrame, keys: DataFrame) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     docs = _placed(docs)
-    found = near_dedup.NearDuplicates(docs).result()
+    found = near_dedup.NearDuplicates(docs, SHINGLE).result()
     return _drop(docs, found.filter("not first").select(*ROW_KEY))
 
 
