@@ -192,7 +192,7 @@ def test_purchases_economy_yields(spark, root):
     py = marts.plot_yield_totals(logs.plot_yields(logs.scan_lines(spark, root,
                                                                   "BuilderTaskingYieldLog.csv")))
     row = py.collect()[0]
-    assert row["gold"] == 3 and row["food"] == 0   # food sums to −8: HAVING sum > 0 drops it
+    assert row["p_gold"] == 3 and row["p_food"] is None   # food sums to −8: HAVING sum > 0 drops it
 
 
 def test_civ_economy_corrected_and_sources(spark, root, tmp_path):

@@ -1,5 +1,6 @@
 """Split ordered scans, global ranks and as-of joins against brute force."""
 
+import numpy as np
 import pandas as pd
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -197,3 +198,41 @@ def test_interval_explode_and_spine_dedupe(spark, rows):
         for t in range(s, e + 1):
             expect[(k, t)] = max(expect.get((k, t), era), era)
     assert dedup == expect
+
+
+def test_level_tables_compose_to_the_plain_walk(spark):
+    """Hot keys over several chunks and batches, null keys, tiers and chunks."""
+    import random
+
+    from turnlens.operators.fold import composed, level_state_machine, row_tables
+    rng = random.Random(2)
+    rows = []
+    for i in range(6000):
+        k = None if i % 50 == 0 else 7 if i % 3 else rng.randrange(20)
+        rows.append((k, i, rng.choice([None, 0, 1, 2, 3, 5, 9]), rng.choice([True, False, None]),
+                     None if i < 40 else i // 700))
+    df = spark.createDataFrame(rows, "k long, i int, t int, s boolean, c int").repartition(5)
+    state, want = {}, {}
+    for k, i, t, s, _ in rows:
+        level, steps = state.get(k, (1, 0))
+        want[i] = level
+        steps += s is True
+        if level < 6 and ((t or 0) > level or steps >= 4):
+            level, steps = level + 1, 0
+        state[k] = level, 0 if level >= 6 else steps
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "300")
+    try:
+        out = level_state_machine(df, "k", ["i"], "t", "s", "i", 4, max_level=6, chunk=F.col("c"),
+                                  num_partitions=3).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert {r.i: r.level for r in out} == want and len(out) == len(rows)
+    assert {r.k for r in out} == {k for k, *_ in rows}
+    tables = row_tables(1, 6, 4)
+    kinds = [rng.randrange(len(tables)) for _ in range(200)]
+    begins = np.array([i % 37 == 0 for i in range(200)])
+    got, now = composed(tables[kinds], begins), None
+    for i, kind in enumerate(kinds):
+        now = tables[kind] if begins[i] else tables[kind][now]
+        assert (got[i] == now).all()

@@ -203,3 +203,10 @@ def grid_era_tier(gridx: str | Column) -> tuple[Column, Column, Column]:
                                                 tier.cast("string"))))
     ok = era.between(1, 9)
     return (F.when(ok, era), F.when(ok, tier), F.when(ok, label))
+
+
+def hash_number(*parts: Column, digits: int = 13) -> Column:
+    """A whole number below 16^digits from the MD5 of the parts joined by
+    ``|``: the same on every engine that has MD5."""
+    text = F.concat_ws("|", *[c.cast("string") for c in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10).cast("long")

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from turnlens.operators.ordered import global_row_number, ordered_scan
+from turnlens.operators.quantiles import exact_quantile, grouped_exact_quantiles  # noqa: F401
 
 
 def group_stats(df: DataFrame, keys: Sequence[str], value: str, digits: int = 6,
@@ -73,22 +73,6 @@ def histogram(df: DataFrame, group: str, value: str, bins: int = 30) -> DataFram
                  F.min("__lo").alias("range_lo"), F.min("__hi").alias("range_hi")))
 
 
-def exact_quantile(df: DataFrame, value: str, p: float, tiebreak: Sequence[str]) -> DataFrame:
-    """Exact linear-interpolated quantile (quantile_cont) of a whole column
-    by a distributed sort: range-partitioned ranks, then the two rows around
-    position p·(n − 1). No single task holds the column. One-row result."""
-    d = df.select(value, *tiebreak).filter(F.col(value).isNotNull())
-    n = d.select(F.count(F.lit(1))).scalar()
-    ranked = global_row_number(d, [F.col(value), *[F.col(c) for c in tiebreak]], "__rn")
-    pos = F.lit(p) * (n - F.lit(1))
-    lo_rn = F.floor(pos) + 1
-    hi_rn = F.ceil(pos) + 1
-    pick = ranked.filter((F.col("__rn") == lo_rn) | (F.col("__rn") == hi_rn))
-    frac = pos - F.floor(pos)
-    return pick.agg(
-        (F.min(value) + (F.max(value) - F.min(value)) * F.first(frac)).alias("q"))
-
-
 def five_number(df: DataFrame, keys: Sequence[str], value: str, digits: int = 6) -> DataFrame:
     """Min, q1, median, q3, max (continuous quantiles) per group."""
     names = ["min", "q1", "median", "q3", "max"]
@@ -122,35 +106,11 @@ def distinct_ratio(df: DataFrame, keys: Sequence[str], numerator: Column, distin
     return df.groupBy(*keys).agg((F.sum(numerator) / F.countDistinct(distinct_of)).alias(out))
 
 
-def grouped_exact_quantiles(df: DataFrame, group: Sequence[str], value: str,
-                            probs: Sequence[float], out: str = "q",
-                            n_chunks: int = 4096) -> DataFrame:
-    """Exact continuous quantiles (linear interpolation, like
-    ``percentile`` / ``quantile_cont``) per group, without holding a group in
-    one buffer: (group, value) counts are aggregated map-side, their
-    cumulative counts come from a split ordered scan (chunked by value
-    range), and the rows at ranks floor/ceil(p·(n−1)) are picked with a
-    bounded fan-out (one row per probability). Output: group + one column
-    ``{out}_{i}`` per probability."""
-    group = list(group)
-    d = df.select(*group, value).filter(F.col(value).isNotNull())
-    vc = d.groupBy(*group, value).agg(F.count(F.lit(1)).alias("__c"))
-    rng = d.select(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
-    lo, hi = rng["lo"], rng["hi"]
-    span = F.when(hi > lo, hi - lo).otherwise(F.lit(1))
-    chunk = F.floor((F.col(value) - lo) / span * F.lit(n_chunks - 1))
-    cum = ordered_scan(vc, group, [value], chunk, sums={"__cum": F.col("__c")})
-    n = vc.groupBy(*group).agg(F.sum("__c").alias("__n"))
-    targets = n.select(*group, "__n", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)]))
-        .alias("__t"))
-    targets = targets.select(*group, F.col("__t.i").alias("__i"),
-                             (F.col("__t.p") * (F.col("__n") - 1)).alias("__pos"))
-    j = cum.join(targets, group, "inner")
-    picked = j.groupBy(*group, "__i", "__pos").agg(
-        F.min(F.when(F.col("__cum") > F.floor("__pos"), F.col(value))).alias("__lo"),
-        F.min(F.when(F.col("__cum") > F.ceil("__pos"), F.col(value))).alias("__hi"))
-    q = picked.withColumn("__q", F.col("__lo") + (F.col("__hi") - F.col("__lo"))
-                          * (F.col("__pos") - F.floor("__pos")))
-    return q.groupBy(*group).pivot("__i", list(range(len(probs)))).agg(F.first("__q")).select(
-        *group, *[F.col(f"`{i}`").alias(f"{out}_{i}") for i in range(len(probs))])
+def milestone_after(picks: DataFrame, reached: DataFrame, on: Sequence[str], item: str,
+                    turn: str) -> DataFrame:
+    """Per picked item: picks, the share whose owner reached the
+    milestone (a row of ``reached``), and the mean turn of those that did."""
+    j = picks.join(reached.select(*on, F.col(turn).alias("__t"), F.lit(1.0).alias("__hit")), list(on), "left")
+    return j.groupBy(item).agg(F.count(F.lit(1)).alias("n"),
+                               F.avg(F.coalesce("__hit", F.lit(0.0))).alias("share"),
+                               F.avg("__t").alias(f"mean_{turn}"))

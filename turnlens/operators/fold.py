@@ -4,10 +4,10 @@ W16 and W17 are rewritten as associative scans (last-non-null, running max,
 running count) on top of :func:`ordered_scan`, so they split across tasks
 even for a hot entity. The W18-style level state machine is not an
 associative scan over values, but its state space is finite, so with a
-chunk column it runs as a parallel prefix over per-chunk state→state tables;
-without one it is a single streaming pass over key-sorted partitions with
-``mapInPandas`` (rows arrive in Arrow batches, only the current key's state
-is held, no group is materialised in memory).
+chunk column it runs as a parallel prefix over state→state tables, composed
+in vectors; without one it is a single streaming pass over key-sorted
+partitions (rows arrive in Arrow batches, only the current key's state is
+held, no group is materialised in memory).
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from turnlens.operators.ordered import ordered_scan
+from turnlens.session import staged
 
 
 def chosen_completed_intervals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -100,10 +101,11 @@ def level_state_machine(df: DataFrame, key: str, order: Sequence[str], tier: str
 
     Without ``chunk``: one streaming pass over key-sorted partitions.
     With ``chunk`` (and ``max_level``) the state space is finite (level ×
-    steps), so the fold runs as a parallel prefix: each (key, chunk) computes
-    its state→state table in its own task, a per-key scan over the chunk
-    tables (one row per chunk) gives each chunk's entry state, and each chunk
-    replays its rows from that state — a hot key spreads over its chunks.
+    steps), so the fold runs as a parallel prefix: each (key, chunk) turns its
+    rows into state→state tables and composes them in vectors, a per-key scan
+    over the chunk tables (one row per chunk) gives each chunk's entry state,
+    and a join looks every row's table up at that state — a hot key spreads
+    over its chunks.
     """
     if chunk is not None and max_level is not None:
         return _level_machine_chunked(df, key, order, tier, is_step, id_col, steps_per_level,
@@ -119,111 +121,156 @@ def level_state_machine(df: DataFrame, key: str, order: Sequence[str], tier: str
            .repartition(n, key).sortWithinPartitions(key, *order))
 
     def run(batches):
-        import numpy as np
-        cur_key, level, steps = None, np.array([start_level]), np.array([0])
+        cur_key, level, steps = None, start_level, 0
         for pdf in batches:
-            ks = pdf[key].to_numpy()
-            tiers = pdf[tier].to_numpy()
-            stp = pdf[is_step].to_numpy()
-            out = [0] * len(pdf)
-            for i in range(len(pdf)):
-                if ks[i] != cur_key:
-                    cur_key, level, steps = ks[i], np.array([start_level]), np.array([0])
-                out[i] = int(level[0])
-                level, steps = _level_step(level, steps, tiers[i], bool(stp[i]),
-                                           steps_per_level, max_level)
+            out = []
+            for k, t, b in zip(pdf[key].tolist(), pdf[tier].tolist(), pdf[is_step].tolist(), strict=True):
+                if k != cur_key:
+                    cur_key, level, steps = k, start_level, 0
+                out.append(level)
+                steps += b is True or b == 1
+                if (max_level is None or level < max_level) and (
+                        steps >= steps_per_level or (t is not None and t > level)):
+                    level, steps = level + 1, 0
             yield pd.DataFrame({key: pdf[key], id_col: pdf[id_col],
                                 "level": pd.Series(out, dtype="int32")})
 
     return src.mapInPandas(run, schema)
 
 
+def row_tables(start_level: int, max_level: int, k: int):
+    """The state→state table of every kind of row: kind 2 (t − start) + step
+    for a row of tier t (tiers below the start count as the start, above the
+    top as the top). State (level − start) · k + steps."""
+    import numpy as np
+    n_levels = max_level - start_level + 1
+    levels = np.repeat(np.arange(start_level, max_level + 1), k)
+    steps = np.tile(np.arange(k), n_levels)
+    out = []
+    for t in range(start_level, max_level + 1):
+        for is_step in (False, True):
+            lv, st = _level_step(levels, steps, t, is_step, k, max_level)
+            out.append((lv - start_level) * k + st)
+    return np.array(out)
+
+
+def composed(tables, begins):
+    """Inclusive prefix compositions of ``tables`` (rows × states) within the
+    segments that begin where ``begins`` is true, by doubling: after a round
+    with distance d every row holds the composition of its last 2d rows."""
+    import numpy as np
+    place = np.arange(len(tables))
+    place = place - np.maximum.accumulate(np.where(begins, place, 0))    # from the segment's first row
+    out, d = tables.copy(), 1
+    while (rows := np.flatnonzero(place >= d)).size:
+        out[rows] = np.take_along_axis(out[rows], out[rows - d].astype(np.intp), 1)
+        d *= 2
+    return out
+
+
 def _level_machine_chunked(df, key, order, tier, is_step, id_col, k, start_level, max_level,
                            chunk, num_partitions):
     import numpy as np
+    import pyarrow as pa
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_levels = max_level - start_level + 1
-    n_states = n_levels * k
-    all_levels = np.repeat(np.arange(start_level, max_level + 1), k)
-    all_steps = np.tile(np.arange(k), n_levels)
-    kt, it = df.schema[key].dataType, df.schema[id_col].dataType
-    cols = list(dict.fromkeys([key, *order, tier, is_step, id_col]))
-    rows = df.select(*cols).withColumn("__chunk", chunk)
-    ctype = rows.schema["__chunk"].dataType
-    if isinstance(ctype, T.DateType):
-        rows = rows.withColumn("__chunk", F.unix_date("__chunk"))
-    rows = rows.withColumn("__chunk", F.col("__chunk").cast("long"))
-    by_chunk = rows.repartition(n, key, "__chunk").sortWithinPartitions(key, "__chunk", *order)
-
-    def encode(levels, steps):
-        return (levels - start_level) * k + steps
-
-    # pass 1: each (key, chunk) → its state-to-state table
-    table_schema = T.StructType([T.StructField(key, kt), T.StructField("__chunk", T.LongType()),
-                                 T.StructField("__f", T.ArrayType(T.IntegerType()))])
-
-    def chunk_tables(batches):
-        cur, lv, st = None, None, None
-        out_k, out_c, out_f = [], [], []
-        for pdf in batches:
-            for kk, cc, tt, bb in zip(pdf[key], pdf["__chunk"], pdf[tier], pdf[is_step]):
-                if (kk, cc) != cur:
-                    if cur is not None:
-                        out_k.append(cur[0]); out_c.append(cur[1]); out_f.append(encode(lv, st))
-                    cur, lv, st = (kk, cc), all_levels.copy(), all_steps.copy()
-                lv, st = _level_step(lv, st, tt, bool(bb), k, max_level)
-            if len(out_k) > 1000:
-                yield pd.DataFrame({key: out_k, "__chunk": out_c,
-                                    "__f": [list(map(int, f)) for f in out_f]})
-                out_k, out_c, out_f = [], [], []
-        if cur is not None:
-            out_k.append(cur[0]); out_c.append(cur[1]); out_f.append(encode(lv, st))
-        if out_k:
-            yield pd.DataFrame({key: out_k, "__chunk": out_c,
-                                "__f": [list(map(int, f)) for f in out_f]})
-
-    tables = by_chunk.mapInPandas(chunk_tables, table_schema)
-
-    # pass 2: per key, compose the chunk tables in chunk order → entry states
-    entry_schema = T.StructType([T.StructField(key, kt), T.StructField("__chunk", T.LongType()),
-                                 T.StructField("__entry", T.IntegerType())])
-    s0 = int(encode(np.array([start_level]), np.array([0]))[0])
+    tables = row_tables(start_level, max_level, k)
+    n_states = tables.shape[1]
+    small = n_states <= 128
+    tables = tables.astype(np.int8 if small else np.int16)
+    state_t, arrow_t = (T.ByteType(), pa.int8()) if small else (T.ShortType(), pa.int16())
+    rows = df.select(F.col(key).alias("k"), F.col(id_col).alias("id"),
+                     F.ceil(tier).cast("long").alias("tier"),
+                     F.coalesce(F.col(is_step).cast("boolean"), F.lit(False)).alias("step"),
+                     *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)],
+                     _chunk_number(df, chunk).alias("chunk"))
+    kind = F.greatest(F.least(F.coalesce("tier", F.lit(start_level)), F.lit(max_level)), F.lit(start_level))
+    rows = rows.withColumn("kind", ((kind - start_level) * 2 + F.col("step").cast("int")).cast("int"))
+    marks = [f"o{i}" for i in range(len(order))]
+    sorted_rows = (rows.repartition(n, "k", "chunk").sortWithinPartitions("k", "chunk", *marks)
+                   .select("k", "chunk", "id", "kind"))
+    schema = T.StructType([sorted_rows.schema["k"], T.StructField("chunk", T.LongType()),
+                           sorted_rows.schema["id"], T.StructField("whole", T.BooleanType()),
+                           T.StructField("f", T.ArrayType(state_t))])
+    same_state = np.arange(n_states, dtype=tables.dtype)
+
+    # pass 1, the only sort: per row the table from its chunk's entry state to
+    # the state before the row; per (key, chunk) one more row, the whole table
+    def prefixes(batches):
+        held = None             # key, chunk and table of the segment that is open
+
+        def record(ks, cs, ids, whole, f):
+            flat = pa.array(np.ascontiguousarray(f).ravel(), arrow_t)
+            ends = pa.array(np.arange(len(f) + 1, dtype=np.int32) * n_states)
+            return pa.RecordBatch.from_arrays(
+                [ks, cs, ids, pa.array(np.full(len(f), whole)), pa.ListArray.from_arrays(ends, flat)],
+                names=["k", "chunk", "id", "whole", "f"])
+
+        def closed(k_, c_, ids, f):
+            return record(k_, c_, pa.nulls(len(f), ids.type), True, f)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ks, cs, ids, kinds = batch.columns
+            chunks = cs.to_numpy(zero_copy_only=False)
+            codes = ks.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            begins = np.ones(len(codes), bool)
+            begins[1:] = (codes[1:] != codes[:-1]) | (chunks[1:] != chunks[:-1])
+            f = composed(tables[kinds.to_numpy(zero_copy_only=False)], begins)
+            first = np.flatnonzero(begins)
+            size = np.diff(np.append(first, len(codes)))
+            if held is not None and held[0].equals(ks.slice(0, 1)) and held[1].equals(cs.slice(0, 1)):
+                entry, size0 = held[2], size[0]
+                f[:size0] = f[:size0][:, entry.astype(np.intp)]
+            else:
+                if held is not None:
+                    yield closed(held[0], held[1], ids, held[2][None])
+                entry = same_state
+            before = np.empty_like(f)
+            before[1:] = f[:-1]
+            before[first] = same_state
+            before[0] = entry
+            yield record(ks, cs, ids, False, before)
+            last = first + size - 1
+            if len(first) > 1:
+                done = pa.array(last[:-1])
+                yield closed(ks.take(done), cs.take(done), ids, f[last[:-1]])
+            held = ks.slice(len(codes) - 1), cs.slice(len(codes) - 1), f[last[-1]].copy()
+        if held is not None:
+            yield closed(held[0], held[1], ids, held[2][None])
+
+    found = staged(sorted_rows.mapInArrow(prefixes, schema), "level-tables")
+
+    # pass 2: per key, the chunk tables in chunk order → entry states
+    entry_schema = T.StructType([schema["k"], T.StructField("chunk", T.LongType()),
+                                 T.StructField("entry", T.IntegerType())])
 
     def entries(batches):
-        cur, state = None, s0
-        for pdf in batches:
+        cur, state = object(), 0
+        for batch in batches:
             ent = []
-            for kk, f in zip(pdf[key], pdf["__f"]):
+            for kk, f in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if kk != cur:
-                    cur, state = kk, s0
+                    cur, state = kk, 0
                 ent.append(state)
-                state = int(f[state])
-            yield pd.DataFrame({key: pdf[key], "__chunk": pdf["__chunk"],
-                                "__entry": pd.Series(ent, dtype="int32")})
+                state = f[state]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ent, pa.int32())],
+                                             names=["k", "chunk", "entry"])
 
-    entry = (tables.repartition(n, key).sortWithinPartitions(key, "__chunk")
-             .mapInPandas(entries, entry_schema))
+    entry = (found.filter("whole").select("k", "chunk", "f").repartition(n, "k")
+             .sortWithinPartitions("k", "chunk").mapInArrow(entries, entry_schema))
 
-    # pass 3: replay each chunk from its entry state
-    out_schema = T.StructType([T.StructField(key, kt), T.StructField(id_col, it),
-                               T.StructField("level", T.IntegerType())])
-    joined = rows.join(entry, [key, "__chunk"], "inner")
-    replay_src = joined.repartition(n, key, "__chunk").sortWithinPartitions(key, "__chunk", *order)
+    # pass 3: every row's table at its chunk's entry state
+    e = entry.select(F.col("k").alias("ek"), F.col("chunk").alias("ec"), "entry")
+    state = F.get("f", F.col("entry")).cast("int")
+    return found.filter("not whole").join(e, F.col("k").eqNullSafe(F.col("ek")) & (F.col("chunk") == F.col("ec"))) \
+        .select(F.col("k").alias(key), F.col("id").alias(id_col),
+                (F.lit(start_level) + F.floor(state / k)).cast("int").alias("level"))
 
-    def replay(batches):
-        cur, lv, st = None, None, None
-        for pdf in batches:
-            out = []
-            for kk, cc, e, tt, bb in zip(pdf[key], pdf["__chunk"], pdf["__entry"], pdf[tier],
-                                          pdf[is_step]):
-                if (kk, cc) != cur:
-                    cur = (kk, cc)
-                    lv = np.array([start_level + int(e) // k])
-                    st = np.array([int(e) % k])
-                out.append(int(lv[0]))
-                lv, st = _level_step(lv, st, tt, bool(bb), k, max_level)
-            yield pd.DataFrame({key: pdf[key], id_col: pdf[id_col],
-                                "level": pd.Series(out, dtype="int32")})
 
-    return replay_src.mapInPandas(replay, out_schema)
+def _chunk_number(df: DataFrame, chunk: Column) -> Column:
+    """A chunk as a whole number; null chunks come first."""
+    kind = df.select(chunk.alias("c")).schema["c"].dataType
+    number = F.unix_date(chunk) if isinstance(kind, T.DateType) else chunk
+    return F.coalesce(number.cast("long"), F.lit(-(1 << 62)))

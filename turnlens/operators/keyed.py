@@ -69,22 +69,40 @@ def number_repeats(arrivals: DataFrame, taken: DataFrame, key: str, name: str,
 
     The j-th arrival takes the j-th free number: with the used numbers u in
     order, u_i - i numbers below u_i are free, so it is j plus the number of
-    i with u_i - i <= j.
+    i with u_i - i <= j. That number is a running count over the key's taken
+    numbers and arrivals in one order (u_i - i before the equal j). Taken
+    numbers stay rows, counted per value of u_i - i, and both scans are split
+    by number, so a key spreads over tasks whichever side is long.
     """
     own = taken.select(F.col(name).alias("__k"), F.lit(0).cast("long").alias("__u"))
     suffixed = taken.select(
         F.regexp_extract(name, r"^(.*)-([1-9]\d*)$", 1).alias("__k"),
         F.regexp_extract(name, r"^(.*)-([1-9]\d*)$", 2).try_cast("long").alias("__u")) \
         .filter("__u is not null")
-    used = own.union(suffixed).distinct().groupBy("__k").agg(
-        F.sort_array(F.collect_list("__u")).alias("__used"))
-    free = F.transform("__used", lambda u, i: u - i)
+    used = own.union(suffixed).distinct()
+    ranked = ordered_scan(used, ["__k"], ["__u"], _number_chunk("__u"), row_number="__i")
+    free = ranked.groupBy("__k", (F.col("__u") - F.col("__i") + 1).alias("__pos")).agg(
+        F.count(F.lit(1)).alias("__n"))
     placed = ordered_scan(arrivals, [key], order, chunk, row_number="__j")
-    joined = placed.join(used, F.col(key) == F.col("__k"), "left").withColumn("__free", free)
-    j = F.col("__j") - 1
-    n = j + F.coalesce(F.size(F.filter("__free", lambda x: x <= j)), F.lit(0))
-    return joined.withColumn(out, F.when(n == 0, F.col(key)).otherwise(
-        F.concat_ws("-", F.col(key), n.cast("string")))).drop("__j", "__k", "__used", "__free")
+    row = F.struct(*arrivals.columns)
+    row_type = arrivals.select(row.alias("r")).schema["r"].dataType
+    both = free.select("__k", "__pos", F.lit(0).alias("__side"), "__n",
+                       F.lit(None).cast(row_type).alias("__row")).unionByName(
+        placed.select(F.col(key).alias("__k"), (F.col("__j") - 1).alias("__pos"), F.lit(1).alias("__side"),
+                      F.lit(0).cast("long").alias("__n"), row.alias("__row")))
+    counted = ordered_scan(both, ["__k"], ["__pos", "__side"], _number_chunk("__pos"),
+                           sums={"__skipped": F.col("__n")}).filter("__side = 1")
+    n = F.col("__pos") + F.col("__skipped")
+    return counted.withColumn(out, F.when(n == 0, F.col("__k")).otherwise(
+        F.concat_ws("-", F.col("__k"), n.cast("string")))).select("__row.*", out)
+
+
+# Numbers of a key that one task scans together.
+NUMBER_CHUNK = 1 << 16
+
+
+def _number_chunk(number: str) -> Column:
+    return F.floor(F.col(number) / NUMBER_CHUNK)
 
 
 def translate_ids(facts: DataFrame, dictionary: DataFrame, key: str, id_col: str,
@@ -132,3 +150,38 @@ def lookup_label(df: DataFrame, dim: DataFrame, code: str, dim_code: str, label:
     :func:`turnlens.operators.quality.unknown_keys` to report them (Q02)."""
     d = broadcast_if_small(dim.select(F.col(dim_code).alias(code), label))
     return df.join(d, code, "inner" if drop_unmapped else "left")
+
+
+def facet_matches(items: DataFrame, id_col: str, facets: dict[str, Column], rules: DataFrame,
+                  null_always: Sequence[str] = ()) -> DataFrame:
+    """(id, rule) for every rule of a table that an item is eligible
+    under. ``facets`` gives the item's values per facet, one or an array;
+    ``rules`` has one row per rule with an array column per facet. An item
+    matches a facet if it has one of the rule's values (an empty array matches
+    nothing); a null value of a facet in ``null_always`` matches every rule.
+
+    Values are joined by equality, not item by rule: per (item, rule) the
+    facets that met are counted against those the item must meet."""
+    def as_array(facet: str, c: Column) -> Column:
+        kind = items.select(c.alias("c")).schema["c"].dataType.typeName()
+        values = c if kind == "array" else F.when(c.isNotNull(), F.array(c))
+        return values.cast("array<string>").alias(facet)
+
+    own = items.select(F.col(id_col).alias("__id"), *[as_array(f, c) for f, c in facets.items()])
+    free = [F.col(f).isNull().cast("int") for f in null_always]
+    own = own.withColumn("__need", F.lit(len(facets)) - sum(free, F.lit(0)))
+    long_form = lambda d, key: d.select(*key, F.explode(F.array(*[
+        F.struct(F.lit(f).alias("facet"), F.col(f).cast("array<string>").alias("values")) for f in facets])).alias("f")) \
+        .select(*key, "f.facet", F.explode("f.values").alias("value")).distinct()
+    met = long_form(own, ["__id", "__need"]).join(long_form(rules, ["rule"]), ["facet", "value"]) \
+        .groupBy("__id", "__need", "rule").agg(F.count_distinct("facet").alias("n")).filter("n = __need")
+    every = own.filter("__need = 0").select("__id", F.explode(
+        rules.select(F.collect_set("rule")).scalar()).alias("rule"))    # the rules, a small table
+    return met.select("__id", "rule").unionByName(every).withColumnRenamed("__id", id_col)
+
+
+def eligible(items: DataFrame, id_col: str, facets: dict[str, Column], rules: DataFrame,
+             null_always: Sequence[str] = ()) -> DataFrame:
+    """The items that some rule of the table makes eligible (semi join)."""
+    return items.join(facet_matches(items, id_col, facets, rules, null_always).select(id_col).distinct(),
+                      id_col, "left_semi")

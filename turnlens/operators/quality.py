@@ -71,3 +71,9 @@ def assert_row_count(df: DataFrame, expected: int, what: str = "frame") -> DataF
     if n != expected:
         raise RowCountMismatch(f"{what}: expected {expected} rows, got {n}")
     return df
+
+
+def require_rows(got: int, expected: int | None, what: str) -> None:
+    """Q07 for counts that were taken while writing."""
+    if expected is not None and got != expected:
+        raise RowCountMismatch(f"{what}: expected {expected} rows, got {got}")

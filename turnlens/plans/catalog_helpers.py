@@ -80,7 +80,7 @@ WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP
 
 
 # P04 P05 — flags of all rows and of event rows only, averaged to shares
-@query("one_hot_shares", "P04 P05 A62")
+@query("one_hot_shares", "P04 P05")
 def one_hot_shares(spark, sf):
     ev = table(spark, sf, "events")
     types = domain(ev, "event_type", EVENT_TYPES)
@@ -99,7 +99,7 @@ ORACLES["one_hot_shares"] = "SELECT user_id, " + ", ".join(
 
 
 # P01 P21 P23 P26 P30 F02 F04 — the column helpers on the part table
-@query("column_helpers", "P01 P21 P23 P26 P30 F02 F04")
+@query("column_helpers", "P01 P21 P23 P30 F02 F04")
 def column_helpers(spark, sf):
     p = table(spark, sf, "part")
     return p.select(

@@ -8,12 +8,14 @@ from itertools import accumulate
 
 from pyspark.sql import functions as F
 
-from turnlens.functions.columns import (bitmask_of, bit_is_set, decision_class,
-                                        first_non_empty, recode, rename)
+from turnlens.functions.columns import (bitmask_of, bit_is_set, decision_class, first_non_empty,
+                                        hash_number, recode, rename)
 from turnlens.operators import keyed, rank, reshape
+from turnlens.operators.keyed import eligible
 from turnlens.operators.ordered import ordered_scan
 from turnlens.plans.catalog import (EVENT_TYPES, MONEY, ORDER_STATUSES, SEGMENTS, _events, _r, domain,
                                     last_day, query)
+from turnlens.plans.oracles import ORACLES
 from turnlens.sources.tables import table
 
 
@@ -129,7 +131,7 @@ def roster_left_joins(spark, sf):
 
 
 # J26 — era-wide features as one pivot with prefixed names
-@query("era_feature_pivot", "J26 M08")
+@query("era_feature_pivot", "J26")
 def era_feature_pivot(spark, sf):
     ev = _events(spark, sf).withColumn("week", F.floor(F.col("day") / 7).cast("int"))
     weeks = list(range(last_day(ev) // 7 + 1))
@@ -166,12 +168,41 @@ def part_class(spark, sf):
                          "other")
     tier = recode("p_type", {"ECONOMY": "budget", "SMALL": "budget", "MEDIUM": "standard",
                              "LARGE": "standard", "PROMO": "promo"})
-    eligible = ((F.col("is_promo") | F.col("p_brand").isin("Brand#11", "Brand#22"))
-                & F.col("p_size").isin(1, 5, 10, 15, 20, 25, 30, 35, 40, 45, 50)) | \
-        F.col("p_size").isNull()
     out = p.select("p_partkey", cls.alias("part_class"), "is_large", "is_promo",
-                   "is_small_kind", tier.alias("tier"), eligible.alias("eligible"))
-    return out.filter(F.col("tier").isNotNull())
+                   "is_small_kind", tier.alias("tier"))
+    # facets of the parts against a rule table; a part without size fits any
+    rules = spark.createDataFrame(
+        [("shelf", ["promo", "Brand#11", "Brand#22"], [str(s) for s in (1, *range(5, 51, 5))])],
+        "rule string, kind array<string>, size array<string>")
+    kinds = F.array(F.when(F.col("is_promo"), F.lit("promo")).otherwise(F.lit("")), "p_brand")
+    chosen = eligible(p.withColumn("kinds", kinds), "p_partkey",
+                      {"kind": F.when(F.col("p_size").isNotNull(), F.col("kinds")), "size": F.col("p_size")},
+                      rules, null_always=["kind", "size"]).select("p_partkey", F.lit(True).alias("eligible"))
+    return out.join(chosen, "p_partkey", "left").fillna(False, ["eligible"]).filter(F.col("tier").isNotNull())
+
+
+# S28 A58 F04 — nested usage logs: one JSON document per conversation
+@query("usage_log_rollup", "S28 A58 F04")
+def usage_log_rollup(spark, sf):
+    from turnlens.sources import usage_log
+    cv = table(spark, sf, "conversations")
+    iso = lambda sec: F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + sec),
+                                    "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    at = F.col("conv_id") % 1000 * 60 + F.col("turn") * 95
+    n = F.length("text").cast("long")
+    entry = F.struct(
+        F.when(F.col("role") == "user", "request").otherwise("toolCall").alias("kind"), iso(at).alias("time"),
+        F.struct(iso(at - 5).alias("startTime"), iso(at + n % 50).alias("endTime"), F.struct(
+            n.alias("prompt_tokens"), F.col("turn").cast("long").alias("completion_tokens"),
+            F.struct(F.floor(n / 3).cast("long").alias("cached_tokens")).alias("prompt_tokens_details"))
+            .alias("usage")).alias("metadata"))
+    files = cv.groupBy("conv_id").agg(F.to_json(F.struct(   # one conversation's entries
+        F.array_sort(F.collect_list(entry)).alias("logs"))).alias("text"))
+    out = usage_log.usage(usage_log.entries(files, "conv_id", "text"))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return out.select(F.col("file").alias("conv_id"), "n_requests", "n_tool_calls", "input_tokens",
+                      "cached_input_tokens", "total_input_tokens", "output_tokens", stamp("first_time"),
+                      stamp("last_time"), "span")
 
 
 # P24 P27 — positive-value filter on one measure and one reason, low-signal cut
@@ -221,9 +252,9 @@ def bootstrap_resample(spark, sf):
     # Poisson(1) copies per (replicate, customer) from a seeded hash: an
     # exact inverse-CDF table, so no sample is collected to the driver
     reps = o.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(19))))
-    # 53-bit uniform; terms of the law until none is left in a double
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(11), "rep", "o_custkey"), 11) / float(1 << 53)
-    cdf = list(accumulate(math.exp(-1) / math.factorial(i) for i in range(20)))
+    # 52-bit uniform; terms of the law until none is left in a double
+    u = hash_number(F.lit(11), F.col("rep"), F.col("o_custkey")) / float(1 << 52)
+    cdf = POISSON_CDF
     k = F.lit(len(cdf))
     for i in reversed(range(len(cdf))):
         k = F.when(u < cdf[i], F.lit(i)).otherwise(k)
@@ -234,11 +265,23 @@ def bootstrap_resample(spark, sf):
                                               F.count(F.lit(1)).alias("n"))
     j = cloned.join(per_cust, "o_custkey", "left").na.fill(0, ["qty", "n"])
     return j.groupBy("rep").agg(F.count(F.lit(1)).alias("n_customers"),
-                                (F.sum("qty") / F.sum("n")).alias("mean_qty"))
+                                _r(F.sum("qty") / F.sum("n")).alias("mean_qty"))
+
+
+# Chances of at most 0, 1, 2, ... copies under Poisson(1).
+POISSON_CDF = list(accumulate(math.exp(-1) / math.factorial(i) for i in range(20)))
+ORACLES["bootstrap_resample"] = f"""
+WITH r AS (SELECT o_custkey, unnest(range(0, 20)) AS rep FROM (SELECT DISTINCT o_custkey FROM orders)),
+u AS (SELECT *, CAST(('0x' || left(md5('11|' || rep || '|' || o_custkey), 13)) AS BIGINT) / 4503599627370496.0 AS u FROM r),
+c AS (SELECT *, len([x FOR x IN [{', '.join(repr(x) for x in POISSON_CDF)}]::DOUBLE[] IF x <= u]) AS copies FROM u),
+p AS (SELECT o_custkey, sum(l_quantity) AS qty, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)
+SELECT CAST(rep AS INTEGER) AS rep, CAST(sum(copies) AS BIGINT) AS n_customers,
+  round(sum(copies * coalesce(qty, 0)) / sum(copies * coalesce(n, 0)), 6) AS mean_qty
+FROM c LEFT JOIN p USING (o_custkey) GROUP BY 1"""
 
 
 # K10 — nested group → list JSON export
-@query("nested_list_export", "K10 K11")
+@query("nested_list_export", "K10")
 def nested_list_export(spark, sf):
     from turnlens.sinks.store import nested_list_json
     # lists hold distinct brands (a bounded domain), never raw rows
@@ -332,9 +375,9 @@ def first_missing_tier(spark, sf):
 # T06 — repeated ids in an arrival stream (drop form)
 @query("stream_drop_repeats", "T06")
 def stream_drop_repeats(spark, sf):
-    from turnlens.plans.extra import EVENTS_SCHEMA
+    from turnlens.plans.extra import events_stream
     from turnlens.streaming import live
-    s = live.file_stream(spark, sf, "events.parquet", EVENTS_SCHEMA)
+    s = events_stream(spark, sf)
     d = live.drop_repeats(s.select("user_id", "event_type"), ["user_id", "event_type"])
     res = live.run_to_table(d, "repeats", mode="append")
     return res.select("user_id", "event_type")
@@ -343,21 +386,21 @@ def stream_drop_repeats(spark, sf):
 # T04 — one-shot pulses counted, stored state normalised
 @query("stream_pulse_counts", "T04")
 def stream_pulse_counts(spark, sf):
-    from turnlens.plans.extra import EVENTS_SCHEMA
+    from turnlens.plans.extra import events_stream
     from turnlens.streaming import live
-    s = live.with_event_time(live.file_stream(spark, sf, "events.parquet", EVENTS_SCHEMA), "ts")
-    agg = live.pulse_counts(s, "user_id", "event_type", pulse="signup", normal="view")
-    return live.run_to_table(agg, "pulses", mode="update", keys=["user_id"])
+    s = live.with_event_time(events_stream(spark, sf), "ts")
+    agg = live.pulse_counts(s, "user_id", "event_type", pulse="signup", normal="view", watermark="1 hour")
+    periods = live.run_to_table(agg, "pulses", mode="update", keys=["period", "user_id"])
+    return live.merge_pulses(periods, "user_id")
 
 
 # T02 — keys silent longer than a timeout expire (event-time timers)
 @query("stream_expired_keys", "T02")
 def stream_expired_keys(spark, sf):
-    from turnlens.plans.extra import EVENTS_SCHEMA
+    from turnlens.plans.extra import events_stream
     from turnlens.streaming import live
-    s = live.file_stream(spark, sf, "events.parquet", EVENTS_SCHEMA)
-    expired = live.expire_silent_keys(s, "user_id", "ts", 6 * 3600, "1 hour")
-    res = live.run_to_table(expired, "expired", mode="append")
+    s = events_stream(spark, sf)
+    res = live.expired_keys(s, "user_id", "ts", 6 * 3600, "1 hour")
     return res.select(F.col("key").alias("user_id"),
                       F.date_format(F.timestamp_micros("last_seen_us"),
                                     "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_seen"))

@@ -7,14 +7,17 @@ Store and stream entries write under the shared ``spark.checkpoint.dir``
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W, functions as F, types as T
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from turnlens.functions.columns import day_index
 from turnlens.operators import ml
-from turnlens.plans import catalog_helpers, catalog_more  # noqa: F401  (register more entries)
+from turnlens.plans import catalog_helpers, catalog_marts, catalog_more  # noqa: F401  (register more entries)
 from turnlens.plans.catalog import EVENT_ORIGIN, MONEY, query
 from turnlens.session import scratch_dir
 from turnlens.sinks import store
+from turnlens.sinks.ingest import StatsStore
 from turnlens.sources.tables import table
 from turnlens.streaming import live
 
@@ -24,10 +27,23 @@ EVENTS_SCHEMA = T.StructType([
     T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
 
 _TS_FMT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+# Slices that the stream entries get the events in, cut between days.
+SLICES = 3
+_replays: dict[tuple[str, str, int], live.Replay] = {}
+
+
+def events_stream(spark, sf):
+    """The events table as a stream of several batches in event-time order;
+    the files are written once per application and table."""
+    at = (spark.sparkContext.applicationId, sf, SLICES)
+    if at not in _replays:
+        ev = table(spark, sf, "events").select(*EVENTS_SCHEMA.names)
+        _replays[at] = live.Replay(ev, F.unix_date(F.to_date("ts")), SLICES)
+    return _replays[at].stream()
 
 
 # M07 — standardised PCA loadings (rows-only: fitted model output)
-@query("pca_loadings", "M07 M08")
+@query("pca_loadings", "M07")
 def pca_loadings(spark, sf):
     emb = table(spark, sf, "embeddings")
     return ml.pca_loadings(emb, "embedding", 3)
@@ -48,40 +64,135 @@ def gbt_group_winner(spark, sf):
                                "source", "doc_id", "split", max_iter=10, seed=1)
 
 
+# M08 M10 W20 — one win classifier per period, features joined to attributes
+@query("gbt_per_period", "M08 M10 M09 W20")
+def gbt_per_period(spark, sf):
+    ev = table(spark, sf, "events").withColumn("period", F.floor(day_index("ts", EVENT_ORIGIN) / 10).cast("int"))
+    who = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("user_id"), F.col("c_nationkey").cast("long").alias("league"),
+        F.col("c_acctbal").cast("double").alias("a_balance"))
+    kinds = ["view", "click", "purchase", "signup"]
+    feats = ml.period_features(
+        ev, ["user_id"], "period", {k: (F.col("event_type") == k).cast("int") for k in kinds} | {"value": F.col("value")},
+        who, ["user_id"])
+    # wins: the users whose purchases bring in most, one half of all
+    spent = ev.filter("event_type = 'purchase'").groupBy("user_id").agg(F.sum("value").alias("spent"))
+    middle = spent.select(F.avg("spent")).scalar()
+    rows = feats.join(spent, "user_id", "left").withColumn(
+        "label", (F.coalesce("spent", F.lit(0.0)) > middle).cast("double"))
+    rows = ml.group_split(rows, "league", 75, 42)
+    scores, importance = ml.gbt_per_period(rows, "period", "label", [
+        *[f"f_{k}" for k in kinds], "f_value", "a_balance"], "league", "user_id", max_iter=5)
+    top = importance.groupBy("period").agg(F.max_by("feature", "weight").alias("top_feature"))
+    return scores.join(top, "period").select("period", "league", "user_id", "label", "p_win",
+                                             "is_group_top", "top_feature")
+
+
 # T02 — event-time sessions closed by the watermark, availableNow file stream
 @query("stream_timeout_sessions", "T02")
 def stream_timeout_sessions(spark, sf):
-    s = live.file_stream(spark, sf, "events.parquet", EVENTS_SCHEMA)
+    s = events_stream(spark, sf)
     sess = live.session_counts(s, "user_id", "ts", "value", "30 minutes", "1 hour")
     # append mode: a session is emitted once the watermark closes it, i.e.
     # the key has been silent for the gap; sessions still open are live state
-    res = live.run_to_table(sess, "sessions", mode="append")
+    # (stream_all_sessions reports them too)
+    return _sessions(live.run_to_table(sess, "sessions", mode="append"))
+
+
+def _sessions(res):
     return res.select("user_id",
                       F.date_format(F.col("session.start"), _TS_FMT).alias("session_start"),
                       F.date_format(F.col("session.end"), _TS_FMT).alias("session_end"),
                       "n_events", F.col("total_value").cast(MONEY).alias("total_value"))
 
 
+# T02 — the same with late final emission: open sessions are reported as such
+@query("stream_all_sessions", "T02")
+def stream_all_sessions(spark, sf):
+    ev = table(spark, sf, "events").select(*EVENTS_SCHEMA.names)
+    replay = live.Replay(ev, F.unix_date(F.to_date("ts")), SLICES)
+    last = ev.agg(F.max("ts").alias("last"))
+    marker = last.filter("last is not null").select(*[
+        (F.col("last") + F.expr("INTERVAL 2 HOURS") if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in EVENTS_SCHEMA.fields])
+    done = live.all_sessions(replay, "user_id", "ts", "value", "30 minutes", "1 hour", marker)
+    ended = F.col("session.end").cast("timestamp_ntz") <= last.scalar() - F.expr("INTERVAL 1 HOUR")
+    return _sessions(done.filter(ended)).withColumn("closed", F.lit(True)).unionByName(
+        _sessions(done.filter(~ended)).withColumn("closed", F.lit(False)))
+
+
 # T01 — latest and previous snapshot per key, arbitrary state in a stream
 @query("stream_latest_state", "T01")
 def stream_latest_state(spark, sf):
-    s = live.file_stream(spark, sf, "events.parquet", EVENTS_SCHEMA)
-    return live.run_to_table(live.latest_state_stream(s), "latest", mode="update",
+    return live.run_to_table(live.latest_state_stream(events_stream(spark, sf)), "latest", mode="update",
                              keys=["user_id"])
 
 
+# T01 T02 — the same with state that expires: a snapshot is forgotten a day later
+@query("stream_latest_state_ttl", "T01 T02")
+def stream_latest_state_ttl(spark, sf):
+    latest = live.latest_state_stream(events_stream(spark, sf), ttl_sec=24 * 3600, watermark="1 hour")
+    return live.run_to_table(latest, "latest-ttl", mode="update", keys=["user_id"])
+
+
+# T05 — register-or-reject with a registry that grows in the stream
+@query("stream_register", "T05")
+def stream_register(spark, sf):
+    address = F.when(F.col("event_type") == "signup", F.concat(F.lit("u"), F.col("event_id").cast("string")))
+    s = events_stream(spark, sf).select("user_id", "event_id", "ts", address.alias("address"))
+    root = scratch_dir(spark, "registry")
+    registry = live.Registry(spark, root, s.schema, "user_id", "address", ["ts", "event_id"])
+    live.append_new_ids(s, registry.on_batch, "register")
+    ok = registry.accepted().groupBy("user_id").agg(F.count(F.lit(1)).alias("n_accepted"))
+    bad = registry.rejected().groupBy("user_id").agg(F.count(F.lit(1)).alias("n_rejected"))
+    keys = registry.keys().select("user_id", "address")
+    return ok.join(bad, "user_id", "full").join(keys, "user_id", "left").select(
+        "user_id", "address", F.coalesce("n_accepted", F.lit(0)).cast("long").alias("n_accepted"),
+        F.coalesce("n_rejected", F.lit(0)).cast("long").alias("n_rejected"))
+
+
+# T06 — first arrivals, kept in a table instead of stream state
+@query("stream_first_arrivals", "T06")
+def stream_first_arrivals(spark, sf):
+    s = events_stream(spark, sf).select("user_id", "event_type", "ts", "event_id")
+    first = live.FirstArrivals(spark, scratch_dir(spark, "first"), s.schema, ["user_id", "event_type"],
+                               ["ts", "event_id"])
+    live.append_new_ids(s, first.on_batch, "first-arrivals")
+    return first.rows().select("user_id", "event_type", "event_id")
+
+
+# T07 — a stream of new days fills the id-scoped cache batch by batch
+@query("stream_cache_fill", "T07 K02 K03")
+def stream_cache_fill(spark, sf):
+    s = events_stream(spark, sf).withColumn("day", day_index("ts", EVENT_ORIGIN))
+    cache = store.IdScopedCache(spark, scratch_dir(spark, "stream-cache"), "per_day", "day")
+
+    def fill(batch, batch_id):
+        cache.get(batch.select("day").distinct(), lambda todo: batch.join(todo, "day", "left_semi")
+                  .groupBy("day", "event_type").agg(
+                      F.count(F.lit(1)).alias("n_events"),
+                      F.sum(F.col("value").cast(MONEY)).cast(MONEY).alias("total_value")))
+
+    live.append_new_ids(s, fill, "cache-fill")
+    days = table(spark, sf, "events").select(day_index("ts", EVENT_ORIGIN).alias("day")).distinct()
+    return cache.get(days, lambda todo: todo.select("day", F.lit("").alias("event_type"),
+                                                    F.lit(0).cast("long").alias("n_events"),
+                                                    F.lit(0).cast(MONEY).alias("total_value")))
+
+
 # T03 A59 — monotone max per (runner, game) in update mode
 @query("stream_monotone_max", "T03 A59")
 def stream_monotone_max(spark, sf):
-    s = live.file_stream(spark, sf, "events.parquet", EVENTS_SCHEMA)
-    s = s.withColumn("day", day_index("ts", EVENT_ORIGIN)).withColumn(
+    s = events_stream(spark, sf).withColumn("day", day_index("ts", EVENT_ORIGIN)).withColumn(
         "order_key", F.struct("ts", "event_id"))
-    agg = live.monotone_max_stream(s, ["user_id", "day"], ["value"], "event_type", "order_key")
-    return live.run_to_table(agg, "monotone", mode="update", keys=["user_id", "day"])
+    agg = live.monotone_max_stream(s, ["user_id", "day"], ["value"], "event_type", "order_key",
+                                   watermark="1 hour", period="6 hours")
+    periods = live.run_to_table(agg, "monotone", mode="update", keys=["period", "user_id", "day"])
+    return live.merge_monotone(periods, ["user_id", "day"], ["value"], "event_type")
 
 
 # K02 K03 T07 — id-scoped incremental cache
-@query("incremental_cache", "K02 K03 T07 S02 S04")
+@query("incremental_cache", "K02 K03")
 def incremental_cache(spark, sf):
     ev = table(spark, sf, "events").withColumn("day", day_index("ts", EVENT_ORIGIN))
 
@@ -100,23 +211,63 @@ def incremental_cache(spark, sf):
     return cache.get(users, parse)
 
 
-# K08 — schema-contract ingest with whole-file quarantine (rows-only)
-@query("schema_contract", "K08 K12 Q07")
-def schema_contract(spark, sf):
-    nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
-    customer, supplier = table(spark, sf, "customer"), table(spark, sf, "supplier")
-    contract = {"nation": nation.schema, "region": region.schema, "customer": customer.schema,
-                "supplier": store.contract_of(supplier, [("s_phone", T.StringType())])}
+def _ingested(spark, sf):
+    """Three stats files, one after the other: orders of the customers that a
+    file's dictionary names, then the balances of all customers under other
+    local ids, then a file whose orders do not fit."""
+    customer, orders = table(spark, sf, "customer"), table(spark, sf, "orders")
+    name = F.md5(F.col("c_name").cast("binary")).alias("uuid_hex")
+    facts = orders.select(F.col("o_custkey").alias("GameId"), "o_orderkey")
     root = scratch_dir(spark, "ingest")
-    rep = store.ingest_with_contract(
-        spark, {"file_a": {"nation": nation, "region": region},
-                "file_b": {"customer": customer, "supplier": supplier}},
-        contract, f"{root}/store", f"{root}/quarantine")
-    stored = [spark.read.parquet(f"{root}/store/{t}").groupBy().count()
-              .select(F.lit(t).alias("table_name"), F.col("count").alias("n_rows"))
-              for t in ("nation", "region")]
-    counts = stored[0].unionByName(stored[1])
-    return rep.join(counts, "table_name", "left")
+    held = StatsStore(spark, f"{root}/store", f"{root}/quarantine")
+    files = {
+        "a": {"uuid_dictionary": customer.filter("c_acctbal >= 0").select(F.col("c_custkey").alias("id"), name),
+              "GameOrders": facts},
+        "b": {"uuid_dictionary": customer.select((F.col("c_custkey") + 7).alias("id"), name),
+              "GameBalance": customer.select((F.col("c_custkey") + 7).alias("GameId"), "c_acctbal")},
+        "c": {"uuid_dictionary": customer.select(F.col("c_custkey").alias("id"), name),
+              "GameOrders": facts.withColumn("extra", F.lit("x"))}}
+    reports = [held.ingest(f, tables, {}) for f, tables in files.items()]
+    return held, reports
+
+
+# K08 K09 — files validated, translated and published as one commit each
+@query("schema_contract", "K08 K09 J25")
+def schema_contract(spark, sf):
+    _, reports = _ingested(spark, sf)
+    return reduce(DataFrame.unionByName, reports)
+
+
+# K09 J21 — what the store holds after those files, by global id
+@query("ingest_ids", "K09 K08 J21")
+def ingest_ids(spark, sf):
+    held, _ = _ingested(spark, sf)
+    per = held.table("GameOrders").groupBy("GameId").agg(F.count(F.lit(1)).alias("n_orders"))
+    ids = held.dictionary().join(per, F.col("id") == F.col("GameId"), "left")
+    balance = held.table("GameBalance").groupBy("GameId").agg(
+        F.sum(F.col("c_acctbal").cast(MONEY)).cast(MONEY).alias("balance")).withColumnRenamed("GameId", "id")
+    return ids.join(balance, "id", "left").select(
+        "uuid_hex", "id", F.coalesce("n_orders", F.lit(0)).cast("long").alias("n_orders"), "balance")
+
+
+# Q01 Q07 K12 — rows, null keys and rejects counted while tables are written
+@query("write_audit", "Q01 Q07 K01 K12")
+def write_audit(spark, sf):
+    root = scratch_dir(spark, "audit")
+    checks = {
+        "documents": (["doc_id"], ~F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")),
+        "events": (["user_id", "ts"], F.coalesce(F.col("value") < 0, F.lit(True))),
+        "orders": (["o_custkey"], F.col("o_totalprice") > 400_000),
+    }
+    for name, (keys, bad) in checks.items():
+        df = table(spark, sf, name)
+        counts = store.write_counted(df, f"{root}/{name}", {
+            **store.null_keys(keys), "rejects": F.count_if(bad)})
+        store.append_audit(spark, f"{root}/_audit", {"table_name": name, "n_rows": counts["rows"]},
+                           {k: counts[k] for k in ("rejects", "null_keys")})
+    found = spark.read.parquet(f"{root}/_audit")
+    at = lambda k: F.get_json_object("metadata_json", f"$.{k}").cast("long").alias(k)
+    return found.select("table_name", "n_rows", at("rejects"), at("null_keys"), "metadata_json")
 
 
 # K13 — splice ordered segments, one header per log

@@ -15,7 +15,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnlens.plans import marts
-from turnlens.sinks.store import IdScopedCache, write_csv_sized
+from turnlens.session import staged
+from turnlens.sinks.store import IdScopedCache, null_keys, write_csv_sized
 from turnlens.sources import logs
 
 # log family → file pattern inside a game folder (fixed values of the log layout)
@@ -80,15 +81,16 @@ def run_log_etl(spark: SparkSession, log_root: str, out_root: str, cache_root: s
 
     cgr = marts.civ_game_result(results, scores)
     research = marts.research_intervals(tech, tech_dim)
-    cte = marts.civ_turn_era(research, tech_dim)
+    # read by many outputs: computed once
+    cte = staged(marts.civ_turn_era(research, tech_dim), "civ-turn-era")
     rc = marts.religion_choices(rel, logs.RELIGION_EVENTS)
     # totals run on through the economy's last turn
     last = iy.select("turn").union(civ.select("turn")).agg(F.max("turn")).first()[0]
     running = marts.instant_yield_running_totals(iy, YIELDS, max(1, last or 1))
-    running = running.select("game_id", "civ", "turn",
-                             *[running[f"rt_{y.lower()}"] for y in YIELDS])
-    civ_corr = marts.civ_economy_corrected(civ, running, cte)
-    own = marts.ownership(mstate, deals)
+    running = staged(running.select("game_id", "civ", "turn",
+                                    *[running[f"rt_{y.lower()}"] for y in YIELDS]), "running-totals")
+    civ_corr = staged(marts.civ_economy_corrected(civ, running, cte), "civ-economy")
+    own = staged(marts.ownership(mstate, deals), "ownership")
     out = {
         "wonders": wonders, "city_purchases": purchases, "game_result": results,
         "technology_completion_records": research,
@@ -107,7 +109,7 @@ def run_log_etl(spark: SparkSession, log_root: str, out_root: str, cache_root: s
         "vassalage_map": marts.latest_vassalage(deals),
         "unit_compositions_turns": marts.unit_compositions_turns(mstate),
         "unit_compositions_eras": marts.units_per_turn(mstate, cte),
-        "map_state_by_era": marts.units_and_map_by_era(mstate, cte),
+        "map_state_by_era": marts.units_and_map_by_era(mstate, own, cte),
         "handicap_yields": marts.with_era(hy, cte),
         "city_economy": marts.city_economy_with_era(city, cte),
         "instant_yield_sources": marts.trigger_stats(iy, cte),
@@ -119,7 +121,15 @@ def run_log_etl(spark: SparkSession, log_root: str, out_root: str, cache_root: s
         "power_ranking": marts.civ_performance(marts.augment_with_map_metrics(cgr, own)),
         "authority_victories": marts.authority_victories(own),
     }
+    short = marts.religion_rejects(rel, logs.RELIGION_EVENTS)
+    rejects.append(short.select(F.lit("religion_choices").alias("family"), "game_id", "file", "line_no",
+                                F.col("event").alias("line")))
     out["rejects"] = reduce(DataFrame.unionByName, rejects)
+    audit = []
     for name, df in out.items():
-        write_csv_sized(df, f"{out_root.rstrip('/')}/{name}")
+        counts = write_csv_sized(df, f"{out_root.rstrip('/')}/{name}",
+                                 metrics=null_keys(["game_id"]) if "game_id" in df.columns else None)
+        audit.append((name, counts["rows"], counts.get("null_keys")))
+    out["audit"] = spark.createDataFrame(audit, "output string, n_rows long, null_games long")
+    write_csv_sized(out["audit"], f"{out_root.rstrip('/')}/audit", approx_rows=len(audit), expect=len(audit))
     return out

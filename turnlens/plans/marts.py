@@ -206,6 +206,23 @@ def religion_choices(rel: DataFrame, events: dict) -> DataFrame:
                       F.col("event_turn").alias("turn"), F.col("item_details").alias("belief"))
 
 
+def religion_rejects(rel: DataFrame, events: dict) -> DataFrame:
+    """Founding events with fewer buffered beliefs than their kind takes:
+    (game_id, file, line_no, event, expected, found)."""
+    kinds = F.create_map(*[x for k, (_, n) in events.items() for x in (F.lit(k), F.lit(n))])
+    r = rel.withColumn("__take", F.element_at(kinds, F.col("event")))
+    r = r.filter(F.col("__take").isNotNull() | (F.col("event") == "CHOSEN"))
+    waiting = (F.col("event") == "CHOSEN").cast("int")
+    # beliefs buffered before a row, and before the event ahead of it
+    scanned = ordered_scan(r, ["game_id", "file"], ["line_no"], F.floor(F.col("line_no") / LINE_CHUNK),
+                           sums={"__seen": waiting})
+    events_only = ordered_scan(scanned.filter("__take is not null"), ["game_id", "file"], ["line_no"],
+                               F.floor(F.col("line_no") / LINE_CHUNK), lags={"__before": F.col("__seen")})
+    found = F.col("__seen") - F.coalesce("__before", F.lit(0))
+    return events_only.filter(found < F.col("__take")).select(
+        "game_id", "file", "line_no", "event", F.col("__take").alias("expected"), found.cast("int").alias("found"))
+
+
 def belief_stats(choices: DataFrame, cgr: DataFrame) -> DataFrame:
     """Per (type, belief): mean turn, picks, and picks by the winner."""
     winners = cgr.filter(F.col("victory_type").isNotNull()).select("game_id", "civ")
@@ -226,9 +243,11 @@ def policy_pick_order(choices: DataFrame) -> DataFrame:
 
 
 def branch_counts(branches: DataFrame, n_branches: int = 12) -> DataFrame:
-    """A04 + P08: openings per (game, civ) × branch 0..n−1, zero filled."""
-    return reshape.pivot_count(branches, ["game_id", "civ"], "branch", list(range(n_branches)),
-                               "branch_")
+    """A04 + P08: openings per (game, civ) × branch 0..n−1 and up to the last
+    branch there is, zero filled."""
+    last = branches.agg(F.max("branch")).first()[0]
+    n = max(n_branches, 0 if last is None else last + 1)
+    return reshape.pivot_count(branches, ["game_id", "civ"], "branch", list(range(n)), "branch_")
 
 
 def latest_vassalage(deals: DataFrame) -> DataFrame:
@@ -272,14 +291,16 @@ def ownership(map_state: DataFrame, deals: DataFrame) -> DataFrame:
 
 def authority_victories(own: DataFrame, threshold: float = 0.66666) -> DataFrame:
     """A21 + J10: the first turn each (game, owner) holds more than the
-    threshold of both tiles and cities; all columns of that turn."""
+    threshold of both tiles and cities. ``tiles_owned`` and ``cities_owned``
+    are the shares at that turn, under the names that hold them downstream."""
     hit = own.filter((F.col("tiles_owned_percentage") > threshold)
                      & (F.col("cities_owned_percentage") > threshold))
     first = hit.groupBy("game_id", "effective_owner").agg(F.min("turn").alias("turn"))
     out = hit.join(first, ["game_id", "effective_owner", "turn"], "inner")
-    # the reference's names for the same row: owner_nation and a victory flag
-    return out.withColumn("owner_nation", F.col("effective_owner")).withColumn(
-        "pseudo_victory", F.lit(1))
+    return out.select("game_id", "effective_owner", F.col("effective_owner").alias("owner_nation"), "turn",
+                      F.col("tiles_owned_percentage").alias("tiles_owned"),
+                      F.col("cities_owned_percentage").alias("cities_owned"),
+                      F.lit(1).alias("pseudo_victory"))
 
 
 def instant_yield_pivot(iy: DataFrame, yields: dict | None = None) -> DataFrame:
@@ -346,16 +367,23 @@ def purchases_by_era(cte: DataFrame, purchases: DataFrame) -> DataFrame:
                                     F.avg("unit").alias("avg_unit_purchase"))
 
 
+# Plot yields that get a name of their own (fixed values).
+PLOT_YIELDS = {f"YIELD_{y}": f"p_{y.lower()}" for y in
+               ("CULTURE", "FAITH", "FOOD", "GOLD", "PRODUCTION", "SCIENCE")}
+
+
 def plot_yield_totals(py: DataFrame) -> DataFrame:
-    """A25 + A26: positive sums per (game, civ, turn, yield), pivoted."""
+    """A25 + A26: positive sums per (game, civ, turn, yield), pivoted: the six
+    known yields as ``p_...``, any other under its own name; a yield without a
+    positive sum is null."""
     s = py.groupBy("game_id", "civ", "turn", "yield").agg(F.sum("amount").alias("amount"))
     pos = s.filter(F.col("amount") > 0)
-    ys = ["YIELD_FOOD", "YIELD_PRODUCTION", "YIELD_GOLD", "YIELD_SCIENCE", "YIELD_CULTURE",
-          "YIELD_FAITH"]
+    # the yields of the game, a handful
+    more = [r[0] for r in py.select("yield").filter("yield is not null").distinct().collect()]
+    ys = [*PLOT_YIELDS, *sorted(set(more) - set(PLOT_YIELDS))]
     wide = reshape.pivot_agg(pos, ["game_id", "civ", "turn"], "yield", ys, F.sum("amount"), "",
-                             fill=0)
-    return wide.select("game_id", "civ", "turn",
-                       *[F.col(y).alias(y.replace("YIELD_", "").lower()) for y in ys])
+                             fill=None)
+    return wide.withColumnsRenamed(PLOT_YIELDS)
 
 
 def unit_compositions_turns(map_state: DataFrame) -> DataFrame:
@@ -379,17 +407,19 @@ def units_per_turn(map_state: DataFrame, cte: DataFrame) -> DataFrame:
             .withColumn("avg_count", F.col("total_count").cast("double") / F.col("turn_count")))
 
 
-def finishing_places(store_results: DataFrame) -> DataFrame:
-    """W03 on the stats store: dead = score 0 or last seen before end − 1;
-    the dead fill the bottom by death turn, the living rank by score; ties
-    get the average place."""
-    per = store_results.groupBy("GameId", "Civ").agg(
-        F.max("Turn").alias("last_turn"),
-        F.max_by("Score", "Turn").alias("score"))
-    end = store_results.groupBy("GameId").agg(F.max("Turn").alias("end_turn"))
-    j = per.join(end, "GameId")
-    j = j.withColumn("is_dead", (F.col("score") == 0) | (F.col("last_turn") < F.col("end_turn") - 1))
-    return rank.finishing_place(j, "GameId", "Civ", "score", "is_dead", "last_turn", "place")
+def finishing_places(results: DataFrame, cte: DataFrame) -> DataFrame:
+    """W03 on the stats store: ``results`` has one row per (GameId, Civ) with
+    Turn and Score, ``cte`` (GameId, civ, Turn) a row for every turn a civ was
+    alive. A civ is dead if its score is 0 or its last turn lies before the
+    game's end - 1; the dead fill the bottom places in the order of their last
+    turn, the living rank by score, and ties share the mean place."""
+    end = results.groupBy("GameId").agg(F.max("Turn").alias("end_turn"))
+    seen = cte.groupBy("GameId", F.col("civ").alias("Civ")).agg(F.max("Turn").alias("last_seen"))
+    j = results.select("GameId", "Civ", F.col("Score").alias("score")).join(end, "GameId") \
+        .join(seen, ["GameId", "Civ"], "left").withColumn("death_turn", F.coalesce("last_seen", F.lit(-1)))
+    j = j.withColumn("is_dead", (F.col("score") == 0) | (F.col("death_turn") < F.col("end_turn") - 1))
+    return rank.finishing_place(j, "GameId", "Civ", "score", "is_dead", "death_turn", "place") \
+        .select("GameId", "Civ", "score", "death_turn", "is_dead", "place")
 
 
 def winrate_by_window(picks: DataFrame, cgr: DataFrame, window: int = 10) -> DataFrame:
@@ -546,20 +576,24 @@ def handicap_trigger_stats(hy: DataFrame, cte: DataFrame) -> DataFrame:
         (F.count(F.lit(1)) / n_pairs).alias("avg_times_triggered"))
 
 
-def units_and_map_by_era(map_state: DataFrame, cte: DataFrame) -> DataFrame:
-    """A24 (+ B5): per (game, civ, era): unit share of all units on the map
-    and average owned tiles per spine turn; joins use (game, civ, turn)."""
-    units = map_state.filter(F.col("unit_owner_civ") != "").groupBy(
-        "game_id", F.col("unit_owner_civ").alias("civ"), "turn").agg(F.count(F.lit(1)).alias("units"))
-    tiles = map_state.filter(F.col("owner_civ") != "").groupBy(
-        "game_id", F.col("owner_civ").alias("civ"), "turn").agg(F.count(F.lit(1)).alias("tiles"))
-    all_units = units.groupBy("game_id", "turn").agg(F.sum("units").alias("all_units"))
+def units_and_map_by_era(map_state: DataFrame, own: DataFrame, cte: DataFrame) -> DataFrame:
+    """A24 (+ B5): per (game, civ, era) the mean over the era's turns of the
+    civ's share of all units on the map, and of its tile and city shares as
+    effective owner (``own``: see :func:`ownership`); civs with both only. The
+    joins to the era spine use (game, civ, turn)."""
     keys = ["game_id", "civ", "turn"]
-    j = (cte.join(units, keys, "left").join(tiles, keys, "left")
-         .join(all_units, ["game_id", "turn"], "left").na.fill(0, ["units", "tiles"]))
-    return j.groupBy("game_id", "civ", "era").agg(
-        (F.sum("units") / F.sum("all_units")).alias("unit_share"),
-        (F.sum("tiles") / F.countDistinct("turn")).alias("avg_tiles_per_turn"))
+    units = map_state.filter(F.col("unit_owner_civ") != "").groupBy(
+        "game_id", F.col("unit_owner_civ").alias("civ"), "turn").agg(
+        F.count_if(F.col("unit") != "").alias("units"))
+    whole = units.groupBy("game_id", "turn").agg(F.sum("units").alias("all_units"))
+    share = F.col("units") / F.nullif(F.col("all_units"), F.lit(0))
+    by_units = (units.join(whole, ["game_id", "turn"]).join(cte, keys, "inner")
+                .groupBy("game_id", "civ", "era").agg(F.avg(share).alias("units_owned_percentage_avg")))
+    plots = own.withColumnRenamed("effective_owner", "civ").join(cte, keys, "inner")
+    by_plots = plots.groupBy("game_id", "civ", "era").agg(
+        F.avg("tiles_owned_percentage").alias("tiles_owned_percentage_avg"),
+        F.avg("cities_owned_percentage").alias("cities_owned_percentage_avg"))
+    return by_plots.join(by_units, ["game_id", "civ", "era"], "inner")
 
 
 def gold_breakdown_by_era(gold: DataFrame, running: DataFrame, cte: DataFrame) -> DataFrame:
@@ -597,6 +631,20 @@ def yield_sources_by_turn(civ_corr: DataFrame, city: DataFrame, instant: DataFra
     return j.select(*keys, "era", *cols)
 
 
+def authority_results(results: DataFrame, authority: DataFrame) -> DataFrame:
+    """One row per game (and authority crossing): with a crossing, the
+    game ends at the crossing's turn, every victory flag loses that win (never
+    below zero) and the authority flag gains it; conquest counts as authority,
+    so the domination flag is merged into it and dropped."""
+    a = authority.select("game_id", F.col("owner_nation").alias("authority_victor"),
+                         F.col("turn").alias("__turn"), F.col("pseudo_victory").alias("__av"))
+    j = results.join(a, "game_id", "left").withColumn("__av", F.coalesce("__av", F.lit(0)))
+    left = {f: F.greatest(F.coalesce(f, F.lit(0)) - F.col("__av"), F.lit(0)) for f in VICTORY_FLAGS}
+    conquest = "domination_victory" if "domination_victory" in VICTORY_FLAGS else VICTORY_FLAGS[2]
+    return j.withColumns({**left, "turn": F.coalesce("__turn", "turn")}).withColumn(
+        "authority_victory", F.col("__av") + F.col(conquest)).drop("__turn", "__av", conquest)
+
+
 def reclassify_authority(results: DataFrame, authority: DataFrame,
                          label: str = "Authority") -> DataFrame:
     """A game's first authority crossing (earliest turn, then

@@ -631,6 +631,88 @@ SELECT a.user_id, a.event_id AS latest_event_id, a.event_type AS latest_event_ty
   b.event_id AS prev_event_id, b.event_type AS prev_event_type
 FROM r a LEFT JOIN r b ON a.user_id = b.user_id AND b.rn = 2 WHERE a.rn = 1""",
 
+    "group_split": """
+SELECT event_id, user_id, CASE WHEN CAST(('0x' || left(md5('42|' || user_id), 13)) AS BIGINT) % 100 < 75
+  THEN 'train' ELSE 'test' END AS split FROM events""",
+
+    "schema_contract": """
+WITH o AS (SELECT count(*) AS n, count(*) FILTER (c.c_custkey IS NOT NULL) AS known
+           FROM orders LEFT JOIN customer c ON o_custkey = c_custkey AND c_acctbal >= 0)
+SELECT 'a' AS file, 'GameOrders' AS table_name, 'accepted' AS status, known AS rows FROM o
+UNION ALL SELECT 'a', 'GameOrders', 'unmatched', n - known FROM o WHERE n > known
+UNION ALL SELECT 'b', 'GameBalance', 'accepted', count(*) FROM customer
+UNION ALL SELECT 'c', 'GameOrders', 'quarantined', 0""",
+
+    "ingest_ids": f"""
+WITH c AS (SELECT c_custkey, md5(c_name) AS uuid_hex, c_acctbal, c_acctbal >= 0 AS first FROM customer),
+i AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN first THEN 0 ELSE 1 END, uuid_hex) AS id FROM c)
+SELECT uuid_hex, id, CASE WHEN first THEN (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) ELSE 0 END
+  AS n_orders, CAST(c_acctbal AS {_M}) AS balance FROM i""",
+
+    "write_audit": r"""
+SELECT *, '{"null_keys": ' || null_keys || ', "rejects": ' || rejects || '}' AS metadata_json FROM (
+  SELECT 'documents' AS table_name, count(*) AS n_rows,
+    count(*) FILTER (NOT regexp_matches(coalesce(text, ''), '\p{L}')) AS rejects,
+    count(*) FILTER (doc_id IS NULL) AS null_keys FROM documents
+  UNION ALL SELECT 'events', count(*), count(*) FILTER (coalesce(value < 0, true)),
+    count(*) FILTER (user_id IS NULL OR ts IS NULL) FROM events
+  UNION ALL SELECT 'orders', count(*), count(*) FILTER (o_totalprice > 400000),
+    count(*) FILTER (o_custkey IS NULL) FROM orders)""",
+
+    "usage_log_rollup": """
+WITH c AS (SELECT conv_id, role = 'user' AS req, turn, CAST(length(text) AS BIGINT) AS n,
+             conv_id % 1000 * 60 + turn * 95 AS t FROM conversations),
+g AS (SELECT conv_id, CAST(count_if(req) AS BIGINT) AS n_requests, CAST(count_if(NOT req) AS BIGINT) AS n_tool_calls,
+        CAST(coalesce(sum(n) FILTER (req), 0) AS BIGINT) AS total_input_tokens,
+        CAST(coalesce(sum(n // 3) FILTER (req), 0) AS BIGINT) AS cached_input_tokens,
+        CAST(coalesce(sum(turn) FILTER (req), 0) AS BIGINT) AS output_tokens,
+        min(CASE WHEN req THEN t - 5 ELSE t END) AS a, max(CASE WHEN req THEN t + n % 50 ELSE t END) AS b
+      FROM c GROUP BY conv_id)
+SELECT conv_id, n_requests, n_tool_calls, total_input_tokens - cached_input_tokens AS input_tokens,
+  cached_input_tokens, total_input_tokens, output_tokens,
+  strftime(TIMESTAMP '2024-01-01' + to_seconds(a), '%Y-%m-%d %H:%M:%S') AS first_time,
+  strftime(TIMESTAMP '2024-01-01' + to_seconds(b), '%Y-%m-%d %H:%M:%S') AS last_time,
+  CASE WHEN b - a >= 3600 THEN ((b - a) // 3600) || 'h ' || ((b - a) % 3600 // 60) || 'm ' || ((b - a) % 60) || 's'
+       WHEN b - a >= 60 THEN ((b - a) // 60) || 'm ' || ((b - a) % 60) || 's' ELSE (b - a) || 's' END AS span
+FROM g""",
+
+    "stream_all_sessions": """
+WITH e AS (SELECT user_id, ts, event_id, value,
+             CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 30 MINUTE
+                  THEN 1 ELSE 0 END AS brk
+           FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM e)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start,
+  strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS session_end,
+  count(*) AS n_events, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS total_value,
+  max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR AS closed
+FROM s GROUP BY user_id, sid""",
+
+    "stream_latest_state_ttl": """
+WITH r AS (SELECT user_id, event_id, event_type, ts, row_number() OVER (PARTITION BY user_id
+             ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+SELECT a.user_id, a.event_id AS latest_event_id, a.event_type AS latest_event_type,
+  b.event_id AS prev_event_id, b.event_type AS prev_event_type
+FROM r a LEFT JOIN r b ON a.user_id = b.user_id AND b.rn = 2 AND a.ts - b.ts <= INTERVAL 24 HOUR WHERE a.rn = 1""",
+
+    "stream_register": """
+WITH f AS (SELECT user_id, ts, event_id, 'u' || event_id AS address, row_number() OVER (
+             PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE event_type = 'signup')
+SELECT e.user_id, max(f.address) AS address,
+  count_if(f.ts IS NOT NULL AND (e.ts, e.event_id) >= (f.ts, f.event_id)) AS n_accepted,
+  count_if(f.ts IS NULL OR (e.ts, e.event_id) < (f.ts, f.event_id)) AS n_rejected
+FROM events e LEFT JOIN f ON e.user_id = f.user_id AND f.rn = 1 GROUP BY e.user_id""",
+
+    "stream_first_arrivals": """
+SELECT user_id, event_type, event_id FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1""",
+
+    "stream_cache_fill": f"""
+SELECT {_DAY} AS day, event_type, count(*) AS n_events,
+  CAST(sum(CAST(value AS {_M})) AS {_M}) AS total_value
+FROM events GROUP BY 1, 2""",
+
     "stream_monotone_max": f"""
 WITH e AS (SELECT *, {_DAY} AS day FROM events),
 l AS (SELECT user_id, day, event_type AS last_event_type FROM (

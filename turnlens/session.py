@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: AQE re-plans joins and partition counts at
 # runtime, splits skewed sort-merge-join partitions, and all timestamps are
@@ -84,6 +84,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
                       f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a scratch folder and read it back: it is computed once,
+    its lineage ends there, and every reader sees the same rows."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove_scratch(spark: SparkSession) -> None:
     """Delete every scratch folder this application made, once no frame that
     reads them is needed."""

@@ -10,22 +10,62 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from turnlens.operators.ordered import ordered_scan
-from turnlens.session import path_exists
+from turnlens.operators.quality import require_rows
+from turnlens.session import path_exists, scratch_dir
+from turnlens.sinks.ingest import StatsStore
 
 ROWS_PER_FILE = 200_000      # K01 sizing rule: ceil(rows / 200000) files
+IDS_PER_FILE = 1_000         # ids whose rows one writer of the id-scoped cache takes
+
+
+def write_counted(df: DataFrame, path: str, metrics: Mapping[str, Column] | None = None,
+                  write: Callable[[DataFrame, str], None] | None = None) -> dict[str, int]:
+    """Write ``df`` (Parquet unless ``write`` says how) and
+    return its row count ``rows`` and the aggregates ``metrics`` (rejects, null
+    keys, ...), all taken while the rows are written: the input is computed
+    once."""
+    seen = Observation()
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"),
+                         *[c.alias(name) for name, c in (metrics or {}).items()])
+    if write:
+        write(counted, path)
+    else:
+        counted.write.mode("overwrite").parquet(path)
+    return {"rows": 0, **dict.fromkeys(metrics or {}, 0), **seen.get}
+
 
+def null_keys(keys: Sequence[str]) -> dict[str, Column]:
+    """Metrics for :func:`write_counted`: rows whose key has a null."""
+    return {"null_keys": F.count_if(reduce(Column.__or__, [F.col(k).isNull() for k in keys]))}
 
-def write_csv_sized(df: DataFrame, path: str, approx_rows: int | None = None) -> None:
+
+def write_csv_sized(df: DataFrame, path: str, approx_rows: int | None = None,
+                    metrics: Mapping[str, Column] | None = None, expect: int | None = None) -> dict[str, int]:
     """CSV with a header, one file per ``ROWS_PER_FILE`` rows, and
-    ``maxRecordsPerFile`` as a hard cap per file."""
-    n = approx_rows if approx_rows is not None else df.count()
-    files = max(1, -(-n // ROWS_PER_FILE))
-    (df.repartition(files).write.mode("overwrite").option("header", True)
-     .option("maxRecordsPerFile", ROWS_PER_FILE).csv(path))
+    ``maxRecordsPerFile`` as a hard cap per file. The input is computed once:
+    it goes to a scratch table while its rows are counted, and the files are
+    cut from there. Returns the counts; with ``expect`` another number of rows
+    is an error, as is a CSV that got other rows than the scratch table."""
+    def csv(out: DataFrame, to: str) -> None:
+        out.write.mode("overwrite").option("header", True).option("maxRecordsPerFile", ROWS_PER_FILE).csv(to)
+
+    if approx_rows is None:
+        scratch = scratch_dir(df.sparkSession, "csv")
+        counts = write_counted(df, scratch, metrics)
+        require_rows(counts["rows"], expect, path)
+        files = max(1, -(-counts["rows"] // ROWS_PER_FILE))
+        stored = df.sparkSession.read.schema(df.schema).parquet(scratch)
+        require_rows(write_counted(stored.repartition(files), path, None, csv)["rows"], counts["rows"], path)
+        return counts
+    files = max(1, -(-approx_rows // ROWS_PER_FILE))
+    counts = write_counted(df.repartition(files), path, metrics, csv)
+    require_rows(counts["rows"], expect, path)
+    return counts
 
 
 def write_partitioned(df: DataFrame, path: str, by: str, fmt: str = "parquet") -> None:
@@ -78,7 +118,10 @@ class IdScopedCache:
                                                  "left_anti")
         if todo.limit(1).count() > 0:
             parsed, run = compute(todo), uuid.uuid4().hex
-            (parsed.withColumn("_bucket", self._bucket()).repartition("_bucket")
+            # as many writers a bucket as its ids ask for
+            salts = max(1, todo.count() // (self.n_buckets * IDS_PER_FILE))
+            (parsed.withColumn("_bucket", self._bucket())
+             .repartition(self.n_buckets * salts, "_bucket", F.pmod(F.hash(self.id_col), F.lit(salts)))
              .write.partitionBy("_bucket").parquet(f"{self.table}/run={run}"))
             self._publish(todo, parsed.schema, run)
         man = self._read_manifest(id_type)
@@ -124,13 +167,19 @@ def manifest_is_fresh(spark: SparkSession, manifest_path: str, output: str,
 
 def ensure_output(spark: SparkSession, manifest_path: str, output_path: str, output: str,
                   source_version: str, builder: Callable[[], DataFrame], force: bool = False,
-                  required_columns: Sequence[str] = (), fingerprint: str = "") -> DataFrame:
-    """Rebuild ``output`` only when stale, forced, or missing
-    required columns; record the build in the manifest table."""
+                  required_columns: Sequence[str] = (), fingerprint: str = "",
+                  unique: Sequence[str] = ()) -> DataFrame:
+    """Rebuild ``output`` only when stale, forced, or missing
+    required columns; record the build in the manifest table. With ``unique``
+    the output must have one row per these columns, else the build fails and
+    the manifest does not name it."""
     if force or not manifest_is_fresh(spark, manifest_path, output, source_version,
                                       required_columns, fingerprint):
         df = builder()
-        df.write.mode("overwrite").parquet(output_path)
+        rows = write_counted(df, output_path)["rows"]
+        if unique:
+            stored = spark.read.parquet(output_path)
+            require_rows(rows, stored.select(*unique).distinct().count(), output)
         row = spark.createDataFrame(
             [(output, source_version, fingerprint, json.dumps(df.columns))],
             "output string, source_version string, fingerprint string, columns string")
@@ -205,55 +254,8 @@ def contract_of(df: DataFrame, extra: Sequence[tuple[str, T.DataType]] = ()) ->
     return T.StructType(df.schema.fields + [T.StructField(n, t) for n, t in extra])
 
 
-GAME_FK = "GameId"
-UUID_DICTIONARY = "uuid_dictionary"
-
-
 def ingest_stats_file(spark: SparkSession, store: str, quarantine: str, file_name: str,
                       tables: Mapping[str, DataFrame], contract: Mapping[str, T.StructType]) -> DataFrame:
-    """K08 + K09 + J21 + J25: ingest one per-game stats file into the store.
-
-    ``tables`` holds the file's ``uuid_dictionary`` (id, uuid_hex) and its
-    fact tables keyed by a file-local ``GameId``. All fact schemas are checked
-    first (a table without a contract creates one); any mismatch sends the
-    whole file to ``quarantine/<file>`` and nothing reaches the store.
-    Otherwise the store dictionary gains dense ids for unseen uuids (after
-    the current maximum, uuid order), and every fact row's local GameId is
-    rewritten to the global id through both dictionaries before it is
-    appended. Returns one report row per table. One writer per store."""
-    from turnlens.operators.keyed import mint_ids
-    facts = {t: df for t, df in tables.items() if t != UUID_DICTIONARY}
-    # the tables already in the store bind, whatever the caller's contract says
-    expected = dict(contract)
-    for t in facts:
-        if path_exists(spark, f"{store}/{t}"):
-            expected[t] = spark.read.parquet(f"{store}/{t}").schema
-    bad = [t for t, df in facts.items() if t in expected and not schema_matches(df.schema, expected[t])]
-    if bad:
-        for t, df in tables.items():
-            df.write.mode("append").parquet(f"{quarantine}/{file_name}/{t}")
-        return spark.createDataFrame([(file_name, t, "quarantined", 0) for t in facts],
-                                     "file string, table_name string, status string, rows long")
-    local = tables[UUID_DICTIONARY].select(F.col("id").alias("__local"), "uuid_hex")
-    dict_path = f"{store}/{UUID_DICTIONARY}"
-    if path_exists(spark, dict_path):
-        current = spark.read.parquet(dict_path).select("uuid_hex", F.col("id").cast("long"))
-    else:
-        current = spark.createDataFrame([], "uuid_hex string, id long")
-    grown = mint_ids(current, local.select("uuid_hex"), "uuid_hex", "id")
-    new_rows = grown.join(current.select("uuid_hex"), "uuid_hex", "left_anti")
-    new_rows.write.mode("append").parquet(dict_path)
-    g = spark.read.parquet(dict_path).select("uuid_hex", F.col("id").alias("__global"))
-    translate = local.join(g, "uuid_hex").select("__local", "__global")
-    report = []
-    for t, df in facts.items():
-        cols = df.columns
-        out = (df.join(translate, df[GAME_FK] == translate["__local"], "inner")
-               .select(*[F.col("__global").cast(df.schema[GAME_FK].dataType).alias(GAME_FK)
-                         if c == GAME_FK else df[c] for c in cols]))
-        out.write.mode("append").parquet(f"{store}/{t}")
-        lost = df.join(translate, df[GAME_FK] == translate["__local"], "left_anti").count()
-        report.append((file_name, t, "accepted", df.count() - lost))
-        if lost:
-            report.append((file_name, t, "unmatched", lost))
-    return spark.createDataFrame(report, "file string, table_name string, status string, rows long")
+    """K08 + K09 + J21 + J25: ingest one per-game stats file into the store as
+    one commit; see :class:`turnlens.sinks.ingest.StatsStore`."""
+    return StatsStore(spark, store, quarantine).ingest(file_name, tables, contract)

@@ -4,6 +4,12 @@ Every query runs on a file source with an ``availableNow`` trigger and a
 checkpoint under the shared ``spark.checkpoint.dir``, so a lost executor or
 a restarted driver resumes from the last committed micro-batch. Sinks are
 Parquet tables written from ``foreachBatch`` (idempotent per batch id).
+
+State does not grow for ever: aggregates are kept per event-time period and
+leave the state once the watermark has passed it (their rows merge to the
+same totals however the input falls into batches), arbitrary state has
+event-time timers, and what must be remembered for good - registered keys -
+lives in a table, not in the state store.
 """
 
 from __future__ import annotations
@@ -11,11 +17,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from turnlens.session import path_exists, scratch_dir
 
+# Rows of one replayed file.
+REPLAY_FILE_ROWS = 1_000_000
+
 
 def file_stream(spark: SparkSession, folder: str, file_glob: str, schema: T.StructType,
                 max_files_per_trigger: int | None = None) -> DataFrame:
@@ -26,18 +35,50 @@ def file_stream(spark: SparkSession, folder: str, file_glob: str, schema: T.Stru
     return r.parquet(folder)
 
 
+class Replay:
+    """A table written again as files that arrive in order: ``slices`` runs
+    over ascending ranges of the whole-numbered column ``by``, none of them
+    cutting a value apart. A stream over it takes one slice a batch."""
+
+    def __init__(self, df: DataFrame, by: Column, slices: int = 3):
+        self.spark, self.schema = df.sparkSession, df.schema
+        self.folder = scratch_dir(self.spark, "replay")
+        marked = df.withColumn("__by", by.cast("long"))
+        at = [F.lit(i / slices) for i in range(1, slices)]
+        r = marked.agg(F.count(F.lit(1)).alias("n"), *[
+            F.percentile_approx("__by", p, 1000).alias(f"b{i}") for i, p in enumerate(at)]).first()
+        bounds = [r[f"b{i}"] for i in range(slices - 1)]
+        # empty slices write nothing; each other one as many files
+        self.files = max(1, r["n"] // slices // REPLAY_FILE_ROWS)
+        for low, high in zip([None, *bounds], [*bounds, None], strict=True):
+            part = marked
+            if low is not None:
+                part = part.filter(F.col("__by") > low)
+            if high is not None:
+                part = part.filter(F.col("__by") <= high)
+            self.append(part.drop("__by"))
+
+    def append(self, df: DataFrame) -> None:
+        """One more slice, later than all others."""
+        df.repartition(self.files).write.mode("append").parquet(self.folder)
+
+    def stream(self) -> DataFrame:
+        return file_stream(self.spark, self.folder, "*.parquet", self.schema, self.files)
+
+
 def with_event_time(df: DataFrame, ts: str, out: str = "event_time") -> DataFrame:
     """Watermarks need TIMESTAMP (not TIMESTAMP_NTZ): cast in the session zone."""
     return df.withColumn(out, F.col(ts).cast("timestamp"))
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append",
-                 keys: Sequence[str] | None = None) -> DataFrame:
+                 keys: Sequence[str] | None = None, progress: list | None = None) -> DataFrame:
     """Run a streaming frame to completion (availableNow) into a Parquet
     table under the shared checkpoint root and return the table as a batch
     DataFrame. With ``mode='update'`` each batch appends its updated rows
     tagged with the batch id; the returned frame keeps, per ``keys``, the row
-    of the latest batch (the final state)."""
+    of the latest batch (the final state). ``progress`` receives one dict per
+    batch (rows read, rows held in state)."""
     spark = stream.sparkSession
     base = scratch_dir(spark, name)
     out, ckpt = f"{base}/table", f"{base}/checkpoint"
@@ -50,6 +91,10 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append",
     q = (stream.writeStream.outputMode(mode).foreachBatch(write)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
+    if progress is not None:
+        progress += [{"batch": p["batchId"], "rows": p["numInputRows"],
+                      "state": sum(s["numRowsTotal"] for s in p["stateOperators"])}
+                     for p in q.recentProgress]
     schema = T.StructType(stream.schema.fields + [T.StructField("__batch", T.LongType())])
     if not path_exists(spark, out):   # no batch at all
         return spark.createDataFrame([], stream.schema)
@@ -72,70 +117,108 @@ def session_counts(stream: DataFrame, key: str, ts: str, value: str, gap: str,
                  F.sum(F.col(value).cast("decimal(18,2)")).alias("total_value")))
 
 
+def all_sessions(replay: Replay, key: str, ts: str, value: str, gap: str, watermark: str,
+                 marker: DataFrame) -> DataFrame:
+    """T02 with late final emission: every session of ``replay``, also those
+    still open at its end. ``marker`` is one row without key, later than the
+    last event by more than gap and watermark together; it arrives as the last
+    slice, moves the watermark past all sessions and leaves the result."""
+    replay.append(marker)
+    done = run_to_table(session_counts(replay.stream(), key, ts, value, gap, watermark), "all-sessions")
+    return done.filter(F.col(key).isNotNull())
+
+
 def pulse_counts(stream: DataFrame, key: str, state: str, pulse: str = "recovered",
-                 normal: str = "running") -> DataFrame:
-    """Count one-shot pulses per key while normalising the stored state."""
+                 normal: str = "running", watermark: str | None = None, period: str = "1 day") -> DataFrame:
+    """Count one-shot pulses per key while normalising the stored state
+    (``event_time`` orders the states). With ``watermark`` the counts are kept
+    per ``period`` and leave the state behind the watermark;
+    :func:`merge_pulses` adds them up."""
     norm = F.when(F.col(state) == pulse, F.lit(normal)).otherwise(F.col(state))
-    return (stream.groupBy(key).agg(F.sum(F.when(F.col(state) == pulse, 1).otherwise(0))
-                                    .alias("n_pulses"),
-                                    F.max_by(norm, F.col("event_time")).alias("state")))
+    aggs = [F.sum(F.when(F.col(state) == pulse, 1).otherwise(0)).alias("n_pulses"),
+            F.max_by(norm, F.col("event_time")).alias("state")]
+    if watermark is None:
+        return stream.groupBy(key).agg(*aggs)
+    return (stream.withWatermark("event_time", watermark)
+            .groupBy(F.window("event_time", period).alias("period"), key).agg(*aggs))
+
+
+def merge_pulses(periods: DataFrame, key: str) -> DataFrame:
+    """Totals of the last row of every (period, key)."""
+    return periods.groupBy(key).agg(F.sum("n_pulses").alias("n_pulses"),
+                                    F.max_by("state", "period.start").alias("state"))
 
 
 # --- T01: latest + previous snapshot per key ---------------------------------
 
-LATEST_SCHEMA = T.StructType([
-    T.StructField("user_id", T.LongType()),
-    T.StructField("latest_event_id", T.LongType()),
-    T.StructField("latest_event_type", T.StringType()),
-    T.StructField("prev_event_id", T.LongType()),
-    T.StructField("prev_event_type", T.StringType())])
-
-_LATEST_STATE = T.StructType([
-    T.StructField("t1", T.LongType()), T.StructField("id1", T.LongType()),
-    T.StructField("k1", T.StringType()),
-    T.StructField("t0", T.LongType()), T.StructField("id0", T.LongType()),
-    T.StructField("k0", T.StringType())])
-
-
-def _top2(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keep the two newest (time, id) rows seen for a key; chunks stream
-    through, only two rows are held."""
-    best = list(state.get) if state.exists else [None] * 6
-    cur = []
-    if best[0] is not None:
-        cur.append((best[0], best[1], best[2]))
-    if best[3] is not None:
-        cur.append((best[3], best[4], best[5]))
-    for pdf in pdfs:
-        top = pdf.sort_values(["t", "event_id"]).tail(2)
-        cur.extend(zip(top["t"].tolist(), top["event_id"].tolist(), top["event_type"].tolist()))
-        cur = sorted(cur)[-2:]
-    cur = sorted(cur)
-    newest = cur[-1]
-    prev = cur[-2] if len(cur) > 1 else (None, None, None)
-    state.update((newest[0], newest[1], newest[2], prev[0], prev[1], prev[2]))
-    yield pd.DataFrame({"user_id": [key[0]], "latest_event_id": [newest[1]],
-                        "latest_event_type": [newest[2]], "prev_event_id": [prev[1]],
-                        "prev_event_type": [prev[2]]})
-
-
-def latest_state_stream(stream: DataFrame) -> DataFrame:
-    """Per user, the newest event and the previous snapshot, as
-    arbitrary state (update mode)."""
-    s = stream.select("user_id", "event_id", "event_type",
-                      F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    return s.groupBy("user_id").applyInPandasWithState(
-        _top2, LATEST_SCHEMA, _LATEST_STATE, "update", GroupStateTimeout.NoTimeout)
+def latest_state_stream(stream: DataFrame, key: str = "user_id", id_col: str = "event_id",
+                        state_col: str = "event_type", ts: str = "ts",
+                        ttl_sec: int | None = None, watermark: str | None = None) -> DataFrame:
+    """Per key the newest row (by time, then id) and the previous
+    snapshot, as arbitrary state (update mode).
+
+    With ``ttl_sec`` a snapshot counts as previous only if it is at most that
+    much older than the newest, and an event-time timer drops the state of a
+    key that has been silent for longer. Whatever arrives after that is newer
+    by more, so the result does not depend on when the timer fires.
+    """
+    kinds = [stream.schema[c].dataType for c in (key, id_col, state_col)]
+    names = [key, f"latest_{id_col}", f"latest_{state_col}", f"prev_{id_col}", f"prev_{state_col}"]
+    out_schema = T.StructType([T.StructField(n, t) for n, t in
+                               zip(names, [*kinds, *kinds[1:]], strict=True)])
+    state_schema = T.StructType([T.StructField(f"{c}{i}", t) for i in (1, 0) for c, t in
+                                 zip("tks", [T.LongType(), *kinds[1:]], strict=True)])
+    ttl_us = None if ttl_sec is None else ttl_sec * 1_000_000
+
+    def top2(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Keep the two newest rows seen for a key; chunks stream through."""
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = list(state.get) if state.exists else [None] * 6
+        cur = [tuple(held[i:i + 3]) for i in (0, 3) if held[i] is not None]
+        for pdf in pdfs:
+            top = pdf.sort_values(["__us", id_col]).tail(2)
+            cur.extend(zip(top["__us"].tolist(), top[id_col].tolist(), top[state_col].tolist(), strict=True))
+            cur = sorted(cur)[-2:]
+        newest, prev = max(cur), min(cur) if len(cur) > 1 else (None, None, None)
+        if ttl_us is not None and prev[0] is not None and newest[0] - prev[0] > ttl_us:
+            prev = (None, None, None)
+        state.update((*newest, *prev))
+        if ttl_us is not None:
+            state.setTimeoutTimestamp(max((newest[0] + ttl_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({n: [v] for n, v in zip(names, (k[0], *newest[1:], *prev[1:]), strict=True)})
+
+    s = with_event_time(stream, ts)
+    if ttl_sec is not None:
+        s = s.withWatermark("event_time", watermark or "0 seconds")
+    s = s.select(key, id_col, state_col, "event_time", F.unix_micros("event_time").alias("__us"))
+    return s.groupBy(key).applyInPandasWithState(
+        top2, out_schema, state_schema, "update",
+        GroupStateTimeout.NoTimeout if ttl_sec is None else GroupStateTimeout.EventTimeTimeout)
 
 
 # --- T03: monotone max ------------------------------------------------------
 
 def monotone_max_stream(stream: DataFrame, keys: Sequence[str], measures: Sequence[str],
-                        last_of: str, order: str) -> DataFrame:
+                        last_of: str, order: str, watermark: str | None = None,
+                        ts: str = "ts", period: str = "1 day") -> DataFrame:
     """Per key, running max of each measure and the value of
-    ``last_of`` at the latest ``order`` (update mode)."""
-    return stream.groupBy(*keys).agg(*[F.max(m).alias(f"max_{m}") for m in measures],
-                                     F.max_by(last_of, order).alias(f"last_{last_of}"))
+    ``last_of`` at the latest ``order`` (update mode). With ``watermark`` the
+    maxima are kept per ``period`` and leave the state behind the watermark;
+    :func:`merge_monotone` takes the max over periods, which is the same
+    whichever rows a key had before its state expired."""
+    aggs = [*[F.max(m).alias(f"max_{m}") for m in measures], F.max_by(last_of, order).alias(f"last_{last_of}")]
+    if watermark is None:
+        return stream.groupBy(*keys).agg(*aggs)
+    s = with_event_time(stream, ts).withWatermark("event_time", watermark)
+    return s.groupBy(F.window("event_time", period).alias("period"), *keys).agg(*aggs)
+
+
+def merge_monotone(periods: DataFrame, keys: Sequence[str], measures: Sequence[str], last_of: str) -> DataFrame:
+    """Maxima and last value over the last row of every (period, key)."""
+    return periods.groupBy(*keys).agg(*[F.max(f"max_{m}").alias(f"max_{m}") for m in measures],
+                                      F.max_by(f"last_{last_of}", "period.start").alias(f"last_{last_of}"))
 
 
 # --- T05: register-or-reject -------------------------------------------------
@@ -152,19 +235,102 @@ def register_or_reject(stream: DataFrame, registry: DataFrame, key: str,
     return ok, rejected
 
 
+class Registry:
+    """T05 in a stream: a registry of keys that grows while the stream runs.
+
+    Each batch reads what earlier batches have published, accepts unknown keys
+    from their first row with an address on, and publishes the new keys under
+    its own batch id. A batch that runs again sees the same earlier batches
+    and replaces its own three folders, so nothing is registered, accepted or
+    rejected twice. Rows count in ``order`` within a batch, so the result is
+    the same however the input falls into batches.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: str, address: str,
+                 order: Sequence[str]):
+        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+        self.key, self.address, self.order = key, address, list(order)
+
+    def _table(self, name: str, fields: list[T.StructField], before: int | None = None) -> DataFrame:
+        kind = T.StructType([*fields, T.StructField("batch", T.LongType())])
+        if not path_exists(self.spark, f"{self.root}/{name}"):
+            return self.spark.createDataFrame([], kind)
+        df = self.spark.read.schema(kind).parquet(f"{self.root}/{name}")
+        return df if before is None else df.filter(F.col("batch") < before)
+
+    def keys(self, before: int | None = None) -> DataFrame:
+        """Registered keys with their address (of batches before one)."""
+        return self._table("registry", [self.schema[self.key], self.schema[self.address]], before)
+
+    def accepted(self) -> DataFrame:
+        return self._table("accepted", self.schema.fields).drop("batch")
+
+    def rejected(self) -> DataFrame:
+        return self._table("rejected", self.schema.fields).drop("batch")
+
+    def on_batch(self, batch: DataFrame, batch_id: int) -> None:
+        known = self.keys(before=batch_id).select(self.key, F.lit(True).alias("__known"))
+        at = F.struct(*self.order)
+        has = F.col(self.address).isNotNull()
+        first = batch.groupBy(self.key).agg(F.min(F.when(has, at)).alias("__first"),
+                                            F.min_by(self.address, F.when(has, at)).alias("__address"))
+        # written once: accepted, rejected and new keys come from the same rows
+        judged = f"{self.root}/judged/batch={batch_id}"
+        (batch.join(first, self.key, "left").join(known, self.key, "left")
+         .withColumn("__ok", F.coalesce(F.col("__known") | (at >= F.col("__first")), F.lit(False)))
+         .write.mode("overwrite").parquet(judged))
+        rows = self.spark.read.parquet(judged)
+        new = rows.filter("__known is null and __first is not null").groupBy(self.key).agg(
+            F.min("__address").alias(self.address))
+        for name, df in (("accepted", rows.filter("__ok").select(*self.schema.names)),
+                         ("rejected", rows.filter("not __ok").select(*self.schema.names)),
+                         ("registry", new)):
+            df.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch_id}")
+
+
 # --- T06: repeated ids -------------------------------------------------------
 
 def drop_repeats(stream: DataFrame, key: Sequence[str], watermark: str | None = None) -> DataFrame:
     """T06 (drop form): the first arrival of each key over all time (state:
     one row per key), however arrivals fall into batches. With ``watermark``,
     repeats within that delay only, and state that expires; which repeats
-    then count depends on how far the watermark has moved when they arrive."""
+    then count depends on how far the watermark has moved when they arrive.
+    :class:`FirstArrivals` keeps the keys in a table instead of state."""
     if watermark is None:
         return stream.dropDuplicates(list(key))
     s = with_event_time(stream, "ts").withWatermark("event_time", watermark)
     return s.dropDuplicatesWithinWatermark(list(key))
 
 
+class FirstArrivals:
+    """T06 (drop form) without stream state: each batch drops the keys that
+    earlier batches have published and publishes its own first arrivals (the
+    least in ``order``) under its batch id; a batch that runs again replaces
+    them."""
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: Sequence[str],
+                 order: Sequence[str]):
+        self.spark, self.folder, self.schema = spark, f"{root.rstrip('/')}/first", schema
+        self.key, self.order = list(key), list(order)
+
+    def rows(self, before: int | None = None) -> DataFrame:
+        kind = T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())])
+        if not path_exists(self.spark, self.folder):
+            return self.spark.createDataFrame([], kind)
+        df = self.spark.read.schema(kind).parquet(self.folder)
+        return df if before is None else df.filter(F.col("batch") < before)
+
+    def on_batch(self, batch: DataFrame, batch_id: int) -> None:
+        rest = [c for c in self.schema.names if c not in self.key]
+        key = [F.struct(c).alias(f"__{i}") for i, c in enumerate(self.key)]    # null keys are keys too
+        names = [f"__{i}" for i in range(len(key))]
+        first = batch.groupBy(*key).agg(
+            F.min_by(F.struct(*self.key, *rest), F.struct(*self.order)).alias("__row"))
+        seen = self.rows(before=batch_id).select(*key).distinct()
+        new = first.join(seen, names, "left_anti").select("__row.*").select(*self.schema.names)
+        new.write.mode("overwrite").parquet(f"{self.folder}/batch={batch_id}")
+
+
 # --- T07: micro-batch append into the id-scoped cache -------------------------
 
 def append_new_ids(stream: DataFrame, on_batch: Callable[[DataFrame, int], None],
@@ -181,7 +347,8 @@ def append_new_ids(stream: DataFrame, on_batch: Callable[[DataFrame, int], None]
 # --- T02: expire keys silent for longer than a timeout ------------------------
 
 EXPIRED_SCHEMA = T.StructType([T.StructField("key", T.LongType()),
-                               T.StructField("last_seen_us", T.LongType())])
+                               T.StructField("last_seen_us", T.LongType()),
+                               T.StructField("expired", T.BooleanType())])
 _SEEN_STATE = T.StructType([T.StructField("last_us", T.LongType())])
 
 
@@ -189,26 +356,41 @@ def expire_silent_keys(stream: DataFrame, key: str, ts: str, timeout_sec: int,
                        watermark: str) -> DataFrame:
     """Arbitrary state per key holding the last event time; an
     event-time timer at last + timeout fires once the watermark passes it,
-    emitting (key, last_seen) and dropping the key's state. Append mode."""
+    emitting (key, last_seen, expired) and dropping the key's state. A key
+    that is new, or comes back after it expired, emits a row that is not
+    expired, so the latest row of a key tells its state
+    (:func:`expired_keys`). Append mode."""
     timeout_ms = int(timeout_sec) * 1000
 
     def on_key(k, pdfs, state: GroupState):
         if state.hasTimedOut:
             (last,) = state.get
             state.remove()
-            yield pd.DataFrame({"key": [int(k[0])], "last_seen_us": [int(last)]})
+            yield pd.DataFrame({"key": [int(k[0])], "last_seen_us": [int(last)], "expired": [True]})
             return
-        last = state.get[0] if state.exists else None
+        new = not state.exists
+        last = None if new else state.get[0]
         for pdf in pdfs:
             m = int(pdf["__us"].max())
             last = m if last is None else max(last, m)
         state.update((last,))
-        state.setTimeoutTimestamp(last // 1000 + timeout_ms)
-        yield pd.DataFrame({"key": pd.Series([], dtype="int64"),
-                            "last_seen_us": pd.Series([], dtype="int64")})
+        state.setTimeoutTimestamp(max(last // 1000 + timeout_ms, state.getCurrentWatermarkMs() + 1))
+        rows = [int(k[0])] * new
+        yield pd.DataFrame({"key": pd.Series(rows, dtype="int64"),
+                            "last_seen_us": pd.Series([last] * new, dtype="int64"),
+                            "expired": pd.Series([False] * new, dtype="bool")})
 
     s = (with_event_time(stream, ts).withWatermark("event_time", watermark)
          .select(F.col(key).cast("long").alias(key), "event_time",
                  F.unix_micros("event_time").alias("__us")))
     return s.groupBy(key).applyInPandasWithState(
         on_key, EXPIRED_SCHEMA, _SEEN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def expired_keys(stream: DataFrame, key: str, ts: str, timeout_sec: int, watermark: str,
+                 progress: list | None = None) -> DataFrame:
+    """(key, last_seen_us) of the keys that are expired when the stream ends,
+    the same however it falls into batches."""
+    rows = run_to_table(expire_silent_keys(stream, key, ts, timeout_sec, watermark), "expired", "append",
+                        ["key"], progress)
+    return rows.filter("expired").drop("expired")
