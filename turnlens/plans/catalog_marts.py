@@ -217,10 +217,10 @@ WITH e AS (SELECT user_id, event_type, {_DAY} AS d, value AS v, event_id % 3 AS
 p AS (SELECT user_id, event_type, d, sum(v) AS v, count(*) AS n, sum(y) AS y,
         {', '.join(f'sum(CASE WHEN k = {i} THEN v ELSE 0 END) AS h{i}' for i in range(3))} FROM e GROUP BY 1, 2, 3)
 SELECT user_id, event_type, CAST(d // 10 + 1 AS INTEGER) AS era, count(*) AS turns_in_era,
-  round(avg(n), 3) AS city_count_avg, round(sum(n), 3) AS unit_maintenance_total,
-  round(sum(v + h1), 3) AS food_total, round(sum(n), 3) AS production_total,
-  round(sum(v * 2 + y + h0), 3) AS gold_total, round(sum(n * 3), 3) AS science_total,
-  round(sum(v + n + h2), 3) AS culture_total, round(sum(n), 3) AS faith_total
+  round(avg(n), 3) AS city_count_avg, round(CAST(sum(n) AS DOUBLE), 3) AS unit_maintenance_total,
+  round(sum(v + h1), 3) AS food_total, round(CAST(sum(n) AS DOUBLE), 3) AS production_total,
+  round(sum(v * 2 + y + h0), 3) AS gold_total, round(CAST(sum(n * 3) AS DOUBLE), 3) AS science_total,
+  round(sum(v + n + h2), 3) AS culture_total, round(CAST(sum(n) AS DOUBLE), 3) AS faith_total
 FROM p GROUP BY 1, 2, 3"""
 
 
@@ -351,8 +351,8 @@ def fresh_outputs(spark, sf):
 
 
 ORACLES["fresh_outputs"] = """
-SELECT 'limit=0' AS fingerprint, o_orderstatus, count(*) AS n, 2 AS builds FROM orders WHERE o_totalprice > 0 GROUP BY 2
-UNION ALL SELECT 'limit=100000', NULL, NULL, 1"""
+SELECT 'limit=0' AS fingerprint, o_orderstatus, count(*) AS n, CAST(2 AS BIGINT) AS builds FROM orders WHERE o_totalprice > 0 GROUP BY 2
+UNION ALL SELECT 'limit=100000', NULL, NULL, CAST(1 AS BIGINT)"""
 
 
 # W02 O05 — pick order with the branch row first on ties, shown in a listed order

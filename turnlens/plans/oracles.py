@@ -700,8 +700,8 @@ FROM r a LEFT JOIN r b ON a.user_id = b.user_id AND b.rn = 2 AND a.ts - b.ts <=
 WITH f AS (SELECT user_id, ts, event_id, 'u' || event_id AS address, row_number() OVER (
              PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE event_type = 'signup')
 SELECT e.user_id, max(f.address) AS address,
-  count_if(f.ts IS NOT NULL AND (e.ts, e.event_id) >= (f.ts, f.event_id)) AS n_accepted,
-  count_if(f.ts IS NULL OR (e.ts, e.event_id) < (f.ts, f.event_id)) AS n_rejected
+  CAST(count_if(f.ts IS NOT NULL AND (e.ts, e.event_id) >= (f.ts, f.event_id)) AS BIGINT) AS n_accepted,
+  CAST(count_if(f.ts IS NULL OR (e.ts, e.event_id) < (f.ts, f.event_id)) AS BIGINT) AS n_rejected
 FROM events e LEFT JOIN f ON e.user_id = f.user_id AND f.rn = 1 GROUP BY e.user_id""",
 
     "stream_first_arrivals": """
