@@ -192,10 +192,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def sample_copies(sample: DataFrame) -> DataFrame:
-    """(c, order, copy) for each row (c, order, text) of a bounded sample: whether its
-    set is similar to that of a row of lesser (order, c). Each row is compared
-    with the least row of each of its buckets, in one round without
-    components; null where a text has no words."""
+    """(c, order, copy) for each row (c, order, text) of a bounded sample, read
+    from a written table: whether its set is similar to that of a row of
+    lesser (order, c). Each row is compared with the least row of each of its
+    buckets, in one round without components; null where a text has no words."""
     def signed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in found:
             for a in range(0, big.num_rows, 500):
@@ -205,20 +205,22 @@ def sample_copies(sample: DataFrame) -> DataFrame:
                 keys = _signatures(full)[0] if full else np.empty((0, BANDS), np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1),
-                     list_column(keys.ravel(), [BANDS * (len(s) > 0) for s in sets], pa.int64()),
-                     list_column(np.concatenate(sets).view(np.int64), [len(s) for s in sets], pa.int64())],
-                    names=["c", "order", "keys", "s"])
+                     list_column(keys.ravel(), [BANDS * (len(s) > 0) for s in sets], pa.int64())],
+                    names=["c", "order", "keys"])
 
     rows = stage(sample.select("c", "order", "text").mapInArrow(
-        signed, "c long, order long, keys array<long>, s array<long>"), "sample-sets")
+        signed, "c long, order long, keys array<long>"), "sample-keys")
     held = rows.select(F.explode("keys").alias("key"), F.struct("order", "c").alias("me"))
     leads = stage(held.groupBy("key").agg(F.min("me").alias("lead"), F.max("me").alias("last"))
                   .filter("lead < last").select("key", "lead"), "sample-leads")
     pairs = stage(held.join(leads, "key").filter("lead < me").select(
         F.col("lead.c").alias("a"), F.col("me.c").alias("b")).distinct(), "sample-pairs")
-    copies = confirmed(pairs, rows.select("c", "s")).select(F.col("b").alias("c")).distinct() \
-        .withColumn("copy", F.lit(True))
-    return rows.select("c", "order", F.size("s").alias("n")).join(copies, "c", "left").select(
+    # sets are built again, for rows with a pair only; no more rows than the sample has
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    sets = stage(sample.join(F.broadcast(paired), "c").select("c", "text")
+                 .mapInArrow(_set_rows(2), "c long, s array<long>"), "sample-sets")
+    copies = confirmed(pairs, sets).select(F.col("b").alias("c")).distinct().withColumn("copy", F.lit(True))
+    return rows.select("c", "order", F.size("keys").alias("n")).join(copies, "c", "left").select(
         "c", "order", F.when(F.col("n") > 0, F.coalesce("copy", F.lit(False))).alias("copy"))
 
 
@@ -292,7 +294,9 @@ class NearDuplicates:
         rows = stage(self.prefixes(placed, sets), "prefixes")
         lists = rows.groupBy("shingle", "label").agg(F.count("*").alias("m")).groupBy("shingle").agg(
             F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
-        rows = rows.join(stage(lists.select("shingle", F.col("top.label").alias("most")), "lists"), "shingle")
+        # written out, like the lists: the joins can then split a frequent shingle
+        rows = stage(rows.join(stage(lists.select("shingle", F.col("top.label").alias("most")), "lists"), "shingle"),
+                     "listed")
         side = lambda s: F.struct("c", "label", "n", "place").alias(s)
         few = rows.filter("label <> most").select("shingle", side("x"))
         all_ = rows.select("shingle", side("y"), (F.col("label") == F.col("most")).alias("in_most"))
