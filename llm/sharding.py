@@ -17,7 +17,8 @@ totals of earlier ranges.
 
 Defined cases: a null text has 0 bytes and all null texts form one group,
 apart from the empty text. Null ids come first. Repeated rows stay separate
-rows of one group. An empty table gives an empty result; with fewer groups
+rows of one group; groups of equal smallest id are ordered by text digest. A
+very long text is one row of its size and never cut. An empty table gives an empty result; with fewer groups
 than shards some shards stay empty. Columns besides id and text are not read.
 """
 
@@ -74,7 +75,8 @@ def line(docs: DataFrame) -> DataFrame:
     """All rows in the order (smallest id of the group, group, id), with their
     place ``row`` and the bytes before them, ``start``."""
     rows = stage(rows_and_groups(docs), "rows")
-    heads = rows.groupBy("text_key").agg(F.min("doc_id").alias("head"))
+    # written out: the join can then split a text that very many rows share
+    heads = stage(rows.groupBy("text_key").agg(F.min("doc_id").alias("head")), "heads")
     order = ["head", "text_key", "doc_id"]
     d = (rows.join(heads, "text_key").repartitionByRange(partitions(docs.sparkSession), *order)
          .sortWithinPartitions(*order)
