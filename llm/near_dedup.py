@@ -58,6 +58,9 @@ LEAST_ESTIMATE = 0.65
 PLANE, SKETCH = -(-BANDS * ROWS // 64), 16
 #: Rows of (row key, class) that are broadcast at most (24 bytes each).
 BROADCAST_ROWS = 200_000
+#: Bands by which a bounded sample is searched for copies: a pair of similarity
+#: 0.8 shares one with probability 0.9993.
+SAMPLE_BANDS = 24
 #: Pairs for which one copy of a class's set is sent, on average over a class
 #: with many pairs.
 PAIRS_A_SET = 1000
@@ -195,17 +198,18 @@ def sample_copies(sample: DataFrame) -> DataFrame:
     """(c, order, copy) for each row (c, order, text) of a bounded sample, read
     from a written table: whether its set is similar to that of a row of
     lesser (order, c). Each row is compared with the least row of each of its
-    buckets, in one round without components; null where a text has no words."""
+    buckets in the first ``SAMPLE_BANDS`` bands, in one round without
+    components; null where a text has no words."""
     def signed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in found:
             for a in range(0, big.num_rows, 500):
                 batch = big.slice(a, 500)
                 sets = [shingles(t) for t in texts(batch.column(2))]
                 full = [s for s in sets if len(s)]
-                keys = _signatures(full)[0] if full else np.empty((0, BANDS), np.int64)
+                keys = _signatures(full)[0][:, :SAMPLE_BANDS] if full else np.empty((0, SAMPLE_BANDS), np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1),
-                     list_column(keys.ravel(), [BANDS * (len(s) > 0) for s in sets], pa.int64())],
+                     list_column(keys.ravel(), [SAMPLE_BANDS * (len(s) > 0) for s in sets], pa.int64())],
                     names=["c", "order", "keys"])
 
     rows = stage(sample.select("c", "order", "text").mapInArrow(
@@ -294,9 +298,7 @@ class NearDuplicates:
         rows = stage(self.prefixes(placed, sets), "prefixes")
         lists = rows.groupBy("shingle", "label").agg(F.count("*").alias("m")).groupBy("shingle").agg(
             F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
-        # written out, like the lists: the joins can then split a frequent shingle
-        rows = stage(rows.join(stage(lists.select("shingle", F.col("top.label").alias("most")), "lists"), "shingle"),
-                     "listed")
+        rows = rows.join(stage(lists.select("shingle", F.col("top.label").alias("most")), "lists"), "shingle")
         side = lambda s: F.struct("c", "label", "n", "place").alias(s)
         few = rows.filter("label <> most").select("shingle", side("x"))
         all_ = rows.select("shingle", side("y"), (F.col("label") == F.col("most")).alias("in_most"))

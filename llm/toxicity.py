@@ -314,7 +314,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
         .filter("doc_id is not null and toxic in (0, 1)").filter(~held_out()) \
         .groupBy("doc_id").agg(F.max("toxic").cast("double").alias("y"))
     chosen = stage(_sample(known, LABELLED_ROWS), "chosen")
-    labelled = stage(_unlike_rows(d.join(F.broadcast(chosen), "doc_id")), "labelled")
+    labelled = _unlike_rows(d.join(F.broadcast(chosen), "doc_id"))
     counts, toxic, n = _word_counts(labelled.select("text", "y"), LEAST_DOCS)
     share = (toxic + 0.5) / (n + 1)
     over = sorted((w for w, (a, b) in counts.items() if a / b > max(0.5, 2 * share)),
@@ -333,8 +333,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
 
     free = d.filter("doc_id is not null").filter(~held_out())
     ids = stage(_sample(free.select("doc_id"), TRAIN_ROWS).distinct(), "train-ids")
-    rows = stage(_unlike_rows(free.join(F.broadcast(ids), "doc_id")), "train-rows")
-    soft = _posterior(rows, voters, model)
+    soft = _posterior(_unlike_rows(free.join(F.broadcast(ids), "doc_id")), voters, model)
     counts, _, _ = _word_counts(soft, LEAST_DOCS)
     features = sorted(counts)[:FEATURES]
     place = {w: i for i, w in enumerate(features)}

@@ -1,3 +1,5 @@
+import hashlib
+
 from llm import sharding
 from llm.common import documents
 
@@ -57,6 +59,21 @@ def test_odd_rows(spark):
     for r in found:
         by_text.setdefault((r["text_crc32"], r["size"]), set()).add(r["shard"])
     assert all(len(s) == 1 for s in by_text.values())
+    # null texts are one group apart from the empty text; null ids come first
+    groups = {}
+    for i, t in rows():
+        groups.setdefault(t, []).append(i)
+    line = []
+    for t, ids in groups.items():
+        known = [i for i in ids if i is not None]
+        key = "null" if t is None else hashlib.sha256(t.encode()).hexdigest()
+        line.append(((bool(known), min(known, default=0)), key, len(ids) * (len((t or "").encode()) + 1)))
+    sizes = [n for *_, n in sorted(line)]
+    sums = {}
+    for r in found:
+        sums[r["shard"]] = sums.get(r["shard"], 0) + r["size"]
+    assert sum(sums.values()) == sum(sizes) and max(sums.values()) == smallest_capacity(sizes, 4)
+    assert sum(r["doc_id"] is None for r in found) == 2
 
 
 def test_a_hot_group_leaves_the_rest_balanced(spark):
