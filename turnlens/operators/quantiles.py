@@ -92,8 +92,10 @@ def grouped_exact_quantiles(df: DataFrame, group: Sequence[str], value: str,
     form a group. Output: group + one column ``{out}_{i}`` per probability.
     ``group`` may be empty (one row)."""
     group = list(group)
-    # a struct is never null, so null group values join like others
-    key = F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"g{i}") for i, c in enumerate(group)])
+    # a struct is never null, so null group values join like others; without
+    # groups the key is 0 but no constant, or the joins on it would be products
+    base = F.lit(0) if group else F.pmod(F.hash(F.col(value)), F.lit(1))
+    key = F.struct(base.alias("_"), *[F.col(c).alias(f"g{i}") for i, c in enumerate(group)])
     rows = df.select(key.alias("k"), F.col(value).alias("v")).filter(F.col("v").isNotNull())
     n = staged(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
     asked = n.select("k", F.posexplode(F.array(*[
