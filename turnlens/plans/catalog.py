@@ -31,6 +31,8 @@ SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 EVENT_ORIGIN = "2024-01-01"   # day 0 of the events table
 
 MONEY = "decimal(18,2)"
+# Rows of one task where grouping rows of a shuffle by fine keys.
+TASK_ROWS = 500_000
 
 
 def query(name: str, ids: str):
@@ -416,9 +418,10 @@ def copy_normalised_rate(spark, sf):
     li = table(spark, sf, "lineitem")
     o = table(spark, sf, "orders")
     # distinct orders and order-days by counting rows of nested groups: one
-    # shuffle of the lines, on the outer group's key, serves both levels
+    # shuffle of the lines, on the outer group's key, serves both levels; its
+    # tasks are counted by rows, as each holds the groups of its rows
     per_day = li.select(F.year("l_shipdate").alias("yr"), "l_orderkey", F.to_date("l_shipdate").alias("day"),
-                        "l_quantity", "l_extendedprice").repartition("yr", "l_orderkey") \
+                        "l_quantity", "l_extendedprice").repartition(-(-li.count() // TASK_ROWS) or 1, "yr", "l_orderkey") \
         .groupBy("yr", "l_orderkey", "day").agg(F.sum(F.col("l_quantity").cast(MONEY)).alias("qty"),
                                                 F.sum(F.col("l_extendedprice").cast(MONEY)).alias("yield_sum"))
     per_order = per_day.groupBy("yr", "l_orderkey").agg(
