@@ -172,3 +172,29 @@ def test_numbers_of_several_keys(spark):
     out = number_repeats(spark.createDataFrame(data, "k string, i int"), names, "k", "name", ["i"], F.lit(0), "given")
     assert sorted(tuple(r) for r in out.filter("k is not null").collect()) == sorted(want)
     assert out.count() == 90
+
+
+def _users(spark, n=60):
+    """Rows of many keys over four days; some come twice, have no key or are
+    beyond what a float holds."""
+    rng, start = random.Random(5), dt.datetime(2024, 1, 1)
+    made = [(None if u == 3 else u, (1 << 60) + 1000 * u + i,
+             start + dt.timedelta(days=rng.randrange(1 if u % 3 else 4), seconds=rng.randrange(86_400)),
+             rng.choice(["view", None, "click"]), 1.0) for u in range(n) for i in range(5)]
+    return spark.createDataFrame(made + made[::7], SCHEMA), made + made[::7]
+
+
+def test_expired_keys_of_one_group_keep_their_own_timers(spark, monkeypatch):
+    monkeypatch.setattr(live, "STATE_GROUPS", 7, raising=False)
+    df, made = _users(spark)
+    progress = []
+    out = live.expired_keys(replay(df.filter("user_id is not null"), 3).stream(), "user_id", "ts", 6 * 3600,
+                            "10 minutes", progress)
+    last = {}
+    for u, _, ts, *_ in made:
+        if u is not None:
+            last[u] = max(ts, last.get(u, ts))
+    end = max(last.values()) - dt.timedelta(minutes=10)
+    gone = {u for u, ts in last.items() if ts + dt.timedelta(hours=6) < end}
+    assert {r.key for r in out.collect()} == gone and 0 < len(gone) < len(last)
+    assert 0 < max(p["state"] for p in progress) <= 7

@@ -24,6 +24,10 @@ from turnlens.session import path_exists, scratch_dir
 
 # Rows of one replayed file.
 REPLAY_FILE_ROWS = 1_000_000
+# Groups that the keys of arbitrary state are dealt to. A group is one row of
+# state and one call of Python a batch for all its keys, so the calls do not
+# grow with the keys; each key of a group has its own snapshot and timer.
+STATE_GROUPS = 4096
 
 
 def file_stream(spark: SparkSession, folder: str, file_glob: str, schema: T.StructType,
@@ -149,6 +153,35 @@ def merge_pulses(periods: DataFrame, key: str) -> DataFrame:
                                     F.max_by("state", "period.start").alias("state"))
 
 
+# --- arbitrary state: keys dealt to groups -----------------------------------
+
+def _grouped(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with the group of each key (see :data:`STATE_GROUPS`)."""
+    return df.withColumn("__group", F.pmod(F.xxhash64(key), F.lit(STATE_GROUPS)).cast("int"))
+
+
+def _exact(df: DataFrame, column: str) -> Column:
+    """``column`` as Python gets it: pandas would make whole numbers with a
+    null among them floats, so they travel as text."""
+    whole = isinstance(df.schema[column].dataType, T.IntegralType)
+    return F.col(column).cast("string").alias(column) if whole else F.col(column)
+
+
+def _state_helpers() -> tuple[Callable, Callable]:
+    """``values`` and ``frame``, made here so that they travel with the function
+    that uses them and workers need not have this package."""
+    def values(column: pd.Series, kind: T.DataType) -> list:
+        """The column's values, whole numbers made from text again."""
+        found = column.tolist()
+        return [None if v is None else int(v) for v in found] if isinstance(kind, T.IntegralType) else found
+
+    def frame(rows: list[tuple], names: Sequence[str]) -> pd.DataFrame:
+        """Rows as objects: whole numbers stay whole beside nulls."""
+        return pd.DataFrame({n: pd.Series(c, dtype=object) for n, c in zip(names, zip(*rows, strict=True), strict=True)})
+
+    return values, frame
+
+
 # --- T01: latest + previous snapshot per key ---------------------------------
 
 def latest_state_stream(stream: DataFrame, key: str = "user_id", id_col: str = "event_id",
@@ -349,7 +382,7 @@ def append_new_ids(stream: DataFrame, on_batch: Callable[[DataFrame, int], None]
 EXPIRED_SCHEMA = T.StructType([T.StructField("key", T.LongType()),
                                T.StructField("last_seen_us", T.LongType()),
                                T.StructField("expired", T.BooleanType())])
-_SEEN_STATE = T.StructType([T.StructField("last_us", T.LongType())])
+_SEEN_STATE = T.StructType([T.StructField(n, T.ArrayType(T.LongType())) for n in ("key", "last_us", "due_ms")])
 
 
 def expire_silent_keys(stream: DataFrame, key: str, ts: str, timeout_sec: int,
@@ -359,32 +392,38 @@ def expire_silent_keys(stream: DataFrame, key: str, ts: str, timeout_sec: int,
     emitting (key, last_seen, expired) and dropping the key's state. A key
     that is new, or comes back after it expired, emits a row that is not
     expired, so the latest row of a key tells its state
-    (:func:`expired_keys`). Append mode."""
+    (:func:`expired_keys`). Rows without a time count for nothing. Append
+    mode."""
     timeout_ms = int(timeout_sec) * 1000
-
-    def on_key(k, pdfs, state: GroupState):
-        if state.hasTimedOut:
-            (last,) = state.get
+    values, frame = _state_helpers()
+
+    def on_group(_, pdfs, state: GroupState):
+        held = {k: (last, due) for k, last, due in zip(*state.get, strict=True)} if state.exists else {}
+        now, seen = state.getCurrentWatermarkMs(), {}
+        for pdf in () if state.hasTimedOut else pdfs:
+            for k, us in zip(values(pdf["__key"], T.LongType()), pdf["__us"].tolist(), strict=True):
+                if k not in seen or us > seen[k]:
+                    seen[k] = us
+        rows = [(k, us, False) for k, us in seen.items() if k not in held]
+        for k, us in seen.items():
+            last = max(us, held[k][0]) if k in held else us
+            held[k] = last, max(last // 1000 + timeout_ms, now + 1)
+        for k in [k for k, (_, due) in held.items() if due < now and k not in seen]:
+            rows.append((k, held.pop(k)[0], True))
+        if held:
+            state.update(tuple(map(list, zip(*((k, *r) for k, r in held.items()), strict=True))))
+            state.setTimeoutTimestamp(max(min(due for _, due in held.values()), now + 1))
+        else:
             state.remove()
-            yield pd.DataFrame({"key": [int(k[0])], "last_seen_us": [int(last)], "expired": [True]})
-            return
-        new = not state.exists
-        last = None if new else state.get[0]
-        for pdf in pdfs:
-            m = int(pdf["__us"].max())
-            last = m if last is None else max(last, m)
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last // 1000 + timeout_ms, state.getCurrentWatermarkMs() + 1))
-        rows = [int(k[0])] * new
-        yield pd.DataFrame({"key": pd.Series(rows, dtype="int64"),
-                            "last_seen_us": pd.Series([last] * new, dtype="int64"),
-                            "expired": pd.Series([False] * new, dtype="bool")})
-
-    s = (with_event_time(stream, ts).withWatermark("event_time", watermark)
+        if rows:
+            yield frame(rows, EXPIRED_SCHEMA.names)
+
+    s = (with_event_time(stream, ts).withWatermark("event_time", watermark).filter("event_time is not null")
          .select(F.col(key).cast("long").alias(key), "event_time",
                  F.unix_micros("event_time").alias("__us")))
-    return s.groupBy(key).applyInPandasWithState(
-        on_key, EXPIRED_SCHEMA, _SEEN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    s = _grouped(s, key).select("__group", _exact(s, key).alias("__key"), "event_time", "__us")
+    return s.groupBy("__group").applyInPandasWithState(
+        on_group, EXPIRED_SCHEMA, _SEEN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def expired_keys(stream: DataFrame, key: str, ts: str, timeout_sec: int, watermark: str,
