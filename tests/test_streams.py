@@ -184,6 +184,25 @@ def _users(spark, n=60):
     return spark.createDataFrame(made + made[::7], SCHEMA), made + made[::7]
 
 
+@pytest.mark.parametrize("ttl", [None, 3600])
+def test_state_rows_and_calls_do_not_grow_with_the_keys(spark, monkeypatch, ttl):
+    monkeypatch.setattr(live, "STATE_GROUPS", 7, raising=False)
+    df, made = _users(spark)
+    progress = []
+    # a key is in the result by its last batch; null keys leave it there
+    out = live.run_to_table(live.latest_state_stream(replay(df, 3).stream(), ttl_sec=ttl, watermark=ttl and "1 minute"),
+                            "groups", "update", ["user_id"], progress)
+    want = {}
+    for r in sorted((r for r in made if r[0] is not None), key=lambda r: (r[2], r[1])):
+        want.setdefault(r[0], []).append(r)
+    for u, rs in want.items():
+        prev = rs[-2]
+        near = ttl is None or rs[-1][2] - prev[2] <= dt.timedelta(seconds=ttl)
+        want[u] = (*rs[-1][1::2][:2], *(prev[1::2][:2] if near else (None, None)))
+    assert {r.user_id: tuple(r)[1:] for r in out.collect()} == want
+    assert 0 < max(p["state"] for p in progress) <= 7
+
+
 def test_expired_keys_of_one_group_keep_their_own_timers(spark, monkeypatch):
     monkeypatch.setattr(live, "STATE_GROUPS", 7, raising=False)
     df, made = _users(spark)

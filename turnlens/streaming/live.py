@@ -188,7 +188,7 @@ def latest_state_stream(stream: DataFrame, key: str = "user_id", id_col: str = "
                         state_col: str = "event_type", ts: str = "ts",
                         ttl_sec: int | None = None, watermark: str | None = None) -> DataFrame:
     """Per key the newest row (by time, then id) and the previous
-    snapshot, as arbitrary state (update mode).
+    snapshot, as arbitrary state (update mode). Nulls sort before all else.
 
     With ``ttl_sec`` a snapshot counts as previous only if it is at most that
     much older than the newest, and an event-time timer drops the state of a
@@ -199,34 +199,65 @@ def latest_state_stream(stream: DataFrame, key: str = "user_id", id_col: str = "
     names = [key, f"latest_{id_col}", f"latest_{state_col}", f"prev_{id_col}", f"prev_{state_col}"]
     out_schema = T.StructType([T.StructField(n, t) for n, t in
                                zip(names, [*kinds, *kinds[1:]], strict=True)])
-    state_schema = T.StructType([T.StructField(f"{c}{i}", t) for i in (1, 0) for c, t in
-                                 zip("tks", [T.LongType(), *kinds[1:]], strict=True)])
+    state_schema = T.StructType([T.StructField("key", T.ArrayType(kinds[0]))] + [
+        T.StructField(f"{c}{i}", T.ArrayType(t)) for i in (1, 0) for c, t in
+        zip("tks", [T.LongType(), *kinds[1:]], strict=True)])
     ttl_us = None if ttl_sec is None else ttl_sec * 1_000_000
+    none = (None, None, None)
+    values, frame = _state_helpers()
+
+    def snapshot(us, *rest):
+        """A row that sorts by time, id and state."""
+        return us, *((v is not None, v) for v in rest)
+
+    def plain(row):
+        return none if row is None else (row[0], row[1][1], row[2][1])
 
-    def top2(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """Keep the two newest rows seen for a key; chunks stream through."""
-        if state.hasTimedOut:
+    def top2(_, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Keep the two newest rows seen for each key of a group; chunks
+        stream through."""
+        held, seen = {}, set()
+        for k, *r in zip(*state.get, strict=True) if state.exists else ():
+            held[k] = snapshot(*r[:3]), None if r[3] is None else snapshot(*r[3:])
+        for pdf in () if state.hasTimedOut else pdfs:
+            keys, ids, kept = (values(pdf[c], t) for c, t in zip(("__key", "__id", "__state"), kinds, strict=True))
+            seen.update(keys)
+            for k, *r in zip(keys, pdf["__us"].tolist(), ids, kept, strict=True):
+                row = snapshot(*r)
+                if k not in held:
+                    held[k] = row, None
+                    continue
+                newest, prev = held[k]
+                if row >= newest:
+                    held[k] = row, newest
+                elif prev is None or row > prev:
+                    held[k] = newest, row
+        if ttl_us is not None:
+            now = state.getCurrentWatermarkMs()
+            for k in seen:
+                newest, prev = held[k]
+                if prev is not None and newest[0] - prev[0] > ttl_us:
+                    held[k] = newest, None
+            due = {k: (newest[0] + ttl_us) // 1000 + 1 for k, (newest, _) in held.items()}
+            for k in [k for k, at in due.items() if at < now and k not in seen]:
+                del held[k], due[k]
+        if not held:
             state.remove()
             return
-        held = list(state.get) if state.exists else [None] * 6
-        cur = [tuple(held[i:i + 3]) for i in (0, 3) if held[i] is not None]
-        for pdf in pdfs:
-            top = pdf.sort_values(["__us", id_col]).tail(2)
-            cur.extend(zip(top["__us"].tolist(), top[id_col].tolist(), top[state_col].tolist(), strict=True))
-            cur = sorted(cur)[-2:]
-        newest, prev = max(cur), min(cur) if len(cur) > 1 else (None, None, None)
-        if ttl_us is not None and prev[0] is not None and newest[0] - prev[0] > ttl_us:
-            prev = (None, None, None)
-        state.update((*newest, *prev))
+        state.update(tuple(map(list, zip(*((k, *plain(newest), *plain(prev)) for k, (newest, prev) in held.items()),
+                                         strict=True))))
         if ttl_us is not None:
-            state.setTimeoutTimestamp(max((newest[0] + ttl_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({n: [v] for n, v in zip(names, (k[0], *newest[1:], *prev[1:]), strict=True)})
+            state.setTimeoutTimestamp(max(min(due.values()), now + 1))
+        if seen:
+            yield frame([(k, *plain(held[k][0])[1:], *plain(held[k][1])[1:]) for k in seen], names)
 
     s = with_event_time(stream, ts)
     if ttl_sec is not None:
         s = s.withWatermark("event_time", watermark or "0 seconds")
-    s = s.select(key, id_col, state_col, "event_time", F.unix_micros("event_time").alias("__us"))
-    return s.groupBy(key).applyInPandasWithState(
+    at = F.coalesce(F.unix_micros("event_time"), F.lit(-(1 << 62)))     # no time sorts first
+    s = _grouped(s, key).select("__group", *[_exact(s, c).alias(n) for c, n in (
+        (key, "__key"), (id_col, "__id"), (state_col, "__state"))], "event_time", at.alias("__us"))
+    return s.groupBy("__group").applyInPandasWithState(
         top2, out_schema, state_schema, "update",
         GroupStateTimeout.NoTimeout if ttl_sec is None else GroupStateTimeout.EventTimeTimeout)
 
