@@ -36,6 +36,24 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+_kept: list[Callable[[], None]] = []
+
+
+def kept_in_worker(drop: Callable[[], None]) -> Callable[[], None]:
+    """Registers ``drop``, which empties what a module keeps between the tasks
+    of a Python worker (:func:`lean_worker`)."""
+    _kept.append(drop)
+    return drop
+
+
+def lean_worker() -> None:
+    """Called by a task that has large values of its own: Python workers are
+    used again by later steps, and what earlier ones keep there would come on
+    top."""
+    for drop in _kept:
+        drop()
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import ROW_KEY, documents, id_and_text, list_column, stage, texts, with_row_key
+from llm.common import ROW_KEY, documents, id_and_text, lean_worker, list_column, stage, texts, with_row_key
 from llm.components import components
 
 SIMILARITY = (80, 100)
@@ -120,6 +120,7 @@ ROWS_SQL = ("_rf long, _rr long, doc_id long, n long, digest binary, keys array<
 
 def _document_rows(width: int) -> Callable:
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         for big in found:
             for a in range(0, big.num_rows, 1000):
                 batch = big.slice(a, 1000)
@@ -139,6 +140,7 @@ def _document_rows(width: int) -> Callable:
 
 def _set_rows(width: int) -> Callable:
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         for big in found:
             for a in range(0, big.num_rows, 1000):
                 batch = big.slice(a, 1000)

@@ -3,7 +3,8 @@
 ``word_bpe_49k`` drops white space and never joins characters across it, so a
 text's ids are those of its space-separated words in order. Words repeat, so
 each Python worker keeps the ids of words it has met in a dictionary, emptied
-when it passes ``CACHE_WORDS`` entries or ``CACHE_CHARS`` characters. A new
+when it passes ``CACHE_WORDS`` entries or ``CACHE_CHARS`` characters, or when
+another step's task needs the room (:func:`llm.common.lean_worker`). A new
 word is taken apart as the tokenizer's own first steps would do it (trailing
 punctuation is a piece of its own; ASCII letters count in lower case), and
 what is then left is encoded by the library. ``tests/llm`` compares this with
@@ -19,6 +20,8 @@ from collections.abc import Iterable, Iterator
 
 import public_tokenizers
 
+from llm.common import kept_in_worker
+
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 CACHE_WORDS = 600_000
@@ -39,6 +42,10 @@ class _Words(dict):
         self.as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.chars = 0
 
+    def forget(self) -> None:
+        self.clear()
+        self.chars = 0
+
     def __missing__(self, word: str) -> bytes:
         core = word.rstrip(".,;:!?")
         if core != word and core and core[-1] < PLAIN_BELOW and core[-1].lower().isalpha():
@@ -69,6 +76,13 @@ def _load(path: str) -> tuple:
     return _loaded[path]
 
 
+@kept_in_worker
+def forget_words() -> None:
+    for _, words in _loaded.values():
+        if words is not None:
+            words.forget()
+
+
 def _by_words(tokenizer) -> bool:
     """Whether the tokenizer's first steps are those this module relies on."""
     c = json.loads(tokenizer.to_str())
@@ -102,7 +116,6 @@ class Encoder:
                 yield array("I", ids).tobytes() + self.end
                 continue
             if len(words) > CACHE_WORDS or words.chars > CACHE_CHARS:
-                words.clear()
-                words.chars = 0
+                words.forget()
             text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
             yield b"".join(map(words.__getitem__, text.split(" "))) + self.end

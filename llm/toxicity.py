@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import batches, crc32, crc32_id, documents, id_and_text, stage, texts
+from llm.common import batches, crc32, crc32_id, documents, id_and_text, lean_worker, stage, texts
 from llm.near_dedup import sample_copies
 
 FOLDS = 5
@@ -214,6 +214,7 @@ def _word_counts(rows: DataFrame, least: int) -> tuple[dict[bytes, tuple[float,
                         ("after", pa.int64())])
 
     def count(found: Iterator[pa.RecordBatch]):
+        lean_worker()
         held: dict[bytes, list] = {}
         for batch in found:
             for text, y in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
@@ -244,6 +245,7 @@ def _with_votes(rows: DataFrame, voters: Voters, *keep: str) -> DataFrame:
     fields = kept.select(*keep).schema.fields
 
     def run(found: Iterator[pa.RecordBatch]):
+        lean_worker()
         model = shared.value
         for batch in found:
             masks = [model.votes(t) for t in texts(batch.column(len(keep)))]
@@ -381,6 +383,7 @@ def _posterior(rows: DataFrame, voters: Voters, model: LabelModel) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast((voters, model))
 
     def run(found: Iterator[pa.RecordBatch]):
+        lean_worker()
         v, m = shared.value
         for batch in found:
             if batch.num_rows:
@@ -397,6 +400,7 @@ def _feature_rows(rows: DataFrame, place: dict[bytes, int]) -> DataFrame:
     schema = pa.schema([("on", pa.list_(pa.int32())), ("y", pa.float64())])
 
     def run(found: Iterator[pa.RecordBatch]):
+        lean_worker()
         known = shared.value
         for batch in found:
             on = [[known[w] for w in known.keys() & words(t)] for t in texts(batch.column(0))]
@@ -416,6 +420,7 @@ def with_score(docs: DataFrame, classifier: Classifier, text_col: str = "text",
     sql = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
 
     def run(found: Iterator[pa.RecordBatch]):
+        lean_worker()
         model = shared.value
         for batch in found:
             scores = [model.score(t) for t in texts(batch.column(place))]
