@@ -203,6 +203,7 @@ def sample_copies(sample: DataFrame) -> DataFrame:
     buckets in the first ``SAMPLE_BANDS`` bands, in one round without
     components; null where a text has no words."""
     def signed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         for big in found:
             for a in range(0, big.num_rows, 500):
                 batch = big.slice(a, 500)
