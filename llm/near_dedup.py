@@ -7,8 +7,11 @@ later work is on classes. Per class the first pass over the texts yields
 ``BANDS * ROWS`` minima as band keys; two low bits of each mixed minimum,
 packed into bit planes; and a parity sketch of the whole set.
 
-1. Candidates share a band key. Each class is paired with the least class of
-   each of its buckets, so a bucket of m classes gives m - 1 pairs.
+1. Candidates share a band key. Each class is paired with one lead of each of
+   its buckets, so a bucket of m classes gives m - 1 pairs. The lead is the
+   class whose buckets hold the most classes in all: among near copies of one
+   text that is the text itself or the copy least changed, to which the others
+   link even where two copies are too far from each other.
 2. Pairs are dropped whose collision-corrected b-bit estimate is below
    ``LEAST_ESTIMATE`` (over five deviations under the limit), or whose parity
    sketches differ in more bits than linked sets can (a bound, not an
@@ -45,7 +48,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from llm.common import ROW_KEY, documents, id_and_text, lean_worker, list_column, stage, texts, with_row_key
@@ -246,11 +249,14 @@ class NearDuplicates:
         self.signed = self.classes.select("c", F.struct("n", "planes", "sketch").alias("sign"))
 
     def members(self) -> DataFrame:
-        """(key, c, lead) for every class in a bucket of two or more."""
+        """(key, c, lead) for every class in a bucket of two or more. The lead
+        is the class whose buckets hold the most classes in all."""
         held = self.classes.select(F.explode("keys").alias("key"), "c")
-        shared = held.groupBy("key").agg(F.min("c").alias("lead"), F.max("c").alias("last")) \
-            .filter("lead < last").select("key", "lead")
-        return stage(held.join(shared, "key"), "buckets")
+        shared = held.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+        near = F.sum("m").over(Window.partitionBy("c"))  # at most BANDS rows
+        held = stage(held.join(shared, "key").select("key", "c", near.alias("near")), "held")
+        leads = held.groupBy("key").agg(F.max(F.struct("near", "c")).alias("lead"))
+        return stage(held.join(leads, "key").select("key", "c", F.col("lead.c").alias("lead")), "buckets")
 
     def sets(self, classes: DataFrame) -> DataFrame:
         """(c, s): the full sets of the classes c, each read from its first row."""
@@ -274,7 +280,7 @@ class NearDuplicates:
 
     def star_pairs(self, members: DataFrame) -> DataFrame:
         return self.may_link(members.filter("c <> lead").select(
-            F.col("lead").alias("a"), F.col("c").alias("b")).distinct())
+            F.least("lead", "c").alias("a"), F.greatest("lead", "c").alias("b")).distinct())
 
     def prefixes(self, placed: DataFrame, sets: DataFrame) -> DataFrame:
         """(shingle, c, label, n, place): the first shingles of each class in

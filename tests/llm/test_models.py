@@ -99,6 +99,20 @@ def test_pages_of_one_template_meet_in_no_list(spark):
     assert near.rest_pairs(members, components(links))[0].count() == 0
 
 
+def test_copies_of_one_text_meet_in_its_star(spark):
+    """Copies that link to their text but not to each other are connected by
+    pairs with the text; few pairs are left for the lists."""
+    docs = list(enumerate(near_group(400, 11, 150, 6)))
+    random.Random(12).shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    check_near(spark, df, docs, 5)
+    near = near_dedup.NearDuplicates(df, 5)
+    members = near.members()
+    links = stage(near.confirm(near.star_pairs(members)), "links")
+    assert links.count() > 100
+    assert near.rest_pairs(members, components(links))[0].count() < 20
+
+
 def test_near_duplicates_of_chained_templates(spark):
     """Groups whose rare shingles are shared across components."""
     rng = random.Random(3)
